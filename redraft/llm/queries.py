@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import bpe, token_counts, warc
+from redraft.llm import bpe, ngram_join, token_counts, warc
 from redraft.llm.textblocks import table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
     return made.selectExpr("row_id AS page_id", "warc_type", "derived_id AS record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest", "record")
@@ -68,6 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_warc_derivatives": op5_warc_derivatives,
     "op8_token_length_histogram": op8_token_length_histogram,
     "op10_byte_bpe": op10_byte_bpe,
