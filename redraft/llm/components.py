@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds double the reach of a label, so this many are far more than any graph needs.
 MOST_ROUNDS = 60
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the shared folder of spark.checkpoint.dir; where that is unset, as in tests, a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, a folder of its own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
         import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

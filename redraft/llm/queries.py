@@ -7,10 +7,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import bpe, ngram_join, token_counts, warc
+from redraft.llm import bpe, exact_dedup, ngram_join, token_counts, warc
 from redraft.llm.textblocks import table
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)
+"""
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -72,6 +83,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_warc_derivatives": op5_warc_derivatives,
     "op8_token_length_histogram": op8_token_length_histogram,
@@ -79,5 +91,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_exact_dedup": OP2_SQL,
     "op5_warc_derivatives": OP5_SQL,
 }
