@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import bpe, exact_dedup, ngram_join, token_counts, warc
+from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, token_counts, warc
 from redraft.llm.textblocks import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_warc_derivatives": op5_warc_derivatives,

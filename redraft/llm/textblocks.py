@@ -29,6 +29,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Gaps where punctuation doesn't count: all ASCII but letters and digits.
+PLAIN = np.ones(256, dtype=bool)
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[128:] = False
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -75,9 +78,9 @@ def pieces(bounds: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, i
         at = min(to, n)
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of every word, its end, and words before each document: maximal runs of other bytes than space and 09-0D."""
-    gap = SPACE[data]
+def words(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every word, its end, and words before each document: maximal runs of bytes that are no gaps (by default space and 09-0D)."""
+    gap = gaps[data]
     inner = ~gap
     start = inner.copy()
     start[1:] &= gap[:-1]
