@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, token_counts, warc
+from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, repeats, token_counts, warc
 from redraft.llm.textblocks import table
 
 
@@ -30,6 +30,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
     return made.selectExpr("row_id AS page_id", "warc_type", "derived_id AS record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest", "record")
@@ -90,6 +94,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_warc_derivatives": op5_warc_derivatives,
     "op8_token_length_histogram": op8_token_length_histogram,
     "op10_byte_bpe": op10_byte_bpe,
