@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, repeats, token_counts, warc
+from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, pitman_yor, quality, repeats, token_counts, warc
 from redraft.llm.textblocks import table
 
 
@@ -82,10 +82,18 @@ FROM e
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.summaries(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -96,7 +104,9 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_repeated_passages": op4_repeated_passages,
     "op5_warc_derivatives": op5_warc_derivatives,
+    "op6_quality": op6_quality,
     "op8_token_length_histogram": op8_token_length_histogram,
+    "op9_language_model": op9_language_model,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
