@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, pitman_yor, quality, repeats, token_counts, warc
+from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, pii, pitman_yor, quality, repeats, token_counts, warc
 from redraft.llm.textblocks import table
 
 
@@ -86,6 +86,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.summaries(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
 
@@ -105,6 +109,7 @@ QUERIES = {
     "op4_repeated_passages": op4_repeated_passages,
     "op5_warc_derivatives": op5_warc_derivatives,
     "op6_quality": op6_quality,
+    "op7_personal_data": op7_personal_data,
     "op8_token_length_histogram": op8_token_length_histogram,
     "op9_language_model": op9_language_model,
     "op10_byte_bpe": op10_byte_bpe,
