@@ -1,23 +1,70 @@
-"""The corpus pipeline: stages that each call one operator, written as Parquet and read again between them."""
+"""The corpus pipeline: stages that each call one operator, written as Parquet and read again between them.
+
+A stage gets all that its predecessor kept and returns the columns of documents;
+the last returns the encoded corpus.  Rows without an id are dropped by the
+stages whose operators need one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, quality
+from redraft.llm.components import shared_folder
+from redraft.llm.textblocks import table
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality field does not reject (operator 6)."""
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, scored.where("predicted = 1"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id (operator 2)."""
+    return _kept(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by similar word n-grams the one with the smallest id (operator 3): five words, similarity 0.8."""
+    return _kept(docs, ngram_join.jaccard_components(docs, words=5, percent=80).where("doc_id = component_id"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item has leaked (operator 1)."""
+    return _kept(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
-from redraft.llm import bpe
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, and the digests of ids and of the text decoded from them (operator 10)."""
+    return bpe.encode_documents(docs)
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, their character offsets and the decoded text's digest for every document that is left."""
-    return bpe.encode(docs)
 
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("byte-level BPE encoding and decoding", encoded),
+]
 
-STAGES = [("encode", encode)]
+#: The classifier is trained and the tokens are merges of a vocabulary: SQL cannot express run().
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{number}")
+            docs = spark.read.parquet(f"{folder}/{number}")
     return docs

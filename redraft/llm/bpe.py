@@ -181,3 +181,19 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = documents(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(lambda it: digests(decode_batches(encode_batches(it, path, pattern, False), path, pattern)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per row of df with the tokens themselves: doc_id, ids, n_tokens, ids_sha256, decoded_sha256 (of the bytes that the ids decode to)."""
+    import public_tokenizers
+
+    path, pattern = path or default_path(), public_tokenizers.PATTERN
+    docs = documents(df, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in decode_batches(encode_batches(batches, path, pattern, False), path, pattern):
+            for told in digests([batch]):
+                yield pa.RecordBatch.from_arrays([told["doc_id"], batch["ids"], *told.columns[1:]], ["doc_id", "ids", *told.schema.names[1:]])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
