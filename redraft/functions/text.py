@@ -96,7 +96,7 @@ def section(text: Column, headings: tuple[str, ...] = CHANGE_HEADINGS) -> Column
     def after(heading: str) -> Column:
         at = F.locate(heading, text)
         body = F.substring(text, at + len(heading), F.length(text))
-        return F.when(at > 0, F.trim(F.substring_index(body, "\n## ", 1)))
+        return F.when(at > 0, F.regexp_replace(F.substring_index(body, "\n## ", 1), r"^\s+|\s+\z", ""))
 
     return F.coalesce(*[after(h) for h in headings])
 

@@ -109,7 +109,8 @@ def import_changes(incidents: DataFrame, lines: DataFrame, old: str, new: str, r
         F.max(F.when(own, text)).alias("own_text"), F.max(opens.cast("int")).alias("in_block"), F.min_by(F.when(is_from, F.struct("line", "text")), F.when(is_from, F.col("line"))).alias("clause")
     )
     outcome = (
-        F.when(F.contains("own_text", F.lit(old)), F.when(F.contains("own_text", F.lit(new)), "already_migrated").otherwise("edit"))
+        F.when(F.col("own_text").isNull(), "line_out_of_bounds")
+        .when(F.contains("own_text", F.lit(old)), F.when(F.contains("own_text", F.lit(new)), "already_migrated").otherwise("edit"))
         .when(F.col("in_block") == 0, "not_in_import_block")
         .when(F.col("clause").isNull() | ~F.contains("clause.text", F.lit(old)), "text_not_found")
         .when(F.contains("clause.text", F.lit(new)), "already_migrated")
