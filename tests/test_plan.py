@@ -11,7 +11,7 @@ from redraft.sources import readers
 
 def test_plan_end_to_end(spark):
     sources = spark.createDataFrame(
-        [("/r/a.tsx", "import { Old, Keep } from 'x';\n<Old isOpen b/>\nOldest\nvar --pf-v5-a;"), ("/r/node_modules/b.js", "Old"), ("/r/c.tsx", "nothing")], "file string, text string"
+        [("/r/a.tsx", "import { Old, Keep } from 'x';\n<Old isOpen b/>\nOldest\nvar --ui-v5-a;"), ("/r/node_modules/b.js", "Old"), ("/r/c.tsx", "nothing")], "file string, text string"
     )
     inc = lambda line, **v: {"uri": "file:///r/a.tsx", "lineNumber": line, "message": "m", "variables": v}
     report = [
@@ -20,7 +20,7 @@ def test_plan_end_to_end(spark):
             "violations": {
                 "rename": {"labels": [], "incidents": [inc(1, importedName="Old"), {"uri": "/r/node_modules/b.js", "lineNumber": 1, "variables": {"importedName": "Old"}}, {"uri": "c.tsx", "lineNumber": 1, "message": "m", "variables": {"propName": "zz"}}]},
                 "prop": {"labels": ["change-type=prop-removal"], "incidents": [inc(2, propName="isOpen"), inc(3, propName="isOpen")]},
-                "css": {"labels": [], "incidents": [inc(4, className="--pf-v5-a"), inc(4, className="--pf-v5-skip")]},
+                "css": {"labels": [], "incidents": [inc(4, className="--ui-v5-a"), inc(4, className="--ui-v5-skip")]},
                 "dep": {"labels": [], "incidents": [inc(1, dependencyName="d")]},
                 "talk": {"labels": ["family=Card"], "incidents": [inc(2, propName="b", n=[1, 2])]},
                 "tests": {"labels": ["change-type=test-impact"], "incidents": [inc(2, propName="b")]},
@@ -36,7 +36,7 @@ def test_plan_end_to_end(spark):
     }
     lines = readers.source_lines(sources)
     p = pl.plan(readers.findings(spark.createDataFrame([(json.dumps(report),)], "text string")), readers.strategies(spark.createDataFrame([(0, json.dumps(strategies))], "file_ix int, text string")), lines, "/r")
-    assert {(r["file"], r["line"], r["old_text"], r["new_text"]) for r in p.edits.collect()} == {("/r/a.tsx", 1, "Old", "New"), ("/r/a.tsx", 2, "<Old isOpen b/>", "<Old b/>"), ("/r/a.tsx", 3, "Old", "New"), ("/r/a.tsx", 4, "--pf-v5-a", "--pf-v6-a")}
+    assert {(r["file"], r["line"], r["old_text"], r["new_text"]) for r in p.edits.collect()} == {("/r/a.tsx", 1, "Old", "New"), ("/r/a.tsx", 2, "<Old isOpen b/>", "<Old b/>"), ("/r/a.tsx", 3, "Old", "New"), ("/r/a.tsx", 4, "--ui-v5-a", "--ui-v6-a")}
     assert [(r["line"], r["old_text"]) for r in p.subsumed.collect()] == [(2, "Old")]
     assert sorted((r["rule_id"], r["line"]) for r in p.manual.collect()) == [("css", 4), ("hand", 2), ("tests", 2)]
     pending = {r["rule_id"]: r for r in p.pending.collect()}
@@ -44,7 +44,7 @@ def test_plan_end_to_end(spark):
     assert pending["talk"]["message"] == "m\n\nIncident:\nn: [1,2]\npropName: b\n\nStrategy:\nStrategy: CompositionChange\nComponent: Card"
     assert sorted((r["rule_id"], r["file"], r["reason"]) for r in p.skipped.collect()) == [("prop", "/r/a.tsx", "text_not_found"), ("rename", "/r/c.tsx", "text_not_found")]
     text = {r["file"]: r["text"] for r in ed.rebuilt_files(ed.apply_edits(p.edits, lines)).collect()}
-    assert text["/r/a.tsx"] == "import { New, Keep } from 'x';\n<Old b/>\nNewest\nvar --pf-v6-a;"
+    assert text["/r/a.tsx"] == "import { New, Keep } from 'x';\n<Old b/>\nNewest\nvar --ui-v6-a;"
     row = pl.summary(p).first()
     assert (row["pattern_edits"], row["edits_subsumed"], row["manual_review"], row["pending"], row["skipped"]) == (4, 1, 3, 2, 2) and json.loads(row["json"])["pattern_edits"] == 4
 
