@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 #: Folder names whose files are never edited (fixed values), by language.
 SKIPPED_JS = ("node_modules",)
-SKIPPED_JAVA = ("target", "build", ".gradle", ".mvn", ".git", ".idea", ".settings", "bin", "out", "node_modules", ".metadata")
+SKIPPED_JAVA = ("target", "build", ".gradle", ".mvn", ".settings", ".idea", ".classpath", ".project", "bin", "out", "node_modules")
 #: Sections of a model's answer that tell what it changed, in order of preference (fixed values).
-CHANGE_HEADINGS = ("## Changes Applied", "## Changes Made", "## Summary", "## Changes")
+CHANGE_HEADINGS = ("## Changes Applied", "## Summary of Changes", "## Summary of changes", "## Summary")
 
 
 def _col(x: Column | str) -> Column:
@@ -91,14 +91,14 @@ def distinct_words(text: Column) -> Column:
 
 
 def section(text: Column, headings: tuple[str, ...] = CHANGE_HEADINGS) -> Column:
-    """Trimmed text after the first heading, in order of preference, that occurs, up to the next second-level heading; null without one."""
+    """The first heading, in order of preference, that occurs, with its text up to the next second-level heading, trimmed; null without one."""
 
-    def after(heading: str) -> Column:
+    def found(heading: str) -> Column:
         at = F.locate(heading, text)
-        body = F.substring(text, at + len(heading), F.length(text))
-        return F.when(at > 0, F.regexp_replace(F.substring_index(body, "\n## ", 1), r"^\s+|\s+\z", ""))
+        body = F.substring_index(F.substring(text, at + len(heading), F.length(text)), "\n## ", 1)
+        return F.when(at > 0, F.regexp_replace(F.concat(F.lit(heading), body), r"\s+\z", ""))
 
-    return F.coalesce(*[after(h) for h in headings])
+    return F.coalesce(*[found(h) for h in headings])
 
 
 def without_escapes(line: Column) -> Column:

@@ -18,8 +18,9 @@ INFERRED = {
 ASSISTED = ("PropValueChange", "PropTypeChange", "LlmAssisted", "ChildToProp", "PropToChild", "PropToChildren", "CompositionChange", "DeprecatedMigration", "FamilyMigration", "UpdateSignature")
 #: Reasons why an incident makes no edit, and how a report words them.
 SKIP_TEXTS = {
-    "no_line_number": "no line number", "file_unreadable": "file unreadable", "line_out_of_bounds": "line out of bounds", "text_not_found": "text not found", "already_migrated": "already migrated",
-    "no_op_rename": "no-op rename", "missing_variable": "missing variable", "not_in_import_block": "not in an import block", "unbalanced_brackets": "unbalanced brackets", "version_already_compatible": "version already compatible",
+    "file_unreadable": "file unreadable", "no_line_number": "no line number", "text_not_found": "text not found", "line_out_of_bounds": "line out of bounds", "already_migrated": "already migrated",
+    "unbalanced_brackets": "unbalanced brackets", "missing_variable": "missing variable", "no_op_rename": "no-op rename", "not_in_import_block": "not in import block", "empty_llm_response": "empty LLM response",
+    "llm_error": "LLM error", "no_compatible_version": "no compatible version", "package_json_not_found": "package.json not found", "version_already_compatible": "version already compatible",
 }
 
 

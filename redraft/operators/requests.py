@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from redraft.functions.text import without_escapes
+
 #: Soft limit of requests in a chunk, and of families.
 CHUNK_SIZE, CHUNK_FAMILIES = 8, 2
 
@@ -116,11 +118,13 @@ def fix_blocks(lines: DataFrame) -> DataFrame:
     return cut.select("file", F.expr("cast((fences + 1) / 2 as int)").alias("block"), number.alias("at_line"), "old_text", "new_text").where("at_line is not null and old_text is not null and new_text is not null")
 
 
-def missing_peers(log: DataFrame) -> DataFrame:
-    """(peer, requested_by) of a package manager's log given as (file, line, text): first mention of each peer."""
-    from redraft.functions.text import without_escapes
+#: A warning of a missing peer (fixed format): who lacks it, the peer, and who asks for it.
+PEER_WARNING = r"YN0002: (?:│ )?(@?[^@\s]+)@\S+ doesn't provide (@?[^\s(]+) \([^)]+\),? ?(?:requested by (@?[^\s.]+))?"
 
+
+def missing_peers(log: DataFrame) -> DataFrame:
+    """(peer, requested_by) of a package manager's log given as (file, line, text): first mention of each peer; without a requester it is who lacks the peer."""
     text = without_escapes(F.col("text"))
-    shape = r"^(\S+).*doesn't provide (\S+).*requested by ([^\s.,]+)"
-    found = log.select("file", "line", F.regexp_extract(text, shape, 2).alias("peer"), F.regexp_extract(text, shape, 3).alias("requested_by")).where("peer <> ''")
+    group = lambda n: F.nullif(F.regexp_extract(text, PEER_WARNING, n), F.lit(""))
+    found = log.select("file", "line", group(2).alias("peer"), F.coalesce(group(3), group(1)).alias("requested_by")).where("peer is not null")
     return found.groupBy("peer").agg(F.min_by("requested_by", F.struct("file", "line")).alias("requested_by"))

@@ -327,9 +327,9 @@ def last_answer(spark, sf_dir):
     return requests.last_answer(_table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN md5(trim(text)) END AS h FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN md5('## Summary ' || text) WHEN 1 THEN md5('## Changes Applied ' || text) END AS h FROM conversations WHERE text <> ''")
 def section_extract(spark, sf_dir):
-    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# A\n## Summary "), "text", F.lit("\n## End\nx"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("## Summary no\n## Changes Made "), "text")).otherwise(F.concat(F.lit("# A "), "text"))
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# A\n## Summary "), "text", F.lit("\n## End\nx"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("## Summary no\n## Changes Applied "), "text")).otherwise(F.concat(F.lit("# A "), "text"))
     return _table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.md5(tx.section(text).cast("binary")).alias("h"))
 
 
@@ -422,9 +422,9 @@ def pnpm_lock_edges(spark, sf_dir):
     return readers.pnpm_edges(readers.source_lines(texts))
 
 
-@query("SELECT 'b' || p_brand AS peer, arg_min('r' || p_partkey, p_partkey) AS requested_by FROM part GROUP BY 1")
+@query("SELECT 'b' || replace(p_brand, ' ', '_') AS peer, arg_min('r' || p_partkey, p_partkey) AS requested_by FROM part GROUP BY 1")
 def missing_peers(spark, sf_dir):
-    text = F.concat(F.lit("\x1b[93m"), F.lit("app@workspace:. \x1b[0mdoesn't provide b"), F.translate("p_brand", " ", "_"), F.lit(" (p123), requested by r"), F.col("p_partkey").cast("string"), F.lit("."))
+    text = F.concat(F.lit("\x1b[93m"), F.lit("YN0002: │ app@workspace:. \x1b[0mdoesn't provide b"), F.translate("p_brand", " ", "_"), F.lit(" (p123), requested by r"), F.col("p_partkey").cast("string"), F.lit("."))
     return requests.missing_peers(_table(spark, sf_dir, "part").select(F.lit("log").alias("file"), F.col("p_partkey").alias("line"), text.alias("text")))
 
 

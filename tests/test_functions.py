@@ -52,8 +52,8 @@ def test_specifiers(spark):
 
 def test_sections(spark):
     found = lambda t: one(spark, tx.section(F.col("t")), t=t)
-    assert found("a\n## Summary\nx\n## Changes Made\ny\n## End\nz") == "y"
-    assert found("## Summary\n only \n") == "only"
+    assert found("a\n## Summary\nx\n## Changes Applied\ny\n## End\nz") == "## Changes Applied\ny"
+    assert found("b ## Summary of changes\n only \n") == "## Summary of changes\n only"
     assert found("nothing") is None
 
 

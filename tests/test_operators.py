@@ -181,3 +181,8 @@ def test_balanced_runs(spark):
     starts = spark.createDataFrame([("f", 2), ("f", 3), ("f", 6), ("f", 1)], "file string, start int")
     got = {r["start"]: r["end"] for r in planning.balanced_runs(starts, src).collect()}
     assert got == {1: 1, 2: 5, 3: 4, 6: None}
+
+
+def test_missing_peers(spark):
+    log = "\x1b[93mYN0002\x1b[0m: │ app@workspace:. doesn't provide react (p1a2), requested by @s/lib.\nYN0002: @s/x@npm:1.0.0 doesn't provide vue (pb)\nYN0002: y@npm:1 doesn't provide react (pc), requested by z.\nYN0000: ok"
+    assert sorted(tuple(r) for r in requests.missing_peers(lines(spark, log)).collect()) == [("react", "@s/lib"), ("vue", "@s/x")]
