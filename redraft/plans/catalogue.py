@@ -13,6 +13,7 @@ from redraft.functions import text as tx
 from redraft.functions import versions as vs
 from redraft.operators import edits as ed
 from redraft.operators import graph, planning, requests
+from redraft.plans import plan as pl
 from redraft.sources import readers
 
 QUERIES: dict = {}
@@ -472,3 +473,157 @@ def rename_run(spark, sf_dir):
     changed = ed.changed_lines(ed.settled(_edits(spark, sf_dir)), lines)
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "lang")
     return changed.join(docs, "file").groupBy("lang").agg(F.count("*").alias("changed_lines"))
+
+
+@query("SELECT doc_id, 'file:///data/docs/' || lang || '/' || doc_id AS uri, '/data/docs/' || lang || '/' || doc_id AS path FROM documents")
+def uri_round_trip(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", tx.file_uri(F.concat(F.lit(" docs/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string")), "/data").alias("uri"))
+    return rows.select("doc_id", "uri", tx.path_of_uri(F.col("uri"), "/").alias("path"))
+
+
+@query("SELECT DISTINCT 'docs/' || doc_id AS file_uri FROM labels WHERE toxic = 1")
+def file_list(spark, sf_dir):
+    name = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+    rows = _table(spark, sf_dir, "labels")
+    plain = rows.where("toxic = 1").select(F.concat(F.lit("# list\n\n  "), name, F.lit(" \n")).alias("text"))
+    retry = rows.where("toxic = 1").select(F.concat(F.lit('{"timed_out": [{"file": "'), name, F.lit('"}], "failed": []}')).alias("text"))
+    return readers.file_filter(plain.unionByName(retry))
+
+
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS ruleset, 'rule-' || l_linenumber AS rule_id, 'file:///p/' || l_partkey AS file_uri, l_suppkey AS line, 'ship ' || l_returnflag AS message FROM lineitem"""
+)
+def report_incidents(spark, sf_dir):
+    incident = F.struct(F.concat(F.lit("file:///p/"), F.col("l_partkey").cast("string")).alias("uri"), F.col("l_suppkey").alias("lineNumber"), F.concat(F.lit("ship "), "l_returnflag").alias("message"))
+    rules = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat(F.lit("rule-"), F.col("l_linenumber").cast("string")).alias("rule")).agg(F.struct(F.array(F.lit("l")).alias("labels"), F.collect_list(incident).alias("incidents")).alias("v"))
+    sets = rules.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("rule", "v"))).alias("violations"))
+    text = F.to_json(F.array(F.struct(F.col("l_orderkey").cast("string").alias("name"), "violations")))
+    return readers.findings(sets.select(text.alias("text"))).select("ruleset", "rule_id", "file_uri", F.col("line").cast("long").alias("line"), "message")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id WHEN event_id % 3 = 1 THEN 'p' || event_id ELSE '' END AS matched FROM events")
+def matched_variable(spark, sf_dir):
+    n = F.col("event_id").cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"propName": 7, "componentName": "c'), n, F.lit('"}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"className": "x", "propName": "p'), n, F.lit('"}'))).otherwise(F.lit('{"other": "x"}'))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.from_json(text, "map<string,variant>").alias("variables"))
+    return rows.select("event_id", pl.matched_text().alias("matched"))
+
+
+@query("SELECT user_id, event_type, 'k: ' || (props ->> 'k') || chr(10) || 'name: ' || event_type AS context FROM events")
+def incident_variables_text(spark, sf_dir):
+    text = F.concat(F.lit('{"name": "'), "event_type", F.lit('", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", F.from_json(text, "map<string,variant>").alias("variables"))
+    return rows.select("user_id", "event_type", pl.incident_context().alias("context"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'dropped' WHEN 1 THEN 'pending' WHEN 2 THEN 'pending' ELSE 'manifest' END AS route FROM part")
+def dependency_routing(spark, sf_dir):
+    ending = F.get(F.array(*[F.lit(x) for x in (".java", ".tsx", ".js", "/package.json")]), (F.col("p_partkey") % 4).cast("int"))
+    return pl.routed_dependencies(_table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/a/"), F.translate("p_name", " ", "_"), ending).alias("file"))).select("p_partkey", "route")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT p_size % 25 AS folder, p_partkey % 2 = 0 AS inner_folder, p_partkey % 40 AS n FROM part),
+s AS (SELECT s_nationkey, s_suppkey FROM supplier)
+SELECT '/f' || s_nationkey || '/s' || s_suppkey || '.ts' AS file, coalesce(string_agg(CASE WHEN n IS NOT NULL THEN '/f' || folder || CASE WHEN inner_folder THEN '/__tests__/' ELSE '/' END || 'S' || n || '.test.ts' END, ','
+  ORDER BY '/f' || folder || CASE WHEN inner_folder THEN '/__tests__/' ELSE '/' END || 'S' || n || '.test.ts'), '') AS tests
+FROM s LEFT JOIN t ON folder = s_nationkey AND starts_with('s' || n || '.test.ts', 's' || s_suppkey) GROUP BY s_nationkey, s_suppkey"""
+)
+def companion_tests(spark, sf_dir):
+    name = F.concat(F.lit("S"), (F.col("p_partkey") % 40).cast("string"), F.lit(".test.ts"))
+    folder = F.concat(F.lit("/f"), (F.col("p_size") % 25).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/__tests__/").otherwise("/"))
+    listing = _table(spark, sf_dir, "part").select(F.concat(folder, name).alias("path")).distinct()
+    sources = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("/f"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("file"))
+    return pl.companion_tests(sources, listing).select("file", F.array_join("companion_tests", ",").alias("tests"))
+
+
+@query("SELECT DISTINCT '/m/' || s_nationkey || '/x/y/' || s_suppkey || '.ts' AS path, CASE WHEN s_nationkey % 2 = 0 THEN '/m/' || s_nationkey || '/x/package.json' ELSE '/m/package.json' END AS manifest FROM supplier")
+def nearest_manifests(spark, sf_dir):
+    n = F.col("n_nationkey").cast("string")
+    manifests = _table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.explode(F.array(F.concat(F.lit("/m/"), n, F.lit("/x/package.json")), F.lit("/m/package.json"))).alias("file")).distinct()
+    paths = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("/m/"), F.col("s_nationkey").cast("string"), F.lit("/x/y/"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("path")).distinct()
+    return readers.nearest_manifest(paths, manifests)
+
+
+@query(
+    """SELECT s_suppkey AS file, 'dependencies' AS section, 'p' || s_nationkey AS name, '^' || (s_suppkey % 9) || '.0.0' AS version FROM supplier UNION ALL SELECT s_suppkey, 'peerDependencies', 'q', '*' FROM supplier"""
+)
+def manifest_dependencies(spark, sf_dir):
+    text = F.concat(F.lit('{"name": "x", "dependencies": {"p'), F.col("s_nationkey").cast("string"), F.lit('": "^'), (F.col("s_suppkey") % 9).cast("string"), F.lit('.0.0"}, "peerDependencies": {"q": "*"}}'))
+    return readers.manifest_dependencies(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), text.alias("text")))
+
+
+@query(
+    """WITH r AS (SELECT p_brand, p_size AS a, p_partkey % 20 AS b, p_partkey % 7 AS c, p_partkey % 5 AS d FROM part)
+SELECT p_brand AS package, '^' || arg_max(a || '.' || b || '.' || c, [a, b, c]) AS latest FROM r WHERE d = 0 OR d + 2 >= 5 GROUP BY 1"""
+)
+def registry_latest(spark, sf_dir):
+    d = F.col("p_partkey") % 5
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    need = F.when(d != 0, F.create_map(F.lit("core"), F.concat(F.lit("^"), (d + 2).cast("string"), F.lit(".0.0"))))
+    registry = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), version.alias("version"), F.when(d > 2, need).alias("dependencies"), F.when(d <= 2, need).alias("peerDependencies"))
+    wanted = registry.select("package").distinct().select("package", F.lit("core").alias("dependency"), F.lit(5).alias("major"))
+    return pl.latest_compatible(registry, wanted)
+
+
+@query(f"WITH {LINES}, a AS (SELECT file, line, replace(replace(text, 'tion', 'TION'), 'the', 'THE') AS t FROM lines) SELECT file, md5(string_agg(t, chr(10) ORDER BY line)) AS h FROM a GROUP BY file")
+def rebuilt_files(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    edits = ed.settled(_edits(spark, sf_dir).where("replace_all"))
+    return ed.rebuilt_files(ed.apply_edits(edits, lines)).select("file", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query(
+    """WITH f AS (SELECT user_id, event_type, event_type = 'error' AS late FROM events WHERE event_type IN ('error', 'click') AND value > 20)
+SELECT late AS timed_out, 'u' || user_id AS file, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS rule_ids FROM f GROUP BY 1, 2"""
+)
+def retry_entries(spark, sf_dir):
+    bad = F.col("event_type").isin("error", "click") & (F.col("value") > 20)
+    results = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_type").alias("rule_id"), (~bad).alias("ok"), (F.col("event_type") == "error").alias("timed_out"), F.lit(None).cast("string").alias("error"))
+    read = pl.retry_list(results).select(F.from_json("text", "struct<timed_out:array<struct<file:string,rule_ids:array<string>>>,failed:array<struct<file:string,rule_ids:array<string>>>>").alias("r"))
+    part = lambda name, late: read.select(F.lit(late).alias("timed_out"), F.explode(f"r.{name}").alias("x")).select("timed_out", "x.file", F.array_join("x.rule_ids", ",").alias("rule_ids"))
+    return part("timed_out", True).unionByName(part("failed", False))
+
+
+@query(
+    f"""WITH {_REQUESTS}, o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY family IS NULL, family, priority, seq) AS place FROM r)
+SELECT file, md5('Change the file ' || file || ' as asked for below. Change nothing else.' || chr(10) || string_agg('- line ' || line || ': [' || rule_id || '] ' || message, chr(10) ORDER BY place)) AS h FROM o GROUP BY file"""
+)
+def prompt_text(spark, sf_dir):
+    rows = requests.ordered(_requests(spark, sf_dir).withColumn("file", F.col("file").cast("string"))).withColumn("chunk", F.lit(0))
+    return requests.prompts(rows).select(F.col("file").cast("long").alias("file"), F.md5(F.col("prompt").cast("binary")).alias("h"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS family, doc_id % 5 = 0 AND doc_id % 2 = 1 AS test_only FROM documents"""
+)
+def label_predicates(spark, sf_dir):
+    labels = F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "change-type=other"), F.when(F.col("doc_id") % 5 == 0, "change-type=test-impact"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("family="), "lang")), F.lit("family=zz")), lambda x: x.isNotNull())
+    rows = _table(spark, sf_dir, "documents").select("doc_id", labels.alias("labels"))
+    family = planning.family(F.col("labels"))
+    return rows.select("doc_id", F.when(family != "zz", family).alias("family"), planning.test_impact_only(F.col("labels")).alias("test_only"))
+
+
+@query(
+    """SELECT DISTINCT l_orderkey AS file, l_linenumber AS line, 'part.' || l_returnflag || '.a.b' AS old_text FROM lineitem WHERE l_returnflag <> 'N'"""
+)
+def config_renames(spark, sf_dir):
+    flags = _table(spark, sf_dir, "lineitem").select("l_returnflag").distinct().where("l_returnflag <> 'N'")
+    old = F.concat(F.lit("part."), "l_returnflag", F.lit(".a.b"))
+    strategies = flags.select(old.alias("rule_id"), F.lit("JavaImportRename").alias("kind"), F.struct(old.alias("from"), F.lit("x.y.Z").alias("to")).alias("entry"))
+    text = F.concat(F.lit("<bean class='part."), "l_returnflag", F.lit(".a.b.Inner'/> part.x"))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), text.alias("text"))
+    found = pl.config_renames(strategies, lines.withColumn("file", F.concat(F.col("file").cast("string"), F.lit(".xml"))))
+    return found.select(F.regexp_replace("file", ".xml", "").cast("long").alias("file"), "line", "old_text")
+
+
+@query(
+    """SELECT s_suppkey AS file, 2 AS line, '  "new": "^2"' AS new_text FROM supplier WHERE s_suppkey % 2 = 0"""
+)
+def proactive_dependencies(spark, sf_dir):
+    entry = F.struct(F.lit("new").alias("package"), F.lit("^2").alias("new_version"), F.lit("old").alias("old_package"))
+    known = _table(spark, sf_dir, "region").select("r_name").agg(F.max("r_name")).select(F.lit("dep").alias("rule_id"), F.lit("EnsureDependency").alias("kind"), entry.alias("entry"))
+    text = F.concat(F.lit('{\n  "'), F.when(F.col("s_suppkey") % 2 == 0, "old").otherwise("older"), F.lit('": "1"\n}'))
+    lines = readers.source_lines(_table(spark, sf_dir, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit("/package.json")).alias("file"), text.alias("text")))
+    incidents = _table(spark, sf_dir, "events").select(F.col("event_type").alias("rule_id"))
+    return pl.proactive_dependencies(known, incidents, lines).select(F.regexp_replace("file", "/.*", "").cast("long").alias("file"), "line", "new_text")
