@@ -100,7 +100,9 @@ def hit_rows(batches: Iterable[pa.RecordBatch], passes: np.ndarray, short: bool)
             order = np.argsort(doc, kind="stable")
             made, at, doc = made[order], at[order], doc[order]
             hit, cut = np.unique(doc, return_index=True)
-            for d, s, p in zip(hit.tolist(), np.split(made, cut[1:]), np.split(at, cut[1:]), strict=True):
+            cut = np.append(cut, len(doc)).tolist()
+            for d, c, e in zip(hit.tolist(), cut[:-1], cut[1:], strict=True):
+                s, p = made[c:e], at[c:e]
                 rows["doc_id"].append(int(ids[a + d]))
                 rows["words"].append(h[first[d] : first[d + 1]].tobytes())
                 rows["seeds"].append(s.astype(np.int64))
