@@ -28,6 +28,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete what an operator wrote to the shared folder and needs no more, in whatever store that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every id in edges (a, b); the component's id is its smallest id.
 

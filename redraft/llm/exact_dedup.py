@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redraft.llm import textblocks as tb
-from redraft.llm.components import saved, shared_folder
+from redraft.llm.components import drop_folder, saved, shared_folder
 
 #: Entries that a bucket of the directory may hold before it is split.
 BUCKET_ENTRIES = 20_000
@@ -105,28 +105,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tb.small_batches(spark)
     rows = tb.keyed(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("key"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha"))
     keys = saved(rows.select("doc_id", "key", "sha"))
-    many = keys.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1").select("key")
-    many = saved(many)
+    # one row for each text and key from here on: rows of a text that many documents hold are summed where they are read
+    held = saved(keys.groupBy("key", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")))
+    many = saved(held.groupBy("key").agg(F.sum("n").alias("entries")).where("entries > 1").select("key"))
+    held = held.join(many, "key", "left_semi")
     prefix = F.shiftrightunsigned("key", 64 - MOST_BITS).cast("int")
-    counts = saved(keys.join(many, "key", "left_semi").select(prefix.alias("prefix"), "key", "sha").distinct().groupBy("prefix").agg(F.count("*").alias("entries"), F.count_distinct("key").alias("keys")))
+    counts = saved(held.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("entries"), F.count_distinct("key").alias("keys")))
     buckets = directory(counts)
 
-    # the index: texts whose key occurs again, folded in each task, in a folder for each bucket
+    # the index: texts whose key occurs again, each once from a task, in a folder for each bucket
     folder = f"{shared_folder(spark)}/exact-index-{uuid.uuid4().hex}"
-    again = rows.join(many, "key", "left_semi").select("key", "sha", "text")
-    folded = again.mapInArrow(fold_batches, "key long, sha binary, text string")
+    folded = rows.select("key", "sha", "text").mapInArrow(fold_batches, "key long, sha binary, text string")
+    again = folded.join(many, "key", "left_semi")
     owners = max(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folded.withColumn("bucket", bucket_of(prefix, buckets)).repartition(owners, "bucket", "key").write.partitionBy("bucket").parquet(folder)
+    again.withColumn("bucket", bucket_of(prefix, buckets)).repartition(owners, "bucket", "key").write.partitionBy("bucket").parquet(folder)
     index = spark.read.schema("key long, sha binary, text string, bucket int").parquet(folder)
     owned = index.repartition(owners, "bucket", "key").sortWithinPartitions("bucket", "key")
     chained = owned.select("key", "sha", "text").mapInArrow(chain, "key long, sha binary, chain int")
     texts = chained.groupBy("key", "sha").agg(F.min("chain").alias("chain"))
 
-    # members: every row whose key occurs again, with its place in the chain
-    members = keys.join(many, "key", "left_semi").join(texts, ["key", "sha"])
-    groups = members.groupBy("key", "chain").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = texts.join(groups, ["key", "chain"]).select("sha", "keep_id", "group_size").where("group_size > 1")
-    joined = keys.join(saved(found), "sha", "left")
+    # groups: texts at one place of a chain are equal
+    placed = held.join(texts, ["key", "sha"])
+    groups = placed.groupBy("key", "chain").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    found = placed.select("key", "sha", "chain").join(groups, ["key", "chain"]).select("sha", "keep_id", "group_size").where("group_size > 1")
+    found = saved(found)
+    drop_folder(spark, folder)
+    joined = keys.join(found, "sha", "left")
     return joined.select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
