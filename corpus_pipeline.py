@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, quality
 from redraft.llm.components import shared_folder
@@ -18,7 +17,8 @@ from redraft.llm.textblocks import table
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """The rows of docs whose id is among ids, with the columns that they have."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

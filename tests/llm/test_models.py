@@ -168,3 +168,21 @@ def test_pipeline_stages(spark):
     good = labels.where("quality = 1")
     assert good.join(kept, "doc_id", "left_anti").count() <= 0.01 * good.count()
     assert kept.where(F.col("doc_id").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["odd", "none"])
+def test_pipeline_stages_on_odd_tables(spark, request, name):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns named like those of the operators."""
+    docs = request.getfixturevalue(name)
+    for c in ("kept_id", "keep_id", "kept", "component_id", "n_shingles", "contaminated", "item_ids", "predicted", "score", "key", "sha", "signature", "kind.of"):
+        docs = docs.withColumn(c, F.lit(1))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if number < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()} - {None}
+        else:
+            assert len(rows) == docs.count()
+        if name == "none":
+            assert rows == []
