@@ -33,6 +33,8 @@ from redraft.llm import textblocks as tb
 from redraft.llm.components import components, saved
 
 KEY_BYTES = 6
+#: Parts that documents of one set are dealt over.
+SALTS = 32
 _PACKED = "shard int, ids binary, sizes binary, counts binary, keys binary"
 _BACK = "bucket int, shard int, ids binary, sizes binary, counts binary, keys binary, rarity binary"
 _SETS = "doc_id long, n_shingles long, n_shared long, signature binary, keys binary, prefix int"
@@ -225,7 +227,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = saved(ngram_sets(docs, id_col, text_col, words, percent))
     live = sets.where("prefix > 0")
     same = live.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = live.where("signature is not null").join(same, "signature").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # a set that a third of all documents have would meet in one task: its documents are dealt over SALTS, its one row to each of them
+    salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = live.where("signature is not null").select("doc_id", "signature", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = whole.join(salted, ["signature", "salt"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = live.join(copies.where("a <> b").select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     entries = saved(reps.select("doc_id", "n_shingles", "n_shared", "prefix", "keys").mapInArrow(prefix_rows, "token long, doc_id long, n long, unshared long, place long"))
 
