@@ -181,3 +181,21 @@ def manifest_updates(lines: DataFrame, package: str, version: str) -> DataFrame:
     first = rows.groupBy(F.col("l.file").alias("file")).agg(F.min_by(F.struct("l.line", "l.text"), "l.line").alias("r"))
     new = F.regexp_replace("r.text", quoted, "$1" + version.replace("\\", "\\\\").replace("$", "\\$") + "$3")
     return first.select("file", "r.line", F.col("r.text").alias("old_text"), new.alias("new_text")).where("old_text <> new_text")
+
+
+def manifest_inserts(lines: DataFrame, package: str, version: str) -> DataFrame:
+    """(file, line, old_text, new_text) for manifests that do not name a package in a dependency block: it goes behind the last entry of devDependencies, else of dependencies, with that entry's indent."""
+    blocks = dependency_blocks(lines)
+    entry = F.regexp_extract("text", r'^(\s*)"([^"]+)"\s*:\s*"', 2)
+    inside = lines.withColumn("entry", entry).where("entry <> ''").alias("l").join(blocks.alias("b"), F.expr("l.file = b.file and l.line > b.start and l.line < b.end"))
+    rows = inside.select(F.col("l.file").alias("file"), F.col("b.name").alias("block"), F.col("l.line").alias("line"), F.col("l.text").alias("text"), F.col("l.entry").alias("entry"))
+    rows = rows.join(rows.where(F.col("entry") == package).select("file").distinct(), "file", "left_anti").where("block in ('devDependencies', 'dependencies')")
+    last = rows.groupBy("file").agg(F.max_by(F.struct("line", "text"), F.struct(F.col("block") == "devDependencies", "line")).alias("r"))
+    added = F.concat(F.regexp_replace("r.text", r",?\s*$", ","), F.lit("\n"), F.regexp_extract("r.text", r"^(\s*)", 1), F.lit(f'"{package}": "{version}"'))
+    return last.select("file", F.col("r.line").alias("line"), F.col("r.text").alias("old_text"), F.concat(added, F.when(F.rtrim("r.text").endswith(","), ",").otherwise("")).alias("new_text"))
+
+
+def peer_ranges(missing: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(peer, requested_by, range) of missing peers: the range that the requesting package's manifest (file = its name) asks for, null if it names none."""
+    asked = dependencies.where("section = 'peerDependencies'").select(F.col("file").alias("requested_by"), F.col("name").alias("peer"), F.col("version").alias("range"))
+    return missing.join(asked, ["requested_by", "peer"], "left").select("peer", "requested_by", "range")

@@ -14,6 +14,7 @@ from redraft.functions import versions as vs
 from redraft.operators import edits as ed
 from redraft.operators import graph, planning, requests
 from redraft.plans import plan as pl
+from redraft.plans.context import Context, context_table, with_context
 from redraft.sources import readers
 
 QUERIES: dict = {}
@@ -627,3 +628,31 @@ def proactive_dependencies(spark, sf_dir):
     lines = readers.source_lines(_table(spark, sf_dir, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit("/package.json")).alias("file"), text.alias("text")))
     incidents = _table(spark, sf_dir, "events").select(F.col("event_type").alias("rule_id"))
     return pl.proactive_dependencies(known, incidents, lines).select(F.regexp_replace("file", "/.*", "").cast("long").alias("file"), "line", "new_text")
+
+
+@query(
+    """SELECT s_suppkey AS file, CASE WHEN s_suppkey % 2 = 0 THEN 6 ELSE 3 END AS line, CASE WHEN s_suppkey % 2 = 0 THEN '    "d": "1",' ELSE '    "p1": "1.0.0",' END || chr(10) || '    "new": "^3"' AS new_text FROM supplier"""
+)
+def manifest_insert(spark, sf_dir):
+    dev = F.when(F.col("s_suppkey") % 2 == 0, ',\n  "devDependencies": {\n    "d": "1"\n  }').otherwise("")
+    text = F.concat(F.lit('{\n  "dependencies": {\n    "p1": "1.0.0"\n  }'), dev, F.lit("\n}\n"))
+    lines = readers.source_lines(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), text.alias("text")))
+    return planning.manifest_inserts(lines, "new", "^3").select("file", "line", "new_text")
+
+
+@query(
+    """SELECT 'q' || p_size AS peer, 'Pkg' || p_partkey AS requested_by, CASE WHEN p_size < 25 THEN '^' || p_size || '.0.0' END AS "range" FROM part"""
+)
+def peer_ranges(spark, sf_dir):
+    size, key = F.col("p_size").cast("string"), F.concat(F.lit("Pkg"), F.col("p_partkey").cast("string"))
+    part = _table(spark, sf_dir, "part")
+    text = F.concat(F.lit('{"peerDependencies": {"q'), F.when(F.col("p_size") < 25, size).otherwise("x"), F.lit('": "^'), size, F.lit('.0.0"}, "dependencies": {"q'), size, F.lit('": "no"}}'))
+    manifests = readers.manifest_dependencies(part.select(key.alias("file"), text.alias("text")))
+    return planning.peer_ranges(part.select(F.concat(F.lit("q"), size).alias("peer"), key.alias("requested_by")), manifests)
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'a repair' WHEN 'click' THEN 'a rename' ELSE 'a code migration' END AS description, CASE event_type WHEN 'error' THEN 1 ELSE 3 END AS priority FROM events")
+def request_context(spark, sf_dir):
+    table = context_table(spark, (Context("error", "x"), Context("error", "a repair", priority=1), Context("click", "a rename")))
+    rows = with_context(_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ruleset")), table)
+    return rows.select("event_id", "description", "priority")
