@@ -326,7 +326,9 @@ def training_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
     texts = documents(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCUMENTS)
+    # ids are chosen first, so that texts of chosen documents only are moved; the bound makes them safe to broadcast
+    chosen = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
+    sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
     rows = sample.select("text").mapInArrow(training_parts, "part string, spans array<int>").orderBy(F.xxhash64("part"), "part").limit(TRAIN_STRETCHES).collect()
     return fit([(r["part"], [tuple(r["spans"][i : i + 3]) for i in range(0, len(r["spans"]), 3)]) for r in rows])
 
