@@ -656,3 +656,20 @@ def request_context(spark, sf_dir):
     table = context_table(spark, (Context("error", "x"), Context("error", "a repair", priority=1), Context("click", "a rename")))
     rows = with_context(_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ruleset")), table)
     return rows.select("event_id", "description", "priority")
+
+
+@query(
+    """WITH f AS (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names, string_agg(n_name || ' -> c' || n_nationkey, ', ' ORDER BY n_name) AS moves FROM nation GROUP BY 1)
+SELECT s_suppkey, CASE WHEN s_nationkey < 3 THEN 'Props that stay: ' || names || chr(10) || 'Props that move to children: ' || moves || chr(10) || 'New imports: ' || r_name || ' from x' || chr(10) || chr(10) ELSE '' END || 'm' || s_suppkey AS message
+FROM supplier LEFT JOIN f ON n_regionkey = s_nationkey LEFT JOIN region ON r_regionkey = s_nationkey"""
+)
+def family_text(spark, sf_dir):
+    nations = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"), F.map_from_entries(F.collect_list(F.struct("n_name", F.concat(F.lit("c"), F.col("n_nationkey").cast("string"))))).alias("moves"))
+    none, texts, pairs = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
+    entry = F.struct(
+        none.alias("target_structure"), F.col("names").alias("retained_props"), F.col("moves").alias("prop_to_child"), pairs.alias("unmapped_removed_props"), pairs.alias("child_props_to_parent"),
+        texts.alias("removed_children"), F.array("r_name").alias("new_imports"), F.lit("x").alias("import_source"), texts.alias("removed_imports"),
+    )
+    families = nations.join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_regionkey < 3").select(F.concat(F.lit("family:F"), F.col("n_regionkey").cast("string")).alias("rule_id"), entry.alias("entry"))
+    asked = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("F"), F.col("s_nationkey").cast("string")).alias("family"), F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("message"))
+    return pl.with_family(asked, families).select("s_suppkey", "message")

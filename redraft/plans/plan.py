@@ -214,3 +214,23 @@ def given_up(requests: DataFrame, results: DataFrame) -> DataFrame:
     return requests.join(results.where("not ok").select("file", "rule_id").distinct(), ["file", "rule_id"], "left_semi")
 
 
+
+
+def family_context(entry: str = "entry") -> Column:
+    """What a model is told about a family of components, from the fields that its entry has: structure, props that stay, move or go, children and imports."""
+    e = F.col(entry)
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    many = lambda x: F.when(F.size(x) > 0, F.array_join(x, ", "))
+    moved = lambda m, sign: F.when(F.size(m) > 0, F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit(sign), x["value"])), ", "))
+    return F.concat_ws(
+        "\n", line("Structure", e["target_structure"]), line("Props that stay", many(e["retained_props"])), line("Props that move to children", moved(e["prop_to_child"], " -> ")), line("Props that go", moved(e["unmapped_removed_props"], ": ")),
+        line("Children that become props", moved(e["child_props_to_parent"], " -> ")), line("Children that go", many(e["removed_children"])), line("New imports", F.concat(many(e["new_imports"]), F.coalesce(F.concat(F.lit(" from "), e["import_source"]), F.lit("")))),
+        line("Imports that go", many(e["removed_imports"])),
+    )
+
+
+def with_family(requests: DataFrame, families: DataFrame) -> DataFrame:
+    """Requests (…, family) with the context of their family (families: rule_id family:<name>, entry) before their message; others stay as they are."""
+    known = families.where("rule_id like 'family:%'").select(F.substring("rule_id", 8, 1 << 20).alias("family"), family_context().alias("family_text"))
+    joined = requests.join(known, "family", "left")
+    return joined.select(*[F.when(F.col("family_text").isNotNull(), F.concat("family_text", F.lit("\n\n"), "message")).otherwise(F.col("message")).alias("message") if c == "message" else F.col(c) for c in requests.columns])
