@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from redraft.llm import bpe
 
 #: Lengths in one run of the two-level sums; no window holds more rows than this, or than there are runs.
-RUN = 1024
+RUN = 64
 
 
 def lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
