@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.llm import bpe
+from redraft.llm.components import saved
 
 #: Lengths in one run of the two-level sums; no window holds more rows than this, or than there are runs.
 RUN = 64
@@ -47,6 +48,7 @@ def summaries(hist: DataFrame) -> DataFrame:
     docs_within and tokens_within count documents of at most L tokens and their tokens; docs_longer those above;
     truncated_tokens is the total of min(length, L); docs_total and tokens_total are the whole; quantile is the share of documents of at most L tokens.
     """
+    hist = saved(hist.select("length", "n_docs"))  # a row per length: kept, as it is read three times and its making is the whole cost
     rows = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / RUN).alias("run"))
     by_run = rows.groupBy("run").agg(F.sum("n_docs").alias("run_docs"), F.sum("n_tokens").alias("run_tokens"))
     after = Window.orderBy(F.col("run").desc()).rowsBetween(Window.unboundedPreceding, -1)
