@@ -1,21 +1,25 @@
 """Hierarchical Pitman-Yor language model (operator 9).
 
-A text's tokens are its words, A-Z in lower case, and one end.  The customers of
-a context restaurant are the training tokens that follow its context; contexts
-are the previous words, hashed to a fixed number of restaurants, so that their
-totals are a table of known size.  All of them share the root restaurant of
-single words as parent: each table of theirs is a customer there, and the root's
-own tables draw from a uniform base of the vocabulary and one unknown word.
-
-Tokens go, packed, to key ranges of words and stay there (one shuffle, read three times):
-  1. count: customers and distinct words of every context, words and tokens in all;
+A text's tokens are its words, A-Z in lower case, and one end.  The model is of
+order two: the customers of a context restaurant are the training tokens that
+follow its context, the one previous word or the start of a text.  A restaurant
+is known by 56 bits of its word's hash, so their number grows with the
+vocabulary.  All of them share the root restaurant of single words as parent:
+each table of theirs is a customer there, and the root's own tables draw from a
+uniform base of the vocabulary and one unknown word.
+
+Tokens go, packed, to key ranges of words and stay there (one shuffle, read twice).
+Totals of contexts are summed by the key ranges of contexts, their owners, and come
+back to those key ranges of words that asked; a key range sends one number for each of
+its contexts, so that a frequent context is no more to its owner than any other:
+  1. count: customers and pairs of every context, words and tokens in all;
   2. sample: Gibbs sweeps over the Chinese-restaurant seatings.  A sweep takes all customers
-     of a word in a context up and seats them again, given the rest; totals of contexts are
-     those of the last exchange.  The totals of each kept sample are summed up;
-  3. score: the same sweeps, drawn again from the same seeds, give with those totals the
-     predictive probability of every token under each sample; their mean is the model's.
+     of a word in a context up and seats them again, given the rest; tables of contexts and
+     of the root are summed between sweeps.  Only pairs with two customers or more travel
+     from sweep to sweep, as the table of a single customer is always one;
+  3. score: the kept samples give the predictive probability of every token; their mean is the model's.
 Words that are more than a fair share of a key range are dealt out by context too,
-and their root totals travel with the context totals.
+and their root totals travel with the numbers of the whole.
 
 Results for odd input: a null or empty text is one end; rows without an id are
 left out; rows that repeat an id are added up as one text; an empty table gives
@@ -24,6 +28,7 @@ no rows; a table with no training text scores all tokens by the uniform base.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,18 +40,21 @@ from pyspark.sql import functions as F
 
 from redraft.llm import textblocks as tb
 
-#: Context restaurants; one more is for the first token of a text.
-CONTEXTS = 1 << 15
 WORD_BYTES = 6
+CONTEXT_BYTES = 7
+#: The context of the first token of a text.
+START = np.uint64(0x00FE_DCBA_9876_5432)
 END = np.uint64(0x0123_4567_89AB_CDEF)
 #: Customers of one dish that are seated one by one; later ones sit down in blocks that double.
 ONE_BY_ONE = 64
+_LOW56 = np.uint64((1 << 56) - 1)
 _LOW48 = np.uint64((1 << 48) - 1)
 
 _TOKENS = "shard int, ids binary, held binary, counts binary, words binary, contexts binary"
-_SUMS = "part int, sums binary"
-_BACK = "bucket int, ids binary, numbers binary, sums binary"
-_SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: What key ranges send each other; OFFER and ANSWER have numbers of contexts, WHOLE those of the whole model, STATE stays with its key range.
+_MAIL = "to int, kind int, shard int, contexts binary, sums binary"
+STATE, OFFER, ANSWER, WHOLE = range(4)
+_BACK = "bucket int, train_tokens long, ids binary, numbers binary, sums binary"
 
 
 @dataclass(frozen=True)
@@ -80,14 +88,14 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = np.full(len(row), END, np.uint64)
         at = tb.runs(n + 1)
         w[tb.ranges(at[:-1], n)] = tb.word_hashes(part, starts, ends)
-        u = np.full(len(row), CONTEXTS, np.int64)
-        u[1:] = (w[:-1] >> np.uint64(7)) & np.uint64(CONTEXTS - 1)
-        u[at[:-1]] = CONTEXTS
+        u = np.full(len(row), START, np.uint64)
+        u[1:] = w[:-1] & _LOW56
+        u[at[:-1]] = START
         rows.append(row + a)
         words.append(w)
         contexts.append(u)
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(rows, np.int64), join(words, np.uint64), join(contexts, np.int64)
+    return join(rows, np.int64), join(words, np.uint64), join(contexts, np.uint64)
 
 
 def heavy_rows(batches: Iterable[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -116,7 +124,7 @@ def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: in
         row, w, u = tokens(batch)
         spread = np.isin(w, heavy)
         shard = (w >> np.uint64(48)).astype(np.int64)
-        shard[spread] = (tb.mix(w[spread] + u[spread].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+        shard[spread] = (tb.mix(w[spread] + u[spread] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
         shard %= shards
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -127,7 +135,7 @@ def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: in
                 r = row[own]
                 at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                 each = r[at]
-                rows.append((s, ids[each].tobytes(), out[each].tobytes(), np.diff(np.append(at, len(r))).astype("<i4").tobytes(), tb.low_bytes(w[own], WORD_BYTES), u[own].astype("<u2").tobytes()))
+                rows.append((s, ids[each].tobytes(), out[each].tobytes(), np.diff(np.append(at, len(r))).astype("<i4").tobytes(), tb.low_bytes(w[own], WORD_BYTES), tb.low_bytes(u[own], CONTEXT_BYTES)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "ids", "held", "counts", "words", "contexts"])
 
 
@@ -142,17 +150,18 @@ class Seats:
         self.shard = table["shard"][0].as_py()
         self.ids, self.counts = _column(table, "ids", "<i8"), _column(table, "counts", "<i4")
         trained = np.repeat(_column(table, "held", "u1") == 0, self.counts)
-        key = (tb.from_low_bytes(b"".join(table["words"].to_pylist()), WORD_BYTES) << np.uint64(16)) | _column(table, "contexts", "<u2").astype(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
+        word, flat = tb.from_low_bytes(b"".join(table["words"].to_pylist()), WORD_BYTES), b"".join(table["contexts"].to_pylist())
+        context = tb.from_low_bytes(flat, len(flat) // len(word))
+        order = np.lexsort((context, word))
+        word, context = word[order], context[order]
+        new = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))
         pair = np.cumsum(new, dtype=np.int32) - 1
         self.pair = np.empty(len(order), np.int32)  # of each token
         self.pair[order] = pair
         self.customers = np.bincount(pair, weights=trained[order], minlength=int(pair[-1]) + 1 if len(pair) else 0).astype(np.int64)
-        key = key[new]
-        self.context = (key & np.uint64(0xFFFF)).astype(np.int64)
-        word = key >> np.uint64(16)
+        word = word[new]
+        self.contexts, self.context = np.unique(context[new], return_inverse=True)
+        self.open = np.flatnonzero(self.customers > 1)  # pairs whose number of tables is not given
         new = np.append(True, word[1:] != word[:-1])
         self.word_at = np.flatnonzero(new)
         self.word = np.cumsum(new) - 1  # of each pair
@@ -165,7 +174,7 @@ class Seats:
         return np.add.reduceat(x, self.word_at)
 
     def by_context(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, weights=x, minlength=CONTEXTS + 1).astype(np.int64)
+        return np.bincount(self.context, weights=x, minlength=len(self.contexts)).astype(np.int64)
 
     def heavy_sum(self, x: np.ndarray, n: int) -> np.ndarray:
         own = self.heavy >= 0
@@ -191,81 +200,270 @@ def seat(customers: np.ndarray, others: np.ndarray, prior: np.ndarray, discount:
     return tables
 
 
-def add_sums(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in table["sums"].to_pylist())
-    return pa.table({"part": pa.array([table["part"][0].as_py() // 64], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, in the least width each."""
+    return zlib.compress(pickle.dumps([a.astype(np.min_scalar_type(int(a.max()) if a.size else 0)) for a in map(np.asarray, arrays)], 5), 1)
+
+
+def unpacked(b: bytes) -> list[np.ndarray]:
+    return [a.astype(np.int64) for a in pickle.loads(zlib.decompress(b))]
+
+
+@dataclass
+class State:
+    """What a key range keeps from sweep to sweep: its open pairs, its words, and the kept samples."""
+
+    customers: np.ndarray  # of each open pair, as are context (its place among the contexts with open pairs), word and tables
+    context: np.ndarray
+    word: np.ndarray
+    tables: np.ndarray
+    single: np.ndarray  # pairs with one customer of each word, as are root and heavy (0, or 1 and the place among heavy words)
+    root: np.ndarray
+    heavy: np.ndarray
+    fixed: np.ndarray  # tables of pairs with one customer, of each context with open pairs in all key ranges
+    vocabulary: np.ndarray
+    contexts: np.ndarray  # hashes of the contexts with open pairs
+    samples: list[np.ndarray]
+
+    def pack(self) -> bytes:
+        return packed(self.customers, self.context, self.word, self.tables, self.single, self.root, self.heavy, self.fixed, self.vocabulary, *self.samples)
+
+    @staticmethod
+    def unpack(b: bytes, contexts: np.ndarray) -> State:
+        x = unpacked(b)
+        return State(*x[:9], contexts, x[9:])
+
+    def here(self) -> np.ndarray:
+        """Tables of each word in this key range."""
+        return self.single + np.bincount(self.word, weights=self.tables, minlength=len(self.single)).astype(np.int64)
+
+    def of_context(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=tables, minlength=len(self.contexts)).astype(np.int64)
+
+    def whole(self, n_heavy: int, tables: np.ndarray | None = None, root: np.ndarray | None = None) -> np.ndarray:
+        """Numbers that are summed over all key ranges: tables, root tables of words that are not heavy, tables of heavy words."""
+        here = self.here() if tables is None else self.single + np.bincount(self.word, weights=tables, minlength=len(self.single)).astype(np.int64)
+        root = self.root if root is None else root
+        own = self.heavy > 0
+        return np.concatenate([[here.sum(), root[~own].sum()], np.bincount(self.heavy[own] - 1, weights=here[own], minlength=n_heavy).astype(np.int64)])
+
+    def sweep(self, of_context: np.ndarray, whole: np.ndarray, m: Model, shard: int, number: int) -> None:
+        """Seat all customers anew, given the tables of open pairs of each context and the numbers of the whole after the last sweep."""
+        base = 1 / (int(self.vocabulary) + 1)
+        own, of_heavy = self.heavy > 0, whole[2:]
+        heavy_root = heavy_tables(of_heavy, int(whole[1]), base, m, number)
+        all_tables, all_root = int(whole[0]), int(whole[1]) + int(heavy_root.sum())
+        here, root = self.here(), self.root.copy()
+        here[own], root[own] = of_heavy[self.heavy[own] - 1], heavy_root[self.heavy[own] - 1]
+        prior = (np.maximum(here - m.root_discount * root, 0) + (m.root_strength + m.root_discount * all_root) * base) / (m.root_strength + all_tables)
+        rng = np.random.default_rng([m.seed, shard, number])
+        self.tables = seat(self.customers, np.maximum((self.fixed + of_context)[self.context] - self.tables, 0), prior[self.word], m.discount, m.strength, rng)
+        self.root = seat(self.here(), np.maximum(all_root - root, 0), np.full(len(root), base), m.root_discount, m.root_strength, rng)
+        if number >= m.burn_in:
+            self.samples += [self.tables, self.root]
+
+
+def heavy_tables(of_heavy: np.ndarray, light_root: int, base: float, m: Model, number: int) -> np.ndarray:
+    """Root tables of heavy words, drawn alike in every key range."""
+    rng = np.random.default_rng([m.seed, 1 << 20, number])
+    return seat(of_heavy, np.full(len(of_heavy), light_root), np.full(len(of_heavy), base), m.root_discount, m.root_strength, rng)
+
+
+def start(s: Seats) -> State:
+    """One table for every pair, and one in the root for every word."""
+    single = s.by_word((s.customers == 1).astype(np.int64))
+    active, context = np.unique(s.context[s.open], return_inverse=True)
+    words = s.by_word((s.customers > 0).astype(np.int64))
+    return State(s.customers[s.open], context, s.word[s.open], np.ones(len(s.open), np.int64), single, np.minimum(words, 1), s.heavy + 1, np.zeros(len(active), np.int64), np.int64(0), s.contexts[active], [])
+
+
+def counts_of(s: Seats, n_heavy: int) -> np.ndarray:
+    """Numbers that are summed over all key ranges: tokens, words that are not heavy, customers of heavy words, and State.whole at the start."""
+    c = s.by_word(s.customers)
+    return np.concatenate([[s.customers.sum(), ((c > 0) & (s.heavy < 0)).sum()], s.heavy_sum(c, n_heavy), start(s).whole(n_heavy)])
+
+
+def vocabulary_of(counts: np.ndarray, n_heavy: int) -> int:
+    return int(counts[1]) + int((counts[2 : 2 + n_heavy] > 0).sum())
 
 
-def _sums(shard: int, *arrays: np.ndarray) -> pa.Table:
-    flat = np.concatenate([np.atleast_1d(a).astype("<i8") for a in arrays])
-    return pa.table({"part": pa.array([shard], pa.int32()), "sums": pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())})
+# a table that is the only key range: its own numbers are those of the whole
 
 
 def count_range(table: pa.Table, heavy: np.ndarray) -> pa.Table:
     s = Seats(table, heavy)
-    c = s.by_word(s.customers)
-    return _sums(s.shard, s.by_context(s.customers), s.by_context(s.customers > 0), s.customers.sum(), ((c > 0) & (s.heavy < 0)).sum(), s.heavy_sum(c, len(heavy)), s.heavy_sum(s.by_word((s.customers > 0).astype(np.int64)), len(heavy)))
-
-
-class Totals:
-    """What count_range gives over all key ranges."""
-
-    def __init__(self, sums: bytes, n_heavy: int):
-        x = np.frombuffer(zlib.decompress(sums), "<i8")
-        n = CONTEXTS + 1
-        self.customers, self.types = x[:n], x[n : 2 * n]
-        self.tokens = int(x[2 * n])
-        self.heavy_customers, self.heavy_types = x[2 * n + 2 : 2 * n + 2 + n_heavy], x[2 * n + 2 + n_heavy : 2 * n + 2 + 2 * n_heavy]
-        self.vocabulary = int(x[2 * n + 1]) + int((self.heavy_customers > 0).sum())
-        self.base = 1 / (self.vocabulary + 1)
-
-
-def sweeps(s: Seats, total: Totals, m: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each kept sample the tables of every pair and the root tables of every word that is not heavy; the same draws every time."""
-    rng = np.random.default_rng([m.seed, s.shard])
-    tables = np.minimum(s.customers, 1)
-    root = np.minimum(s.by_word(tables), 1)
-    all_tables, all_root = int(total.types.sum()), total.vocabulary
-    for sweep in range(m.burn_in + m.samples):
-        here = s.by_word(tables)
-        here = np.where(s.heavy >= 0, total.heavy_types[s.heavy] if len(total.heavy_types) else 0, here)
-        prior = (np.maximum(here - m.root_discount * root, 0) + (m.root_strength + m.root_discount * all_root) * total.base) / (m.root_strength + all_tables)
-        tables = seat(s.customers, np.maximum(total.types[s.context] - tables, 0), prior[s.word], m.discount, m.strength, rng)
-        root = seat(s.by_word(tables), np.full(len(s.word_at), all_root), np.full(len(s.word_at), total.base), m.root_discount, m.root_strength, rng)
-        if sweep >= m.burn_in:
-            yield tables, root
+    return pa.table({"sums": pa.array([packed(s.by_context(s.customers), counts_of(s, len(heavy)))], pa.binary())})
 
 
 def sample_range(table: pa.Table, sums: bytes, heavy: np.ndarray, m: Model) -> pa.Table:
     s = Seats(table, heavy)
+    counts, state = unpacked(sums)[1], start(s)
+    state.fixed = s.by_context(s.customers == 1)[np.unique(s.context[s.open])]
+    state.vocabulary = np.int64(vocabulary_of(counts, len(heavy)))
+    for number in range(m.burn_in + m.samples):
+        state.sweep(state.of_context(state.tables), state.whole(len(heavy)), m, s.shard, number)
     out = []
-    for tables, root in sweeps(s, Totals(sums, len(heavy)), m):
-        out += [s.by_context(tables), root[s.heavy < 0].sum(), s.heavy_sum(s.by_word(tables), len(heavy))]
-    return _sums(s.shard, *out)
+    for tables, root in zip(state.samples[::2], state.samples[1::2], strict=True):
+        every = np.minimum(s.customers, 1)
+        every[s.open] = tables
+        out += [s.by_context(every), state.whole(len(heavy), tables, root), tables, root]
+    return pa.table({"sums": pa.array([packed(*out)], pa.binary())})
+
+
+# many key ranges: they send each other mail
+
+
+def owners(contexts: np.ndarray, shards: int) -> np.ndarray:
+    return ((contexts >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+
+
+def mail(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["to", "kind", "shard", "contexts", "sums"])
+
+
+def offers(shard: int, contexts: np.ndarray, numbers: list[np.ndarray], shards: int) -> list[tuple]:
+    """Numbers of each context, for its owner."""
+    owner, out = owners(contexts, shards), []
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(shards + 1))
+    for o in range(shards):
+        at = order[cuts[o] : cuts[o + 1]]
+        if len(at):
+            out.append((o, OFFER, shard, tb.low_bytes(contexts[at], CONTEXT_BYTES), packed(*[n[at] for n in numbers])))
+    return out
+
+
+def answers(own: list[dict], shards: int, contexts: np.ndarray) -> list[np.ndarray]:
+    """Numbers that owners sent back, in the order of the contexts."""
+    owner, out = owners(contexts, shards), []
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(shards + 1))
+    for r in own:
+        if r["kind"] == ANSWER:
+            numbers = unpacked(r["sums"])
+            out = out or [np.zeros(len(contexts), np.int64) for _ in numbers]
+            for x, n in zip(out, numbers, strict=True):
+                x[order[cuts[r["shard"]] : cuts[r["shard"] + 1]]] = n
+    return out
+
+
+def count_mail(table: pa.Table, heavy: np.ndarray, shards: int) -> pa.Table:
+    s = Seats(table, heavy)
+    state = start(s)
+    is_open = np.zeros(len(s.contexts), np.int64)
+    is_open[s.context[s.open]] = 1
+    rows = [(s.shard, STATE, s.shard, tb.low_bytes(state.contexts, CONTEXT_BYTES), state.pack()), (0, WHOLE, s.shard, b"", packed(counts_of(s, len(heavy))))]
+    return mail(rows + offers(s.shard, s.contexts, [s.by_context(s.customers), s.by_context(s.customers == 1), is_open], shards))
+
+
+def whole_mail(rows: list[dict], shards: int) -> list[tuple]:
+    """From the first owner to every key range: the numbers of the whole."""
+    got = [unpacked(r["sums"]) for r in rows if r["kind"] == WHOLE]
+    total = packed(*[np.sum(x, axis=0) for x in zip(*got, strict=True)]) if got else b""
+    return [(s, WHOLE, 0, b"", total) for s in range(shards)] if got else []
+
+
+def own_mail(table: pa.Table, shards: int, first: bool) -> pa.Table:
+    """An owner's sums of the offers, sent back to those who offered (after the count, pairs with one customer of contexts with open pairs only)."""
+    rows = table.to_pylist()
+    out = [tuple(r.values()) for r in rows if r["kind"] == STATE] + whole_mail(rows, shards)
+    asked = [r for r in rows if r["kind"] == OFFER]
+    if asked:
+        ids = [tb.from_low_bytes(r["contexts"], CONTEXT_BYTES) for r in asked]
+        numbers = [unpacked(r["sums"]) for r in asked]
+        _, at = np.unique(np.concatenate(ids), return_inverse=True)
+        cuts, column = tb.runs(np.array([len(i) for i in ids])), 1 if first else 0
+        total = np.bincount(at, weights=np.concatenate([n[column] for n in numbers])).astype(np.int64)
+        for r, n, a, b in zip(asked, numbers, cuts[:-1], cuts[1:], strict=True):
+            pick = at[a:b][n[2] > 0] if first else at[a:b]
+            out.append((r["shard"], ANSWER, r["to"], b"", packed(total[pick])))
+    return mail(out)
+
+
+def sweep_mail(table: pa.Table, n_heavy: int, shards: int, m: Model, number: int) -> pa.Table:
+    """One sweep of a key range; after the last one it offers the tables of all kept samples."""
+    rows = table.to_pylist()
+    kept = next((r for r in rows if r["kind"] == STATE), None)
+    if kept is None:  # a key range without tokens
+        return mail([])
+    shard = kept["to"]
+    state = State.unpack(kept["sums"], tb.from_low_bytes(kept["contexts"], CONTEXT_BYTES))
+    whole = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE))[0]
+    got = answers(rows, shards, state.contexts) or [np.zeros(0, np.int64)]
+    if number == 0:
+        state.fixed = got[0]
+        state.vocabulary = np.int64(vocabulary_of(whole, n_heavy))
+        return mail([(shard, STATE, shard, kept["contexts"], state.pack()), (0, WHOLE, shard, b"", packed(state.whole(n_heavy))), *offers(shard, state.contexts, [state.of_context(state.tables)], shards)])
+    state.sweep(got[0], whole, m, shard, number - 1)
+    if number < m.burn_in + m.samples:
+        return mail([(shard, STATE, shard, kept["contexts"], state.pack()), (0, WHOLE, shard, b"", packed(state.whole(n_heavy))), *offers(shard, state.contexts, [state.of_context(state.tables)], shards)])
+    pairs = list(zip(state.samples[::2], state.samples[1::2], strict=True))
+    numbers, wholes = [state.of_context(t) for t, _ in pairs], [state.whole(n_heavy, t, r) for t, r in pairs]
+    return mail([(shard, STATE, shard, b"", packed(*state.samples)), (0, WHOLE, shard, b"", packed(*wholes)), *offers(shard, state.contexts, numbers, shards)])
+
+
+def total_mail(counted: pa.Table, sampled: pa.Table, shards: int, m: Model) -> pa.Table:
+    """An owner's totals of every context, for all key ranges that have it: customers, and tables under each sample."""
+    rows, last = counted.to_pylist(), sampled.to_pylist()
+    out = [tuple(r.values()) for r in last if r["kind"] == STATE] + [(to, kind, shard, b"counts", x) for to, kind, shard, _, x in whole_mail(rows, shards)] + whole_mail(last, shards)
+    asked, given = ([r for r in x if r["kind"] == OFFER] for x in (rows, last))
+    if asked:
+        ids = [tb.from_low_bytes(r["contexts"], CONTEXT_BYTES) for r in asked]
+        numbers = [unpacked(r["sums"]) for r in asked]
+        contexts, at = np.unique(np.concatenate(ids), return_inverse=True)
+        add = lambda where, v: np.bincount(where, weights=v, minlength=len(contexts)).astype(np.int64)
+        customers, single = (add(at, np.concatenate([n[i] for n in numbers])) for i in (0, 1))
+        tables = [single.copy() for _ in range(m.samples)]
+        for r in given:
+            where = np.searchsorted(contexts, tb.from_low_bytes(r["contexts"], CONTEXT_BYTES))
+            for t, n in zip(tables, unpacked(r["sums"]), strict=True):
+                t[where] += n
+        cuts = tb.runs(np.array([len(i) for i in ids]))
+        out += [(r["shard"], ANSWER, r["to"], b"", packed(*[v[at[a:b]] for v in (customers, *tables)])) for r, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
+    return mail(out)
+
+
+def score_mail(table: pa.Table, letters: pa.Table, heavy: np.ndarray, shards: int, m: Model) -> pa.Table:
+    """score_range with the numbers that came by mail."""
+    rows = letters.to_pylist()
+    s = Seats(table, heavy)
+    customers, *tables = answers(rows, shards, s.contexts)
+    counts = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE and r["contexts"]))[0]
+    wholes = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE and not r["contexts"]))
+    kept = unpacked(next(r["sums"] for r in rows if r["kind"] == STATE))
+    sampled = [x for of, whole, t, root in zip(tables, wholes, kept[::2], kept[1::2], strict=True) for x in (of, whole, t, root)]
+    return scored(s, [customers, counts], sampled, len(heavy), m, shards)
 
 
 def score_range(table: pa.Table, sums: bytes, sampled: bytes, heavy: np.ndarray, m: Model, buckets: int) -> pa.Table:
-    s, total = Seats(table, heavy), Totals(sums, len(heavy))
-    x = np.frombuffer(zlib.decompress(sampled), "<i8").reshape(m.samples, -1)
+    return scored(Seats(table, heavy), unpacked(sums), unpacked(sampled), len(heavy), m, buckets)
+
+
+def scored(s: Seats, given: list[np.ndarray], sampled: list[np.ndarray], n_heavy: int, m: Model, buckets: int) -> pa.Table:
+    """Scores of the documents of a key range, by bucket, from customers of its contexts, the counts of the whole, and of each sample the tables of its contexts, the numbers of the whole, and its own tables."""
+    of_customers, counts = given
+    tokens, heavy_customers = int(counts[0]), counts[2 : 2 + n_heavy]
+    vocabulary = vocabulary_of(counts, n_heavy)
+    base_p = 1 / (vocabulary + 1)
+    own = s.heavy >= 0
     mean = np.zeros(len(s.context))
-    for (tables, root), row, number in zip(sweeps(s, total, m), x, range(m.samples), strict=True):
-        of_context, light_root, of_heavy = row[: CONTEXTS + 1], int(row[CONTEXTS + 1]), row[CONTEXTS + 2 :]
-        # root tables of heavy words: drawn alike in every key range
-        rng = np.random.default_rng([m.seed, 1 << 20, number])
-        heavy_root = seat(of_heavy, np.full(len(heavy), light_root), np.full(len(heavy), total.base), m.root_discount, m.root_strength, rng)
-        all_tables, all_root = int(of_context.sum()), light_root + int(heavy_root.sum())
-        own = s.heavy >= 0
+    for number in range(m.samples):
+        of_context, whole, drawn, root = sampled[4 * number : 4 * number + 4]
+        tables = np.minimum(s.customers, 1)
+        tables[s.open] = drawn
+        heavy_root = heavy_tables(whole[2:], int(whole[1]), base_p, m, m.burn_in + number + 1)
+        all_tables, all_root = int(whole[0]), int(whole[1]) + int(heavy_root.sum())
         here, root = s.by_word(tables), root.copy()
-        here[own], root[own] = of_heavy[s.heavy[own]], heavy_root[s.heavy[own]]
-        word = (here - m.root_discount * root + (m.root_strength + m.root_discount * all_root) * total.base) / (m.root_strength + all_tables)
-        mean += (s.customers - m.discount * tables + (m.strength + m.discount * of_context[s.context]) * word[s.word]) / (m.strength + total.customers[s.context])
+        here[own], root[own] = whole[2:][s.heavy[own]], heavy_root[s.heavy[own]]
+        word = (here - m.root_discount * root + (m.root_strength + m.root_discount * all_root) * base_p) / (m.root_strength + all_tables)
+        mean += (s.customers - m.discount * tables + (m.strength + m.discount * of_context[s.context]) * word[s.word]) / (m.strength + of_customers[s.context])
     customers = s.by_word(s.customers)
-    own = s.heavy >= 0
-    customers[own] = total.heavy_customers[s.heavy[own]]
+    customers[own] = heavy_customers[s.heavy[own]]
     at = tb.runs(s.counts)[:-1]
     each = lambda v: np.add.reduceat(v[s.pair], at)
     score = each(np.log10(mean / m.samples))
-    base = each(np.log10((customers + 1.0) / (total.tokens + total.vocabulary + 1))[s.word])
+    base = each(np.log10((customers + 1.0) / (tokens + vocabulary + 1))[s.word])
     known = each((customers > 0).astype(np.int64)[s.word])
     bucket = (tb.mix(s.ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -277,9 +475,9 @@ def score_range(table: pa.Table, sums: bytes, sampled: bytes, heavy: np.ndarray,
             doc, inverse = np.unique(s.ids[pick], return_inverse=True)
             add = lambda v, i=inverse, p=pick: np.bincount(i, weights=v[p])
             numbers = np.stack([add(s.counts), add(known)]).astype("<i4")
-            rows.append((b, doc.tobytes(), numbers.tobytes(), np.stack([add(base), add(score)]).astype("<f8").tobytes()))
-    kinds = [pa.int32(), *[pa.binary()] * 3]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "ids", "numbers", "sums"])
+            rows.append((b, tokens, doc.tobytes(), numbers.tobytes(), np.stack([add(base), add(score)]).astype("<f8").tobytes()))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "train_tokens", "ids", "numbers", "sums"])
 
 
 def add_documents(table: pa.Table) -> pa.Table:
@@ -289,7 +487,7 @@ def add_documents(table: pa.Table) -> pa.Table:
     sums = np.concatenate([np.frombuffer(x, "<f8").reshape(2, -1) for x in table["sums"].to_pylist()], axis=1)
     doc, inverse = np.unique(ids, return_inverse=True)
     n, known, base, score = (np.bincount(inverse, weights=v) for v in (*numbers, *sums))
-    return pa.table({"doc_id": doc, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
+    return pa.table({"doc_id": doc, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(doc), table["train_tokens"][0].as_py()), "base_score": base, "score": score})
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -300,38 +498,29 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     shards = tb.shards(spark, 32)
     texts = tb.keyed(docs, id_col, text_col)
     heavy = heavy_words(texts, shards)
-    dealt = texts.mapInArrow(lambda it: pack_tokens(it, heavy, shards, m), _TOKENS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
-
-    def summed(parts: DataFrame) -> DataFrame:
-        """The one row of sums over all key ranges, in two steps."""
-        first = parts.withColumn("part", F.col("part") % 64).groupBy("part").applyInArrow(add_sums, _SUMS)
-        return first.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(add_sums, _SUMS).select("sums")
-
-    def to_each(sums: DataFrame) -> DataFrame:
-        return spark.range(shards).select(F.col("id").cast("int").alias("shard")).crossJoin(F.broadcast(sums))
-
-    counted = summed(dealt.groupBy("shard").applyInArrow(lambda t: count_range(t, heavy), _SUMS))
-    given = to_each(counted)
-
-    def sample(tokens: pa.Table, sums: pa.Table) -> pa.Table:
-        return sample_range(tokens, sums["sums"][0].as_py(), heavy, m) if tokens.num_rows else _sums(0, np.zeros(m.samples * (CONTEXTS + 2 + len(heavy))))
-
-    sampled = summed(dealt.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(sample, _SUMS)).withColumnRenamed("sums", "sampled")
-    both = given.crossJoin(F.broadcast(sampled))
-
-    def score(tokens: pa.Table, sums: pa.Table) -> pa.Table:
-        if not tokens.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 3], ["bucket", "ids", "numbers", "sums"])
-        return score_range(tokens, sums["sums"][0].as_py(), sums["sampled"][0].as_py(), heavy, m, shards)
-
-    parts = dealt.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(score, _BACK)
-    found = parts.groupBy("bucket").applyInArrow(add_documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-
-    def n_tokens(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"train_tokens": pa.array([Totals(x, len(heavy)).tokens for x in b["sums"].to_pylist()], pa.int64())})
-
-    trained = counted.mapInArrow(n_tokens, "train_tokens long")
-    return found.crossJoin(F.broadcast(trained)).select(
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(lambda it: pack_tokens(it, heavy, shards, m), _TOKENS).repartition(ranges, "shard")
+    n_heavy = len(heavy)
+    counted = dealt.groupBy("shard").applyInArrow(lambda t: count_mail(t, heavy, shards), _MAIL).repartition(ranges, "to")
+
+    def swept(number: int):
+        return lambda t: sweep_mail(t, n_heavy, shards, m, number)
+
+    # a line of stages without branches, so that no sweep is drawn twice
+    letters = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, shards, True), _MAIL)
+    for number in range(m.burn_in + m.samples + 1):
+        letters = letters.groupBy("to").applyInArrow(swept(number), _MAIL)
+        if number < m.burn_in + m.samples:
+            letters = letters.groupBy("to").applyInArrow(lambda t: own_mail(t, shards, False), _MAIL)
+    totals = counted.groupBy("to").cogroup(letters.groupBy("to")).applyInArrow(lambda a, b: total_mail(a, b, shards, m), _MAIL)
+
+    def score(tokens: pa.Table, own: pa.Table) -> pa.Table:
+        if not tokens.num_rows:  # a key range without tokens
+            return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], ["bucket", "train_tokens", "ids", "numbers", "sums"])
+        return score_mail(tokens, own, heavy, shards, m)
+
+    parts = dealt.groupBy("shard").cogroup(totals.groupBy("to")).applyInArrow(score, _BACK)
+    found = parts.groupBy("bucket").applyInArrow(add_documents, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return found.select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % m.modulus == m.held_out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
     )

@@ -211,6 +211,32 @@ def test_predictive_probabilities_sum_to_one():
             assert math.isclose(sum(p[10 + k] for k, (_, x) in enumerate(ask) if x == c), 1, rel_tol=0.05 if len(heavy) else 1e-9)
 
 
+def test_every_context_has_a_restaurant_of_its_own():
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(100_000))]})
+    assert len(set(pitman_yor.tokens(batch)[2].tolist())) == 100_001
+
+
+def test_totals_of_contexts_over_key_ranges(spark):
+    """Where every pair occurs once and the root has no discount, nothing is drawn: customers and tables of all contexts are known."""
+    m = pitman_yor.Model(discount=0.5, root_discount=0.0)
+    data = [(i, " ".join(f"a{(i * 37 + k * k) % 89}x{(i + k) % 3}" for k in range(1, 5))) for i in range(400)]
+    seen, train, ask = set(), [], []
+    for i, t in data:
+        own = list(zip(["^", *t.split()], [*t.split(), "$"], strict=True))
+        if pitman_yor.held(i, m):
+            ask.append((i, t, own))
+        elif len(set(own)) == len(own) and not seen & set(own):
+            seen |= set(own)
+            train.append((i, t))
+    assert len(train) > 20 < len(ask)
+    customers, here = Counter(u for u, _ in seen), Counter(w for _, w in seen)
+    p = lambda u, w: ((0.5 if (u, w) in seen else 0) + (1 + 0.5 * customers[u]) * (here[w] + 1 / (len(here) + 1)) / (1 + len(seen))) / (1 + customers[u])
+    df = spark.createDataFrame(train + [(i, t) for i, t, _ in ask], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scores(df, model=m).collect()}
+    for i, _, own in ask:
+        assert math.isclose(got[i], sum(math.log10(p(u, w)) for u, w in own), rel_tol=1e-9)
+
+
 # operator 10
 
 
