@@ -45,12 +45,10 @@ CONTEXT_BYTES = 7
 #: The context of the first token of a text.
 START = np.uint64(0x00FE_DCBA_9876_5432)
 END = np.uint64(0x0123_4567_89AB_CDEF)
-#: Customers of one dish that are seated one by one; later ones sit down in blocks that double.
-ONE_BY_ONE = 64
 _LOW56 = np.uint64((1 << 56) - 1)
 _LOW48 = np.uint64((1 << 48) - 1)
 
-_TOKENS = "shard int, ids binary, held binary, counts binary, words binary, contexts binary"
+_TOKENS = "shard int, ids binary, held binary, counts binary, words binary, contexts binary, word_at binary, context_at binary"
 #: What key ranges send each other; OFFER and ANSWER have numbers of contexts, WHOLE those of the whole model, STATE stays with its key range.
 _MAIL = "to int, kind int, shard int, contexts binary, sums binary"
 STATE, OFFER, ANSWER, WHOLE = range(4)
@@ -65,7 +63,7 @@ class Model:
     strength: float = 1.0
     root_discount: float = 0.8
     root_strength: float = 1.0
-    burn_in: int = 1
+    burn_in: int = 4
     samples: int = 3
     modulus: int = 7
     held_out: int = 2
@@ -117,7 +115,7 @@ def heavy_words(texts: DataFrame, shards: int) -> np.ndarray:
 
 
 def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: int, m: Model) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), *[pa.binary()] * 7]
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         out = np.array([held(i, m) for i in ids.tolist()], bool)
@@ -135,8 +133,10 @@ def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: in
                 r = row[own]
                 at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                 each = r[at]
-                rows.append((s, ids[each].tobytes(), out[each].tobytes(), np.diff(np.append(at, len(r))).astype("<i4").tobytes(), tb.low_bytes(w[own], WORD_BYTES), tb.low_bytes(u[own], CONTEXT_BYTES)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "ids", "held", "counts", "words", "contexts"])
+                words, word_at = np.unique(w[own], return_inverse=True)
+                contexts, context_at = np.unique(u[own], return_inverse=True)
+                rows.append((s, ids[each].tobytes(), out[each].tobytes(), np.diff(np.append(at, len(r))).astype("<i4").tobytes(), tb.low_bytes(words, WORD_BYTES), tb.low_bytes(contexts, CONTEXT_BYTES), packed(word_at), packed(context_at)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "ids", "held", "counts", "words", "contexts", "word_at", "context_at"])
 
 
 def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -150,8 +150,7 @@ class Seats:
         self.shard = table["shard"][0].as_py()
         self.ids, self.counts = _column(table, "ids", "<i8"), _column(table, "counts", "<i4")
         trained = np.repeat(_column(table, "held", "u1") == 0, self.counts)
-        word, flat = tb.from_low_bytes(b"".join(table["words"].to_pylist()), WORD_BYTES), b"".join(table["contexts"].to_pylist())
-        context = tb.from_low_bytes(flat, len(flat) // len(word))
+        word, context = self.keys(table)
         order = np.lexsort((context, word))
         word, context = word[order], context[order]
         new = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))
@@ -170,6 +169,16 @@ class Seats:
         place = np.minimum(np.searchsorted(low, word), max(len(low) - 1, 0))
         self.heavy = np.where(low[place] == word, place, -1) if len(low) else np.full(len(word), -1)
 
+    @staticmethod
+    def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Word and context of each token: as they are, or as places among the distinct ones of their row."""
+        words, contexts = table["words"].to_pylist(), table["contexts"].to_pylist()
+        if "word_at" not in table.column_names:
+            word, flat = tb.from_low_bytes(b"".join(words), WORD_BYTES), b"".join(contexts)
+            return word, tb.from_low_bytes(flat, len(flat) // len(word))
+        each = lambda own, n, at: np.concatenate([tb.from_low_bytes(x, n)[unpacked(i)[0]] for x, i in zip(own, table[at].to_pylist(), strict=True)])
+        return each(words, WORD_BYTES, "word_at"), each(contexts, CONTEXT_BYTES, "context_at")
+
     def by_word(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.word_at)
 
@@ -182,31 +191,47 @@ class Seats:
 
 
 def seat(customers: np.ndarray, others: np.ndarray, prior: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of every dish after its customers sit down anew: next to others of the dish, or at a new table, which the parent serves with probability `prior`; `others` are the restaurant's other tables."""
+    """Tables of every dish after its customers sit down anew, one after another: next to others of the dish, or at a new table, which the parent serves with probability `prior`; `others` are the restaurant's other tables."""
     tables = np.minimum(customers, 1).astype(np.int64)
     order = np.argsort(-customers, kind="stable")
     order = order[: int((customers > 1).sum())]
     c, o, p = customers[order], others[order].astype(np.float64), prior[order]
-    t = np.ones(len(order))
-    at, most = 1, int(c[0]) if len(c) else 0
-    while at < most:
-        block = 1 if at < ONE_BY_ONE else at
-        n = int(np.searchsorted(-c, -at, side="left"))  # those with more customers than are seated
-        new = (strength + discount * (o[:n] + t[:n])) * p[:n]
-        chance = new / (new + at - discount * t[:n])
-        t[:n] += rng.random(n) < chance if block == 1 else rng.binomial(np.minimum(block, c[:n] - at), np.clip(chance, 0, 1))
-        at += block
+    t = np.ones(len(order), np.int64)
+    left, at = np.arange(len(order)), np.ones(len(order), np.int64)  # dishes with customers that stand, and how many of theirs sit
+    while len(left):
+        n, pi = t[left], p[left]
+        new = (strength + discount * (o[left] + n)) * pi
+        chance = new / (new + at - discount * n)
+        # until the next table the chance only falls: go to where one as high as now would strike, and keep that customer with the true share of it
+        at = at + np.minimum(rng.geometric(chance), c[left]) - 1
+        there = at < c[left]
+        left, at, new, n, chance = left[there], at[there], new[there], n[there], chance[there]
+        t[left] += rng.random(len(left)) * chance < new / (new + at - discount * n)
+        at = at + 1
+        stand = at < c[left]
+        left, at = left[stand], at[stand]
     tables[order] = np.minimum(t, c).astype(np.int64)
     return tables
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0 on, in the least width each."""
-    return zlib.compress(pickle.dumps([a.astype(np.min_scalar_type(int(a.max()) if a.size else 0)) for a in map(np.asarray, arrays)], 5), 1)
+    """Arrays of whole numbers from 0 on, in the least width each, all low bytes first."""
+    out = []
+    for a in map(np.asarray, arrays):
+        kind = np.min_scalar_type(int(a.max()) if a.size else 0)
+        flat = np.ascontiguousarray(a.astype(kind).ravel())
+        out.append((a.shape, kind.str, flat.view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()))
+    return zlib.compress(pickle.dumps(out, 5), 1)
 
 
 def unpacked(b: bytes) -> list[np.ndarray]:
-    return [a.astype(np.int64) for a in pickle.loads(zlib.decompress(b))]
+    wide = lambda shape, kind, x: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(shape).astype(np.int64)
+    return [wide(*x) for x in pickle.loads(zlib.decompress(b))]
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences, which pack well; np.cumsum gives them back."""
+    return np.diff(a, prepend=0)
 
 
 @dataclass
@@ -222,23 +247,25 @@ class State:
     heavy: np.ndarray
     fixed: np.ndarray  # tables of pairs with one customer, of each context with open pairs in all key ranges
     vocabulary: np.ndarray
-    contexts: np.ndarray  # hashes of the contexts with open pairs
+    places: np.ndarray  # owner (high bits) of each context with open pairs and its place among that owner's contexts, rising
     samples: list[np.ndarray]
 
     def pack(self) -> bytes:
-        return packed(self.customers, self.context, self.word, self.tables, self.single, self.root, self.heavy, self.fixed, self.vocabulary, *self.samples)
+        pair = steps(self.word * max(len(self.places), 1) + self.context)
+        return packed(self.customers - 1, pair, self.tables, self.single, self.root, self.heavy, self.fixed, self.vocabulary, steps(self.places), *self.samples)
 
     @staticmethod
-    def unpack(b: bytes, contexts: np.ndarray) -> State:
-        x = unpacked(b)
-        return State(*x[:9], contexts, x[9:])
+    def unpack(b: bytes) -> State:
+        customers, pair, tables, single, root, heavy, fixed, vocabulary, places, *samples = unpacked(b)
+        word, context = np.divmod(np.cumsum(pair), max(len(places), 1))
+        return State(customers + 1, context, word, tables, single, root, heavy, fixed, vocabulary, np.cumsum(places), samples)
 
     def here(self) -> np.ndarray:
         """Tables of each word in this key range."""
         return self.single + np.bincount(self.word, weights=self.tables, minlength=len(self.single)).astype(np.int64)
 
     def of_context(self, tables: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, weights=tables, minlength=len(self.contexts)).astype(np.int64)
+        return np.bincount(self.context, weights=tables, minlength=len(self.places)).astype(np.int64)
 
     def whole(self, n_heavy: int, tables: np.ndarray | None = None, root: np.ndarray | None = None) -> np.ndarray:
         """Numbers that are summed over all key ranges: tables, root tables of words that are not heavy, tables of heavy words."""
@@ -274,7 +301,7 @@ def start(s: Seats) -> State:
     single = s.by_word((s.customers == 1).astype(np.int64))
     active, context = np.unique(s.context[s.open], return_inverse=True)
     words = s.by_word((s.customers > 0).astype(np.int64))
-    return State(s.customers[s.open], context, s.word[s.open], np.ones(len(s.open), np.int64), single, np.minimum(words, 1), s.heavy + 1, np.zeros(len(active), np.int64), np.int64(0), s.contexts[active], [])
+    return State(s.customers[s.open], context, s.word[s.open], np.ones(len(s.open), np.int64), single, np.minimum(words, 1), s.heavy + 1, np.zeros(len(active), np.int64), np.int64(0), np.arange(len(active)), [])
 
 
 def counts_of(s: Seats, n_heavy: int) -> np.ndarray:
@@ -314,7 +341,8 @@ def sample_range(table: pa.Table, sums: bytes, heavy: np.ndarray, m: Model) -> p
 
 
 def owners(contexts: np.ndarray, shards: int) -> np.ndarray:
-    return ((contexts >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+    """The key range of each context, by its high bits, so that contexts in order are in order of their owners too."""
+    return ((contexts >> np.uint64(24)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def mail(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
@@ -322,30 +350,17 @@ def mail(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["to", "kind", "shard", "contexts", "sums"])
 
 
-def offers(shard: int, contexts: np.ndarray, numbers: list[np.ndarray], shards: int) -> list[tuple]:
-    """Numbers of each context, for its owner."""
-    owner, out = owners(contexts, shards), []
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(shards + 1))
-    for o in range(shards):
-        at = order[cuts[o] : cuts[o + 1]]
-        if len(at):
-            out.append((o, OFFER, shard, tb.low_bytes(contexts[at], CONTEXT_BYTES), packed(*[n[at] for n in numbers])))
-    return out
+def offers(shard: int, owner: np.ndarray, numbers: list[np.ndarray], shards: int, contexts: np.ndarray | None = None) -> list[tuple]:
+    """Numbers of each context, for its owner; contexts come in order of their owners."""
+    cuts = np.searchsorted(owner, np.arange(shards + 1))
+    spans = [(o, a, b) for o, a, b in zip(range(shards), cuts[:-1], cuts[1:], strict=True) if b > a]
+    return [(o, OFFER, shard, b"" if contexts is None else tb.low_bytes(contexts[a:b], CONTEXT_BYTES), packed(*[n[a:b] for n in numbers])) for o, a, b in spans]
 
 
-def answers(own: list[dict], shards: int, contexts: np.ndarray) -> list[np.ndarray]:
+def answers(own: list[dict]) -> list[np.ndarray]:
     """Numbers that owners sent back, in the order of the contexts."""
-    owner, out = owners(contexts, shards), []
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(shards + 1))
-    for r in own:
-        if r["kind"] == ANSWER:
-            numbers = unpacked(r["sums"])
-            out = out or [np.zeros(len(contexts), np.int64) for _ in numbers]
-            for x, n in zip(out, numbers, strict=True):
-                x[order[cuts[r["shard"]] : cuts[r["shard"] + 1]]] = n
-    return out
+    got = [unpacked(r["sums"]) for r in sorted((r for r in own if r["kind"] == ANSWER), key=lambda r: r["shard"])]
+    return [np.concatenate(x) for x in zip(*got, strict=True)]
 
 
 def count_mail(table: pa.Table, heavy: np.ndarray, shards: int) -> pa.Table:
@@ -353,8 +368,8 @@ def count_mail(table: pa.Table, heavy: np.ndarray, shards: int) -> pa.Table:
     state = start(s)
     is_open = np.zeros(len(s.contexts), np.int64)
     is_open[s.context[s.open]] = 1
-    rows = [(s.shard, STATE, s.shard, tb.low_bytes(state.contexts, CONTEXT_BYTES), state.pack()), (0, WHOLE, s.shard, b"", packed(counts_of(s, len(heavy))))]
-    return mail(rows + offers(s.shard, s.contexts, [s.by_context(s.customers), s.by_context(s.customers == 1), is_open], shards))
+    rows = [(s.shard, STATE, s.shard, b"", state.pack()), (0, WHOLE, s.shard, b"", packed(counts_of(s, len(heavy))))]
+    return mail(rows + offers(s.shard, owners(s.contexts, shards), [s.by_context(s.customers), s.by_context(s.customers == 1), is_open], shards, s.contexts))
 
 
 def whole_mail(rows: list[dict], shards: int) -> list[tuple]:
@@ -364,43 +379,49 @@ def whole_mail(rows: list[dict], shards: int) -> list[tuple]:
     return [(s, WHOLE, 0, b"", total) for s in range(shards)] if got else []
 
 
-def own_mail(table: pa.Table, shards: int, first: bool) -> pa.Table:
-    """An owner's sums of the offers, sent back to those who offered (after the count, pairs with one customer of contexts with open pairs only)."""
+def own_mail(table: pa.Table, shards: int) -> pa.Table:
+    """An owner's sums of the offers, sent back to those who offered; after the count, those of contexts with open pairs: tables of pairs with one customer, and the place of the context."""
     rows = table.to_pylist()
     out = [tuple(r.values()) for r in rows if r["kind"] == STATE] + whole_mail(rows, shards)
     asked = [r for r in rows if r["kind"] == OFFER]
-    if asked:
+    numbers = [unpacked(r["sums"]) for r in asked]
+    if asked and asked[0]["contexts"]:
         ids = [tb.from_low_bytes(r["contexts"], CONTEXT_BYTES) for r in asked]
-        numbers = [unpacked(r["sums"]) for r in asked]
         _, at = np.unique(np.concatenate(ids), return_inverse=True)
-        cuts, column = tb.runs(np.array([len(i) for i in ids])), 1 if first else 0
-        total = np.bincount(at, weights=np.concatenate([n[column] for n in numbers])).astype(np.int64)
-        for r, n, a, b in zip(asked, numbers, cuts[:-1], cuts[1:], strict=True):
-            pick = at[a:b][n[2] > 0] if first else at[a:b]
-            out.append((r["shard"], ANSWER, r["to"], b"", packed(total[pick])))
+        single = np.bincount(at, weights=np.concatenate([n[1] for n in numbers])).astype(np.int64)
+        for r, n, own in zip(asked, numbers, np.split(at, np.cumsum([len(i) for i in ids])[:-1]), strict=True):
+            pick = own[n[2] > 0]
+            out.append((r["shard"], ANSWER, r["to"], b"", packed(single[pick], steps(pick))))
+    elif asked:
+        at = [np.cumsum(n[0]) for n in numbers]
+        total = np.bincount(np.concatenate(at), weights=np.concatenate([n[1] for n in numbers])).astype(np.int64)
+        out += [(r["shard"], ANSWER, r["to"], b"", packed(total[i])) for r, i in zip(asked, at, strict=True)]
     return mail(out)
 
 
 def sweep_mail(table: pa.Table, n_heavy: int, shards: int, m: Model, number: int) -> pa.Table:
-    """One sweep of a key range; after the last one it offers the tables of all kept samples."""
+    """One sweep of a key range (the first time only what it begins with); after the last one it offers the tables of all kept samples."""
     rows = table.to_pylist()
     kept = next((r for r in rows if r["kind"] == STATE), None)
     if kept is None:  # a key range without tokens
         return mail([])
-    shard = kept["to"]
-    state = State.unpack(kept["sums"], tb.from_low_bytes(kept["contexts"], CONTEXT_BYTES))
+    shard, state = kept["to"], State.unpack(kept["sums"])
     whole = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE))[0]
-    got = answers(rows, shards, state.contexts) or [np.zeros(0, np.int64)]
     if number == 0:
-        state.fixed = got[0]
         state.vocabulary = np.int64(vocabulary_of(whole, n_heavy))
-        return mail([(shard, STATE, shard, kept["contexts"], state.pack()), (0, WHOLE, shard, b"", packed(state.whole(n_heavy))), *offers(shard, state.contexts, [state.of_context(state.tables)], shards)])
-    state.sweep(got[0], whole, m, shard, number - 1)
-    if number < m.burn_in + m.samples:
-        return mail([(shard, STATE, shard, kept["contexts"], state.pack()), (0, WHOLE, shard, b"", packed(state.whole(n_heavy))), *offers(shard, state.contexts, [state.of_context(state.tables)], shards)])
-    pairs = list(zip(state.samples[::2], state.samples[1::2], strict=True))
-    numbers, wholes = [state.of_context(t) for t, _ in pairs], [state.whole(n_heavy, t, r) for t, r in pairs]
-    return mail([(shard, STATE, shard, b"", packed(*state.samples)), (0, WHOLE, shard, b"", packed(*wholes)), *offers(shard, state.contexts, numbers, shards)])
+        own = [(r["shard"], *unpacked(r["sums"])) for r in sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: r["shard"])]
+        if own:
+            state.fixed = np.concatenate([x[1] for x in own])
+            state.places = np.concatenate([(x[0] << 32) + np.cumsum(x[2]) for x in own])
+    else:
+        of_context = answers(rows)
+        state.sweep(of_context[0] if of_context else np.zeros(0, np.int64), whole, m, shard, number - 1)
+    pairs, keep = [(state.tables, state.root)], state.pack()
+    if number == m.burn_in + m.samples:
+        pairs, keep = list(zip(state.samples[::2], state.samples[1::2], strict=True)), packed(*state.samples)
+    owner, place = state.places >> 32, state.places & ((1 << 32) - 1)
+    place = np.where(np.diff(owner, prepend=-1) > 0, place, steps(place))  # differences within each owner
+    return mail([(shard, STATE, shard, b"", keep), (0, WHOLE, shard, b"", packed(*[state.whole(n_heavy, t, r) for t, r in pairs])), *offers(shard, owner, [place, *[state.of_context(t) for t, _ in pairs]], shards)])
 
 
 def total_mail(counted: pa.Table, sampled: pa.Table, shards: int, m: Model) -> pa.Table:
@@ -416,9 +437,9 @@ def total_mail(counted: pa.Table, sampled: pa.Table, shards: int, m: Model) -> p
         customers, single = (add(at, np.concatenate([n[i] for n in numbers])) for i in (0, 1))
         tables = [single.copy() for _ in range(m.samples)]
         for r in given:
-            where = np.searchsorted(contexts, tb.from_low_bytes(r["contexts"], CONTEXT_BYTES))
-            for t, n in zip(tables, unpacked(r["sums"]), strict=True):
-                t[where] += n
+            place, *numbers = unpacked(r["sums"])
+            for t, n in zip(tables, numbers, strict=True):
+                t[np.cumsum(place)] += n
         cuts = tb.runs(np.array([len(i) for i in ids]))
         out += [(r["shard"], ANSWER, r["to"], b"", packed(*[v[at[a:b]] for v in (customers, *tables)])) for r, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
     return mail(out)
@@ -428,7 +449,7 @@ def score_mail(table: pa.Table, letters: pa.Table, heavy: np.ndarray, shards: in
     """score_range with the numbers that came by mail."""
     rows = letters.to_pylist()
     s = Seats(table, heavy)
-    customers, *tables = answers(rows, shards, s.contexts)
+    customers, *tables = answers(rows)
     counts = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE and r["contexts"]))[0]
     wholes = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE and not r["contexts"]))
     kept = unpacked(next(r["sums"] for r in rows if r["kind"] == STATE))
@@ -507,11 +528,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         return lambda t: sweep_mail(t, n_heavy, shards, m, number)
 
     # a line of stages without branches, so that no sweep is drawn twice
-    letters = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, shards, True), _MAIL)
+    letters = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, shards), _MAIL)
     for number in range(m.burn_in + m.samples + 1):
         letters = letters.groupBy("to").applyInArrow(swept(number), _MAIL)
         if number < m.burn_in + m.samples:
-            letters = letters.groupBy("to").applyInArrow(lambda t: own_mail(t, shards, False), _MAIL)
+            letters = letters.groupBy("to").applyInArrow(lambda t: own_mail(t, shards), _MAIL)
     totals = counted.groupBy("to").cogroup(letters.groupBy("to")).applyInArrow(lambda a, b: total_mail(a, b, shards, m), _MAIL)
 
     def score(tokens: pa.Table, own: pa.Table) -> pa.Table:

@@ -237,6 +237,44 @@ def test_totals_of_contexts_over_key_ranges(spark):
         assert math.isclose(got[i], sum(math.log10(p(u, w)) for u, w in own), rel_tol=1e-9)
 
 
+def test_customers_of_frequent_dishes_sit_down_one_by_one():
+    import numpy as np
+
+    c, others, prior, d, b = 1500, 40, 0.3, 0.75, 1.0
+    p = np.zeros(c + 2)  # of each number of tables, exactly
+    p[1] = 1
+    t = np.arange(c + 2)
+    for at in range(1, c):
+        new = (b + d * (others + t)) * prior
+        share = p * new / np.maximum(new + at - d * t, 1e-9)
+        p = p - share
+        p[1:] += share[:-1]
+    mean = (p * t).sum()
+    spread = math.sqrt((p * (t - mean) ** 2).sum() / 20_000)
+    got = pitman_yor.seat(np.full(20_000, c), np.full(20_000, others), np.full(20_000, prior), d, b, np.random.default_rng(4))
+    assert abs(got.mean() - mean) < 4 * spread
+
+
+def test_sweeps_see_the_tables_of_the_last_sweep(monkeypatch):
+    import numpy as np
+
+    n = 3000
+    words = (np.random.default_rng(2).integers(1, 12, n) ** 2).astype(np.uint64)
+    table = pa.table({"shard": pa.array([0], pa.int32()), "ids": [np.array([1], "<i8").tobytes()], "held": [b"\0"], "counts": [np.array([n], "<i4").tobytes()], "words": [pitman_yor.tb.low_bytes(words, 6)], "contexts": [np.zeros(n, "<u2").tobytes()]})
+    none, calls, seat = np.zeros(0, np.uint64), [], pitman_yor.seat
+
+    def watched(customers, others, *rest):
+        calls.append((others, seat(customers, others, *rest)))
+        return calls[-1][1]
+
+    monkeypatch.setattr(pitman_yor, "seat", watched)
+    pitman_yor.sample_range(table, pitman_yor.count_range(table, none)["sums"][0].as_py(), none, pitman_yor.Model(burn_in=2, samples=1))
+    of_context = [x for x in calls if len(x[1])][::2]  # the others seat the root
+    assert len(of_context) == 3
+    for (_, before), (others, _) in itertools.pairwise(of_context):
+        assert (others + before == before.sum()).all() and before.sum() > len(before)
+
+
 # operator 10
 
 
