@@ -10,9 +10,12 @@ boundaries and kinds together, so it finds what a greedy pattern spoils: a card
 after another number, a phone number that runs into one.  Spans of the field
 that touch no base span are added; base spans stay.
 
-It is fitted by maximum likelihood on the stretches of at most TRAIN_DOCUMENTS
-documents with a digit, those with the smallest hash of their id, whose labels
-are the base spans.
+It is fitted by maximum likelihood on the stretches of all documents, whose
+labels are the base spans; stretches of more than LONGEST characters are left
+out of the fit.  A stretch falls into blocks where no segment crosses, and the
+likelihood into theirs; Spark counts equal blocks (places, features and label
+of each segment, no text), so that what is collected are the forms that
+occur and their counts.
 
 Results for odd input: null and empty texts have no spans; rows with a null id
 and repeated rows are handled row by row; overlapping kinds are all reported; an
@@ -22,6 +25,7 @@ empty table gives no rows, and without training text nothing is added.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -34,8 +38,8 @@ from redraft.llm import textblocks as tb
 from redraft.llm.bpe import documents
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCUMENTS = 1500
-TRAIN_STRETCHES = 1200
+#: Characters of the longest stretch that the field is fitted on.
+LONGEST = 400
 MOST_TOKENS = 14
 #: Characters before and after a digit or at sign that belong to its stretch, up to a blank.
 AROUND = 24
@@ -244,27 +248,37 @@ def find_spans(text: str, weights: np.ndarray | None) -> tuple[list[Span], list[
     return base, added
 
 
+def blocks(part: str, spans: list[Span]) -> Iterator[bytes]:
+    """Blocks of segments of a stretch that no segment links: rows of first place, end place, bits of features and kind (-1 for none), with places numbered within the block."""
+    at, segments = candidates(part)
+    of = {b: i for i, b in enumerate(at)}
+    wanted = {(of[a], of[b]): k for a, k, b in spans if a in of and b in of}
+    own, end = [], 0
+
+    def block() -> bytes:
+        place = {x: n for n, x in enumerate(sorted({x for i, j, _ in own for x in (i, j)}))}
+        return np.array([(place[i], place[j], sum(1 << x for x in f), wanted.get((i, j), -1)) for i, j, f in own], "<i4").tobytes()
+
+    for segment in segments:  # by their first places
+        if own and segment[0] >= end:
+            yield block()
+            own = []
+        own.append(segment)
+        end = max(end, segment[1])
+    if own:
+        yield block()
+
+
 class _Batch:
-    """Training stretches side by side: for each end and length of a segment, who has it and with which features."""
-
-    def __init__(self, parts: list[tuple[str, list[Span]]]):
-        self.x, self.gold, places = [], [], []
-        self.sizes = []
-        for row, (part, spans) in enumerate(parts):
-            at, segments = candidates(part)
-            of = {b: i for i, b in enumerate(at)}
-            wanted = {(of[a], of[b]): k for a, k, b in spans if a in of and b in of}
-            self.sizes.append(len(at) - 1)
-            for i, j, f in segments:
-                dense = np.zeros(N_FEATURES, np.float32)
-                dense[f] = 1
-                self.x.append(dense)
-                self.gold.append(wanted.get((i, j), -1))
-                places.append((row, i, j))
-        self.x = np.array(self.x, np.float64).reshape(-1, N_FEATURES)
-        self.gold = np.array(self.gold, np.int64)
-        self.row, self.i, self.j = np.array(places, np.int64).reshape(-1, 3).T
-        self.sizes = np.array(self.sizes, np.int64)
+    """Blocks side by side: for each end and length of a segment, who has it and with which features."""
+
+    def __init__(self, patterns: list[np.ndarray], counts: list[int]):
+        every = np.concatenate(patterns)
+        self.row = np.repeat(np.arange(len(patterns)), [len(x) for x in patterns])
+        self.i, self.j, bits, self.gold = every.T.astype(np.int64)
+        self.x = ((bits[:, None] >> np.arange(N_FEATURES)) & 1).astype(np.float64)
+        self.sizes = np.array([x[:, 1].max() for x in patterns], np.int64)
+        self.counts = np.array(counts, np.float64)
 
     def expectations(self, weights: np.ndarray) -> np.ndarray:
         """Posterior probability of every segment under every kind, by forward and backward sums over segments."""
@@ -295,42 +309,40 @@ class _Batch:
         return self
 
 
-def fit(parts: list[tuple[str, list[Span]]]) -> np.ndarray | None:
-    """Weights (kind x feature) from stretches and their spans."""
-    parts = [p for p in parts if len(p[0]) <= 400]
-    if not any(spans for _, spans in parts):
+def fit(patterns: list[tuple[bytes, int]]) -> np.ndarray | None:
+    """Weights (kind x feature) from blocks and how often each occurs."""
+    rows = [np.frombuffer(p, "<i4").reshape(-1, 4) for p, _ in patterns]
+    if not any((x[:, 3] >= 0).any() for x in rows):
         return None
-    batch = _Batch(parts).index()
+    batch = _Batch(rows, [n for _, n in patterns]).index()
+    share = (batch.counts / batch.counts.sum())[batch.row][:, None]
     gold = np.zeros((len(batch.gold), len(KINDS)))
     gold[np.arange(len(gold))[batch.gold >= 0], batch.gold[batch.gold >= 0]] = 1
     weights = np.zeros((len(KINDS), N_FEATURES))
     weights[:, 0] = -2
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, _STEPS + 1):
-        grad = ((gold - batch.expectations(weights)).T @ batch.x) / len(parts) - _PENALTY * weights
+        grad = ((gold - batch.expectations(weights)) * share).T @ batch.x - _PENALTY * weights
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         weights = weights + _RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return weights
 
 
-def training_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
+        found = Counter()
         for text in batch["text"].to_pylist():
             spans = base_spans(text or "")
             for a, b in stretches(text or ""):
-                if b - a <= 400:
-                    rows.append((text[a:b], [x for s, k, e in spans if a <= s and e <= b for x in (s - a, k, e - a)]))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.string()), "spans": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+                if b - a <= LONGEST:
+                    found.update(blocks(text[a:b], [(s - a, k, e - a) for s, k, e in spans if a <= s and e <= b]))
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
     texts = documents(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
-    # ids are chosen first, so that texts of chosen documents only are moved; the bound makes them safe to broadcast
-    chosen = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
-    sample = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = sample.select("text").mapInArrow(training_parts, "part string, spans array<int>").orderBy(F.xxhash64("part"), "part").limit(TRAIN_STRETCHES).collect()
-    return fit([(r["part"], [tuple(r["spans"][i : i + 3]) for i in range(0, len(r["spans"]), 3)]) for r in rows])
+    counts = texts.select("text").mapInArrow(count_blocks, "block binary, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    return fit(sorted((bytes(r["block"]), r["n"]) for r in counts.collect()))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

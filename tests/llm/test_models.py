@@ -142,6 +142,35 @@ def test_field_adds_what_greedy_matches_spoil(spark):
         assert pii.find_spans(clean, weights) == ([], [])
 
 
+def test_field_is_fitted_on_all_documents(spark):
+    """One document with personal data among many with numbers, the last by the hash of its id."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"))
+    last = docs.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    text = F.when(F.col("doc_id") == last, "mail a.b@c.org now").otherwise(F.concat(F.lit("ref "), F.col("doc_id").cast("string")))
+    assert pii.train(docs.withColumn("text", text)) is not None
+
+
+def test_blocks_have_the_likelihood_of_their_stretch():
+    import numpy as np
+
+    part, rng = "a@b.co and " + "so on " * 12 + "10.0.0.1, x 7 (415) 555-1234", np.random.default_rng(6)
+    at, segments = pii.candidates(part)
+    weights = rng.normal(size=(len(pii.KINDS), pii.N_FEATURES))
+    total = [0.0]
+    for j in range(1, len(at)):
+        ways = [total[j - 1], *[total[i] + np.logaddexp.reduce(weights[:, f].sum(axis=1)) for i, e, f in segments if e == j]]
+        total.append(np.logaddexp.reduce(ways))
+    own = []
+    for block in pii.blocks(part, pii.base_spans(part)):
+        x = np.frombuffer(block, "<i4").reshape(-1, 4)
+        best = [0.0]
+        for j in range(1, int(x[:, 1].max()) + 1):
+            score = [weights[:, [b for b in range(pii.N_FEATURES) if f >> b & 1]].sum(axis=1) for _, _, f, _ in x[x[:, 1] == j].tolist()]
+            best.append(np.logaddexp.reduce([best[j - 1], *[best[i] + np.logaddexp.reduce(v) for i, v in zip(x[x[:, 1] == j][:, 0].tolist(), score, strict=True)]]))
+        own.append(best[-1])
+    assert len(own) > 1 and abs(sum(own) - total[-1]) < 1e-9
+
+
 def test_personal_data_rows(spark, odd, none):
     rows = pii.personal_data(odd).collect()
     assert len(rows) == odd.count() and pii.personal_data(none).count() == 0
