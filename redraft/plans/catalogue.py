@@ -355,6 +355,22 @@ def direct_dependents(spark, sf_dir):
     return graph.dependents(_graph(spark, sf_dir), "1")
 
 
+def _whole_graph(spark, sf_dir):
+    """All pairs of part and supplier of the line items, from part to supplier and from supplier to the next part."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), (F.col("l_partkey") + 1).cast("string")).alias("q"))
+    return rows.select(F.col("p").alias("child"), F.col("s").alias("parent")).unionByName(rows.select(F.col("s").alias("child"), F.col("q").alias("parent")))
+
+
+@query(None)
+def closure_whole(spark, sf_dir):
+    return graph.ancestors(_whole_graph(spark, sf_dir), "p1")
+
+
+@query("SELECT DISTINCT 's' || l_suppkey AS node FROM lineitem WHERE l_partkey = 1")
+def direct_dependents_whole(spark, sf_dir):
+    return graph.dependents(_whole_graph(spark, sf_dir), "p1")
+
+
 @query("WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS h FROM events) SELECT DISTINCT user_id, props FROM events, m WHERE event_id > h EXCEPT SELECT user_id, props FROM events, m WHERE event_id <= h")
 def new_against_baseline(spark, sf_dir):
     rows = _table(spark, sf_dir, "events")

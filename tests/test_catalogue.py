@@ -32,6 +32,20 @@ def test_same_as_sql(spark, db, name):
     assert sorted(repr(tuple(x[c] for c in columns)) for x in df.collect()) == want
 
 
+def test_closure_of_the_whole_table(spark, db):
+    """Against a search by breadth over all line items."""
+    after = {}
+    for part, supplier in db.sql("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem").fetchall():
+        after.setdefault(f"p{part}", set()).add(f"s{supplier}")
+        after.setdefault(f"s{supplier}", set()).add(f"p{part + 1}")
+    want, now = {}, {"p1"}
+    while now:
+        now = {y for x in now for y in after.get(x, ())} - want.keys() - {"p1"}
+        want |= dict.fromkeys(now, max(want.values(), default=0) + 1)
+    got = {r["node"]: r["depth"] for r in catalogue.QUERIES["closure_whole"](spark, SF).collect()}
+    assert got == want and len(got) > 150
+
+
 def test_works_without_the_llm_folder(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     (tmp_path / "redraft").mkdir()
