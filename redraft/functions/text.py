@@ -78,11 +78,14 @@ def bracket_depth(s: Column) -> Column:
 
 def unique_specifiers(line: Column) -> Column:
     """A one-line import with each of its names once, in order of first use; other lines stay."""
-    shape = r"^(\s*import\s*(?:type\s+)?\{)([^}]*)(\}\s*from\s.*)$"
-    names = F.filter(F.transform(F.split(F.regexp_extract(line, shape, 2), ","), lambda x: F.trim(x)), lambda x: x != "")
-    joined = F.array_join(F.array_distinct(names), ", ")
-    rebuilt = F.concat(F.regexp_extract(line, shape, 1), F.lit(" "), joined, F.lit(" "), F.regexp_extract(line, shape, 3))
-    return F.when(line.rlike(shape), rebuilt).otherwise(line)
+    opened, closed = F.locate("{", line), F.locate("}", line)
+    head, tail = F.substring(line, 1, opened), F.substring(line, closed, F.length(line))
+    names = F.filter(F.transform(F.split(F.substring(line, opened + 1, closed - opened - 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+    # before the names only `import`, perhaps with `type`; behind them `from`
+    words = F.filter(F.split(F.translate(head, "\t{", " "), " "), lambda x: x != "")
+    begins = F.array_join(words, " ").isin("import", "import type")
+    goes_on = F.ltrim(F.substring(tail, 2, F.length(line))).startswith("from")
+    return F.when((opened > 0) & (closed > opened) & begins & goes_on, F.concat(head, F.lit(" "), F.array_join(F.array_distinct(names), ", "), F.lit(" "), tail)).otherwise(line)
 
 
 def distinct_words(text: Column) -> Column:
@@ -111,7 +114,41 @@ def without_annotation(line: Column, name: str) -> Column:
     return F.trim(F.regexp_replace(line, rf"@{re.escape(name)}(?![A-Za-z0-9_])(\s*\([^)]*\))?", ""))
 
 
-def without_attribute(line: Column, name: str) -> Column:
-    """A line without every name="…", name={…} or bare name among a tag's attributes."""
-    q = re.escape(name)
-    return F.regexp_replace(line, rf"""\s+{q}(="[^"]*"|='[^']*'|=\{{[^}}]*\}})?(?=[\s/>])""", "")
+def _closing_brace(s: Column) -> Column:
+    """Place, from 1, of the brace that closes the one a text begins with; 0 if none does.  Braces in quotes do not count."""
+
+    def step(a: Column, c: Column) -> Column:
+        quote = F.when(a["quote"] == c, F.lit("")).when((a["quote"] == "") & c.isin("'", '"', "`"), c).otherwise(a["quote"])
+        depth = a["depth"] + F.when(a["quote"] != "", 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.when(a["end"] > 0, a).otherwise(F.struct((a["at"] + 1).alias("at"), depth.alias("depth"), quote.alias("quote"), F.when((depth == 0) & (c == "}"), a["at"] + 1).otherwise(0).alias("end")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(0).alias("end"))
+    return F.aggregate(F.split(s, ""), start, step, lambda a: a["end"])
+
+
+def attribute_value(rest: Column) -> Column:
+    """How many characters of what follows an attribute's name are its value: an equals sign and a quoted text or braces, which may nest; 0 for a bare name, null for a value without an end."""
+    behind = F.substring(rest, 3, F.length(rest))
+    quoted = lambda q: F.nullif(F.locate(q, behind), F.lit(0)) + 2
+    return F.when(rest.startswith('="'), quoted('"')).when(rest.startswith("='"), quoted("'")).when(rest.startswith("={"), F.nullif(_closing_brace(F.substring(rest, 2, F.length(rest))), F.lit(0)) + 1).when(rest.startswith("="), F.lit(None)).otherwise(0)
+
+
+def attribute_start(name: Column | str) -> Column:
+    """Pattern of an attribute's name with the blanks before it."""
+    return F.concat(F.lit("\\s+\\Q"), _col(name), F.lit("\\E(?=[\\s=/>]|$)"))
+
+
+def without_attribute(line: Column, name: Column | str) -> Column:
+    """A line without an attribute, its value and the blanks before it, wherever it occurs among a tag's attributes."""
+    start = attribute_start(name)
+    pieces, starts = F.split(line, start, -1), F.regexp_extract_all(line, start, F.lit(0))
+    cut = F.zip_with(starts, F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda s, p: F.coalesce(F.substring(p, attribute_value(p) + 1, F.length(p)), F.concat(s, p)))
+    return F.concat(pieces[0], F.array_join(cut, ""))
+
+
+def first_attribute(line: Column, name: Column | str) -> Column:
+    """The first occurrence of an attribute with the blanks before it, null if there is none or its value has no end on the line."""
+    start = attribute_start(name)
+    at, found = F.regexp_instr(line, start), F.regexp_substr(line, start)
+    rest = F.substring(line, at + F.length(found), F.length(line))
+    return F.when(at > 0, F.concat(found, F.substring(rest, 1, attribute_value(rest))))

@@ -16,7 +16,7 @@ INFERRED = {
 }
 #: Strategies that a model carries out, with what it is told (fixed values).
 ASSISTED = ("PropValueChange", "PropTypeChange", "LlmAssisted", "ChildToProp", "PropToChild", "PropToChildren", "CompositionChange", "DeprecatedMigration", "FamilyMigration", "UpdateSignature")
-#: Reasons why an incident makes no edit, and how a report words them.
+#: Reasons why an incident makes no edit, and how a report words them (fixed values).
 SKIP_TEXTS = {
     "file_unreadable": "file unreadable", "no_line_number": "no line number", "text_not_found": "text not found", "line_out_of_bounds": "line out of bounds", "already_migrated": "already migrated",
     "unbalanced_brackets": "unbalanced brackets", "missing_variable": "missing variable", "no_op_rename": "no-op rename", "not_in_import_block": "not in import block", "empty_llm_response": "empty LLM response",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.functions.text import without_escapes
@@ -118,13 +118,24 @@ def fix_blocks(lines: DataFrame) -> DataFrame:
     return cut.select("file", F.expr("cast((fences + 1) / 2 as int)").alias("block"), number.alias("at_line"), "old_text", "new_text").where("at_line is not null and old_text is not null and new_text is not null")
 
 
-#: A warning of a missing peer (fixed format): who lacks it, the peer, and who asks for it.
-PEER_WARNING = r"YN0002: (?:│ )?(@?[^@\s]+)@\S+ doesn't provide (@?[^\s(]+) \([^)]+\),? ?(?:requested by (@?[^\s.]+))?"
+#: How a package manager words that a peer is missing (fixed values): code, what stands between who lacks it and the peer, and before who asks for it.
+PEER_CODE, PEER_LACKS, PEER_ASKED = "YN0002:", " doesn't provide ", "requested by "
+
+
+def _package(word: Column) -> Column:
+    """Name of a package from name@range; a scope keeps its at sign."""
+    return F.when(word.startswith("@"), F.concat(F.lit("@"), F.substring_index(F.substring(word, 2, 1 << 20), "@", 1))).otherwise(F.substring_index(word, "@", 1))
 
 
 def missing_peers(log: DataFrame) -> DataFrame:
     """(peer, requested_by) of a package manager's log given as (file, line, text): first mention of each peer; without a requester it is who lacks the peer."""
     text = without_escapes(F.col("text"))
-    group = lambda n: F.nullif(F.regexp_extract(text, PEER_WARNING, n), F.lit(""))
-    found = log.select("file", "line", group(2).alias("peer"), F.coalesce(group(3), group(1)).alias("requested_by")).where("peer is not null")
+    told = F.substring(text, F.locate(PEER_CODE, text) + len(PEER_CODE), 1 << 20)
+    sides = F.split(told, PEER_LACKS, 2)
+    first_word = lambda c: F.substring_index(F.ltrim(c), " ", 1)
+    lacks = _package(first_word(F.translate(sides[0], "│", " ")))
+    peer = F.substring_index(first_word(sides[1]), "(", 1)
+    asked = F.when(F.contains(sides[1], F.lit(PEER_ASKED)), _package(F.regexp_replace(first_word(F.substring(sides[1], F.locate(PEER_ASKED, sides[1]) + len(PEER_ASKED), 1 << 20)), r"\.$", "")))
+    own = log.where(F.contains(text, F.lit(PEER_CODE)) & F.contains(text, F.lit(PEER_LACKS)))
+    found = own.select("file", "line", peer.alias("peer"), F.coalesce(F.nullif(asked, F.lit("")), F.nullif(lacks, F.lit(""))).alias("requested_by")).where("peer <> '' and requested_by is not null")
     return found.groupBy("peer").agg(F.min_by("requested_by", F.struct("file", "line")).alias("requested_by"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redraft.functions.text import SKIPPED_JAVA, SKIPPED_JS, path_of_uri, replace_all, skips_path
+from redraft.functions.text import SKIPPED_JAVA, SKIPPED_JS, path_of_uri, replace_all, skips_path, without_attribute
 from redraft.operators import edits as ed
 from redraft.operators import planning
 
@@ -172,8 +172,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     blocked = F.exists(F.coalesce("entry.exclude_patterns", F.array().cast("array<string>")), lambda p: F.contains(F.col("matched"), p))
     swapped, unswapped = rename_edits(swaps.where(~blocked), lines)
     removed = _flag(rows, "RemoveAttribute").where("line is not null").join(lines, ["file", "line"])
-    name = F.concat(F.lit(r"\s+\Q"), "matched", F.lit(r"\E(=\"[^\"]*\"|='[^']*'|=\{[^}]*\})?(?=[\s/>])"))
-    cut = removed.where("matched <> ''").select("file", "line", "seq", "rule_id", F.col("text").alias("old_text"), F.regexp_replace("text", name, F.lit("")).alias("new_text"), F.lit(False).alias("replace_all")).where("old_text <> new_text")
+    cut = removed.where("matched <> ''").select("file", "line", "seq", "rule_id", F.col("text").alias("old_text"), without_attribute(F.col("text"), F.col("matched")).alias("new_text"), F.lit(False).alias("replace_all")).where("old_text <> new_text")
     uncut = _flag(rows, "RemoveAttribute").join(cut.select("seq").distinct(), "seq", "left_anti").withColumn("reason", F.when(F.col("matched") == "", "missing_variable").when(F.col("line").isNull(), "no_line_number").otherwise("text_not_found"))
 
     every = ed.without_repeats(made.unionByName(swapped.withColumn("replace_all", F.lit(True))).unionByName(cut))
