@@ -7,8 +7,10 @@ being good; a document's quality is their mean, weighted by length in bytes and
 mapped by a two-parameter logistic curve fitted on the training documents.
 
 The field is fitted on at most TRAIN_DOCUMENTS labelled documents, those with the
-smallest hash of their id, whose lines all take the document's label.  Only texts
-are looked at for a score.
+smallest hash of their id, of which those that bring the lines beyond TRAIN_LINES, or
+more than TRAIN_LINES / 20 lines of their own, are left out.  Their lines all take
+the document's label.  A task fits the field on these bounded rows, so that only its
+weights reach the driver.  Only texts are looked at for a score.
 
 Results for odd input: a null or empty text is one empty line; rows without an id
 are left out; repeated rows are scored row by row; labels that are null are not
@@ -18,19 +20,19 @@ every score is 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.llm import textblocks as tb
 
-#: Bound of the training sample, in documents.
+#: Bounds of the training sample, in documents and in lines.
 TRAIN_DOCUMENTS = 4000
+TRAIN_LINES = 200_000
 THRESHOLD = 0.3
 _STEPS, _RATE, _PENALTY = 200, 0.05, 1e-3
 
@@ -189,7 +191,7 @@ def fit(x: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarray)
     model = Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
     if not len(label) or label.min() == label.max():
         return model
-    x = with_neighbours(x, first).astype(np.float64)
+    x = with_neighbours(x, first)  # stays in single precision: it is the largest array here
     n = np.diff(first)
     y = np.repeat(label, n).astype(np.float64)
     seen = np.zeros((2, 2))
@@ -197,8 +199,8 @@ def fit(x: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarray)
     theta = np.zeros(N_FEATURES + 4)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, _STEPS + 1):
-        p, expected = marginals(x @ theta[:N_FEATURES], first, theta[N_FEATURES:].reshape(2, 2), True)
-        grad = np.concatenate((x.T @ (y - p), (seen - expected).ravel())) / len(y) - _PENALTY * theta
+        p, expected = marginals((x @ theta[:N_FEATURES].astype(np.float32)).astype(np.float64), first, theta[N_FEATURES:].reshape(2, 2), True)
+        grad = np.concatenate(((y - p).astype(np.float32) @ x, (seen - expected).ravel())) / len(y) - _PENALTY * theta
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         theta += _RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     model.weights, model.transitions = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
@@ -220,25 +222,34 @@ def sample_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = tb.texts_of(batch["text"])
         x, n, first = line_features(data, bounds)
-        rows = [(x[a:b].tobytes(), n[a:b].astype("<f4").tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "x": pa.array([r[0] for r in rows], pa.binary()), "n": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [(x[a:b].tobytes(), n[a:b].astype("<f4").tobytes(), b - a) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "x": pa.array([r[0] for r in rows], pa.binary()), "n": pa.array([r[1] for r in rows], pa.binary()), "lines": pa.array([r[2] for r in rows], pa.int64())})
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, most: int = TRAIN_DOCUMENTS) -> Field:
-    """The field fitted on at most `most` labelled documents with crc32(id) mod folds other than 0."""
-    tb.small_batches(docs.sparkSession, 500)
+def fit_rows(table: pa.Table) -> pa.Table:
+    """The field of the rows (x, n, label, at) of the training sample, in the order of at."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["at"])
+    n = [np.frombuffer(r["n"], "<f4") for r in rows]
+    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_BASE) for r in rows])
+    f = fit(x, np.concatenate(n).astype(np.float64), tb.runs(np.array([len(v) for v in n])), np.array([r["label"] for r in rows]))
+    return pa.table({"weights": [f.weights.tolist()], "transitions": [f.transitions.ravel().tolist()], "slope": [float(f.slope)], "shift": [float(f.shift)]})
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, most: int = TRAIN_DOCUMENTS, most_lines: int = TRAIN_LINES) -> Field:
+    """The field fitted on at most `most` labelled documents of `most_lines` lines in all, with crc32(id) mod folds other than 0."""
     key = F.col("doc_id")
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = usable.where(F.crc32(key.cast("string").cast("binary")) % folds != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the bound makes it safe to broadcast
     texts = tb.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    found = texts.select("doc_id", "text").mapInArrow(sample_rows, "doc_id long, x binary, n binary").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
-    if not rows:
+    found = texts.select("doc_id", "text").mapInArrow(sample_rows, "doc_id long, x binary, n binary, lines long").where(f"lines <= {most_lines // 20}")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("lines", "n", "x")).alias("r")).select("doc_id", "r.*", F.xxhash64("doc_id").alias("at"))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` rows
+    bounded = one.withColumn("so_far", F.sum("lines").over(so_far)).where(f"so_far <= {most_lines}").join(F.broadcast(chosen), "doc_id")
+    fitted = bounded.select(F.lit(0).alias("sample"), "x", "n", "label", "at").groupBy("sample").applyInArrow(fit_rows, "weights array<double>, transitions array<double>, slope double, shift double").first()
+    if fitted is None:
         return Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_BASE) for r in rows])
-    n = [np.frombuffer(r["n"], "<f4") for r in rows]
-    return fit(x, np.concatenate(n).astype(np.float64), tb.runs(np.array([len(v) for v in n])), np.array([r["label"] for r in rows]))
+    return Field(np.array(fitted["weights"]), np.array(fitted["transitions"]).reshape(2, 2), fitted["slope"], fitted["shift"])
 
 
 def score_texts(data: np.ndarray, bounds: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
