@@ -10,10 +10,13 @@
 3. Equal sets become one representative.  Prefix n-grams join representatives:
    first each with the hub of its n-gram (the set with the fewest unshared
    n-grams), then, for n-grams whose sets are still in several components, the
-   sets outside the largest component with all others.  Length and positional
-   filters come before a pair is made, the suffix filter and the exact count
-   after; each pair is verified once.  Sets that are already connected need no
-   link between them, so no group is expanded into all its pairs.
+   sets outside the largest component with the others.  That second join runs on
+   n-gram, band of lengths and part: sets that link are in the same band or in
+   neighbouring ones, and the sets of an n-gram that many hold are dealt over
+   parts.  Length and positional filters come before a pair is made, the suffix
+   filter (recursive halving) and the exact count after; each pair is verified
+   once.  Sets that are already connected need no link between them, so no group
+   is expanded into all its pairs.
 
 Results for odd input: null and empty texts have no n-grams and stay alone;
 rows without an id are left out; rows that repeat an id count as one document,
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redraft.llm import textblocks as tb
-from redraft.llm.components import components, saved
+from redraft.llm.components import Tables, components
 
-KEY_BYTES = 6
-#: Parts that documents of one set are dealt over.
-SALTS = 32
+KEY_BYTES = 7
+#: Parts that documents of one set are dealt over, and sets of an n-gram and a band in each part of the second join.
+SALTS, PART_SETS = 32, 2000
+#: Halvings of the suffix filter.
+HALVINGS = 4
 _PACKED = "shard int, ids binary, sizes binary, counts binary, keys binary"
 _BACK = "bucket int, shard int, ids binary, sizes binary, counts binary, keys binary, rarity binary"
 _SETS = "doc_id long, n_shingles long, n_shared long, signature binary, keys binary, prefix int"
@@ -136,7 +141,7 @@ def order_sets(table: pa.Table, percent: int) -> pa.Table:
     ids, sizes, counts = (_column(table, n, t) for n, t in (("ids", "<i8"), ("sizes", "<i4"), ("counts", "<i4")))
     keys = tb.from_low_bytes(b"".join(table["keys"].to_pylist()), KEY_BYTES)
     each = np.array([len(x) // KEY_BYTES for x in table["keys"].to_pylist()], np.int64)
-    keys = keys | (np.repeat(table["shard"].to_numpy().astype(np.uint64), each) << np.uint64(48))
+    keys = keys ^ (np.repeat(table["shard"].to_numpy().astype(np.uint64), each) << np.uint64(56))
     rarity = _column(table, "rarity", "u1")
     docs, inverse = np.unique(ids, return_inverse=True)
     doc = np.repeat(inverse, counts)
@@ -175,13 +180,22 @@ def prefix_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"token": keys[pick], "doc_id": b["doc_id"].to_numpy()[row], "n": n[row], "unshared": (n - shared)[row], "place": place})
 
 
+def at_most(x: np.ndarray, y: np.ndarray, halvings: int = HALVINGS) -> int:
+    """A bound of the common keys of two sorted sets: both are halved at the middle key of the second, again and again, and no part shares more than its smaller side."""
+    if not halvings or not len(x) or not len(y):
+        return min(len(x), len(y))
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    same = int(at < len(x) and x[at] == y[middle])
+    return at_most(x[:at], y[:middle], halvings - 1) + same + at_most(x[at + same :], y[middle + 1 :], halvings - 1)
+
+
 def overlap(x: np.ndarray, y: np.ndarray, least: int) -> int:
     """Common keys of two sets; 0 as soon as the suffix filter shows that they have fewer than `least`."""
-    # suffix filter: cut both sets by the same key bits; an overlap cannot exceed the smaller side of any part
-    cx, cy = (np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64) for s in (x, y))
-    if int(np.minimum(cx, cy).sum()) < least:
+    x, y = np.sort(x), np.sort(y)
+    if at_most(x, y) < least:
         return 0
-    both = np.sort(np.concatenate((x, y)))
+    both = np.sort(np.concatenate((x, y)), kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
@@ -222,37 +236,39 @@ def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return back.groupBy("bucket").applyInArrow(lambda t: order_sets(t, percent), _SETS)
 
 
+def _band(n: str, percent: int):
+    """Band of a length: sets whose lengths pass the length filter are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col(n).cast("int")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document: components of the links with Jaccard similarity of at least percent / 100."""
-    sets = saved(ngram_sets(docs, id_col, text_col, words, percent))
+    tables = Tables(docs.sparkSession, "ngram-join")
+    sets = tables.saved(ngram_sets(docs, id_col, text_col, words, percent))
     live = sets.where("prefix > 0")
-    same = live.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    same = tables.saved(live.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     # a set that a third of all documents have would meet in one task: its documents are dealt over SALTS, its one row to each of them
     salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     whole = live.where("signature is not null").select("doc_id", "signature", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = whole.join(salted, ["signature", "salt"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = live.join(copies.where("a <> b").select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    entries = saved(reps.select("doc_id", "n_shingles", "n_shared", "prefix", "keys").mapInArrow(prefix_rows, "token long, doc_id long, n long, unshared long, place long"))
+    copies = tables.saved(whole.join(salted, ["signature", "salt"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    reps = tables.saved(live.join(copies.where("a <> b").select(F.col("a").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_shingles", "n_shared", "prefix", "keys"))
+    entries = tables.saved(reps.mapInArrow(prefix_rows, "token long, doc_id long, n long, unshared long, place long"))
 
     hubs = entries.groupBy("token").agg(F.min(F.struct("unshared", "doc_id", "n", "place")).alias("h"), F.count("*").alias("sets")).where("sets > 1").select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("n"), F.col("h.place").alias("place"))
     stars = entries.alias("x").join(hubs.alias("h"), F.expr(f"x.token = h.token AND x.doc_id <> h.hub AND {_filters('x', 'h', percent)}")).select(F.least("x.doc_id", "h.hub").alias("a"), F.greatest("x.doc_id", "h.hub").alias("b")).distinct()
-    tried = saved(stars)
-    linked = saved(links_of(tried, reps, percent))
+    tried = tables.saved(stars)
+    linked = tables.saved(links_of(tried, reps, percent))
     label = components(linked)
 
     placed = entries.join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    placed = tables.saved(placed.withColumn("band", _band("n", percent)))
     by_part = placed.groupBy("token", "component_id").agg(F.count("*").alias("sets"))
-    open_tokens = by_part.groupBy("token").agg(F.max(F.struct("sets", "component_id")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("most.component_id").alias("major"))
-    placed = placed.join(open_tokens, "token")
-    rest = placed.where("component_id <> major")
-    cross = (
-        rest.alias("x")
-        .join(placed.alias("y"), F.expr(f"x.token = y.token AND x.component_id <> y.component_id AND (y.component_id = y.major OR x.doc_id < y.doc_id) AND {_filters('x', 'y', percent)}"))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    open_tokens = by_part.groupBy("token").agg(F.max(F.struct("sets", "component_id")).alias("most"), F.count("*").alias("parts"), F.sum("sets").alias("sets")).where("parts > 1").select("token", F.col("most.component_id").alias("major"), F.ceil(F.col("sets") / PART_SETS).cast("int").alias("deals"))
+    placed = tables.saved(placed.join(open_tokens, "token"))
+    rest = placed.where("component_id <> major").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("deals").cast("long")).cast("int"))
+    every = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    pairs = rest.alias("x").join(every.alias("y"), F.expr(f"x.token = y.token AND x.band = y.band AND x.part = y.part AND x.component_id <> y.component_id AND (y.component_id = y.major OR x.doc_id < y.doc_id) AND {_filters('x', 'y', percent)}"))
+    cross = tables.saved(pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     found = links_of(cross, reps, percent)
-    edges = linked.unionByName(found).unionByName(copies)
-    final = components(edges)
-    return sets.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = components(linked.unionByName(found).unionByName(copies))
+    return tables.last(sets.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
