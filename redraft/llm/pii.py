@@ -3,7 +3,7 @@
 The base finds, per kind, the leftmost non-overlapping matches of a pattern and
 drops those that fail the kind's check.  The field then looks at every stretch
 of text around digits and at signs.  A stretch is cut into tokens; candidate
-segments are runs of at most MOST_TOKENS tokens, scored for every kind by
+segments are runs of at most MOST_TOKENS tokens that could be of a kind, scored for every kind by
 features of the whole segment (shape, digits, checksum, separators, what stands
 next to it).  Dynamic programming over segments of bounded length picks
 boundaries and kinds together, so it finds what a greedy pattern spoils: a card
@@ -25,9 +25,10 @@ empty table gives no rows, and without training text nothing is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,11 @@ def _digits(s: str) -> str:
     return "".join(_DIGITS.findall(s))
 
 
+def _at_most_255(part: str) -> bool:
+    part = part.lstrip("0")  # before int, which refuses thousands of digits
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of local part and domain, found from their at signs, so that long words without one cost nothing."""
     free, at = 0, text.find("@")
@@ -89,7 +95,7 @@ def base_spans(text: str) -> list[Span]:
     if not _MARK.search(text):
         return []
     found = [(a, 0, b) for a, b in _emails(text)]
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_at_most_255(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             found.append((m.start(), 2, m.end()))
@@ -104,8 +110,9 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         a, b = m.start(), m.end()
         if b <= end - AROUND:
             continue
-        left = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), a - AROUND) + 1
-        right = min([x for x in (text.find(" ", b), text.find("\n", b)) if x >= 0] + [b + AROUND, len(text)])
+        near = max(0, a - AROUND)
+        left = max(text.rfind(" ", near, a), text.rfind("\n", near, a), a - AROUND) + 1
+        right = min([x for x in (text.find(" ", b, b + AROUND), text.find("\n", b, b + AROUND)) if x >= 0] + [b + AROUND, len(text)])
         left, right = max(0, min(left, a) - 1), min(len(text), right + 1)
         if left <= end:
             end = max(end, right)
@@ -122,7 +129,7 @@ def tokens(part: str) -> list[int]:
     return [0, *(m.end() for m in _TOKEN.finditer(part))]
 
 
-_CARD_SHAPE = re.compile(r"[0-9]+([\x20-]?[0-9]+)*\Z")
+_CARD_SHAPE = re.compile(r"[0-9]([\x20-]?[0-9])*\Z")
 _EVEN_CARD = re.compile(r"[0-9]{12,19}\Z|([0-9]{4}[\x20-]){3}[0-9]{1,7}\Z|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}\Z")
 _PHONE_SHAPE = re.compile(r"\+?[0-9(][\x20().0-9-]+[0-9]\Z")
 _GROUPED_PHONE = re.compile(r"(\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}\Z")
@@ -143,7 +150,7 @@ def features(s: str, before: str, after: str, n_tokens: int) -> list[int]:
         if _EMAIL_SHAPE.match(s):
             out.append(3)
     if _IP_SHAPE.match(s):
-        out.append(4 if all(int(p) <= 255 for p in s.split(".")) else 5)
+        out.append(4 if all(_at_most_255(p) for p in s.split(".")) else 5)
     if n and _CARD_SHAPE.match(s):
         out.append(6)
         if 12 <= n <= 19:
@@ -182,20 +189,26 @@ def features(s: str, before: str, after: str, n_tokens: int) -> list[int]:
 
 
 def candidates(part: str, before: str = " ", after: str = " ") -> tuple[list[int], list[tuple[int, int, list[int]]]]:
-    """Token bounds of a stretch, and its segments (first token, end token, features) that start and end at a letter, a digit or one of + and (."""
+    """Token bounds of a stretch, and its segments (first token, end token, features): those that start at a letter, a digit or one of + and (, end at a letter or digit, and could be of a kind: with an at sign, or without letters and with nine digits or three dots at least."""
     at = tokens(part)
     n = len(at) - 1
-    solid = [part[at[i]].isalnum() for i in range(n)]
-    opens = [solid[i] or part[at[i]] in "+(" for i in range(n)]
-    marked = [0]
+    digits, letters, signs, dots = [0], [0], [0], [0]
+    solid, opens = [], []
     for i in range(n):
-        marked.append(marked[-1] + bool(_MARK.search(part, at[i], at[i + 1])))
+        c, size = part[at[i]], at[i + 1] - at[i]
+        digit = c in "0123456789"
+        digits.append(digits[-1] + size * digit)
+        letters.append(letters[-1] + (c.isalnum() and not digit))
+        signs.append(signs[-1] + (c == "@"))
+        dots.append(dots[-1] + (c == "."))
+        solid.append(c.isalnum())
+        opens.append(solid[i] or c in "+(")
     out = []
     for i in range(n):
         if not opens[i]:
             continue
         for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-            if solid[j - 1] and marked[j] > marked[i]:
+            if solid[j - 1] and (signs[j] > signs[i] or letters[j] == letters[i] and (digits[j] - digits[i] >= 9 or dots[j] - dots[i] >= 3)):
                 s = part[at[i] : at[j]]
                 left = part[at[i] - 1] if i else before
                 right = part[at[j]] if j < n else after
@@ -240,10 +253,12 @@ def find_spans(text: str, weights: np.ndarray | None) -> tuple[list[Span], list[
     if weights is None or not _MARK.search(text):
         return base, []
     added, taken = [], sorted((a, b) for a, _, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for a, b in stretches(text):
         for s, k, e in decode(text[a:b], weights, text[a - 1 : a] or " ", text[b : b + 1] or " "):
             s, e = s + a, e + a
-            if not any(x < e and s < y for x, y in taken if y > a - 1 and x < b + 1):
+            before = bisect_left(starts, e)  # base spans that start before the end of this one
+            if not before or reach[before - 1] <= s:
                 added.append((s, k, e))
     return base, added
 
