@@ -7,12 +7,10 @@ stages whose operators need one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from redraft.llm import bpe, decontamination, exact_dedup, ngram_join, quality
-from redraft.llm.components import shared_folder
+from redraft.llm.components import Tables
 from redraft.llm.textblocks import table
 
 
@@ -60,11 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
+        # a stage's folder goes when the next one is written, the last when the result is saved
         docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{number}")
-            docs = spark.read.parquet(f"{folder}/{number}")
+        docs = tables.saved(docs, "stage") if number < len(STAGES) - 1 else tables.last(docs)
     return docs
