@@ -35,10 +35,12 @@ def replace_first(s: Column, old: Column | str, new: Column | str) -> Column:
     return F.when((at > 0) & (_col(old) != ""), F.overlay(s, _col(new), at, F.length(_col(old)))).otherwise(s)
 
 
-def replace_words(s: Column, old: str, new: str) -> Column:
+def replace_words(s: Column, old: Column | str, new: Column | str) -> Column:
     """Occurrences with no ASCII letter, digit or underscore next to them."""
-    found = rf"(?<![A-Za-z0-9_]){re.escape(old)}(?![A-Za-z0-9_])"
-    return F.regexp_replace(s, found, new.replace("\\", "\\\\").replace("$", "\\$"))
+    if isinstance(old, str) and isinstance(new, str):
+        return F.regexp_replace(s, rf"(?<![A-Za-z0-9_]){re.escape(old)}(?![A-Za-z0-9_])", new.replace("\\", "\\\\").replace("$", "\\$"))
+    found = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), _col(old), F.lit(r"\E(?![A-Za-z0-9_])"))
+    return F.regexp_replace(s, found, F.replace(F.replace(_col(new), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))
 
 
 def contains_any(s: Column, parts: Column) -> Column:
@@ -109,9 +111,9 @@ def without_escapes(line: Column) -> Column:
     return F.regexp_replace(line, "\x1b\\[[0-9;]*[A-Za-z]", "")
 
 
-def without_annotation(line: Column, name: str) -> Column:
+def without_annotation(line: Column, name: Column | str) -> Column:
     """A trimmed line without @name and its arguments on that line."""
-    return F.trim(F.regexp_replace(line, rf"@{re.escape(name)}(?![A-Za-z0-9_])(\s*\([^)]*\))?", ""))
+    return F.trim(F.regexp_replace(line, F.concat(F.lit(r"@\Q"), _col(name), F.lit(r"\E(?![A-Za-z0-9_])(\s*\([^)]*\))?")), F.lit("")))
 
 
 def _closing_brace(s: Column) -> Column:

@@ -63,7 +63,21 @@ def range_bounds(spec: Column) -> Column:
     return F.when(spec.rlike(shape), _let(_let(named, ends), bounds))
 
 
+def range_sets(spec: Column) -> Column:
+    """The alternatives of a range (between ||) as (lower, upper): what all of an alternative's comparisons allow; `a - b` is from a to b; null for one that cannot be read."""
+
+    def alternative(text: Column) -> Column:
+        ends = F.split(text, r"\s+-\s+")
+        plain = F.regexp_replace(F.when(F.size(ends) == 2, F.concat(F.lit(">="), F.trim(ends[0]), F.lit(" <="), F.trim(ends[1]))).otherwise(text), r"([\^~<>=])\s+", "$1")
+        words = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
+        bounds = F.transform(F.when(F.size(words) == 0, F.array(F.lit("*"))).otherwise(words), range_bounds)
+        both = F.struct(F.array_max(F.transform(bounds, lambda b: b["lower"])).alias("lower"), F.array_min(F.transform(bounds, lambda b: b["upper"])).alias("upper"))
+        return F.when(~F.exists(bounds, lambda b: b.isNull()), both)
+
+    return F.transform(F.split(spec, r"\|\|"), alternative)
+
+
 def range_allows(required: Column, consumer: Column) -> Column:
-    """Whether the required range allows all that the consumer's range allows; false if either cannot be read."""
-    r, c = range_bounds(required), range_bounds(consumer)
-    return F.coalesce((r["lower"] <= c["lower"]) & (c["upper"] <= r["upper"]), F.lit(False))
+    """Whether the required range allows all that the consumer's range allows: each of its alternatives lies in one of the required; false if it cannot be read."""
+    inside = lambda c, r: F.coalesce((r["lower"] <= c["lower"]) & (c["upper"] <= r["upper"]), F.lit(False))
+    return F.coalesce(_let(range_sets(required), lambda rs: F.forall(range_sets(consumer), lambda c: F.exists(rs, lambda r: inside(c, r)))), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redraft.functions.text import replace_all, replace_first
@@ -23,18 +23,22 @@ def settled(edits: DataFrame) -> DataFrame:
 
     Of edits with the same old text the first stays.  An old text that lies in another edit's old text
     stays only if it and every edit that stays and contains it replace all occurrences.
-    Candidates meet on (file, line), so what is compared is bounded by the edits of one line.
+    The edits of a line, a few whatever the corpus, are gathered once and compared as an array: the input is read once and shuffled once.
     """
-    firsts = edits.groupBy(*_LINE, "old_text").agg(F.min("seq").alias("first_seq"), F.min(F.when(F.col("replace_all"), F.col("seq"))).alias("first_all"))
-    pairs = firsts.alias("x").join(firsts.alias("y"), [*_LINE]).where("x.old_text <> y.old_text and contains(y.old_text, x.old_text)")
-    inner = pairs.select(*_LINE, F.col("x.old_text").alias("old_text"), F.col("y.old_text").alias("outer_text"))
-    nested = inner.select(*_LINE, "old_text").distinct()
-    outermost = firsts.join(nested, [*_LINE, "old_text"], "left_anti").select(*_LINE, "old_text", F.col("first_seq").alias("seq"))
-    kept = edits.join(outermost, [*_LINE, "old_text", "seq"], "left_semi")
-    blockers = kept.where("not replace_all").select(*_LINE, F.col("old_text").alias("outer_text"))
-    blocked = inner.join(blockers, [*_LINE, "outer_text"], "left_semi").select(*_LINE, "old_text").distinct()
-    free = firsts.join(nested, [*_LINE, "old_text"], "left_semi").join(blocked, [*_LINE, "old_text"], "left_anti").where("first_all is not null").select(*_LINE, "old_text", F.col("first_all").alias("seq"))
-    return edits.join(outermost.unionByName(free), [*_LINE, "old_text", "seq"], "left_semi")
+    rest = [c for c in edits.columns if c not in _LINE]
+    own = edits.groupBy(*_LINE).agg(F.collect_list(F.struct(*rest)).alias("edits"))
+    same = lambda x, y: x["old_text"] == y["old_text"]
+    within = lambda x, y: (x["old_text"] != y["old_text"]) & F.contains(y["old_text"], x["old_text"])
+
+    def placed(x: Column) -> Column:
+        earlier = lambda y: same(x, y) & (y["seq"] < x["seq"])
+        return F.struct(x.alias("edit"), F.exists("edits", lambda y: within(x, y)).alias("nested"), (~F.exists("edits", earlier)).alias("first"), (~F.exists("edits", lambda y: earlier(y) & y["replace_all"])).alias("first_of_all"))
+
+    marked = own.select(*_LINE, F.transform("edits", placed).alias("edits"))
+    marked = marked.withColumn("blockers", F.filter("edits", lambda y: ~y["nested"] & y["first"] & ~y["edit"]["replace_all"]))
+    free = lambda x: x["edit"]["replace_all"] & x["first_of_all"] & ~F.exists("blockers", lambda y: within(x["edit"], y["edit"]))
+    stay = F.transform(F.filter("edits", lambda x: F.when(x["nested"], free(x)).otherwise(x["first"])), lambda x: x["edit"])
+    return marked.select(*_LINE, F.explode(stay).alias("e")).select(*[c if c in _LINE else F.col(f"e.{c}").alias(c) for c in edits.columns])
 
 
 def subsumed(edits: DataFrame) -> DataFrame:
@@ -76,6 +80,11 @@ def apply_edits(edits: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.join(changed, _LINE, "left").select("file", "line", F.coalesce("after", "text").alias("text"), F.col("after").isNotNull().alias("changed"))
 
 
+def endings(texts: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """(file, ending): what stands behind the last line of each text: CR LF, LF or nothing."""
+    return texts.select(F.col(file_col).alias("file"), F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"(\r?\n)?\z", 0).alias("ending"))
+
+
 def rebuilt_files(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(file, text) from lines; ends gives (file, ending), which goes after the last line."""
     rows = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
@@ -83,14 +92,17 @@ def rebuilt_files(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
 
 
 def diff_hunks(edits: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:
-    """(file, line, first_line, n_lines, hunk): one preview hunk for each changed line with the lines around it as they become."""
-    every = apply_edits(edits, lines).join(lines.withColumnRenamed("text", "before"), _LINE)
-    near = Window.partitionBy("file").orderBy("line")
-    span = near.rowsBetween(-around, around)
-    shown = F.when(F.col("changed"), F.concat(F.lit("-"), F.col("before"), F.lit("\n+"), F.col("text"))).otherwise(F.concat(F.lit(" "), F.col("text")))
-    rows = every.select("file", "line", "changed", F.collect_list(F.struct("line", shown.alias("s"))).over(span).alias("all"))
+    """(file, line, first_line, n_lines, hunk): one preview hunk for each changed line with the lines around it as they become.
+
+    Only changed lines are spread over the numbers around them, so what moves is their surroundings, not the corpus.
+    """
+    changed = changed_lines(edits, lines)
+    spread = changed.select("file", F.col("line").alias("at"), F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("line")).where("line >= 1")
+    near = spread.join(lines, _LINE).join(changed.select("file", "line", "after"), _LINE, "left")
+    shown = F.when(F.col("after").isNotNull(), F.concat(F.lit("-"), "text", F.lit("\n+"), "after")).otherwise(F.concat(F.lit(" "), "text"))
+    hunks = near.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("line", shown.alias("s")))).alias("all"))
     body = F.array_join(F.transform("all", lambda x: x["s"]), "\n")
-    return rows.where("changed").select("file", "line", F.col("all")[0]["line"].alias("first_line"), F.size("all").alias("n_lines"), body.alias("hunk"))
+    return hunks.select("file", F.col("at").alias("line"), F.col("all")[0]["line"].alias("first_line"), F.size("all").alias("n_lines"), body.alias("hunk"))
 
 
 def blank_repeated_imports(lines: DataFrame, prefix: str = "import ") -> DataFrame:

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 MOST_ROUNDS = 1000
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Behind a checkpoint in the shared folder that the session names; one of its own where that is unset."""
+def saved(df: DataFrame) -> DataFrame:
+    """Behind a checkpoint in the shared folder that the session names; where that is unset, as in tests, a local session gets one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
@@ -24,17 +29,25 @@ def dependents(edges: DataFrame, target: str) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, target: str) -> DataFrame:
-    """(node, depth): all that depend on the target, at the least distance; the target itself is never passed through.
+    """(node, depth): all that depend on the target, at the least distance; the target itself is never passed through."""
+    one = edges.select(F.lit("").alias("file"), "child", "parent")
+    targets = edges.sparkSession.createDataFrame([("", target)], "file string, target string")
+    return ancestors_of(one, targets).select("node", "depth")
+
+
+def ancestors_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(file, target, node, depth): in each file's edges (file, child, parent) all that depend on the targets (file, target), at the least distance.
 
-    Each round joins only the new nodes with the edges and drops those seen before; cycles end by that.
+    Each round joins only the new nodes with the edges and drops those seen before; cycles end by that, and a target is never passed through.
     """
-    edges = edges.where("child <> parent").where(F.col("parent") != target).distinct()
-    frontier = _saved(dependents(edges, target).select("node", F.lit(1).alias("depth")))
+    edges = saved(edges.where("child <> parent").select("file", "child", "parent").distinct())
+    keys = ["file", "target", "node"]
+    frontier = saved(targets.select("file", "target", F.col("target").alias("node")).distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    for depth in range(2, MOST_ROUNDS):
-        new = frontier.join(edges, F.col("node") == F.col("child")).select(F.col("parent").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = _saved(new.select("node", F.lit(depth).alias("depth")))
+    for depth in range(1, MOST_ROUNDS):
+        new = frontier.join(edges.withColumnRenamed("child", "node"), ["file", "node"]).select("file", "target", F.col("parent").alias("node")).distinct().join(seen.select(*keys), keys, "left_anti")
+        frontier = saved(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = _saved(seen.unionByName(frontier))
+            return seen.where("depth > 0")
+        seen = saved(seen.unionByName(frontier))
     raise RuntimeError("too many rounds")

@@ -6,6 +6,8 @@ report, a lock file or a manifest, Spark derives one from their rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -172,7 +174,8 @@ FROM agg"""
 )
 def import_path_scan(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return planning.import_changes(lines.where("length(text) < 80").select("file", "line"), lines, "the ", "of ")
+    found = planning.import_changes(lines.where("length(text) < 80").select("file", "line", F.lit("the ").alias("old_text"), F.lit("of ").alias("new_text")), lines)
+    return found.select("file", "incident_line", "outcome", "line")
 
 
 @query(
@@ -411,7 +414,8 @@ def manifest_update(spark, sf_dir):
     v = F.when(n == "4", "^9.9.9").otherwise(F.concat(F.lit("^"), n, F.lit(".0.0")))
     text = F.concat(F.lit('{\n  "name": "'), "s_name", F.lit('",\n  "p2": "no",\n  "dependencies": {\n    "p1": "1.0.0",\n    "p2": "'), v, F.lit('"\n  },\n  "devDependencies": {\n    "p2": "1"\n  }\n}\n'))
     lines = readers.source_lines(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), text.alias("text")))
-    return planning.manifest_updates(lines, "p2", "^9.9.9").select("file", "line", F.md5(F.col("new_text").cast("binary")).alias("h"))
+    wanted = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("file"), F.lit("p2").alias("package"), F.lit("^9.9.9").alias("version"))
+    return planning.manifest_changes(wanted, lines).where("reason is null").select("file", "line", F.md5(F.col("new_text").cast("binary")).alias("h"))
 
 
 def _locks(spark, sf_dir, entry):
@@ -464,7 +468,8 @@ def fix_block_parse(spark, sf_dir):
 def java_rename(spark, sf_dir):
     text = F.concat(F.lit("import org.alt.Old;\nclass Olden {}\nnew Old("), F.col("p_size").cast("string"), F.lit(") Olden\n"))
     lines = readers.source_lines(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), text.alias("text")))
-    return planning.java_renames(lines, "org.alt.Old", "org.neu.Fresh").select("file", "line", "new_text")
+    incidents = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("file"), F.lit("org.alt.Old").alias("old_name"), F.lit("org.neu.Fresh").alias("new_name"))
+    return planning.java_renames(incidents, lines).select("file", "line", "new_text")
 
 
 @query("SELECT p_partkey AS file, 1 AS line, 'public ' || p_name AS new_text FROM part WHERE p_partkey % 2 = 0")
@@ -580,7 +585,7 @@ def registry_latest(spark, sf_dir):
     need = F.when(d != 0, F.create_map(F.lit("core"), F.concat(F.lit("^"), (d + 2).cast("string"), F.lit(".0.0"))))
     registry = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), version.alias("version"), F.when(d > 2, need).alias("dependencies"), F.when(d <= 2, need).alias("peerDependencies"))
     wanted = registry.select("package").distinct().select("package", F.lit("core").alias("dependency"), F.lit(5).alias("major"))
-    return pl.latest_compatible(registry, wanted)
+    return pl.latest_compatible(registry, wanted).select("package", "latest")
 
 
 @query(f"WITH {LINES}, a AS (SELECT file, line, replace(replace(text, 'tion', 'TION'), 'the', 'THE') AS t FROM lines) SELECT file, md5(string_agg(t, chr(10) ORDER BY line)) AS h FROM a GROUP BY file")
@@ -597,9 +602,9 @@ SELECT late AS timed_out, 'u' || user_id AS file, string_agg(DISTINCT event_type
 def retry_entries(spark, sf_dir):
     bad = F.col("event_type").isin("error", "click") & (F.col("value") > 20)
     results = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_type").alias("rule_id"), (~bad).alias("ok"), (F.col("event_type") == "error").alias("timed_out"), F.lit(None).cast("string").alias("error"))
-    read = pl.retry_list(results).select(F.from_json("text", "struct<timed_out:array<struct<file:string,rule_ids:array<string>>>,failed:array<struct<file:string,rule_ids:array<string>>>>").alias("r"))
-    part = lambda name, late: read.select(F.lit(late).alias("timed_out"), F.explode(f"r.{name}").alias("x")).select("timed_out", "x.file", F.array_join("x.rule_ids", ",").alias("rule_ids"))
-    return part("timed_out", True).unionByName(part("failed", False))
+    text = "struct<timed_out:array<struct<file:string,rule_ids:array<string>>>,failed:array<struct<file:string,rule_ids:array<string>>>>"
+    read = pl.retry_list(results).select(F.from_json("text", text).alias("r")).select(F.col("r.timed_out").isNotNull().alias("timed_out"), F.coalesce("r.timed_out", "r.failed")[0].alias("x"))
+    return read.select("timed_out", "x.file", F.array_join("x.rule_ids", ",").alias("rule_ids"))
 
 
 @query(
@@ -653,7 +658,8 @@ def manifest_insert(spark, sf_dir):
     dev = F.when(F.col("s_suppkey") % 2 == 0, ',\n  "devDependencies": {\n    "d": "1"\n  }').otherwise("")
     text = F.concat(F.lit('{\n  "dependencies": {\n    "p1": "1.0.0"\n  }'), dev, F.lit("\n}\n"))
     lines = readers.source_lines(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), text.alias("text")))
-    return planning.manifest_inserts(lines, "new", "^3").select("file", "line", "new_text")
+    wanted = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("file"), F.lit("new").alias("package"), F.lit("^3").alias("version"))
+    return planning.manifest_changes(wanted, lines).where("reason is null").select("file", "line", "new_text")
 
 
 @query(
@@ -689,3 +695,66 @@ def family_text(spark, sf_dir):
     families = nations.join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_regionkey < 3").select(F.concat(F.lit("family:F"), F.col("n_regionkey").cast("string")).alias("rule_id"), entry.alias("entry"))
     asked = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("F"), F.col("s_nationkey").cast("string")).alias("family"), F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("message"))
     return pl.with_family(asked, families).select("s_suppkey", "message")
+
+
+#: Strategies of the reports below; rules without an entry go by their labels, else to a model.
+_PLAN_RULES = {
+    "all": {"strategy": "Rename", "mappings": [{"from": "the", "to": "THE"}, {"from": "same", "to": "same"}]}, "near": {"strategy": "Rename", "from": "tion", "to": "TION"},
+    "css": {"strategy": "CssVariablePrefix", "from": "of", "to": "OF", "exclude_patterns": ["de"]}, "talk": {"strategy": "LlmAssisted", "component": "C"},
+}
+
+
+def _plan(spark, sf_dir):
+    """The plan of reports with an incident or two for every document: by doc_id modulo 5 a rename all over the file, one near a line, an attribute, a style prefix, or a request."""
+    docs = _table(spark, sf_dir, "documents")
+    k, number, tests = F.col("doc_id") % 5, F.col("doc_id").cast("string"), F.col("doc_id") % 10 == 9
+    one = lambda rule, line, label, names, when: F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(line).alias("line"), F.lit(label).alias("label"), names.alias("variables")))
+    named = lambda name, value: F.map_from_arrays(F.array(F.lit(name)), F.array(value))
+    found = F.array(
+        one("all", 1, "", named("importedName", F.lit("the")), k == 0), one("near", 2, "", named("propName", F.lit("zz")), k == 1), one("prop", 1, "change-type=prop-removal", named("propName", F.lit("zzz")), k == 2),
+        one("css", 1, "", named("className", F.col("lang")), k == 3), one("dead", 1, "change-type=css-dead-class", named("className", F.col("lang")), (k == 3) & (F.col("lang") == "fr")),
+        one("talk", 3, "", named("propName", F.lit("q")), (k == 4) & ~tests), one("tests", 3, "change-type=test-impact", named("propName", F.lit("q")), (k == 4) & tests),
+    )
+    rows = docs.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i"))
+    incident = F.struct(F.concat(F.lit("file:///r/"), number, F.lit(".tsx")).alias("uri"), F.col("i.line").alias("lineNumber"), F.concat(F.lit("ask "), number).alias("message"), F.col("i.variables").alias("variables"))
+    rules = rows.groupBy((F.col("doc_id") % 64).alias("report"), F.col("i.rule").alias("rule")).agg(F.struct(F.array(F.max("i.label")).alias("labels"), F.collect_list(incident).alias("incidents")).alias("v"))
+    sets = rules.groupBy("report").agg(F.to_json(F.array(F.struct(F.lit("s").alias("name"), F.map_from_entries(F.collect_list(F.struct("rule", "v"))).alias("violations")))).alias("text"))
+    strategies = readers.strategies(spark.createDataFrame([(0, json.dumps(_PLAN_RULES))], "file_ix int, text string"))
+    lines = _lines(spark, sf_dir).withColumn("file", F.concat(F.lit("/r/"), F.col("file").cast("string"), F.lit(".tsx")))
+    return pl.plan(readers.findings(sets.select(F.col("report").alias("file"), "text")), strategies, lines, "/r")
+
+
+_PLANNED = f"""{LINES}, d AS (SELECT doc_id, lang, doc_id % 5 AS k, doc_id % 10 = 9 AS tests, '/r/' || doc_id || '.tsx' AS name FROM documents),
+edited AS (SELECT name, doc_id, line, CASE k WHEN 0 THEN 'the' WHEN 1 THEN 'tion' ELSE 'of' END AS old_text FROM lines JOIN d ON doc_id = file
+  WHERE (k = 0 AND contains(text, 'the')) OR (k = 1 AND line <= 6 AND contains(text, 'tion')) OR (k = 3 AND lang NOT IN ('de', 'fr') AND line <= 5 AND contains(text, 'of'))),
+by_hand AS (SELECT name, CASE k WHEN 3 THEN 'css' ELSE 'tests' END AS rule_id, CASE k WHEN 3 THEN 1 ELSE 3 END AS line, CASE WHEN k = 4 THEN 'Only tests are touched, and there are none. ' WHEN lang = 'de' THEN 'Class de was removed. ' ELSE 'Class fr does not exist any more. ' END || 'ask ' || doc_id AS message
+  FROM d WHERE (k = 3 AND lang IN ('de', 'fr')) OR (k = 4 AND tests)),
+asked AS (SELECT name, CASE k WHEN 3 THEN 'dead' ELSE 'talk' END AS rule_id, CASE k WHEN 3 THEN 1 ELSE 3 END AS line, 'ask ' || doc_id || chr(10) || chr(10) || 'Incident:' || chr(10) ||
+  CASE k WHEN 3 THEN 'className: fr' ELSE 'propName: q' || chr(10) || chr(10) || 'Strategy:' || chr(10) || 'Strategy: LlmAssisted' || chr(10) || 'Component: C' END AS message FROM d WHERE (k = 3 AND lang = 'fr') OR (k = 4 AND NOT tests)),
+missed AS (SELECT name, CASE k WHEN 0 THEN 'all' WHEN 1 THEN 'near' WHEN 2 THEN 'prop' ELSE 'css' END AS rule_id, CASE WHEN k = 2 AND doc_id NOT IN (SELECT file FROM lines) THEN 'line_out_of_bounds' ELSE 'text_not_found' END AS reason
+  FROM d WHERE k < 4 AND NOT (k = 3 AND lang IN ('de', 'fr')) AND doc_id NOT IN (SELECT doc_id FROM edited))"""
+
+
+@query(f"WITH {_PLANNED} SELECT name AS file, CAST(line AS INT) AS line, old_text, upper(old_text) AS new_text FROM edited")
+def plan_edits(spark, sf_dir):
+    return _plan(spark, sf_dir).edits.select("file", "line", "old_text", "new_text")
+
+
+@query(f"WITH {_PLANNED} SELECT name AS file, rule_id, line, message FROM by_hand")
+def plan_manual(spark, sf_dir):
+    return _plan(spark, sf_dir).manual.select("file", "rule_id", "line", "message")
+
+
+@query(f"WITH {_PLANNED} SELECT name AS file, rule_id, line, message FROM asked")
+def plan_pending(spark, sf_dir):
+    return _plan(spark, sf_dir).pending.select("file", "rule_id", "line", "message")
+
+
+@query(f"WITH {_PLANNED} SELECT name AS file, rule_id, reason FROM missed")
+def plan_skipped(spark, sf_dir):
+    return _plan(spark, sf_dir).skipped.select("file", "rule_id", "reason")
+
+
+@query(f"WITH {_PLANNED} SELECT count(*) AS pattern_edits, count(DISTINCT name) AS pattern_fixes, count(DISTINCT name) AS files_with_fixes, 0 AS edits_subsumed, (SELECT count(*) FROM by_hand) AS manual_review, (SELECT count(*) FROM asked) AS pending, (SELECT count(*) FROM missed) AS skipped FROM edited")
+def plan_summary(spark, sf_dir):
+    return pl.summary(_plan(spark, sf_dir)).drop("json")

@@ -13,6 +13,9 @@ FINDINGS = (
 )
 STRATEGY = (
     "struct<strategy:string, `from`:string, `to`:string, component:string, prop:string, replacement:string, package:string, new_version:string, old_package:string, exclude_patterns:array<string>, "
+    "target_structure:string, retained_props:array<string>, prop_to_child:map<string,string>, unmapped_removed_props:map<string,string>, child_props_to_parent:map<string,string>, removed_children:array<string>, "
+    "new_imports:array<string>, import_source:string, removed_imports:array<string>, prop_value_changes:map<string,array<struct<`from`:string,`to`:string>>>, prop_type_changes:map<string,array<struct<`from`:string,`to`:string>>>, "
+    "deprecated_migration:struct<old_package:string, new_package:string, matching_props:array<struct<old_name:string, new_name:string, old_type:string, new_type:string, type_changed:boolean>>, new_props:map<string,string>, removed_props:array<string>>, "
     "mappings:array<struct<`from`:string, `to`:string, component:string, prop:string>>, member_mappings:array<struct<old_name:string,new_name:string>>, removed_members:array<string>>"
 )
 
@@ -29,12 +32,13 @@ def source_lines(texts: DataFrame, file_col: str = "file", text_col: str = "text
 
 
 def findings(reports: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per incident of JSON reports, with the ordinals that order them; snake and camel case names are both read."""
-    sets = reports.select(F.posexplode(F.from_json(F.col(text_col), FINDINGS)).alias("ruleset_ix", "s"))
-    rules = sets.select("ruleset_ix", F.col("s.name").alias("ruleset"), F.explode("s.violations").alias("rule_id", "v"))
-    rows = rules.select("ruleset_ix", "ruleset", "rule_id", F.coalesce("v.labels", F.array().cast("array<string>")).alias("labels"), F.posexplode("v.incidents").alias("incident_ix", "i"))
+    """One row per incident of JSON reports (file, text), with the report and the ordinals that order them; snake and camel case names are both read."""
+    report = F.col("file").cast("string") if "file" in reports.columns else F.lit("")
+    sets = reports.select(report.alias("report"), F.posexplode(F.from_json(F.col(text_col), FINDINGS)).alias("ruleset_ix", "s"))
+    rules = sets.select("report", "ruleset_ix", F.col("s.name").alias("ruleset"), F.explode("s.violations").alias("rule_id", "v"))
+    rows = rules.select("report", "ruleset_ix", "ruleset", "rule_id", F.coalesce("v.labels", F.array().cast("array<string>")).alias("labels"), F.posexplode("v.incidents").alias("incident_ix", "i"))
     return rows.select(
-        "ruleset_ix", "ruleset", "rule_id", "labels", "incident_ix",
+        "report", "ruleset_ix", "ruleset", "rule_id", "labels", "incident_ix",
         F.coalesce("i.uri", "i.fileUri", "i.file_uri").alias("file_uri"), F.coalesce("i.lineNumber", "i.line_number").alias("line"),
         F.col("i.message").alias("message"), F.coalesce("i.codeSnip", "i.code_snip").alias("code_snip"), F.col("i.variables").alias("variables"),
     )

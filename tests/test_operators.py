@@ -68,11 +68,11 @@ def test_inserts_and_repeats(spark):
 
 def test_import_paths(spark):
     text = "import { a } from 'old/x';\nimport {\n  b,\n  c,\n} from 'old/y';\nuse(b);\nimport d from 'new/old/z';\nexport {\n  e\n} from 'other';"
-    inc = spark.createDataFrame([("f", n) for n in (1, 3, 4, 7, 9, 40)], "file string, line int")
-    got = {r["incident_line"]: (r["outcome"], r["line"]) for r in planning.import_changes(inc, lines(spark, text), "old/", "new/").collect()}
+    inc = spark.createDataFrame([("f", n, "old/", "new/") for n in (1, 3, 4, 7, 9, 40)], "file string, line int, old_text string, new_text string")
+    got = {r["incident_line"]: (r["outcome"], r["line"]) for r in planning.import_changes(inc, lines(spark, text)).collect()}
     assert got == {1: ("edit", 1), 3: ("edit", 5), 4: ("edit", 5), 7: ("already_migrated", None), 9: ("text_not_found", None), 40: ("line_out_of_bounds", None)}
     plain = lines(spark, "x = b;\ny = 1;")
-    assert planning.import_changes(inc.where("line = 1"), plain, "old/", "new/").first()["outcome"] in ("not_in_import_block", "text_not_found")
+    assert planning.import_changes(inc.where("line = 1"), plain).first()["outcome"] in ("not_in_import_block", "text_not_found")
 
 
 def test_strategies(spark):
@@ -120,8 +120,9 @@ def test_lock_files(spark):
 def test_manifests(spark):
     text = '{\n  "x": {\n    "p": "9"\n  },\n  "dependencies": {\n    "p": "1.0.0",\n    "q": "2"\n  }\n}'
     assert planning.dependency_blocks(lines(spark, text)).collect() == [("f", "dependencies", 5, 8)]
-    r = planning.manifest_updates(lines(spark, text), "p", "^2.0.0").first()
-    assert (r["line"], r["new_text"]) == (6, '    "p": "^2.0.0",')
+    wanted = spark.createDataFrame([(1, "f", "p", "^2.0.0"), (2, "f", "q", ">=2"), (3, "f", "z", "1"), (4, "f", "y", "7"), (5, "none", "p", "1")], "seq int, file string, package string, version string")
+    got = {r["seq"]: (r["line"], r["new_text"], r["reason"]) for r in planning.manifest_changes(wanted, lines(spark, text)).collect()}
+    assert got == {1: (6, '    "p": "^2.0.0",', None), 2: (7, None, "version_already_compatible"), 3: (7, '    "q": "2",\n    "z": "1",\n    "y": "7"', None), 4: (7, None, "merged"), 5: (None, None, "package_json_not_found")}
     rows = readers.manifest_dependencies(spark.createDataFrame([("f", text), ("g", "not json")], "file string, text string"))
     assert sorted((r["section"], r["name"]) for r in rows.collect()) == [("dependencies", "p"), ("dependencies", "q")]
     paths = spark.createDataFrame([("/a/b/c/x.js",), ("/a/y.js",), ("/z/y.js",)], "path string")
