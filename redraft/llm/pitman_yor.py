@@ -1,25 +1,27 @@
-"""Hierarchical Pitman-Yor language model (operator 9).
-
-A text's tokens are its words, A-Z in lower case, and one end.  The model is of
-order two: the customers of a context restaurant are the training tokens that
-follow its context, the one previous word or the start of a text.  A restaurant
-is known by 56 bits of its word's hash, so their number grows with the
-vocabulary.  All of them share the root restaurant of single words as parent:
-each table of theirs is a customer there, and the root's own tables draw from a
-uniform base of the vocabulary and one unknown word.
-
-Tokens go, packed, to key ranges of words and stay there (one shuffle, read twice).
-Totals of contexts are summed by the key ranges of contexts, their owners, and come
-back to those key ranges of words that asked; a key range sends one number for each of
-its contexts, so that a frequent context is no more to its owner than any other:
-  1. count: customers and pairs of every context, words and tokens in all;
-  2. sample: Gibbs sweeps over the Chinese-restaurant seatings.  A sweep takes all customers
-     of a word in a context up and seats them again, given the rest; tables of contexts and
-     of the root are summed between sweeps.  Only pairs with two customers or more travel
-     from sweep to sweep, as the table of a single customer is always one;
+"""Hierarchical Pitman-Yor language model of order three (operator 9).
+
+A text's tokens are its words, A-Z in lower case, and one end.  The customers of a
+pair restaurant (v, u) are the training tokens that follow the words v u; its parent
+is the word restaurant (u), which all pairs ending in u share, and the parent of all
+word restaurants is the root of single words, whose tables draw from a uniform base
+of the vocabulary and one unknown word.  Every table is a customer of the parent.
+Words are known by 48 bits of their hash; every context has a restaurant of its own.
+
+Tokens go, packed, to key ranges of u (one shuffle, read twice), so that pair and word
+restaurants have all their dishes in one task.  Words u that are more than an even key
+range are dealt out by v; their word restaurants, and the root, are kept by owners of
+words, at most OWNERS tasks, to whom the key ranges send numbers:
+  1. count: customers of every restaurant and word; what the sampler needs of a key
+     range, its dishes of two customers or more, is sent to itself once and read by
+     every sweep;
+  2. sample: Gibbs sweeps over the Chinese-restaurant seatings.  A dish's customers get up
+     and sit down again together: their number of tables is drawn from its law given the
+     tables of all other dishes.  The other dishes enter by a gamma variable of the
+     restaurant, given which its dishes are independent, so all of them are drawn
+     side by side; the parent enters by the chances that it gives one new customer
+     after another.  First pairs, then words, then the root; numbers go from key ranges
+     to owners and back between sweeps, and those of the last exchange hold within one;
   3. score: the kept samples give the predictive probability of every token; their mean is the model's.
-Words that are more than a fair share of a key range are dealt out by context too,
-and their root totals travel with the numbers of the whole.
 
 Results for odd input: a null or empty text is one end; rows without an id are
 left out; rows that repeat an id are added up as one text; an empty table gives
@@ -32,38 +34,42 @@ import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from redraft.llm import textblocks as tb
 
-WORD_BYTES = 6
-CONTEXT_BYTES = 7
-#: The context of the first token of a text.
-START = np.uint64(0x00FE_DCBA_9876_5432)
-END = np.uint64(0x0123_4567_89AB_CDEF)
-_LOW56 = np.uint64((1 << 56) - 1)
 _LOW48 = np.uint64((1 << 48) - 1)
-
-_TOKENS = "shard int, ids binary, held binary, counts binary, words binary, contexts binary, word_at binary, context_at binary"
-#: What key ranges send each other; OFFER and ANSWER have numbers of contexts, WHOLE those of the whole model, STATE stays with its key range.
-_MAIL = "to int, kind int, shard int, contexts binary, sums binary"
-STATE, OFFER, ANSWER, WHOLE = range(4)
-_BACK = "bucket int, train_tokens long, ids binary, numbers binary, sums binary"
+#: The word before the first of a text, and the one behind the last.
+START = np.uint64(0xDCBA_9876_5432)
+END = np.uint64(0x89AB_CDEF_0123)
+#: Most tasks that keep the root and the restaurants of words that are dealt out.
+OWNERS = 64
+#: Bytes of text whose tokens are packed together, and how many frequent words lead those of a row.
+PACK_BYTES, FEW = 36 << 20, 255
+#: Customers up to which numbers of tables have their law from the recursion; beyond it, from the law that it approaches.
+EXACT = 1024
+
+_TOKENS = "shard int, ids binary, held binary, counts binary, words binary, places binary"
+#: What key ranges and owners send each other.
+_MAIL = "to int, kind int, shard int, data binary"
+FIXED, ASK, TELL, SEATS, OWN, PLACES, HELD = range(7)
+_BACK = "bucket int, train_tokens long, first long, numbers binary, sums binary"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Discounts and strengths of context and root restaurants, sweeps before the first sample, samples, and the held-out remainder."""
+    """Discounts and strengths of root, word and pair restaurants, sweeps before the first sample, samples, and the held-out remainder."""
 
-    discount: float = 0.75
-    strength: float = 1.0
-    root_discount: float = 0.8
-    root_strength: float = 1.0
-    burn_in: int = 4
+    discounts: tuple[float, float, float] = (0.75, 0.75, 0.75)
+    strengths: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    burn_in: int = 3
     samples: int = 3
     modulus: int = 7
     held_out: int = 2
@@ -74,418 +80,538 @@ def held(doc_id: int, m: Model) -> bool:
     return zlib.crc32(str(doc_id).encode()) % m.modulus == m.held_out
 
 
+# packing
+
+
+_zip, _unzip = ZstdCompressor(level=1), ZstdDecompressor()
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, in the least width each, all low bytes first."""
+    out = []
+    for a in map(np.asarray, arrays):
+        kind = np.min_scalar_type(int(a.max()) if a.size else 0)
+        flat = np.ascontiguousarray(a.astype(kind, copy=False).ravel())
+        out.append((a.shape, kind.str, flat.view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()))
+    return _zip.compress(pickle.dumps(out, 5))
+
+
+def unpacked(b: bytes, wide: bool = True) -> list[np.ndarray]:
+    def array(shape: tuple, kind: str, x: bytes) -> np.ndarray:
+        a = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(shape)
+        return a.astype(np.int64) if wide else a
+
+    return [array(*x) for x in pickle.loads(_unzip.decompress(b))]
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences, which pack well; np.cumsum gives them back."""
+    return np.diff(a, prepend=0)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+# tokens
+
+
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word hash and context of every token of a batch."""
+    """Row and word hash of every token of a batch, and at which token each row begins."""
     data, bounds = tb.texts_of(batch["text"])
-    rows, words, contexts = [], [], []
+    rows, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for a, b in tb.pieces(bounds):
         part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         starts, ends, first = tb.words(part, own)
         n = np.diff(first)
-        row = np.repeat(np.arange(b - a), n + 1)
-        w = np.full(len(row), END, np.uint64)
-        at = tb.runs(n + 1)
-        w[tb.ranges(at[:-1], n)] = tb.word_hashes(part, starts, ends)
-        u = np.full(len(row), START, np.uint64)
-        u[1:] = w[:-1] & _LOW56
-        u[at[:-1]] = START
-        rows.append(row + a)
+        w = np.full(len(starts) + b - a, END, np.uint64)
+        w[tb.ranges(tb.runs(n + 1)[:-1], n)] = tb.word_hashes(part, starts, ends) & _LOW48
+        rows.append(np.repeat(np.arange(a, b), n + 1))
         words.append(w)
-        contexts.append(u)
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(rows, np.int64), join(words, np.uint64), join(contexts, np.uint64)
+    row = np.concatenate(rows)
+    return row, np.concatenate(words), np.searchsorted(row, np.arange(batch.num_rows))
+
+
+def before(word: np.ndarray, begin: np.ndarray, start: int) -> np.ndarray:
+    """The word before each token."""
+    out = np.roll(word, 1)
+    out[begin] = start
+    return out
 
 
 def heavy_rows(batches: Iterable[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """(word, n) of words with more than `share` of a batch, and the tokens of the batch as word null."""
+    """(word, n) of words before more than `share` of a batch's tokens, and the tokens of the batch as word null."""
     for batch in batches:
-        _, w, _ = tokens(batch)
-        word, n = np.unique(w, return_counts=True)
+        _, w, begin = tokens(batch)
+        u = before(w, begin, START)
+        low = (u & np.uint64(0xFFFF)).astype(np.int64)
+        word, n = np.unique(u[(np.bincount(low, minlength=1 << 16) > share * len(w))[low]], return_counts=True)
         often = n > share * len(w)
         yield pa.RecordBatch.from_pydict({"word": pa.array([*word[often].astype(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n[often].tolist(), len(w)], pa.int64())})
 
 
 def heavy_words(texts: DataFrame, shards: int) -> np.ndarray:
-    """Words that hold more than a quarter of an even key range: at most four for each range.  They steer only where tokens go."""
-    share = 1 / (8 * shards)
+    """Words before more tokens than half an even key range holds: fewer than twice as many as ranges.  They steer only where tokens go."""
+    share = 1 / (4 * shards)
     counts = texts.mapInArrow(lambda it: heavy_rows(it, share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.where("word is null").select(F.col("n").alias("all"))
-    rows = counts.where("word is not null").crossJoin(F.broadcast(total)).where(f"n * {4 * shards} > all").select("word").collect()
-    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+    rows = counts.where("word is not null").crossJoin(F.broadcast(total)).where(f"n * {2 * shards} > all").select("word").collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64))
 
 
-def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: int, m: Model) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), *[pa.binary()] * 7]
+def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about `most` bytes of text: the more tokens are packed together, the less their words weigh."""
+    held_back, size = [], 0
     for batch in batches:
+        if held_back and size + batch.nbytes > most:
+            yield pa.Table.from_batches(held_back).combine_chunks().to_batches()[0]
+            held_back, size = [], 0
+        if batch.num_rows:
+            held_back.append(batch)
+            size += batch.nbytes
+    if held_back:
+        yield pa.Table.from_batches(held_back).combine_chunks().to_batches()[0]
+
+
+def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: int, m: Model) -> Iterator[pa.RecordBatch]:
+    """Tokens to key ranges: documents with their number of tokens, the distinct words of the row, the FEW most frequent first and the others in order, and the three words of each token as places among them."""
+    for batch in gathered(batches, PACK_BYTES):
         ids = batch["doc_id"].to_numpy()
         out = np.array([held(i, m) for i in ids.tolist()], bool)
-        row, w, u = tokens(batch)
-        spread = np.isin(w, heavy)
-        shard = (w >> np.uint64(48)).astype(np.int64)
-        shard[spread] = (tb.mix(w[spread] + u[spread] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        shard %= shards
-        order = np.argsort(shard, kind="stable")
+        row, hashes, begin = tokens(batch)
+        row = row.astype(np.int32)
+        known, w = np.unique(np.append(hashes, START), return_inverse=True)
+        start, w = int(w[-1]), w[:-1].astype(np.int32)
+        del hashes
+        u = before(w, begin, start)
+        v = before(u, begin, start)
+        shard = (tb.mix(known.copy()) % np.uint64(shards)).astype(np.int32)[u]
+        spread = np.isin(known.astype(np.int64), heavy)[u]
+        shard[spread] = (tb.mix(known[u[spread]] + known[v[spread]] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard.astype(np.int16) if shards < 1 << 15 else shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        often = np.zeros(len(known), bool)
+        often[np.argsort(-np.bincount(w, minlength=len(known)), kind="stable")[:FEW]] = True
+        seen, place = np.zeros(len(known), bool), np.zeros(len(known), np.int32)
         rows = []
         for s in range(shards):
             own = order[cuts[s] : cuts[s + 1]]
             if len(own):
                 r = row[own]
                 at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                each = r[at]
-                words, word_at = np.unique(w[own], return_inverse=True)
-                contexts, context_at = np.unique(u[own], return_inverse=True)
-                rows.append((s, ids[each].tobytes(), out[each].tobytes(), np.diff(np.append(at, len(r))).astype("<i4").tobytes(), tb.low_bytes(words, WORD_BYTES), tb.low_bytes(contexts, CONTEXT_BYTES), packed(word_at), packed(context_at)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "ids", "held", "counts", "words", "contexts", "word_at", "context_at"])
-
-
-def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+                three = np.concatenate((u[own], v[own], w[own]))
+                seen[three] = True
+                used = np.flatnonzero(seen)
+                seen[used] = False
+                few, rest = used[often[used]], used[~often[used]]
+                place[few], place[rest] = np.arange(len(few)), len(few) + np.arange(len(rest))
+                words = packed(known[few].astype(np.int64), steps(known[rest].astype(np.int64)))
+                rows.append((s, _zip.compress(ids[r[at]].tobytes()), out[r[at]].tobytes(), packed(np.diff(np.append(at, len(r)))), words, packed(*np.split(place[three], 3))))
+        yield _batch(rows, ["shard", "ids", "held", "counts", "words", "places"], [pa.int32(), *[pa.binary()] * 5])
 
 
 class Seats:
-    """The dishes of one key range: distinct (word, context) pairs with their training customers, and their words."""
-
-    def __init__(self, table: pa.Table, heavy: np.ndarray):
-        self.shard = table["shard"][0].as_py()
-        self.ids, self.counts = _column(table, "ids", "<i8"), _column(table, "counts", "<i4")
-        trained = np.repeat(_column(table, "held", "u1") == 0, self.counts)
-        word, context = self.keys(table)
-        order = np.lexsort((context, word))
-        word, context = word[order], context[order]
-        new = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))
-        pair = np.cumsum(new, dtype=np.int32) - 1
-        self.pair = np.empty(len(order), np.int32)  # of each token
-        self.pair[order] = pair
-        self.customers = np.bincount(pair, weights=trained[order], minlength=int(pair[-1]) + 1 if len(pair) else 0).astype(np.int64)
-        word = word[new]
-        self.contexts, self.context = np.unique(context[new], return_inverse=True)
-        self.open = np.flatnonzero(self.customers > 1)  # pairs whose number of tables is not given
-        new = np.append(True, word[1:] != word[:-1])
-        self.word_at = np.flatnonzero(new)
-        self.word = np.cumsum(new) - 1  # of each pair
-        word = word[new]
-        low = np.sort(heavy & _LOW48)
-        place = np.minimum(np.searchsorted(low, word), max(len(low) - 1, 0))
-        self.heavy = np.where(low[place] == word, place, -1) if len(low) else np.full(len(word), -1)
+    """The restaurants of one key range.
 
-    @staticmethod
-    def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Word and context of each token: as they are, or as places among the distinct ones of their row."""
-        words, contexts = table["words"].to_pylist(), table["contexts"].to_pylist()
-        if "word_at" not in table.column_names:
-            word, flat = tb.from_low_bytes(b"".join(words), WORD_BYTES), b"".join(contexts)
-            return word, tb.from_low_bytes(flat, len(flat) // len(word))
-        each = lambda own, n, at: np.concatenate([tb.from_low_bytes(x, n)[unpacked(i)[0]] for x, i in zip(own, table[at].to_pylist(), strict=True)])
-        return each(words, WORD_BYTES, "word_at"), each(contexts, CONTEXT_BYTES, "context_at")
-
-    def by_word(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.word_at)
-
-    def by_context(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, weights=x, minlength=len(self.contexts)).astype(np.int64)
-
-    def heavy_sum(self, x: np.ndarray, n: int) -> np.ndarray:
-        own = self.heavy >= 0
-        return np.bincount(self.heavy[own], weights=x[own], minlength=n).astype(np.int64)
-
-
-def seat(customers: np.ndarray, others: np.ndarray, prior: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of every dish after its customers sit down anew, one after another: next to others of the dish, or at a new table, which the parent serves with probability `prior`; `others` are the restaurant's other tables."""
-    tables = np.minimum(customers, 1).astype(np.int64)
-    order = np.argsort(-customers, kind="stable")
-    order = order[: int((customers > 1).sum())]
-    c, o, p = customers[order], others[order].astype(np.float64), prior[order]
-    t = np.ones(len(order), np.int64)
-    left, at = np.arange(len(order)), np.ones(len(order), np.int64)  # dishes with customers that stand, and how many of theirs sit
-    while len(left):
-        n, pi = t[left], p[left]
-        new = (strength + discount * (o[left] + n)) * pi
-        chance = new / (new + at - discount * n)
-        # until the next table the chance only falls: go to where one as high as now would strike, and keep that customer with the true share of it
-        at = at + np.minimum(rng.geometric(chance), c[left]) - 1
-        there = at < c[left]
-        left, at, new, n, chance = left[there], at[there], new[there], n[there], chance[there]
-        t[left] += rng.random(len(left)) * chance < new / (new + at - discount * n)
-        at = at + 1
-        stand = at < c[left]
-        left, at = left[stand], at[stand]
-    tables[order] = np.minimum(t, c).astype(np.int64)
-    return tables
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0 on, in the least width each, all low bytes first."""
-    out = []
-    for a in map(np.asarray, arrays):
-        kind = np.min_scalar_type(int(a.max()) if a.size else 0)
-        flat = np.ascontiguousarray(a.astype(kind).ravel())
-        out.append((a.shape, kind.str, flat.view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()))
-    return zlib.compress(pickle.dumps(out, 5), 1)
+    Leaves are distinct (v, u, w), dishes of pair restaurants; mids are distinct (u, w), dishes of word restaurants; both in
+    order of (u, w, v).  Open ones have two training customers or more, so their tables are not given.
+    """
 
+    def __init__(self, table: pa.Table, heavy: np.ndarray):
+        self.ids = np.concatenate([np.frombuffer(_unzip.decompress(x), "<i8") for x in table["ids"].to_pylist()])
+        self.counts = np.concatenate([unpacked(x)[0] for x in table["counts"].to_pylist()])
+        trained = np.repeat(np.frombuffer(b"".join(table["held"].to_pylist()), "u1") == 0, self.counts)
+        own = [np.concatenate((few, np.cumsum(rest))) for few, rest in map(unpacked, table["words"].to_pylist())]
+        self.words = np.unique(np.concatenate(own))
+        n = len(self.words)
+        parts: list[list] = [[], [], []]
+        for k, x in zip(own, table["places"].to_pylist(), strict=True):
+            at = np.searchsorted(self.words, k).astype(np.int32)
+            for part, i in zip(parts, unpacked(x, wide=False), strict=True):
+                part.append(at[i])
+        u, v, w = (np.concatenate(x) for x in parts)
+        del parts
+        used = np.zeros(n, bool)
+        used[u] = True
+        at = np.cumsum(used) - 1
+        key = (at[u] * n + w) * n + v if int(at[-1] + 1) * n * n < 1 << 62 else None
+        if key is None:  # too many words for one number
+            _, mid = np.unique(u.astype(np.int64) * n + w, return_inverse=True)
+            key = mid * n + v
+        order = np.argsort(key)
+        key = key[order]
+        new = np.diff(key, prepend=-1) != 0
+        self.leaf = np.empty(len(key), np.int32)  # of each token
+        self.leaf[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.c = np.bincount(self.leaf, weights=trained, minlength=len(first)).astype(np.int64)
+        leaf_u, leaf_v, leaf_w = (x[first].astype(np.int64) for x in (u, v, w))
+        del key, order, new, u, v, w
+        new = (np.diff(leaf_u, prepend=-1) != 0) | (np.diff(leaf_w, prepend=-1) != 0)
+        self.mid = np.cumsum(new) - 1  # of each leaf
+        self.u, self.w = leaf_u[new], leaf_w[new]  # of each mid
+        _, self.pair = np.unique(leaf_u * n + leaf_v, return_inverse=True)  # restaurant of each leaf
+        place = np.minimum(np.searchsorted(heavy, self.words), max(len(heavy) - 1, 0))
+        self.dealt = (np.where(heavy[place] == self.words, place + 1, 0) if len(heavy) else np.zeros(n, np.int64))[self.u]  # 0, or the number of a word restaurant that owners keep, of each mid
+        self.customers = self.per_mid(self.c)
+        self.open = np.flatnonzero(self.c > 1)
+        self.open_mid = np.flatnonzero((self.customers > 1) & (self.dealt == 0))
+        # what owners are asked for: each word, and each dish of a word restaurant that they keep
+        h = len(heavy) + 1
+        keys = np.unique(np.concatenate((self.w * h, (self.w * h + self.dealt)[self.dealt > 0])))
+        self.key_word, self.key_dealt = np.divmod(keys, h)
+        self.root_key, self.mid_key = np.searchsorted(keys, self.w * h), np.searchsorted(keys, self.w * h + self.dealt)
+
+    def per_mid(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.mid, weights=x, minlength=len(self.u)).astype(np.int64)
+
+    def per_key(self, key: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(key, weights=x, minlength=len(self.key_word)).astype(np.int64)
+
+
+# numbers of tables
+
+
+@lru_cache(maxsize=4)
+def _recursion(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: ways (weighted by discount d) to seat c customers at t tables, at [c, t - 1]."""
+    out = np.full((EXACT + 1, EXACT), -np.inf)
+    out[1, 0] = 0
+    t = np.arange(1, EXACT + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, EXACT):
+            stay = np.log(np.maximum(c - d * t, 0)) + out[c]
+            stay[c:] = -np.inf
+            out[c + 1, 1:] = np.logaddexp(stay[1:], out[c, :-1])
+            out[c + 1, 0] = stay[0]
+    return out
+
+
+def log_ways(c: int, most: int, d: float) -> np.ndarray:
+    """Logarithms, but for a constant, of the ways to seat c customers at 1, 2 … most tables.
+
+    Tables' sizes are as independent heavy-tailed variables whose sum is c, so beyond EXACT customers the law has the shape
+    of the one at EXACT with the number of tables scaled by the power d of the customers (it has approached a stable law).
+    """
+    ways = _recursion(d)
+    if c <= EXACT:
+        return ways[c, :most]
+    t = np.arange(1, most + 1)
+    size = np.cumsum(np.log(np.arange(1, max(most, EXACT) + 1)))  # logarithms of the factorials
+    line = np.arange(1, EXACT + 1)
+    law = ways[EXACT] + size[:EXACT] + line * np.log(d)
+    at = t * (EXACT / c) ** d
+    found = np.where(at >= 1, np.interp(at, line, law, right=-np.inf), law[0] + np.log(at))
+    return found - size[:most] - t * np.log(d)
+
+
+def draw(c: np.ndarray, log_new: np.ndarray, parent: tuple[np.ndarray, ...], d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish with c customers: t with the weight ways(c, t) · new^t · the chances that its parent serves the dish t times in a row.
+
+    parent: customers and tables of the dish there without its own, mass of new tables that serve it, customers in all without its
+    own plus strength, and the discount; each more customer of the parent counts for the next.
+    """
+    out = np.minimum(c, 1).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    order = order[np.searchsorted(c[order], 2) :]
+    cuts = np.append(np.flatnonzero(np.diff(c[order], prepend=0) > 0), len(order)).tolist()
+    a, tau, mass, total, dp = parent
+    for first, end in pairwise(cuts):
+        n = int(c[order[first]])
+        todo = [(order[k : min(k + max(1, 500_000 // min(n, 64)), end)], min(n, 64)) for k in range(first, end, max(1, 500_000 // min(n, 64)))]
+        while todo:
+            own, most = todo.pop()
+            j = np.arange(most)
+            chance = (np.maximum(a[own, None] + j - dp * np.maximum(tau[own, None], j > 0), 0) + mass[own, None]) / (total[own, None] + j)
+            log = log_ways(n, most, d) + (j + 1) * log_new[own, None] + np.cumsum(np.log(chance), axis=1)
+            top = log.max(axis=1, keepdims=True)
+            if most < n and (short := log[:, -1] > top[:, 0] - 35).any():  # the law goes on beyond `most`
+                wide = min(n, 4 * most)
+                late, own, log, top = own[short], own[~short], log[~short], top[~short]
+                todo += [(late[k : k + max(1, 500_000 // wide)], wide) for k in range(0, len(late), max(1, 500_000 // wide))]
+            p = np.cumsum(np.exp(log - top), axis=1)
+            if len(own):
+                out[own] = 1 + (p < rng.random(len(own))[:, None] * p[:, -1:]).sum(axis=1)
+    return out
 
-def unpacked(b: bytes) -> list[np.ndarray]:
-    wide = lambda shape, kind, x: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(shape).astype(np.int64)
-    return [wide(*x) for x in pickle.loads(zlib.decompress(b))]
-
-
-def steps(a: np.ndarray) -> np.ndarray:
-    """Rising numbers as differences, which pack well; np.cumsum gives them back."""
-    return np.diff(a, prepend=0)
-
-
-@dataclass
-class State:
-    """What a key range keeps from sweep to sweep: its open pairs, its words, and the kept samples."""
-
-    customers: np.ndarray  # of each open pair, as are context (its place among the contexts with open pairs), word and tables
-    context: np.ndarray
-    word: np.ndarray
-    tables: np.ndarray
-    single: np.ndarray  # pairs with one customer of each word, as are root and heavy (0, or 1 and the place among heavy words)
-    root: np.ndarray
-    heavy: np.ndarray
-    fixed: np.ndarray  # tables of pairs with one customer, of each context with open pairs in all key ranges
-    vocabulary: np.ndarray
-    places: np.ndarray  # owner (high bits) of each context with open pairs and its place among that owner's contexts, rising
-    samples: list[np.ndarray]
 
-    def pack(self) -> bytes:
-        pair = steps(self.word * max(len(self.places), 1) + self.context)
-        return packed(self.customers - 1, pair, self.tables, self.single, self.root, self.heavy, self.fixed, self.vocabulary, steps(self.places), *self.samples)
+def log_mass(tables: np.ndarray, strength: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Logarithm of the weight of a new table in restaurants with so many tables, given the gamma variable that makes their dishes independent."""
+    if not d:
+        return np.full(len(tables), np.log(strength))
+    return np.log(d * np.maximum(rng.standard_gamma(strength / d + tables), 1e-300))
 
-    @staticmethod
-    def unpack(b: bytes) -> State:
-        customers, pair, tables, single, root, heavy, fixed, vocabulary, places, *samples = unpacked(b)
-        word, context = np.divmod(np.cumsum(pair), max(len(places), 1))
-        return State(customers + 1, context, word, tables, single, root, heavy, fixed, vocabulary, np.cumsum(places), samples)
 
-    def here(self) -> np.ndarray:
-        """Tables of each word in this key range."""
-        return self.single + np.bincount(self.word, weights=self.tables, minlength=len(self.single)).astype(np.int64)
+def fixed_chance(p: float, n: int) -> tuple[np.ndarray, ...]:
+    """The parent of the root: it serves any word with chance p, whatever it has served."""
+    return np.zeros(n), np.zeros(n), np.full(n, p * 1e18), np.full(n, 1e18), 0.0
 
-    def of_context(self, tables: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, weights=tables, minlength=len(self.places)).astype(np.int64)
 
-    def whole(self, n_heavy: int, tables: np.ndarray | None = None, root: np.ndarray | None = None) -> np.ndarray:
-        """Numbers that are summed over all key ranges: tables, root tables of words that are not heavy, tables of heavy words."""
-        here = self.here() if tables is None else self.single + np.bincount(self.word, weights=tables, minlength=len(self.single)).astype(np.int64)
-        root = self.root if root is None else root
-        own = self.heavy > 0
-        return np.concatenate([[here.sum(), root[~own].sum()], np.bincount(self.heavy[own] - 1, weights=here[own], minlength=n_heavy).astype(np.int64)])
+# totals: root customers and tables, vocabulary, training tokens, then customers and tables of the word restaurants that owners keep
 
-    def sweep(self, of_context: np.ndarray, whole: np.ndarray, m: Model, shard: int, number: int) -> None:
-        """Seat all customers anew, given the tables of open pairs of each context and the numbers of the whole after the last sweep."""
-        base = 1 / (int(self.vocabulary) + 1)
-        own, of_heavy = self.heavy > 0, whole[2:]
-        heavy_root = heavy_tables(of_heavy, int(whole[1]), base, m, number)
-        all_tables, all_root = int(whole[0]), int(whole[1]) + int(heavy_root.sum())
-        here, root = self.here(), self.root.copy()
-        here[own], root[own] = of_heavy[self.heavy[own] - 1], heavy_root[self.heavy[own] - 1]
-        prior = (np.maximum(here - m.root_discount * root, 0) + (m.root_strength + m.root_discount * all_root) * base) / (m.root_strength + all_tables)
-        rng = np.random.default_rng([m.seed, shard, number])
-        self.tables = seat(self.customers, np.maximum((self.fixed + of_context)[self.context] - self.tables, 0), prior[self.word], m.discount, m.strength, rng)
-        self.root = seat(self.here(), np.maximum(all_root - root, 0), np.full(len(root), base), m.root_discount, m.root_strength, rng)
-        if number >= m.burn_in:
-            self.samples += [self.tables, self.root]
 
+class Root:
+    """Chances of words at the root, and of dishes at word restaurants, given their numbers and the totals."""
 
-def heavy_tables(of_heavy: np.ndarray, light_root: int, base: float, m: Model, number: int) -> np.ndarray:
-    """Root tables of heavy words, drawn alike in every key range."""
-    rng = np.random.default_rng([m.seed, 1 << 20, number])
-    return seat(of_heavy, np.full(len(of_heavy), light_root), np.full(len(of_heavy), base), m.root_discount, m.root_strength, rng)
+    def __init__(self, totals: np.ndarray, m: Model):
+        self.customers, self.tables, self.vocabulary, self.tokens = totals[:4]
+        self.dealt_customers, self.dealt_tables = np.split(totals[4:], 2)
+        self.base = 1 / (self.vocabulary + 1)
+        self.d, self.strength = m.discounts[0], m.strengths[0]
+        self.mass, self.total = (self.strength + self.d * self.tables) * self.base, self.strength + self.customers
 
+    def chance(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return (np.maximum(c - self.d * t, 0) + self.mass) / self.total
 
-def start(s: Seats) -> State:
-    """One table for every pair, and one in the root for every word."""
-    single = s.by_word((s.customers == 1).astype(np.int64))
-    active, context = np.unique(s.context[s.open], return_inverse=True)
-    words = s.by_word((s.customers > 0).astype(np.int64))
-    return State(s.customers[s.open], context, s.word[s.open], np.ones(len(s.open), np.int64), single, np.minimum(words, 1), s.heavy + 1, np.zeros(len(active), np.int64), np.int64(0), np.arange(len(active)), [])
+    def without(self, c: np.ndarray, t: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As the parent of dishes whose `own` tables are its customers."""
+        rest = np.maximum(c - own, 0)
+        return rest, np.minimum(t, rest), np.full(len(c), self.mass), np.maximum(self.total - own, self.strength), self.d
 
 
-def counts_of(s: Seats, n_heavy: int) -> np.ndarray:
-    """Numbers that are summed over all key ranges: tokens, words that are not heavy, customers of heavy words, and State.whole at the start."""
-    c = s.by_word(s.customers)
-    return np.concatenate([[s.customers.sum(), ((c > 0) & (s.heavy < 0)).sum()], s.heavy_sum(c, n_heavy), start(s).whole(n_heavy)])
+# mail
 
 
-def vocabulary_of(counts: np.ndarray, n_heavy: int) -> int:
-    return int(counts[1]) + int((counts[2 : 2 + n_heavy] > 0).sum())
+def mail(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows, ["to", "kind", "shard", "data"], [pa.int32()] * 3 + [pa.binary()])])
 
 
-# a table that is the only key range: its own numbers are those of the whole
+def letters(table: pa.Table, kind: int) -> list[dict]:
+    return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
 
 
-def count_range(table: pa.Table, heavy: np.ndarray) -> pa.Table:
-    s = Seats(table, heavy)
-    return pa.table({"sums": pa.array([packed(s.by_context(s.customers), counts_of(s, len(heavy)))], pa.binary())})
+def passed_on(table: pa.Table, *kinds: int) -> list[tuple]:
+    return [(r["to"], r["kind"], r["shard"], r["data"]) for r in table.to_pylist() if r["kind"] in kinds]
 
 
-def sample_range(table: pa.Table, sums: bytes, heavy: np.ndarray, m: Model) -> pa.Table:
-    s = Seats(table, heavy)
-    counts, state = unpacked(sums)[1], start(s)
-    state.fixed = s.by_context(s.customers == 1)[np.unique(s.context[s.open])]
-    state.vocabulary = np.int64(vocabulary_of(counts, len(heavy)))
-    for number in range(m.burn_in + m.samples):
-        state.sweep(state.of_context(state.tables), state.whole(len(heavy)), m, s.shard, number)
-    out = []
-    for tables, root in zip(state.samples[::2], state.samples[1::2], strict=True):
-        every = np.minimum(s.customers, 1)
-        every[s.open] = tables
-        out += [s.by_context(every), state.whole(len(heavy), tables, root), tables, root]
-    return pa.table({"sums": pa.array([packed(*out)], pa.binary())})
+def owner_cuts(words: np.ndarray, owners: int) -> np.ndarray:
+    """Bounds of the keys of each owner, by the high bits of the words, which are in order."""
+    return np.searchsorted((words >> 16) * owners >> 32, np.arange(owners + 1))
 
 
-# many key ranges: they send each other mail
+class Sampler:
+    """What the sweeps need of a key range: its open dishes and their restaurants, by places among those that have open dishes."""
 
+    def __init__(self, data: bytes):
+        c, mid, pair, self.pair_fixed, closed, u, self.u_fixed, self.dealt, self.root_key, self.mid_key, self.n_keys = unpacked(data)
+        self.c, self.mid, self.pair = c + 2, np.cumsum(mid), pair
+        self.closed, self.u = closed, np.cumsum(u)
+        self.light = np.flatnonzero(self.dealt == 0)
 
-def owners(contexts: np.ndarray, shards: int) -> np.ndarray:
-    """The key range of each context, by its high bits, so that contexts in order are in order of their owners too."""
-    return ((contexts >> np.uint64(24)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    @staticmethod
+    def pack(s: Seats) -> tuple[bytes, np.ndarray]:
+        """The packed sampler of a key range, and which keys it asks for in every sweep."""
+        kept = np.unique(np.concatenate((s.open_mid, s.mid[s.open])))
+        pairs, pair = np.unique(s.pair[s.open], return_inverse=True)
+        us, u = np.unique(s.u[kept], return_inverse=True)
+        closed_leaf = s.c == 1
+        pair_fixed = np.bincount(s.pair[closed_leaf], minlength=int(s.pair.max()) + 1)[pairs]
+        u_fixed = np.bincount(s.u[(s.customers == 1) & (s.dealt == 0)], minlength=len(s.words))[us]
+        asked = np.zeros(len(s.key_word), bool)
+        asked[s.root_key[kept]] = asked[s.mid_key[kept]] = True
+        place = np.cumsum(asked) - 1
+        data = packed(s.c[s.open] - 2, steps(np.searchsorted(kept, s.mid[s.open])), pair, pair_fixed, s.per_mid(closed_leaf)[kept], steps(u), u_fixed, s.dealt[kept], place[s.root_key[kept]], place[s.mid_key[kept]], np.int64(asked.sum()))
+        return data, asked
+
+    def sweep(self, t_leaf: np.ndarray, t_mid: np.ndarray, key_c: np.ndarray, key_t: np.ndarray, root: Root, m: Model, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pair and word restaurants anew: tables of open leaves, of light mids, and what each asked key gets from them."""
+        add = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
+        (_, d1, d2), (_, a1, a2) = m.discounts, m.strengths
+        n_mid, light, dealt = len(self.closed), self.light, np.flatnonzero(self.dealt)
+        c1, t1 = self.closed + add(self.mid, t_leaf, n_mid), np.zeros(n_mid, np.int64)
+        t1[light] = t_mid
+        c1[dealt], t1[dealt] = key_c[self.mid_key[dealt]], key_t[self.mid_key[dealt]]
+        c0, t0 = key_c[self.root_key], key_t[self.root_key]
+
+        def restaurant() -> tuple[np.ndarray, np.ndarray]:
+            customers, tables = (self.u_fixed + add(self.u[light], x[light], len(self.u_fixed)) for x in (c1, t1))
+            customers, tables = customers[self.u], tables[self.u]
+            customers[dealt], tables[dealt] = root.dealt_customers[self.dealt[dealt] - 1], root.dealt_tables[self.dealt[dealt] - 1]
+            return customers, tables
+
+        customers, tables = restaurant()
+        mass = (a1 + d1 * tables) * root.chance(c0, t0)
+        rest = np.maximum(c1[self.mid] - t_leaf, 0)
+        parent = (rest, np.minimum(t1[self.mid], rest), mass[self.mid], np.maximum(a1 + customers[self.mid] - t_leaf, a1), d1)
+        in_pair = self.pair_fixed + add(self.pair, t_leaf, len(self.pair_fixed))
+        t_leaf = draw(self.c, log_mass(in_pair, a2, d2, rng)[self.pair], parent, d2, rng)
+        c1[light] = (self.closed + add(self.mid, t_leaf, n_mid))[light]
+        t1[light] = np.minimum(t1[light], c1[light])
+        _, tables = restaurant()
+        # one gamma variable for each restaurant
+        _, first, of = np.unique(self.u, return_index=True, return_inverse=True)
+        new = log_mass(tables[first], a1, d1, rng)[of] if n_mid else np.zeros(0)
+        t_mid = draw(c1[light], new[light], root.without(c0[light], t0[light], t1[light]), d1, rng)
+        n = int(self.n_keys)
+        return t_leaf, t_mid, add(self.root_key[light], t_mid, n) + add(self.mid_key[self.mid], np.where(self.dealt[self.mid] > 0, t_leaf, 0), n)
+
+
+def count_mail(table: pa.Table, heavy: np.ndarray, owners: int) -> pa.Table:
+    """A key range's sampler, to itself, and its words and dealt-out dishes, to their owners: token customers, tables that are given, those to begin with, and whether it will ask for them."""
+    s, shard = Seats(table, heavy), table["shard"][0].as_py()
+    data, asked = Sampler.pack(s)
+    light = s.dealt == 0
+    customers = s.per_key(s.root_key, s.customers)
+    fixed = s.per_key(s.root_key, light & (s.customers == 1)) + s.per_key(s.mid_key, np.where(light, 0, s.per_mid(s.c == 1)))
+    start = s.per_key(s.root_key, light & (s.customers > 1)) + s.per_key(s.mid_key, np.where(light, 0, s.per_mid(s.c > 1)))
+    word = s.words[s.key_word]
+    cuts = owner_cuts(word, owners)
+    rows = [(shard, FIXED, shard, data)]
+    for o, a, b in zip(range(owners), cuts[:-1], cuts[1:], strict=True):
+        rows.append((o, ASK, shard, packed(steps(word[a:b]), *[x[a:b] for x in (s.key_dealt, customers, fixed, start, asked)])))
+    return mail(rows)
+
+
+class Owner:
+    """Numbers of the words of one owner and of the dealt-out dishes of these words, from what the key ranges counted."""
+
+    def __init__(self, asks: list[dict], n_heavy: int):
+        self.n_heavy, self.shards = n_heavy, [r["shard"] for r in asks]
+        got = [unpacked(r["data"]) for r in asks]
+        codes = [np.cumsum(g[0]) * (n_heavy + 1) + g[1] for g in got]
+        keys, at = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_inverse=True)
+        add = lambda i: np.bincount(at, weights=np.concatenate([g[i] for g in got]), minlength=len(keys)).astype(np.int64) if got else np.zeros(0, np.int64)
+        self.customers, self.fixed, self.start = add(2), add(3), add(4)
+        word, self.dealt = np.divmod(keys, n_heavy + 1)
+        self.word = np.cumsum(np.diff(word, prepend=-1) != 0) - 1  # of each key; the key of the word itself comes first
+        self.places = np.split(at, np.cumsum([len(c) for c in codes])[:-1]) if codes else []
+        self.asked = [own[g[5] > 0] for own, g in zip(self.places, got, strict=True)]
 
+    def pack(self) -> bytes:
+        return packed(self.fixed, self.dealt, steps(self.word))
 
-def mail(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 2
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["to", "kind", "shard", "contexts", "sums"])
+    def counted(self) -> np.ndarray:
+        """Vocabulary and training tokens."""
+        return np.array([(self.customers[self.dealt == 0] > 0).sum(), self.customers.sum()])
 
 
-def offers(shard: int, owner: np.ndarray, numbers: list[np.ndarray], shards: int, contexts: np.ndarray | None = None) -> list[tuple]:
-    """Numbers of each context, for its owner; contexts come in order of their owners."""
-    cuts = np.searchsorted(owner, np.arange(shards + 1))
-    spans = [(o, a, b) for o, a, b in zip(range(shards), cuts[:-1], cuts[1:], strict=True) if b > a]
-    return [(o, OFFER, shard, b"" if contexts is None else tb.low_bytes(contexts[a:b], CONTEXT_BYTES), packed(*[n[a:b] for n in numbers])) for o, a, b in spans]
+def totals_of(c: np.ndarray, t: np.ndarray, dealt: np.ndarray, counted: np.ndarray, n_heavy: int) -> np.ndarray:
+    root = dealt == 0
+    per = lambda x: np.bincount(dealt[~root] - 1, weights=x[~root], minlength=n_heavy).astype(np.int64)
+    return np.concatenate(([c[root].sum(), t[root].sum()], counted, per(c), per(t)))
 
 
-def answers(own: list[dict]) -> list[np.ndarray]:
-    """Numbers that owners sent back, in the order of the contexts."""
-    got = [unpacked(r["sums"]) for r in sorted((r for r in own if r["kind"] == ANSWER), key=lambda r: r["shard"])]
-    return [np.concatenate(x) for x in zip(*got, strict=True)]
+def customers_of(given: np.ndarray, t: np.ndarray, dealt: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Customers of each key: for a word those given and the tables of its dealt-out dishes."""
+    n = int(word[-1]) + 1 if len(word) else 0
+    more = np.bincount(word, weights=np.where(dealt > 0, t, 0), minlength=n).astype(np.int64)
+    return np.where(dealt == 0, given + more[word], given)
 
 
-def count_mail(table: pa.Table, heavy: np.ndarray, shards: int) -> pa.Table:
-    s = Seats(table, heavy)
-    state = start(s)
-    is_open = np.zeros(len(s.contexts), np.int64)
-    is_open[s.context[s.open]] = 1
-    rows = [(s.shard, STATE, s.shard, b"", state.pack()), (0, WHOLE, s.shard, b"", packed(counts_of(s, len(heavy))))]
-    return mail(rows + offers(s.shard, owners(s.contexts, shards), [s.by_context(s.customers), s.by_context(s.customers == 1), is_open], shards, s.contexts))
-
-
-def whole_mail(rows: list[dict], shards: int) -> list[tuple]:
-    """From the first owner to every key range: the numbers of the whole."""
-    got = [unpacked(r["sums"]) for r in rows if r["kind"] == WHOLE]
-    total = packed(*[np.sum(x, axis=0) for x in zip(*got, strict=True)]) if got else b""
-    return [(s, WHOLE, 0, b"", total) for s in range(shards)] if got else []
-
-
-def own_mail(table: pa.Table, shards: int) -> pa.Table:
-    """An owner's sums of the offers, sent back to those who offered; after the count, those of contexts with open pairs: tables of pairs with one customer, and the place of the context."""
-    rows = table.to_pylist()
-    out = [tuple(r.values()) for r in rows if r["kind"] == STATE] + whole_mail(rows, shards)
-    asked = [r for r in rows if r["kind"] == OFFER]
-    numbers = [unpacked(r["sums"]) for r in asked]
-    if asked and asked[0]["contexts"]:
-        ids = [tb.from_low_bytes(r["contexts"], CONTEXT_BYTES) for r in asked]
-        _, at = np.unique(np.concatenate(ids), return_inverse=True)
-        single = np.bincount(at, weights=np.concatenate([n[1] for n in numbers])).astype(np.int64)
-        for r, n, own in zip(asked, numbers, np.split(at, np.cumsum([len(i) for i in ids])[:-1]), strict=True):
-            pick = own[n[2] > 0]
-            out.append((r["shard"], ANSWER, r["to"], b"", packed(single[pick], steps(pick))))
-    elif asked:
-        at = [np.cumsum(n[0]) for n in numbers]
-        total = np.bincount(np.concatenate(at), weights=np.concatenate([n[1] for n in numbers])).astype(np.int64)
-        out += [(r["shard"], ANSWER, r["to"], b"", packed(total[i])) for r, i in zip(asked, at, strict=True)]
-    return mail(out)
-
-
-def sweep_mail(table: pa.Table, n_heavy: int, shards: int, m: Model, number: int) -> pa.Table:
-    """One sweep of a key range (the first time only what it begins with); after the last one it offers the tables of all kept samples."""
-    rows = table.to_pylist()
-    kept = next((r for r in rows if r["kind"] == STATE), None)
-    if kept is None:  # a key range without tokens
+def own_mail(table: pa.Table, n_heavy: int, shards: int) -> pa.Table:
+    """An owner's first numbers: one table for each dish and word."""
+    own, to = Owner(letters(table, ASK), n_heavy), table["to"][0].as_py()
+    if not own.shards:
         return mail([])
-    shard, state = kept["to"], State.unpack(kept["sums"])
-    whole = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE))[0]
-    if number == 0:
-        state.vocabulary = np.int64(vocabulary_of(whole, n_heavy))
-        own = [(r["shard"], *unpacked(r["sums"])) for r in sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: r["shard"])]
-        if own:
-            state.fixed = np.concatenate([x[1] for x in own])
-            state.places = np.concatenate([(x[0] << 32) + np.cumsum(x[2]) for x in own])
-    else:
-        of_context = answers(rows)
-        state.sweep(of_context[0] if of_context else np.zeros(0, np.int64), whole, m, shard, number - 1)
-    pairs, keep = [(state.tables, state.root)], state.pack()
-    if number == m.burn_in + m.samples:
-        pairs, keep = list(zip(state.samples[::2], state.samples[1::2], strict=True)), packed(*state.samples)
-    owner, place = state.places >> 32, state.places & ((1 << 32) - 1)
-    place = np.where(np.diff(owner, prepend=-1) > 0, place, steps(place))  # differences within each owner
-    return mail([(shard, STATE, shard, b"", keep), (0, WHOLE, shard, b"", packed(*[state.whole(n_heavy, t, r) for t, r in pairs])), *offers(shard, owner, [place, *[state.of_context(t) for t, _ in pairs]], shards)])
-
-
-def total_mail(counted: pa.Table, sampled: pa.Table, shards: int, m: Model) -> pa.Table:
-    """An owner's totals of every context, for all key ranges that have it: customers, and tables under each sample."""
-    rows, last = counted.to_pylist(), sampled.to_pylist()
-    out = [tuple(r.values()) for r in last if r["kind"] == STATE] + [(to, kind, shard, b"counts", x) for to, kind, shard, _, x in whole_mail(rows, shards)] + whole_mail(last, shards)
-    asked, given = ([r for r in x if r["kind"] == OFFER] for x in (rows, last))
-    if asked:
-        ids = [tb.from_low_bytes(r["contexts"], CONTEXT_BYTES) for r in asked]
-        numbers = [unpacked(r["sums"]) for r in asked]
-        contexts, at = np.unique(np.concatenate(ids), return_inverse=True)
-        add = lambda where, v: np.bincount(where, weights=v, minlength=len(contexts)).astype(np.int64)
-        customers, single = (add(at, np.concatenate([n[i] for n in numbers])) for i in (0, 1))
-        tables = [single.copy() for _ in range(m.samples)]
-        for r in given:
-            place, *numbers = unpacked(r["sums"])
-            for t, n in zip(tables, numbers, strict=True):
-                t[np.cumsum(place)] += n
-        cuts = tb.runs(np.array([len(i) for i in ids]))
-        out += [(r["shard"], ANSWER, r["to"], b"", packed(*[v[at[a:b]] for v in (customers, *tables)])) for r, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
-    return mail(out)
-
-
-def score_mail(table: pa.Table, letters: pa.Table, heavy: np.ndarray, shards: int, m: Model) -> pa.Table:
-    """score_range with the numbers that came by mail."""
-    rows = letters.to_pylist()
-    s = Seats(table, heavy)
-    customers, *tables = answers(rows)
-    counts = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE and r["contexts"]))[0]
-    wholes = unpacked(next(r["sums"] for r in rows if r["kind"] == WHOLE and not r["contexts"]))
-    kept = unpacked(next(r["sums"] for r in rows if r["kind"] == STATE))
-    sampled = [x for of, whole, t, root in zip(tables, wholes, kept[::2], kept[1::2], strict=True) for x in (of, whole, t, root)]
-    return scored(s, [customers, counts], sampled, len(heavy), m, shards)
-
-
-def score_range(table: pa.Table, sums: bytes, sampled: bytes, heavy: np.ndarray, m: Model, buckets: int) -> pa.Table:
-    return scored(Seats(table, heavy), unpacked(sums), unpacked(sampled), len(heavy), m, buckets)
-
-
-def scored(s: Seats, given: list[np.ndarray], sampled: list[np.ndarray], n_heavy: int, m: Model, buckets: int) -> pa.Table:
-    """Scores of the documents of a key range, by bucket, from customers of its contexts, the counts of the whole, and of each sample the tables of its contexts, the numbers of the whole, and its own tables."""
-    of_customers, counts = given
-    tokens, heavy_customers = int(counts[0]), counts[2 : 2 + n_heavy]
-    vocabulary = vocabulary_of(counts, n_heavy)
-    base_p = 1 / (vocabulary + 1)
-    own = s.heavy >= 0
-    mean = np.zeros(len(s.context))
+    given = own.fixed + own.start
+    t = np.minimum(given, 1)
+    c = customers_of(given, t, own.dealt, own.word)
+    t = np.where(own.dealt == 0, np.minimum(c, 1), t)
+    totals = totals_of(c, t, own.dealt, own.counted(), n_heavy)
+    rows = [(to, OWN, to, own.pack()), (to, HELD, to, packed(t, own.counted()))]
+    rows += [(to, PLACES, s, packed(steps(p))) for s, p in zip(own.shards, own.asked, strict=True)]
+    return mail(rows + [(s, TELL, to, packed(totals, c[p], t[p])) for s, p in zip(own.shards, own.asked, strict=True)])
+
+
+def told(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Totals of the whole, and the numbers of the keys of a key range in their order."""
+    got = [unpacked(r["data"]) for r in letters(table, TELL)]
+    return np.sum([g[0] for g in got], axis=0), [np.concatenate(x) for x in zip(*[g[1:] for g in got], strict=True)]
+
+
+def sweep_mail(fixed: pa.Table, news: pa.Table, owners: int, m: Model, number: int) -> pa.Table:
+    """One sweep of a key range."""
+    rows, mine = passed_on(news, HELD), letters(fixed, FIXED)
+    if not mine:  # a key range without tokens
+        return mail(rows)
+    shard, s = mine[0]["shard"], Sampler(mine[0]["data"])
+    totals, (key_c, key_t) = told(news)
+    state = letters(news, SEATS)
+    t_leaf, t_mid, *samples = unpacked(state[0]["data"]) if state else (np.ones(len(s.c), np.int64), np.ones(len(s.light), np.int64))
+    t_leaf, t_mid, given = s.sweep(t_leaf, t_mid, key_c, key_t, Root(totals, m), m, np.random.default_rng([m.seed, shard, number]))
+    if number >= m.burn_in:
+        samples += [t_leaf, t_mid]
+    rows.append((shard, SEATS, shard, packed(t_leaf, t_mid, *samples)))
+    sizes = tb.runs(np.array([len(unpacked(r["data"])[1]) for r in letters(news, TELL)]))
+    for o, a, b in zip([r["shard"] for r in letters(news, TELL)], sizes[:-1], sizes[1:], strict=True):
+        rows.append((o, ASK, shard, packed(totals, given[a:b])))
+    return mail(rows)
+
+
+def owner_mail(first: pa.Table, news: pa.Table, m: Model, number: int) -> pa.Table:
+    """One sweep of an owner: the dealt-out dishes of its words, then the root."""
+    rows, mine = passed_on(news, SEATS), letters(first, OWN)
+    if not mine:
+        return mail(rows)
+    to, (fixed, dealt, word) = mine[0]["to"], unpacked(mine[0]["data"])
+    word = np.cumsum(word)
+    places = {r["shard"]: np.cumsum(unpacked(r["data"])[0]) for r in letters(first, PLACES)}
+    t, counted, *samples = unpacked(letters(news, HELD)[0]["data"])
+    asks = {r["shard"]: unpacked(r["data"]) for r in letters(news, ASK)}
+    root = Root(next(iter(asks.values()))[0], m)
+    given = fixed.copy()
+    for s, (_, x) in asks.items():
+        given += np.bincount(places[s], weights=x, minlength=len(fixed)).astype(np.int64)
+    rng = np.random.default_rng([m.seed, 1 << 20, to, number])
+    kept = np.flatnonzero(dealt)
+    c = customers_of(given, t, dealt, word)
+    if len(kept):
+        top = np.searchsorted(word, word[kept])  # the key of the word itself
+        mass = log_mass(root.dealt_tables, m.strengths[1], m.discounts[1], np.random.default_rng([m.seed, 1 << 21, number]))  # the same for all owners
+        t[kept] = draw(c[kept], mass[dealt[kept] - 1], root.without(c[top], t[top], t[kept]), m.discounts[1], rng)
+        c = customers_of(given, t, dealt, word)
+    words = np.flatnonzero(dealt == 0)
+    mass = log_mass(root.tables[None], root.strength, root.d, np.random.default_rng([m.seed, 1 << 22, number]))
+    t[words] = draw(c[words], np.repeat(mass, len(words)), fixed_chance(root.base, len(words)), root.d, rng)
+    if number >= m.burn_in:
+        samples += [c, t.copy()]
+    totals = totals_of(c, t, dealt, counted, len(root.dealt_tables))
+    rows.append((to, HELD, to, packed(t, counted, *samples)))
+    return mail(rows + [(s, TELL, to, packed(totals, c[places[s]], t[places[s]])) for s in asks])
+
+
+def total_mail(counted: pa.Table, news: pa.Table, n_heavy: int, m: Model) -> pa.Table:
+    """An owner's numbers of all keys, for all key ranges that have them: token customers, and customers and tables under each sample."""
+    rows, kept = passed_on(news, SEATS), letters(news, HELD)
+    if not kept:
+        return mail(rows)
+    own, to = Owner(letters(counted, ASK), n_heavy), kept[0]["to"]
+    samples = unpacked(kept[0]["data"])[2:]
+    totals = np.stack([totals_of(c, t, own.dealt, own.counted(), n_heavy) for c, t in zip(samples[::2], samples[1::2], strict=True)])
+    return mail(rows + [(s, TELL, to, packed(totals, own.customers[p], *[x[p] for x in samples])) for s, p in zip(own.shards, own.places, strict=True)])
+
+
+def chances(s: Seats, news: pa.Table, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predictive probability of each leaf, the mean over the samples; with the totals of the samples, and the training tokens of each key."""
+    totals, (key_customers, *keys) = told(news)
+    drawn = unpacked(letters(news, SEATS)[0]["data"])[2:]
+    (_, d1, d2), (_, a1, a2) = m.discounts, m.strengths
+    mean = np.zeros(len(s.c))
+    light, n_words, n_pairs = s.dealt == 0, len(s.words), int(s.pair.max()) + 1
+    in_pair = np.bincount(s.pair, weights=s.c, minlength=n_pairs)[s.pair]
     for number in range(m.samples):
-        of_context, whole, drawn, root = sampled[4 * number : 4 * number + 4]
-        tables = np.minimum(s.customers, 1)
-        tables[s.open] = drawn
-        heavy_root = heavy_tables(whole[2:], int(whole[1]), base_p, m, m.burn_in + number + 1)
-        all_tables, all_root = int(whole[0]), int(whole[1]) + int(heavy_root.sum())
-        here, root = s.by_word(tables), root.copy()
-        here[own], root[own] = whole[2:][s.heavy[own]], heavy_root[s.heavy[own]]
-        word = (here - m.root_discount * root + (m.root_strength + m.root_discount * all_root) * base_p) / (m.root_strength + all_tables)
-        mean += (s.customers - m.discount * tables + (m.strength + m.discount * of_context[s.context]) * word[s.word]) / (m.strength + of_customers[s.context])
-    customers = s.by_word(s.customers)
-    customers[own] = heavy_customers[s.heavy[own]]
+        root, key_c, key_t = Root(totals[number], m), keys[2 * number], keys[2 * number + 1]
+        t2, t1 = np.minimum(s.c, 1), np.minimum(s.customers, 1)
+        t2[s.open], t1[s.open_mid] = drawn[2 * number], drawn[2 * number + 1]
+        c1 = s.per_mid(t2)
+        c1[~light], t1[~light] = key_c[s.mid_key[~light]], key_t[s.mid_key[~light]]
+        customers, tables = (np.bincount(s.u[light], weights=x[light], minlength=n_words)[s.u] for x in (c1, t1))
+        customers[~light], tables[~light] = root.dealt_customers[s.dealt[~light] - 1], root.dealt_tables[s.dealt[~light] - 1]
+        word = (c1 - d1 * t1 + (a1 + d1 * tables) * root.chance(key_c[s.root_key], key_t[s.root_key])) / (a1 + customers)
+        pair_tables = np.bincount(s.pair, weights=t2, minlength=n_pairs)[s.pair]
+        mean += (s.c - d2 * t2 + (a2 + d2 * pair_tables) * word[s.mid]) / (a2 + in_pair)
+    return mean / m.samples, totals, key_customers
+
+
+def score_mail(table: pa.Table, news: pa.Table, heavy: np.ndarray, m: Model, buckets: int) -> pa.Table:
+    """Scores of the documents of a key range, by bucket."""
+    s = Seats(table, heavy)
+    mean, totals, key_customers = chances(s, news, m)
+    n_tokens, vocabulary = int(totals[0][3]), int(totals[0][2])
+    of_word = key_customers[s.root_key][s.mid]  # training tokens of each leaf's word
     at = tb.runs(s.counts)[:-1]
-    each = lambda v: np.add.reduceat(v[s.pair], at)
-    score = each(np.log10(mean / m.samples))
-    base = each(np.log10((customers + 1.0) / (tokens + vocabulary + 1))[s.word])
-    known = each((customers > 0).astype(np.int64)[s.word])
+    each = lambda v: np.add.reduceat(v[s.leaf], at)
+    values = s.counts, each((of_word > 0).astype(np.int64)), each(np.log10((of_word + 1.0) / (n_tokens + vocabulary + 1))), each(np.log10(mean))
     bucket = (tb.mix(s.ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -494,20 +620,18 @@ def scored(s: Seats, given: list[np.ndarray], sampled: list[np.ndarray], n_heavy
         pick = order[cuts[b] : cuts[b + 1]]
         if len(pick):
             doc, inverse = np.unique(s.ids[pick], return_inverse=True)
-            add = lambda v, i=inverse, p=pick: np.bincount(i, weights=v[p])
-            numbers = np.stack([add(s.counts), add(known)]).astype("<i4")
-            rows.append((b, tokens, doc.tobytes(), numbers.tobytes(), np.stack([add(base), add(score)]).astype("<f8").tobytes()))
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "train_tokens", "ids", "numbers", "sums"])
+            n, known, base, score = (np.bincount(inverse, weights=v[pick]) for v in values)
+            rows.append((b, n_tokens, int(doc[0]), packed(steps(doc - doc[0]), n.astype(np.int64), known.astype(np.int64)), np.stack((base, score)).astype("<f8").tobytes()))
+    return pa.Table.from_batches([_batch(rows, ["bucket", "train_tokens", "first", "numbers", "sums"], [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 2])])
 
 
 def add_documents(table: pa.Table) -> pa.Table:
     """One bucket of documents: the sums of their tokens over all key ranges."""
-    ids = _column(table, "ids", "<i8")
-    numbers = np.concatenate([np.frombuffer(x, "<i4").reshape(2, -1) for x in table["numbers"].to_pylist()], axis=1)
+    numbers = [unpacked(x) for x in table["numbers"].to_pylist()]
+    ids = np.concatenate([first + np.cumsum(n[0]) for first, n in zip(table["first"].to_pylist(), numbers, strict=True)])
     sums = np.concatenate([np.frombuffer(x, "<f8").reshape(2, -1) for x in table["sums"].to_pylist()], axis=1)
     doc, inverse = np.unique(ids, return_inverse=True)
-    n, known, base, score = (np.bincount(inverse, weights=v) for v in (*numbers, *sums))
+    n, known, base, score = (np.bincount(inverse, weights=v) for v in (*(np.concatenate([x[i] for x in numbers]) for i in (1, 2)), *sums))
     return pa.table({"doc_id": doc, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(doc), table["train_tokens"][0].as_py()), "base_score": base, "score": score})
 
 
@@ -517,28 +641,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spark = docs.sparkSession
     tb.small_batches(spark)
     shards = tb.shards(spark, 32)
+    owners = min(shards, OWNERS)
     texts = tb.keyed(docs, id_col, text_col)
     heavy = heavy_words(texts, shards)
+    n_heavy = len(heavy)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.mapInArrow(lambda it: pack_tokens(it, heavy, shards, m), _TOKENS).repartition(ranges, "shard")
-    n_heavy = len(heavy)
-    counted = dealt.groupBy("shard").applyInArrow(lambda t: count_mail(t, heavy, shards), _MAIL).repartition(ranges, "to")
+    counted = dealt.groupBy("shard").applyInArrow(lambda t: count_mail(t, heavy, owners), _MAIL).repartition(ranges, "to")
+    first = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, n_heavy, shards), _MAIL).repartition(ranges, "to")
 
     def swept(number: int):
-        return lambda t: sweep_mail(t, n_heavy, shards, m, number)
-
-    # a line of stages without branches, so that no sweep is drawn twice
-    letters = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, shards), _MAIL)
-    for number in range(m.burn_in + m.samples + 1):
-        letters = letters.groupBy("to").applyInArrow(swept(number), _MAIL)
-        if number < m.burn_in + m.samples:
-            letters = letters.groupBy("to").applyInArrow(lambda t: own_mail(t, shards), _MAIL)
-    totals = counted.groupBy("to").cogroup(letters.groupBy("to")).applyInArrow(lambda a, b: total_mail(a, b, shards, m), _MAIL)
-
-    def score(tokens: pa.Table, own: pa.Table) -> pa.Table:
-        if not tokens.num_rows:  # a key range without tokens
-            return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], ["bucket", "train_tokens", "ids", "numbers", "sums"])
-        return score_mail(tokens, own, heavy, shards, m)
+        return lambda a, b: sweep_mail(a, b, owners, m, number)
+
+    def owned(number: int):
+        return lambda a, b: owner_mail(a, b, m, number)
+
+    # one line of stages; what every sweep reads again is the same exchange
+    news = first
+    for number in range(m.burn_in + m.samples):
+        news = counted.groupBy("to").cogroup(news.groupBy("to")).applyInArrow(swept(number), _MAIL).repartition(ranges, "to")
+        news = first.groupBy("to").cogroup(news.groupBy("to")).applyInArrow(owned(number), _MAIL).repartition(ranges, "to")
+    totals = counted.groupBy("to").cogroup(news.groupBy("to")).applyInArrow(lambda a, b: total_mail(a, b, n_heavy, m), _MAIL)
+
+    def score(own: pa.Table, news: pa.Table) -> pa.Table:
+        if not own.num_rows:  # a key range without tokens
+            return pa.Table.from_batches([_batch([], ["bucket", "train_tokens", "first", "numbers", "sums"], [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 2])])
+        return score_mail(own, news, heavy, m, shards)
 
     parts = dealt.groupBy("shard").cogroup(totals.groupBy("to")).applyInArrow(score, _BACK)
     found = parts.groupBy("bucket").applyInArrow(add_documents, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

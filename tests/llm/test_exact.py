@@ -180,99 +180,180 @@ def test_language_model_beats_its_base_on_held_out_texts(spark):
     assert r["s"] > 0.9 * r["b"] > r["b"]
 
 
-def test_predictive_probabilities_sum_to_one():
-    """Over all training words and the unknown word, for every context that was seen."""
+def local_ranges(data, m, heavy=(), shards=3, owners=2):
+    """The stages of the model over key ranges, without Spark: for each range its seats and the mail that it scores with."""
+    import numpy as np
+
+    heavy = np.sort(np.array([int(pitman_yor.tokens(pa.RecordBatch.from_pydict({"text": [w]}))[1][0]) for w in heavy], np.int64))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in data], pa.int64()), "text": [t for _, t in data]})
+    table = pa.Table.from_batches(list(pitman_yor.pack_tokens([batch], heavy, shards, m)))
+    dealt = {s: table.filter(pa.compute.equal(table["shard"], s)) for s in set(table["shard"].to_pylist())}
+    empty = pitman_yor.mail([])
+
+    def sent(tables):
+        whole = pa.concat_tables(tables)
+        return {s: whole.filter(pa.compute.equal(whole["to"], s)) for s in range(shards)}
+
+    counted = sent([pitman_yor.count_mail(t, heavy, owners) for t in dealt.values()])
+    first = sent([pitman_yor.own_mail(t, len(heavy), shards) for t in counted.values() if t.num_rows])
+    news = first
+    for number in range(m.burn_in + m.samples):
+        news = sent([pitman_yor.sweep_mail(counted.get(s, empty), news[s], owners, m, number) for s in range(shards)])
+        news = sent([pitman_yor.owner_mail(first[s], news[s], m, number) for s in range(shards)])
+    totals = sent([pitman_yor.total_mail(counted[s], news[s], len(heavy), m) for s in range(shards)])
+    return [(pitman_yor.Seats(t, heavy), totals[s]) for s, t in dealt.items()]
+
+
+@pytest.mark.parametrize("heavy", [(), ("a1",), ("a1", "a2", "a0")])
+def test_predictive_probabilities_sum_to_one(heavy):
+    """Over all training words, the end and an unknown word, for every context that was seen, and for some that were not."""
     import numpy as np
 
     m = pitman_yor.Model(samples=2)
-    n = 400
     rng = np.random.default_rng(3)
-    w, u = rng.integers(1, 30, n).astype(np.uint64) ** np.uint64(2), rng.integers(0, 5, n)
-    every = sorted(set(w.tolist()))
-    ask = [(x, c) for c in range(5) for x in [*every, 10**6]]
-    words = np.array([*w.tolist(), *[x for x, _ in ask]], np.uint64)
-    contexts = np.array([*u.tolist(), *[c for _, c in ask]])
-    table = pa.table(
-        {
-            "shard": pa.array([0], pa.int32()),
-            "ids": [np.array([1, *range(10, 10 + len(ask))], "<i8").tobytes()],
-            "held": [bytes([0] + [1] * len(ask))],
-            "counts": [np.array([n] + [1] * len(ask), "<i4").tobytes()],
-            "words": [pitman_yor.tb.low_bytes(words, 6)],
-            "contexts": [contexts.astype("<u2").tobytes()],
-        }
-    )
-    for heavy in (np.zeros(0, np.uint64), np.array(every[:3], np.uint64)):
-        counted = pitman_yor.count_range(table, heavy)["sums"][0].as_py()
-        sampled = pitman_yor.sample_range(table, counted, heavy, m)["sums"][0].as_py()
-        out = pitman_yor.add_documents(pitman_yor.score_range(table, counted, sampled, heavy, m, 1)).to_pylist()
-        p = {r["doc_id"]: 10 ** r["score"] for r in out}
-        for c in range(5):
-            assert math.isclose(sum(p[10 + k] for k, (_, x) in enumerate(ask) if x == c), 1, rel_tol=0.05 if len(heavy) else 1e-9)
+    words = [f"a{k}" for k in range(6)]
+    train = [i for i in range(400) if not pitman_yor.held(i, m)][:60]
+    ask = [i for i in range(4000) if pitman_yor.held(i, m)]
+    data = [(i, " ".join(words[min(k, 5)] for k in rng.geometric(0.4, size=9) - 1)) for i in train]
+    for v, u in itertools.product([*words, "zz"], repeat=2):
+        data += [(ask.pop(), f"{v} {u} {w}") for w in [*words, "unknown"]] + [(ask.pop(), f"{v} {u}")]
+    sums, places = Counter(), Counter()
+    for s, news in local_ranges(data, m, heavy):
+        p, _, _ = pitman_yor.chances(s, news, m)
+        u = s.words[s.u[s.mid]]
+        for k in range(len(p)):
+            sums[(int(u[k]), int(s.pair[k]), id(s))] += p[k]
+            places[(int(u[k]), int(s.pair[k]), id(s))] += 1
+    whole = [sums[k] for k, n in places.items() if n == len(words) + 2]
+    assert len(whole) >= 40 and all(math.isclose(x, 1, rel_tol=1e-9) for x in whole)
 
 
 def test_every_context_has_a_restaurant_of_its_own():
-    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(100_000))]})
-    assert len(set(pitman_yor.tokens(batch)[2].tolist())) == 100_001
+    m = pitman_yor.Model(burn_in=0, samples=1)
+    (s, _), *_ = local_ranges([(1, " ".join(f"w{i}" for i in range(20_000)))], m, shards=1, owners=1)
+    assert len(set(s.pair.tolist())) == len(s.u) == len(s.c) == 20_001
 
 
 def test_totals_of_contexts_over_key_ranges(spark):
     """Where every pair occurs once and the root has no discount, nothing is drawn: customers and tables of all contexts are known."""
-    m = pitman_yor.Model(discount=0.5, root_discount=0.0)
+    d = 0.5
+    m = pitman_yor.Model(discounts=(0.0, d, d))
     data = [(i, " ".join(f"a{(i * 37 + k * k) % 89}x{(i + k) % 3}" for k in range(1, 5))) for i in range(400)]
-    seen, train, ask = set(), [], []
+    seen, triples, train, ask = set(), set(), [], []
     for i, t in data:
-        own = list(zip(["^", *t.split()], [*t.split(), "$"], strict=True))
+        words = ["^", "^", *t.split(), "$"]
+        own = list(zip(words, words[1:], words[2:]))  # noqa: B905
+        pairs = [x[1:] for x in own]
         if pitman_yor.held(i, m):
             ask.append((i, t, own))
-        elif len(set(own)) == len(own) and not seen & set(own):
-            seen |= set(own)
+        elif len(set(pairs)) == len(pairs) and not seen & set(pairs):
+            seen |= set(pairs)
+            triples |= set(own)
             train.append((i, t))
     assert len(train) > 20 < len(ask)
-    customers, here = Counter(u for u, _ in seen), Counter(w for _, w in seen)
-    p = lambda u, w: ((0.5 if (u, w) in seen else 0) + (1 + 0.5 * customers[u]) * (here[w] + 1 / (len(here) + 1)) / (1 + len(seen))) / (1 + customers[u])
+    of_pair, of_word, here = Counter(x[:2] for x in triples), Counter(u for u, _ in seen), Counter(w for _, w in seen)
+
+    def p(v, u, w):
+        root = (here[w] + 1 / (len(here) + 1)) / (1 + len(seen))
+        word = ((1 - d if (u, w) in seen else 0) + (1 + d * of_word[u]) * root) / (1 + of_word[u])
+        return ((1 - d if (v, u, w) in triples else 0) + (1 + d * of_pair[v, u]) * word) / (1 + of_pair[v, u])
+
     df = spark.createDataFrame(train + [(i, t) for i, t, _ in ask], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in pitman_yor.scores(df, model=m).collect()}
     for i, _, own in ask:
-        assert math.isclose(got[i], sum(math.log10(p(u, w)) for u, w in own), rel_tol=1e-9)
+        assert math.isclose(got[i], sum(math.log10(p(*x)) for x in own), rel_tol=1e-9)
+
+
+def ways(c, d):
+    """Ways to seat c customers at t tables, from the partitions themselves."""
+    out = [0.0] * (c + 1)
+
+    def place(left, sizes):
+        if not left:
+            out[len(sizes)] += math.prod(math.prod(k - d for k in range(1, n)) for n in sizes)
+            return
+        for i in range(len(sizes)):
+            place(left - 1, [*sizes[:i], sizes[i] + 1, *sizes[i + 1 :]])
+        place(left - 1, [*sizes, 1])
+
+    place(c, [])
+    return out
+
+
+def test_numbers_of_tables_have_the_law_of_their_restaurant():
+    """A restaurant of three dishes: the joint law of their tables over sweeps against the enumeration of all seatings."""
+    import numpy as np
+
+    d, a, c, base = 0.6, 1.3, [4, 3, 2], [0.5, 0.2, 0.3]
+    w = [ways(n, d) for n in c]
+    law = {t: math.prod(w[i][t[i]] * base[i] ** t[i] for i in range(3)) * math.prod(a + d * k for k in range(sum(t))) for t in itertools.product(*(range(1, n + 1) for n in c))}
+    whole = sum(law.values())
+    copies, rng = 4000, np.random.default_rng(5)  # restaurants side by side
+    n, p = np.tile(c, copies), np.tile(base, copies)
+    t = np.ones(len(n), np.int64)
+    seen = Counter()
+    for sweep in range(30):
+        new = np.repeat(pitman_yor.log_mass(t.reshape(-1, 3).sum(axis=1), a, d, rng), 3)
+        parent = (np.zeros(len(n)), np.zeros(len(n)), p * 1e18, np.full(len(n), 1e18), 0.0)
+        t = pitman_yor.draw(n, new, parent, d, rng)
+        if sweep >= 10:
+            seen.update(map(tuple, t.reshape(-1, 3).tolist()))
+    total = sum(seen.values())
+    assert all(abs(seen[k] / total - v / whole) < 0.006 for k, v in law.items())
+
+
+def test_parents_serve_one_customer_after_another():
+    """One dish of one pair, whose word restaurant has nothing else: its tables against the enumeration over both restaurants with the parent's one table."""
+    import numpy as np
+
+    d, c, g = 0.5, 5, 0.2
+    w, n = ways(c, d), 20_000
+    # new tables have weight x; at the parent the first customer opens the only table (chance g), others join it or open one
+    x = 0.8
+    law = [0.0] + [w[t] * x**t * math.prod((max(j - d, 0) + g) / (1 + j) if j else g / 1 for j in range(t)) for t in range(1, c + 1)]
+    zero = np.zeros(n)
+    got = pitman_yor.draw(np.full(n, c), np.full(n, math.log(x)), (zero, zero, np.full(n, g), np.full(n, 1.0), d), d, np.random.default_rng(1))
+    share = np.bincount(got, minlength=c + 1) / n
+    assert all(abs(share[t] - law[t] / sum(law)) < 0.012 for t in range(1, c + 1))
 
 
-def test_customers_of_frequent_dishes_sit_down_one_by_one():
+def test_many_customers_have_the_limit_law():
     import numpy as np
 
-    c, others, prior, d, b = 1500, 40, 0.3, 0.75, 1.0
-    p = np.zeros(c + 2)  # of each number of tables, exactly
-    p[1] = 1
-    t = np.arange(c + 2)
-    for at in range(1, c):
-        new = (b + d * (others + t)) * prior
-        share = p * new / np.maximum(new + at - d * t, 1e-9)
-        p = p - share
-        p[1:] += share[:-1]
-    mean = (p * t).sum()
-    spread = math.sqrt((p * (t - mean) ** 2).sum() / 20_000)
-    got = pitman_yor.seat(np.full(20_000, c), np.full(20_000, others), np.full(20_000, prior), d, b, np.random.default_rng(4))
-    assert abs(got.mean() - mean) < 4 * spread
-
-
-def test_sweeps_see_the_tables_of_the_last_sweep(monkeypatch):
+    d, c = 0.75, 4000
+    t = np.arange(1, c + 1)
+    row = np.full(c, -np.inf)
+    row[0] = 0
+    with np.errstate(divide="ignore"):
+        for k in range(1, c):
+            stay = np.log(np.maximum(k - d * t, 0)) + row
+            stay[k:] = -np.inf
+            stay[1:] = np.logaddexp(stay[1:], row[:-1])
+            row = stay
+    for x in (0.1, 0.7, 3.0):
+        exact, found = (np.exp(v - v.max()) for v in (row[:1500] + t[:1500] * math.log(x), pitman_yor.log_ways(c, 1500, d) + t[:1500] * math.log(x)))
+        exact, found = exact / exact.sum(), found / found.sum()
+        assert np.abs(np.cumsum(exact) - np.cumsum(found)).max() < 0.02
+
+
+def test_sweeps_see_the_numbers_of_the_last_exchange():
+    """After the last sweep every owner's customers are the tables that the key ranges hold."""
     import numpy as np
 
-    n = 3000
-    words = (np.random.default_rng(2).integers(1, 12, n) ** 2).astype(np.uint64)
-    table = pa.table({"shard": pa.array([0], pa.int32()), "ids": [np.array([1], "<i8").tobytes()], "held": [b"\0"], "counts": [np.array([n], "<i4").tobytes()], "words": [pitman_yor.tb.low_bytes(words, 6)], "contexts": [np.zeros(n, "<u2").tobytes()]})
-    none, calls, seat = np.zeros(0, np.uint64), [], pitman_yor.seat
-
-    def watched(customers, others, *rest):
-        calls.append((others, seat(customers, others, *rest)))
-        return calls[-1][1]
-
-    monkeypatch.setattr(pitman_yor, "seat", watched)
-    pitman_yor.sample_range(table, pitman_yor.count_range(table, none)["sums"][0].as_py(), none, pitman_yor.Model(burn_in=2, samples=1))
-    of_context = [x for x in calls if len(x[1])][::2]  # the others seat the root
-    assert len(of_context) == 3
-    for (_, before), (others, _) in itertools.pairwise(of_context):
-        assert (others + before == before.sum()).all() and before.sum() > len(before)
+    m = pitman_yor.Model(burn_in=2, samples=1)
+    rng = np.random.default_rng(2)
+    data = [(i, " ".join(f"w{k}" for k in rng.integers(1, 9, 40))) for i in range(60)]
+    for heavy in ((), ("w3", "w5")):
+        found, tables, root, dealt = local_ranges(data, m, heavy), 0, set(), 0
+        for s, news in found:
+            totals, _ = pitman_yor.told(news)
+            drawn = pitman_yor.unpacked(pitman_yor.letters(news, pitman_yor.SEATS)[0]["data"])[2:]
+            t1 = np.minimum(s.customers, 1)
+            t1[s.open_mid] = drawn[1]
+            tables += int(t1[s.dealt == 0].sum())
+            root.add(int(totals[0][0]))
+            dealt = int(totals[0][4 + len(heavy) :].sum())
+        assert root == {tables + dealt} and tables > len(set(np.concatenate([s.words for s, _ in found]).tolist()))
 
 
 # operator 10
