@@ -25,6 +25,15 @@ SKIP_TEXTS = {
 }
 
 
+#: Reasons that tell of work done before, and that of renames that change nothing (fixed values).
+DONE_BEFORE, NO_CHANGE = ("already_migrated", "version_already_compatible"), "no_op_rename"
+
+
+def skip_group(reason: Column) -> Column:
+    """`real` for a skip that someone should look at, `informational` for work done before, null for a rename that changes nothing."""
+    return F.when(reason.isin(*DONE_BEFORE), "informational").when(reason != NO_CHANGE, "real")
+
+
 def strategy_kind(entry: str = "entry") -> Column:
     """What a strategy entry comes to: its own kind where the fields it needs are there, else Manual."""
     e = F.col(entry)

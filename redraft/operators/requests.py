@@ -16,8 +16,9 @@ CHUNK_SIZE, CHUNK_FAMILIES = 8, 2
 
 def merged_by_rule(requests: DataFrame) -> DataFrame:
     """One row per file and rule: lines and snippets in order, message and labels of the first."""
-    lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
-    return requests.groupBy("file", "rule_id").agg(F.min("seq").alias("seq"), F.transform(lines, lambda x: x["line"]).alias("lines"), F.min_by("message", "seq").alias("message"), F.min_by("labels", "seq").alias("labels"), F.count("*").alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct("seq", "line", _optional(requests, "code_snip", "string").alias("snip"))))
+    snippets = F.filter(F.transform(rows, lambda x: x["snip"]), lambda x: x.isNotNull())
+    return requests.groupBy("file", "rule_id").agg(F.min("seq").alias("seq"), F.transform(rows, lambda x: x["line"]).alias("lines"), snippets.alias("snippets"), F.min_by("message", "seq").alias("message"), F.min_by("labels", "seq").alias("labels"), F.count("*").alias("n"))
 
 
 def ordered(requests: DataFrame) -> DataFrame:
@@ -55,17 +56,48 @@ def chunks(requests: DataFrame, size: int = CHUNK_SIZE, families: int = CHUNK_FA
     return requests.groupBy("file").applyInPandas(lambda pdf: next(cut(iter([pdf]))), schema)
 
 
+#: Labels of requests for tests, and what a message that only tells of types holds (fixed values).
+TEST_LABELS = ("change-type=test-fix", "generated=true", "scope=tests")
+NOISE_RULES, NOISE_TEXTS = r"(signature|type)-changed", ("type changed from", "signature changed")
+
+
+def _optional(requests: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in requests.columns else F.lit(None).cast(kind)
+
+
 def consolidated(requests: DataFrame) -> DataFrame:
-    """One row per file and family: least line, distinct labels and messages in order of arrival, number of requests; requests without a family stay as they are."""
+    """One row per file and family: least line, distinct messages, snippets and labels in order of arrival, sorted companion tests, number of requests, rule and place of the first.
+
+    Requests that only tell of a type go, unless all of a family do.  Requests without a family stay as they are.
+    """
     own = requests.withColumn("key", F.coalesce(F.concat(F.lit("family:"), F.col("family")), F.concat(F.lit("rule:"), F.col("rule_id"), F.lit(":"), F.col("seq").cast("string"))))
-    messages = F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"])
-    return own.groupBy("file", "key").agg(F.min("line").alias("line"), F.array_join(F.array_distinct(messages), "\n").alias("message"), F.count("*").alias("n"))
+    told = F.lower("message")
+    noise = F.col("rule_id").rlike(NOISE_RULES) & (F.contains(told, F.lit(NOISE_TEXTS[0])) | F.contains(told, F.lit(NOISE_TEXTS[1])))
+    rows = own.select("file", "key", "line", F.struct("seq", "message", "rule_id", noise.alias("noise"), _optional(requests, "code_snip", "string").alias("snip"), _optional(requests, "labels", "array<string>").alias("labels"), _optional(requests, "companion_tests", "array<string>").alias("tests")).alias("r"))
+    every = rows.groupBy("file", "key").agg(F.min("line").alias("line"), F.array_sort(F.collect_list("r")).alias("all"), F.count("*").alias("n"))
+    kept = F.filter("all", lambda x: ~x["noise"])
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("all"))
+    none = F.array().cast("array<string>")
+    distinct = lambda name: F.array_distinct(F.flatten(F.transform("kept", lambda x: F.coalesce(x[name], none))))
+    return every.withColumn("kept", kept).select(
+        "file", "key", "line", F.array_join(F.array_distinct(F.transform("kept", lambda x: x["message"])), "\n").alias("message"), "n", F.col("all")[0]["rule_id"].alias("rule_id"), F.col("all")[0]["seq"].alias("seq"),
+        F.array_distinct(F.filter(F.transform("kept", lambda x: x["snip"]), lambda x: x.isNotNull())).alias("snippets"), distinct("labels").alias("labels"), F.array_sort(distinct("tests")).alias("companion_tests"),
+    )
 
 
 def test_requests(requests: DataFrame) -> DataFrame:
-    """One request for each companion test file, after the first request that names it."""
+    """One request for each companion test file, after the first request that names it, with the labels of such requests."""
     rows = requests.select("rule_id", "seq", F.explode("companion_tests").alias("file"))
-    return rows.groupBy("file").agg(F.min_by(F.concat(F.lit("test-fix:"), F.col("rule_id")), F.struct("seq", "rule_id")).alias("rule_id"), F.lit(1).alias("line"))
+    found = rows.groupBy("file").agg(F.min_by(F.concat(F.lit("test-fix:"), F.col("rule_id")), F.struct("seq", "rule_id")).alias("rule_id"), F.lit(1).alias("line"))
+    return found.withColumn("labels", F.array(*[F.lit(x) for x in TEST_LABELS]))
+
+
+def with_test_requests(requests: DataFrame) -> DataFrame:
+    """Requests (file, rule_id, line, seq, message, labels, companion_tests, …) and behind them those for the tests of requests that touch tests only."""
+    asks = requests.where(F.array_contains("labels", "change-type=test-impact"))
+    first = asks.select("seq", F.explode("companion_tests").alias("file")).groupBy("file").agg(F.min("seq").alias("seq"))
+    tests = test_requests(asks).join(first, "file").withColumn("message", F.lit("Bring this test in line with the change of the file that it tests."))
+    return requests.unionByName(tests, allowMissingColumns=True)
 
 
 def prompts(chunked: DataFrame) -> DataFrame:
@@ -75,17 +107,58 @@ def prompts(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("file", "chunk").agg(F.concat(F.lit("Change the file "), F.col("file"), F.lit(" as asked for below. Change nothing else.\n"), F.array_join(items, "\n")).alias("prompt"))
 
 
-def answers(asked: DataFrame, client: Callable[[str, str], str] | None = None, at_once: int = 3) -> DataFrame:
-    """(file, chunk, answer, ok) from a client (file, prompt) -> text; each file's chunks go in order, at most `at_once` files at a time.  Without a client nothing is sent and nothing is ok."""
+#: Most turns of a request, of one with tests, and of a chunk of n requests: the least of start + n and the most (fixed values).
+TURNS, TURNS_WITH_TESTS = (5, 15)
+CHUNK_TURNS, CHUNK_TURNS_WITH_TESTS = (22, 40), (30, 50)
 
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        if client is None:
-            return pdf.assign(answer="", ok=False)[["file", "chunk", "answer", "ok"]]
-        got = [client(f, p) for f, p in zip(pdf["file"], pdf["prompt"], strict=True)]
-        return pdf.assign(answer=got, ok=[bool(x.strip()) for x in got])[["file", "chunk", "answer", "ok"]]
 
-    return asked.repartition(at_once, "file").groupBy("file").applyInPandas(ask, "file string, chunk int, answer string, ok boolean")
+def turns(n: Column, tests: Column) -> Column:
+    """How many turns a model may take for a chunk of n requests."""
+    of = lambda start, most: F.least(n + start, F.lit(most))
+    return F.when(n == 1, F.when(tests, TURNS_WITH_TESTS).otherwise(TURNS)).otherwise(F.when(tests, of(*CHUNK_TURNS_WITH_TESTS)).otherwise(of(*CHUNK_TURNS))).cast("int")
+
+
+def answers(asked: DataFrame, client: Callable[[str, str], str] | None = None, at_once: int = 3, tries: int = 2) -> DataFrame:
+    """(file, chunk, answer, ok, tries, error) from a client (file, prompt) -> text, at most `at_once` files at a time.
+
+    A file's chunks go in order; each prompt tells what the answers before it said; an empty answer or a TimeoutError is tried again, and a chunk that fails
+    stops its file: later ones are not sent.  Without a client nothing is sent and nothing is ok.
+    """
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, told, stopped = [], [], client is None
+        for file, chunk, prompt in pdf.sort_values("chunk")[["file", "chunk", "prompt"]].itertuples(index=False):
+            answer, error, n = "", None, 0
+            while not stopped and n < tries and not answer.strip():
+                n += 1
+                try:
+                    answer, error = client(file, "\n\n".join([prompt, *(["Done before:\n" + "\n".join(told)] if told else [])])), None
+                except TimeoutError as e:
+                    error = f"timeout: {e}"
+                except Exception as e:  # a client of whatever kind: its failure is a row, not the end of the run
+                    error = str(e)
+                    break
+            ok = bool(answer.strip())
+            if not stopped and not ok:
+                error, stopped = error or "empty answer", True
+            told += [answer.strip()] if ok else []
+            rows.append((file, chunk, answer, ok, n, error))
+        return pd.DataFrame(rows, columns=["file", "chunk", "answer", "ok", "tries", "error"])
+
+    return asked.repartition(at_once, "file").groupBy("file").applyInPandas(ask, "file string, chunk int, answer string, ok boolean, tries int, error string")
+
+
+def answer_counts(answered: DataFrame) -> DataFrame:
+    """One row: files whose chunks are all ok, files that failed, and those that timed out."""
+    by_file = answered.groupBy("file").agg(F.min("ok").alias("ok"), F.coalesce(F.max(F.col("error").startswith("timeout")), F.lit(False)).alias("late"))
+    return by_file.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("late").alias("timed_out"))
+
+
+def answer_log(answered: DataFrame) -> DataFrame:
+    """(file, text): the log of each file as JSON, its chunks in order and their totals; write it partitioned by run."""
+    chunk = F.struct("chunk", "ok", "tries", F.length("answer").alias("characters"), "error")
+    every = answered.groupBy("file").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"), F.count("*").alias("n_chunks"), F.count_if("ok").alias("n_ok"), F.sum("tries").alias("n_tries"))
+    return every.select("file", F.to_json(F.struct("file", "chunks", "n_chunks", "n_ok", "n_tries")).alias("text"))
 
 
 def last_answer(messages: DataFrame) -> DataFrame:

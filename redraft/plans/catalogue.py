@@ -313,10 +313,19 @@ u AS (SELECT file, key, message, min(seq) AS s FROM k GROUP BY 1, 2, 3), m AS (S
 SELECT k.file, k.key, CAST(min(line) AS INT) AS line, any_value(m.message) AS message, count(*) AS n FROM k JOIN m ON m.file = k.file AND m.key = k.key GROUP BY 1, 2"""
 )
 def family_consolidate(spark, sf_dir):
-    return requests.consolidated(_requests(spark, sf_dir))
+    return requests.consolidated(_requests(spark, sf_dir)).select("file", "key", "line", "message", "n")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {_REQUESTS}, o AS (SELECT file, seq, family, row_number() OVER (PARTITION BY file ORDER BY family IS NULL, family, priority, seq) AS place FROM r),
+c(file, seq, family, place, chunk, held, seen) AS (
+  SELECT file, seq, family, place, 0, 1, CASE WHEN family IS NULL THEN CAST([] AS VARCHAR[]) ELSE [family] END FROM o WHERE place = 1
+  UNION ALL
+  SELECT file, seq, family, place, CASE WHEN isfull THEN chunk + 1 ELSE chunk END, CASE WHEN isfull THEN 1 ELSE held + 1 END,
+    CASE WHEN family IS NULL THEN CASE WHEN isfull THEN CAST([] AS VARCHAR[]) ELSE seen END WHEN isfull THEN [family] WHEN list_contains(seen, family) THEN seen ELSE list_append(seen, family) END
+  FROM (SELECT o.*, c.chunk, c.held, c.seen, CASE WHEN o.family IS NULL THEN c.held >= 8 ELSE NOT list_contains(c.seen, o.family) AND (len(c.seen) >= 2 OR c.held >= 8) END AS isfull FROM c JOIN o ON o.file = c.file AND o.place = c.place + 1))
+SELECT file, seq, family, CAST(place AS INT) AS place, CAST(chunk AS INT) AS chunk FROM c"""
+)
 def request_chunks(spark, sf_dir):
     return requests.chunks(requests.ordered(_requests(spark, sf_dir)).select("file", "seq", "family", "place"))
 
@@ -324,7 +333,8 @@ def request_chunks(spark, sf_dir):
 @query("WITH x AS (SELECT doc_id, lang || '.test' AS f FROM documents UNION ALL SELECT doc_id, source || '.test' FROM documents) SELECT f AS file, 'test-fix:' || arg_min('d' || doc_id, doc_id) AS rule_id, 1 AS line FROM x GROUP BY 1")
 def test_requests(spark, sf_dir):
     tests = F.array(F.concat("lang", F.lit(".test")), F.concat("source", F.lit(".test")))
-    return requests.test_requests(_table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rule_id"), F.col("doc_id").alias("seq"), tests.alias("companion_tests")))
+    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rule_id"), F.col("doc_id").alias("seq"), tests.alias("companion_tests"))
+    return requests.test_requests(rows).select("file", "rule_id", "line")
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND trim(text) <> '' GROUP BY conv_id")
@@ -758,3 +768,69 @@ def plan_skipped(spark, sf_dir):
 @query(f"WITH {_PLANNED} SELECT count(*) AS pattern_edits, count(DISTINCT name) AS pattern_fixes, count(DISTINCT name) AS files_with_fixes, 0 AS edits_subsumed, (SELECT count(*) FROM by_hand) AS manual_review, (SELECT count(*) FROM asked) AS pending, (SELECT count(*) FROM missed) AS skipped FROM edited")
 def plan_summary(spark, sf_dir):
     return pl.summary(_plan(spark, sf_dir)).drop("json")
+
+
+def _reports(spark, sf_dir):
+    """A report for each order: its lines are incidents of a rule for each return flag, and failed runs of rules are errors."""
+    items = _table(spark, sf_dir, "lineitem")
+    rules = items.groupBy("l_orderkey", "l_returnflag").agg(F.struct(F.collect_list(F.struct(F.lit("f").alias("uri"), F.col("l_linenumber").alias("lineNumber"))).alias("incidents")).alias("v"))
+    sets = rules.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "v"))).alias("violations"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "P", F.map_from_arrays(F.array(F.lit("r1")), F.array(F.concat(F.lit("no "), "o_orderpriority")))).alias("errors"))
+    return sets.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("file"), F.to_json(F.array(F.struct(F.col("l_orderkey").cast("string").alias("name"), "violations", "errors"))).alias("text"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem)) AS violations, (SELECT count(*) FROM lineitem) AS incidents, (SELECT count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') AS errors")
+def report_totals(spark, sf_dir):
+    return readers.report_totals(_reports(spark, sf_dir))
+
+
+@query("SELECT 'no ' || o_orderpriority AS message, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) AS first FROM orders WHERE o_orderstatus = 'P' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
+def report_errors(spark, sf_dir):
+    return readers.report_errors(_reports(spark, sf_dir))
+
+
+@query("SELECT CASE event_type WHEN 'click' THEN 'real' WHEN 'view' THEN 'informational' WHEN 'purchase' THEN NULL ELSE 'informational' END AS part, count(*) AS n FROM events GROUP BY 1")
+def skip_split(spark, sf_dir):
+    reason = F.when(F.col("event_type") == "click", "text_not_found").when(F.col("event_type") == "view", "already_migrated").when(F.col("event_type") == "purchase", "no_op_rename").otherwise("version_already_compatible")
+    return _table(spark, sf_dir, "events").groupBy(planning.skip_group(reason).alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS file, 'p' || s_nationkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN '1.' || s_suppkey ELSE '2.0' END AS version FROM supplier")
+def direct_versions(spark, sf_dir):
+    name, key = F.concat(F.lit('"p'), F.col("s_nationkey").cast("string"), F.lit('": "')), F.col("s_suppkey")
+    text = F.concat(F.lit('{"devDependencies": {'), name, F.lit('2.0"}, "peerDependencies": {'), name, F.lit('9"}'), F.when(key % 2 == 0, F.concat(F.lit(', "dependencies": {'), name, F.lit("1."), key.cast("string"), F.lit('"}'))).otherwise(""), F.lit("}"))
+    return readers.direct_versions(readers.manifest_dependencies(_table(spark, sf_dir, "supplier").select(key.alias("file"), text.alias("text"))))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 1 AS locked FROM part")
+def lock_file_names(spark, sf_dir):
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("/a/"), key.cast("string"), F.when(key % 3 == 0, "/yarn.lock.bak").when(key % 6 == 1, "/yarn.lock").when(key % 3 == 1, "/pnpm-lock.yaml").otherwise("/package.json"))
+    return _table(spark, sf_dir, "part").select("p_partkey", tx.is_lock_file(path).alias("locked"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'N' || p_size WHEN 1 THEN 'M' || p_size ELSE '' END AS name FROM part")
+def annotation_names(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(key % 3 == 0, F.concat(F.lit('{"annotationName": "N'), size, F.lit('", "matchingText": "x"}'))).when(key % 3 == 1, F.concat(F.lit('{"matchingText": "@org.x.M'), size, F.lit('"}'))).otherwise(F.lit('{"typeName": "T"}'))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.from_json(text, "map<string,variant>").alias("variables")).select("p_partkey", pl.annotation_name().alias("name"))
+
+
+_ANSWERED = "a AS (SELECT user_id AS file, event_type = 'click' AS ok, event_type = 'error' AS late FROM events)"
+
+
+def _answered(spark, sf_dir):
+    kind = F.col("event_type")
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("chunk"), kind.alias("answer"), (kind == "click").alias("ok"), F.lit(1).alias("tries"), F.when(kind == "error", "timeout: 120").when(kind != "click", "empty answer").alias("error"))
+
+
+@query(f"WITH {_ANSWERED}, f AS (SELECT file, bool_and(ok) AS ok, bool_or(late) AS late FROM a GROUP BY 1) SELECT count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (late) AS timed_out FROM f")
+def answer_counts(spark, sf_dir):
+    return requests.answer_counts(_answered(spark, sf_dir))
+
+
+@query("SELECT user_id AS file, count(*) AS n_chunks, count(*) FILTER (event_type = 'click') AS n_ok, sum(length(event_type)) AS characters, arg_min(event_id, event_id) AS first FROM events GROUP BY 1")
+def answer_log(spark, sf_dir):
+    read = F.from_json("text", "struct<chunks:array<struct<chunk:long,characters:long>>,n_chunks:long,n_ok:long>")
+    rows = requests.answer_log(_answered(spark, sf_dir)).select("file", read.alias("r"))
+    return rows.select("file", "r.n_chunks", "r.n_ok", F.aggregate("r.chunks", F.lit(0).cast("long"), lambda a, c: a + c["characters"]).alias("characters"), F.col("r.chunks")[0]["chunk"].alias("first"))

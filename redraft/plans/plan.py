@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.functions import versions as vs
-from redraft.functions.text import SKIPPED_JAVA, SKIPPED_JS, contains_any, path_of_uri, replace_all, skips_path
+from redraft.functions.text import SKIPPED_JAVA, SKIPPED_JS, contains_any, is_lock_file, path_of_uri, replace_all, skips_path
 from redraft.operators import edits as ed
 from redraft.operators import graph, planning
 from redraft.sources import readers
@@ -25,9 +25,8 @@ MATCHED_JAVA = ("importedName", "typeName", "methodName", "constructorName", "an
 MATCHED_CLASS = ("matchingText", "className")
 #: Label of rules whose matches are classes that no longer exist (fixed value).
 DEAD_CLASS = "change-type=css-dead-class"
-#: Endings of files whose dependency findings a model handles, and names of lock files.
+#: Endings of files whose dependency findings a model handles.
 SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx")
-LOCK_FILES = ("yarn.lock", "package-lock.json", "pnpm-lock.yaml")
 #: Place in the order of a run of edits that no incident asks for: behind all.
 NO_RULESET = (1 << 31) - 1
 
@@ -67,6 +66,11 @@ def matched_for(mappings: Column, names: tuple[str, ...] = MATCHED_JS) -> Column
     return F.when(F.array_contains(olds, own), own).when(F.array_contains(olds, value), value).otherwise(F.coalesce(F.get(values, 0), own))
 
 
+def annotation_name() -> Column:
+    """The annotation that a Java incident is about: its name, else what it matched without the at sign and the package."""
+    return F.substring_index(F.regexp_replace(planning.first_text(variable("annotationName"), variable("matchingText")), "^@", ""), ".", -1)
+
+
 def prepared(incidents: DataFrame, root: str, skipped: tuple[str, ...] = SKIPPED_JS) -> DataFrame:
     """Incidents (of readers.findings) with file, never_edited (in a folder whose files are not) and seq, which tells all incidents of a run apart and orders them."""
     rows = incidents.withColumn("file", path_of_uri(F.col("file_uri"), root))
@@ -136,11 +140,8 @@ def dependency_rows(incidents: DataFrame, lines: DataFrame, registry: DataFrame
     manifests = lines.where(F.col("file").rlike(r"(^|/)package\.json$")).select("file").distinct()
     own = F.when(F.col("file").rlike(r"(^|/)package\.json$"), F.col("file"))
     near = readers.nearest_manifest(incidents.where(own.isNull()).select(F.col("file").alias("path")).distinct(), manifests)
-    lock = F.lit(False)
-    for name in LOCK_FILES:
-        lock = lock | (F.substring_index("file", "/", -1) == name)
     rows = incidents.join(near.withColumnRenamed("path", "file"), "file", "left").withColumn("manifest", F.coalesce(own, "manifest"))
-    rows = rows.select("seq", "rule_id", "file", "line", "manifest", F.col("entry.package").alias("package"), F.col("entry.new_version").alias("version"), lock.alias("lock"), variable("isDependentOf").alias("depends_on"), variable("dependencyName").alias("dependent"))
+    rows = rows.select("seq", "rule_id", "file", "line", "manifest", F.col("entry.package").alias("package"), F.col("entry.new_version").alias("version"), is_lock_file(F.col("file")).alias("lock"), variable("isDependentOf").alias("depends_on"), variable("dependencyName").alias("dependent"))
     lost, rows = rows.where("manifest is null"), rows.where("manifest is not null")
     direct = rows.where("not lock and depends_on is null").select("seq", F.col("manifest").alias("file"), "package", "version")
     indirect = rows.where("lock or depends_on is not null").withColumn("needs", F.when(F.col("lock"), F.col("package")).otherwise(F.col("depends_on")))
@@ -274,6 +275,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     outcomes = [_rows(live.where(F.lit(False)), "line")]
 
     whole = F.map_contains_key("variables", F.lit("importedName"))
+    whole = whole | F.map_contains_key("variables", F.lit("module")) if java else whole
     if has("Rename"):
         renames = _flag(live, "Rename").withColumn("mappings", mappings_of()).withColumn("whole_file", whole)
         outcomes.append(rename_rows(renames.withColumn("matched", matched_for(F.col("mappings"), names)).withColumn("replace_all", F.col("whole_file")), lines))
@@ -288,7 +290,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
         marked = marked.withColumn("is_dead", F.lit(False))
     if has("RemoveAttribute"):
         removed = _flag(live, "RemoveAttribute")
-        named = removed.withColumn("name", matched_text(names) if java else F.coalesce(variable("propName"), F.lit("")))
+        named = removed.withColumn("name", annotation_name() if java else F.coalesce(variable("propName"), F.lit("")))
         cut = (planning.annotation_removals if java else planning.attribute_removals)(named, lines).join(removed.select("seq", "rule_id"), "seq")
         outcomes.append(_rows(cut, "line", F.col("old_text"), F.col("new_text"), reason=F.col("reason")))
     if has("ImportPathChange"):
@@ -362,21 +364,33 @@ def given_up(requests: DataFrame, results: DataFrame) -> DataFrame:
     return requests.join(results.where("not ok").select("file", "rule_id").distinct(), ["file", "rule_id"], "left_semi")
 
 
-def family_context(entry: str = "entry") -> Column:
-    """What a model is told about a family of components, from the fields that its entry has: structure, props that stay, move or go, children and imports."""
+def family_context(entry: str = "entry", fields: frozenset[str] | None = None) -> Column:
+    """What a model is told about a family of components, from the fields that its entry has: structure, props that stay, move, go or change, children, imports, and where a deprecated family went."""
     e = F.col(entry)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     many = lambda x: F.when(F.size(x) > 0, F.array_join(x, ", "))
     moved = lambda m, sign: F.when(F.size(m) > 0, F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit(sign), x["value"])), ", "))
-    return F.concat_ws(
-        "\n", line("Structure", e["target_structure"]), line("Props that stay", many(e["retained_props"])), line("Props that move to children", moved(e["prop_to_child"], " -> ")), line("Props that go", moved(e["unmapped_removed_props"], ": ")),
+    parts = [
+        line("Structure", e["target_structure"]), line("Props that stay", many(e["retained_props"])), line("Props that move to children", moved(e["prop_to_child"], " -> ")), line("Props that go", moved(e["unmapped_removed_props"], ": ")),
         line("Children that become props", moved(e["child_props_to_parent"], " -> ")), line("Children that go", many(e["removed_children"])), line("New imports", F.concat(many(e["new_imports"]), F.coalesce(F.concat(F.lit(" from "), e["import_source"]), F.lit("")))),
         line("Imports that go", many(e["removed_imports"])),
-    )
+    ]
+    keys = lambda m: F.array_sort(F.map_keys(m))
+    changed = lambda m: F.when(F.size(m) > 0, F.array_join(F.transform(keys(m), lambda k: F.concat(k, F.lit(" ("), F.array_join(F.transform(F.element_at(m, k), lambda c: F.concat(c["from"], F.lit(" -> "), c["to"])), "; "), F.lit(")"))), ", "))
+    for name, title in (("prop_value_changes", "Values that change"), ("prop_type_changes", "Types that change")):
+        if fields is None or name in fields:
+            parts.append(line(title, changed(e[name])))
+    if fields is None or "deprecated_migration" in fields:
+        d = e["deprecated_migration"]
+        same = F.transform(d["matching_props"], lambda p: F.concat(p["old_name"], F.lit(" -> "), p["new_name"], F.when(p["type_changed"], F.concat(F.lit(" ("), p["old_type"], F.lit(" -> "), p["new_type"], F.lit(")"))).otherwise(F.lit(""))))
+        renders = F.exists(F.concat(F.coalesce(F.map_keys(d["new_props"]), F.array().cast("array<string>")), F.coalesce(e["retained_props"], F.array().cast("array<string>"))), lambda p: p.startswith("render"))
+        parts += [line("Package", F.concat(d["old_package"], F.lit(" -> "), d["new_package"])), line("Props that match", many(same)), line("New props", moved(d["new_props"], ": ")), line("Props without a match", many(d["removed_props"])), F.when(renders, F.lit("Props that start with render take a function that returns the element."))]
+    return F.concat_ws("\n", *parts)
 
 
 def with_family(requests: DataFrame, families: DataFrame) -> DataFrame:
     """Requests (…, family) with the context of their family (families: rule_id family:<name>, entry) before their message; others stay as they are."""
-    known = families.where("rule_id like 'family:%'").select(F.substring("rule_id", 8, 1 << 20).alias("family"), family_context().alias("family_text"))
+    fields = frozenset(families.select("entry.*").columns)
+    known = families.where("rule_id like 'family:%'").select(F.substring("rule_id", 8, 1 << 20).alias("family"), family_context(fields=fields).alias("family_text"))
     joined = requests.join(known, "family", "left")
     return joined.select(*[F.when(F.col("family_text").isNotNull(), F.concat("family_text", F.lit("\n\n"), "message")).otherwise(F.col("message")).alias("message") if c == "message" else F.col(c) for c in requests.columns])

@@ -44,6 +44,20 @@ def findings(reports: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def report_totals(reports: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: rules with findings, incidents and errors of all reports."""
+    sets = reports.select(F.explode(F.from_json(F.col(text_col), FINDINGS)).alias("s"))
+    counts = sets.select(F.coalesce(F.size(F.map_keys("s.violations")), F.lit(0)).alias("v"), F.aggregate(F.coalesce(F.map_values("s.violations"), F.array()), F.lit(0), lambda a, x: a + F.coalesce(F.size(x["incidents"]), F.lit(0))).alias("i"), F.coalesce(F.size(F.map_keys("s.errors")), F.lit(0)).alias("e"))
+    return counts.agg(F.sum("v").alias("violations"), F.sum("i").alias("incidents"), F.sum("e").alias("errors"))
+
+
+def report_errors(reports: DataFrame, text_col: str = "text") -> DataFrame:
+    """(message, n, first) of the distinct errors of reports (file, text): how often each occurs, and the first report that has it."""
+    sets = reports.select(F.col("file").cast("string").alias("report"), F.explode(F.from_json(F.col(text_col), FINDINGS)).alias("s"))
+    each = sets.select("report", F.explode("s.errors").alias("rule_id", "message"))
+    return each.groupBy("message").agg(F.count("*").alias("n"), F.min("report").alias("first"))
+
+
 def strategies(documents: DataFrame, order_col: str = "file_ix", text_col: str = "text") -> DataFrame:
     """(rule_id, entry) of JSON maps; of a rule in several files the last file's entry."""
     rows = documents.select(order_col, F.explode(F.from_json(F.col(text_col), f"map<string,{STRATEGY}>")).alias("rule_id", "entry"))
@@ -132,6 +146,12 @@ def manifest_dependencies(texts: DataFrame, file_col: str = "file", text_col: st
     return parsed.select("file", F.explode(sections).alias("section", "all")).select("file", "section", F.explode("all").alias("name", "version"))
 
 
+def direct_versions(dependencies: DataFrame) -> DataFrame:
+    """(file, name, version) of manifest_dependencies: the version under dependencies, else under devDependencies."""
+    own = dependencies.where("section in ('dependencies', 'devDependencies')")
+    return own.groupBy("file", "name").agg(F.min_by("version", "section").alias("version"))  # dependencies come first by name
+
+
 def nearest_manifest(paths: DataFrame, manifests: DataFrame) -> DataFrame:
     """(path, manifest): of the manifests in a path's folder or above it the nearest; joined by folder, not by prefix tests."""
     folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda i: F.concat_ws("/", F.slice(F.split("path", "/"), 1, i)))

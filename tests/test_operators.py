@@ -163,6 +163,38 @@ def test_requests_and_answers(spark):
     asked = requests.prompts(requests.chunks(requests.ordered(rows.withColumn("priority", F.lit(1)))))
     assert [(r["answer"], r["ok"]) for r in requests.answers(asked).collect()] == [("", False)]
     assert [r["answer"] for r in requests.answers(asked, lambda f, p: f"{f}:{p.count('- line')}").collect()] == ["f:3"]
+    many = spark.createDataFrame([(f, c, f"{f}{c}") for f in "abcd" for c in (0, 1, 2)], "file string, chunk int, prompt string")
+
+    def client(file, prompt):
+        if file == "b" and prompt.startswith("b1"):
+            return " "
+        if file == "c":
+            raise TimeoutError("late")
+        if file == "d" and prompt.startswith("d1"):
+            raise ValueError("broken")
+        return "after " + prompt.split("\n")[-1]
+
+    done = requests.answers(many, client)
+    got = {(r["file"], r["chunk"]): (r["answer"], r["ok"], r["tries"], r["error"]) for r in done.collect()}
+    assert [got["a", c][0] for c in (0, 1, 2)] == ["after a0", "after after a0", "after after after a0"]
+    assert got["b", 0][1] and got["b", 1] == (" ", False, 2, "empty answer") and got["b", 2] == ("", False, 0, None)
+    assert got["c", 0] == ("", False, 2, "timeout: late") and got["d", 1] == ("", False, 1, "broken") and got["d", 2][2] == 0
+    assert requests.answer_counts(done).collect() == [(1, 3, 1)]
+    log = {r["file"]: json.loads(r["text"]) for r in requests.answer_log(done).collect()}
+    assert (log["b"]["n_ok"], log["b"]["n_tries"], [c["chunk"] for c in log["b"]["chunks"]]) == (1, 3, [0, 1, 2])
+    ask = spark.createDataFrame([("s", "r", 3, 1, "m", ["change-type=test-impact"], ["t2", "t1"]), ("s", "q", 4, 2, "m", ["x"], ["t3"])], "file string, rule_id string, line int, seq int, message string, labels array<string>, companion_tests array<string>")
+    assert sorted((r["file"], r["rule_id"], r["line"]) for r in requests.with_test_requests(ask).collect()) == [("s", "q", 4), ("s", "r", 3), ("t1", "test-fix:r", 1), ("t2", "test-fix:r", 1)]
+    sizes = spark.createDataFrame([(1, False), (1, True), (2, False), (30, False), (3, True), (40, True)], "n int, t boolean")
+    assert [r[0] for r in sizes.select(requests.turns(F.col("n"), F.col("t"))).collect()] == [5, 15, 24, 40, 33, 50]
+
+
+def test_families_without_noise(spark):
+    rows = [("f", "a-type-changed", 1, 9, "Type changed from x", "Card", "s1", ["l"], ["t2"]), ("f", "a", 2, 3, "Do it", "Card", "s2", ["l", "k"], ["t1"]), ("f", "b", 3, 5, "Do it", "Card", "s2", ["k"], None), ("f", "b-type-changed", 4, 1, "type changed from y", "Tab", None, None, None), ("f", "c", 5, 7, "alone", None, "s", ["z"], None)]
+    df = spark.createDataFrame(rows, "file string, rule_id string, seq int, line int, message string, family string, code_snip string, labels array<string>, companion_tests array<string>")
+    got = {r["key"]: r for r in requests.consolidated(df).collect()}
+    card = got["family:Card"]
+    assert (card["line"], card["message"], card["n"], card["snippets"], card["labels"], card["companion_tests"]) == (3, "Do it", 3, ["s2"], ["l", "k"], ["t1"])
+    assert got["family:Tab"]["message"] == "type changed from y" and got["rule:c:5"]["snippets"] == ["s"]
 
 
 def test_fix_blocks(spark):
