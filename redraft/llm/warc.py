@@ -6,15 +6,27 @@ WARC-Record-ID, keep its target URI and date, and carry digests of their own
 blocks; the metadata block repeats the source's headers and digests and names
 the conversion, so that the three records are linked both ways.
 
-DataFrame functions only.  Results for odd input: a null or empty body is an
+Records are made with DataFrame functions only; tasks write them as files with a gzip
+member for each record.  Time is in proportion to a page's length, whatever it holds:
+what opens an element that is never closed is set aside before the patterns run.
+
+Results for odd input: a null or empty body is an
 empty payload, its conversion an empty block; null headers and URIs are empty;
 a response without a record id is left out; responses that share a record id
-are handled row by row.  An empty table gives no records.
+are handled row by row; numbers of characters that do not exist stay as they are.
+An empty table gives no records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+import re
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
@@ -25,14 +37,70 @@ UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<he
 BREAKS = r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/title|/article|/section|/nav|/footer|/header)[^>]*>"
 
 
+#: Stands for the bracket of an opening that is set aside; no character has this number.
+ASIDE = "\ufdd0"
+#: What opens and closes the elements of UNSEEN, and whether the opening ends with a bracket of its own.
+PAIRS = (("script", "</script>", True), ("style", "</style>", True), ("!--", "-->", False), ("head", "</head>", True))
+
+
+#: Characters of a page from which on openings are set aside; shorter ones take no time worth saving.
+LONG_PAGE = 10_000
+
+
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once, however often body uses it."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+def _to_end(x: Column, start: Column) -> Column:
+    return F.substring(x, start, F.length(x))
+
+
+def _set_aside(x: Column, opening: str, closing: str, bracket: bool) -> Column:
+    """The text with the openings marked behind which nothing closes them, so that no pattern starts there in vain."""
+    head = lambda x: F.regexp_extract(x, rf"(?is)\A(.*){closing}", 1)
+    closed = (lambda x: F.regexp_extract(head(x), r"(?s)\A(.*>)", 1)) if bracket else head
+    return _let(x, lambda x: _let(closed(x), lambda h: F.concat(h, F.regexp_replace(_to_end(x, F.length(h) + 1), rf"(?i)<(?={opening})", ASIDE))))
+
+
+def _closed_only(html: Column) -> Column:
+    x = html
+    for pair in PAIRS:
+        x = _set_aside(x, *pair)
+    return x
+
+
+def _without_tags(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(x, BREAKS, "\n"), r"<[^>]*>", " ")
+
+
+def _tags_of_long(x: Column) -> Column:
+    """_without_tags of a long text: behind its last bracket there are no tags to look for."""
+    return _let(F.regexp_extract(x, r"(?s)\A(.*>)", 1), lambda h: F.concat(_without_tags(h), _to_end(x, F.length(h) + 1)))
+
+
+def _characters(x: Column) -> Column:
+    """Numbered characters resolved."""
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+
+    def resolve(text: Column, entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "([0-9a-fA-F]+);", 1)
+        number = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(known, F.replace(text, entity, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(text)
+
+    return F.when(F.contains(x, F.lit("&#")), F.aggregate(found, x, resolve)).otherwise(x)
+
+
 def plain_text(html: Column) -> Column:
-    """Readable text of a page: unseen elements go, block ends break lines, tags go, named characters are resolved, blank runs and empty lines are folded."""
-    x = F.regexp_replace(html, UNSEEN, " ")
+    """Readable text of a page: unseen elements go, block ends break lines, tags go, named and numbered characters are resolved, blank runs and empty lines are folded."""
+    long = F.length(html) > LONG_PAGE
+    x = F.when(long, F.replace(F.regexp_replace(_closed_only(html), UNSEEN, " "), F.lit(ASIDE), F.lit("<"))).otherwise(F.regexp_replace(html, UNSEEN, " "))
     x = F.regexp_replace(x, r"[ \t\r\n\f]+", " ")
-    x = F.regexp_replace(x, BREAKS, "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", " ")
-    for name, char in ENTITIES:
+    x = _let(x, lambda x: F.when(F.length(x) > LONG_PAGE, _tags_of_long(x)).otherwise(_without_tags(x)))
+    for name, char in ENTITIES[:-1]:
         x = F.replace(x, F.lit(name), F.lit(char))
+    x = F.replace(_let(x, _characters), F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
@@ -121,6 +189,73 @@ def derivatives(responses: DataFrame) -> DataFrame:
     return both.select("row_id", "refers_to", "target_uri", "date", "source_digest", "r.*")
 
 
-def write_records(derived: DataFrame, path: str) -> None:
-    """Write the records as gzip members' input: one text part per task, records one after another."""
-    derived.select("record").write.mode("overwrite").option("lineSep", "").option("compression", "gzip").text(path)
+#: Bytes of a file of records before the next is begun.
+FILE_BYTES = 256 << 20
+
+
+def write_records(derived: DataFrame, path: str) -> DataFrame:
+    """Write the records to files of a folder that driver and executors share, a gzip member for each record, and return (file, n_records, n_bytes).
+
+    Every attempt of a task writes to files of its own in a folder for unfinished ones; those of the attempt that counts are moved when all tasks are done, so lost executors leave nothing behind.
+    """
+    from pyarrow.fs import FileSystem
+
+    spark, unfinished = derived.sparkSession, f"{path.rstrip('/')}/_unfinished-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(unfinished)
+        done, out = [], None
+        for batch in batches:
+            for record in batch["record"].to_pylist():
+                if out is None or size >= FILE_BYTES:
+                    if out is not None:
+                        out.close()
+                        done.append((name, n, size))
+                    name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                member = gzip.compress(record.encode(), 6, mtime=0)
+                out.write(member)
+                n, size = n + 1, size + len(member)
+        if out is not None:
+            out.close()
+            done.append((name, n, size))
+        yield pa.RecordBatch.from_pydict({"file": pa.array([d[0] for d in done], pa.string()), "n_records": pa.array([d[1] for d in done], pa.int64()), "n_bytes": pa.array([d[2] for d in done], pa.int64())})
+
+    store, base = FileSystem.from_uri(unfinished)
+    store.create_dir(base, recursive=True)
+    rows = derived.select("record").mapInArrow(write, "file string, n_records long, n_bytes long").collect()  # a row for each file
+    for r in rows:
+        store.move(f"{base}/{r['file']}", f"{base.rsplit('/', 1)[0]}/{r['file']}")
+    store.delete_dir(base)
+    return spark.createDataFrame([tuple(r) for r in rows], "file string, n_records long, n_bytes long")
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields by lower-case name, and the block, of a serialised record."""
+    head, _, block = data.partition(b"\r\n\r\n")
+    fields = dict(re.findall(r"^([^:\r\n]+): ?([^\r\n]*)", head.decode(), re.MULTILINE))
+    fields = {k.lower(): v for k, v in fields.items()}
+    return fields, block[: int(fields["content-length"])]
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, warc_type, record_id, refers_to, target_uri, block_digest, content_length, block) of the files of write_records, read member by member."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-block-digest", "content-length")
+        for batch in batches:
+            for file, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                rows = []
+                while data:
+                    member = zlib.decompressobj(wbits=31)
+                    fields, block = parse_record(member.decompress(data))
+                    data = member.unused_data
+                    rows.append((file, *[fields.get(n) for n in names[:-1]], int(fields["content-length"]), block))
+                    if len(rows) == 1000 or not data:
+                        kinds = [*[pa.string()] * 6, pa.int64(), pa.binary()]
+                        columns = ["file", "warc_type", "record_id", "refers_to", "target_uri", "block_digest", "content_length", "block"]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], columns)
+                        rows = []
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
+    return files.mapInArrow(read, "file string, warc_type string, record_id string, refers_to string, target_uri string, block_digest string, content_length long, block binary")
