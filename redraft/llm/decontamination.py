@@ -37,8 +37,8 @@ MASKS = ("11111", "1110111", "11011011", "1010101011")
 CLOSE_MASKS = ("11", "111")
 SHORT, LONG = 5, 11
 #: Bits of the filter for each seed, and the least and most bits (as powers of two) that it has in all.
-SLOTS, LEAST_BITS, MOST_BITS = 16, 20, 28
-PROBES = (0, 18, 36)
+SLOTS, LEAST_BITS, MOST_BITS = 32, 20, 30
+PROBES = (0, 8, 16, 24, 32, 40)
 #: Documents' seeds of one hash are dealt over so many parts.
 SALTS = 16
 
@@ -101,10 +101,10 @@ def filter_bits(n: int) -> int:
 
 
 def filter_words(items: DataFrame) -> np.ndarray:
-    """The Bloom filter of all test seeds, as bytes.  Tasks set the bits; parts of 8 kB reach the driver, 32 MB in all at most."""
+    """The Bloom filter of all test seeds, as bytes.  Tasks set the bits; parts of 8 kB reach the driver, 128 MB in all at most."""
     seed = items.select(F.explode("seeds").alias("seed"))
     bits = filter_bits(seed.count())
-    slots = F.array(*[F.shiftright("seed", p).bitwiseAND((1 << bits) - 1) for p in PROBES])
+    slots = F.array(*[F.shiftrightunsigned("seed", p).bitwiseAND((1 << bits) - 1) for p in PROBES])
 
     def pack(table: pa.Table) -> pa.Table:
         own = np.zeros(1 << 16, np.uint8)
