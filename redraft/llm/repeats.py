@@ -4,9 +4,10 @@ Removes each byte that a string of `length` bytes covers which also starts in a
 document with a smaller id.
 
 1. Parse.  In every window of `length` bytes the leftmost minimal rolling hash of
-   TRIGGER bytes is the window's trigger.  The windows of one trigger are
-   neighbours; the text that they cover is a *phrase*.  Equal strings have equal
-   triggers at the same place, so equal windows meet under one trigger, and a
+   TRIGGER bytes is the window's trigger.  Neighbouring windows with equal triggers
+   make a *phrase*, the text that they cover; a run of small period, where every window
+   has the same trigger at another place, is one phrase too, cut after RUN windows.
+   Equal strings have equal triggers, so equal windows meet under one trigger, and a
    long repeat is a repeat of whole phrases, however often it is copied.
 2. Dictionary.  Key ranges of triggers get the phrases of the parse as hashes.
    Of equal phrases only the one in the smallest document stays in the
@@ -20,8 +21,8 @@ document with a smaller id.
 
 Results for odd input: a null text is empty; texts shorter than `length` keep
 all bytes; rows without an id are left out; exact repeats of a row each give
-its result; rows that share an id but not the text give each a row, with what is
-found for the id as far as it fits; an empty table gives no rows.
+its result; rows that share an id but not the text are each cut by what smaller ids hold, and
+keep what only they share; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.llm import textblocks as tb
-from redraft.llm.components import saved
+from redraft.llm.components import Tables
 
 TRIGGER = 24
-KEY, PHRASE, PLACE = 4, 5, 3
+KEY, PHRASE, PLACE = 4, 5, 4
+#: Most windows of a phrase; with the bytes behind the last, its size fits 16 bits.
+RUN = 4096
 #: Marks of phrases: their text is needed, or all of it is removed.
 NEEDED, REMOVED = 1, 2
 
@@ -71,14 +74,17 @@ def parse(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
     starts = tb.ranges(bounds[:-1], sizes)  # of all windows inside documents
     if not len(starts):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    trigger = at[starts]
+    trigger = h[at[starts]]
     new = np.ones(len(starts), bool)
     new[1:] = (trigger[1:] != trigger[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
+    if len(first) and np.diff(np.append(first, len(starts))).max() > RUN:  # cut long runs
+        place = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+        first = np.flatnonzero(place % RUN == 0)
     last = np.append(first[1:], len(starts)) - 1
     begin, end = starts[first], starts[last] + length
     phrase = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.searchsorted(bounds, begin, side="right") - 1, begin, end, h[trigger[first]], tb.mix(phrase)
+    return np.searchsorted(bounds, begin, side="right") - 1, begin, end, trigger[first], tb.mix(phrase)
 
 
 def parse_batch(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
@@ -114,7 +120,7 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def pack_parse(batches: Iterable[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
+def pack_parse(batches: Iterable[pa.RecordBatch], length: int, shards: int, rows_of_id: int = 1) -> Iterator[pa.RecordBatch]:
     """Phrases to the key range of their trigger, each distinct phrase of a batch once; its other occurrences are `done`, to be removed."""
     kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
     for batch in batches:
@@ -126,7 +132,7 @@ def pack_parse(batches: Iterable[pa.RecordBatch], length: int, shards: int) -> I
         same[1:] = (key[order][1:] == key[order][:-1]) & (phrase[order][1:] == phrase[order][:-1])
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         done = np.zeros(len(order), bool)
-        done[order] = same & (doc[order] > doc[order][first])
+        done[order] = same & (doc[order] // rows_of_id > doc[order][first] // rows_of_id)
         rows = []
         for kind in (False, True):
             pick = np.flatnonzero(done == kind)
@@ -148,7 +154,7 @@ def _low(table: pa.Table, name: str, size: int) -> np.ndarray:
     return tb.from_low_bytes(b"".join(table[name].to_pylist()), size)
 
 
-def mark_phrases(table: pa.Table, buckets: int) -> pa.Table:
+def mark_phrases(table: pa.Table, buckets: int, rows_of_id: int = 1) -> pa.Table:
     """One key range: repeats of a phrase in larger documents are removed; of triggers with several phrases the text is needed."""
     done = table.filter(table["done"])
     table = table.filter(pa.compute.invert(table["done"]))
@@ -161,11 +167,12 @@ def mark_phrases(table: pa.Table, buckets: int) -> pa.Table:
     new_key[1:] = key[1:] != key[:-1]
     new_phrase[1:] = new_key[1:] | (phrase[1:] != phrase[:-1])
     leader = np.maximum.accumulate(np.where(new_phrase, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-    removed = doc > doc[leader]
+    own = doc // rows_of_id
+    removed = own > own[leader]
     group = np.cumsum(new_key) - 1
     starts = np.flatnonzero(new_key)
     if n:
-        least, most = np.minimum.reduceat(doc[leader], starts), np.maximum.reduceat(doc[leader], starts)
+        least, most = np.minimum.reduceat(own[leader], starts), np.maximum.reduceat(own[leader], starts)
         several = np.add.reduceat(new_phrase.astype(np.int64), starts) > 1
         needed = ~removed & (several & (least < most))[group]
     else:
@@ -241,7 +248,7 @@ def pack_texts(batches: Iterable[pa.RecordBatch], length: int, shards: int) -> I
         yield _rows(rows, ["shard", "ids", "places", "sizes", "texts"], [pa.int32(), *[pa.binary()] * 4])
 
 
-def sort_suffixes(table: pa.Table, length: int, buckets: int) -> pa.Table:
+def sort_suffixes(table: pa.Table, length: int, buckets: int, rows_of_id: int = 1) -> pa.Table:
     """One key range: the suffixes of its dictionary in order, and the spans of those that start in a smaller document too."""
     doc, place = _column(table, "ids", "<i8"), _column(table, "places", "<i4").astype(np.int64)
     size, text = _column(table, "sizes", "<u2").astype(np.int64), _column(table, "texts", "u1")
@@ -263,7 +270,7 @@ def sort_suffixes(table: pa.Table, length: int, buckets: int) -> pa.Table:
         x, y = start[part][:, None] + np.arange(length), start[part - 1][:, None] + np.arange(length)
         same[part] = (text[x] == text[y]).all(axis=1)
     leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.zeros(0, np.int64)
-    gone = doc[phrase] > doc[phrase[leader]]
+    gone = doc[phrase] // rows_of_id > doc[phrase[leader]] // rows_of_id
     start, phrase = start[gone], phrase[gone]
     order = np.argsort(start)
     start, phrase = start[order], phrase[order]
@@ -343,27 +350,43 @@ def digest_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut_input(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """Documents with the marks of their phrases and the spans that the sorted suffixes give."""
+def _with_rows(texts: DataFrame) -> tuple[DataFrame, int]:
+    """Rows told apart: where ids repeat with other texts, ids times the most texts of an id, plus the text's number; and that most."""
+    most = texts.groupBy("doc_id").agg(F.count_distinct(F.xxhash64("text")).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    if most > 1:
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        texts = texts.withColumn("number", F.dense_rank().over(order) - 1).select((F.col("doc_id") * most + F.col("number")).alias("doc_id"), "text")
+    return texts, most
+
+
+def _cut_input(docs: DataFrame, id_col: str, text_col: str, length: int, tables: Tables) -> tuple[DataFrame, int]:
+    """Documents with the marks of their phrases and the spans that the sorted suffixes give; and the most texts of an id."""
     spark = docs.sparkSession
     tb.small_batches(spark, 1000)
     shards = tb.shards(spark, 32)
-    texts = tb.keyed(docs, id_col, text_col)
-    packed = texts.mapInArrow(lambda it: pack_parse(it, length, shards), _PARSE)
-    marks = packed.groupBy("shard").applyInArrow(lambda t: mark_phrases(t, shards), _MARKS)
-    marks = saved(marks.groupBy("bucket").applyInArrow(marks_of_documents, "doc_id long, places binary, marks binary"))
+    texts, n = _with_rows(tb.keyed(docs, id_col, text_col))
+    packed = texts.mapInArrow(lambda it: pack_parse(it, length, shards, n), _PARSE)
+    marks = packed.groupBy("shard").applyInArrow(lambda t: mark_phrases(t, shards, n), _MARKS)
+    marks = tables.saved(marks.groupBy("bucket").applyInArrow(marks_of_documents, "doc_id long, places binary, marks binary"))
     marked = texts.join(marks, "doc_id", "left")
     phrases = marked.where("marks is not null").mapInArrow(lambda it: pack_texts(it, length, shards), _TEXTS)
-    spans = phrases.groupBy("shard").applyInArrow(lambda t: sort_suffixes(t, length, shards), _SPANS)
+    spans = phrases.groupBy("shard").applyInArrow(lambda t: sort_suffixes(t, length, shards, n), _SPANS)
     spans = spans.groupBy("bucket").applyInArrow(spans_of_documents, "doc_id long, starts binary, ends binary")
-    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "places", "marks", "starts", "ends")
+    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "places", "marks", "starts", "ends"), n
+
+
+def _own_ids(df: DataFrame, rows_of_id: int) -> DataFrame:
+    return df if rows_of_id == 1 else df.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {rows_of_id})) div {rows_of_id}"))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): the maximal removed runs of bytes and the bytes that stay, joined."""
-    return _cut_input(docs, id_col, text_col, length).mapInArrow(lambda it: cut_rows(it, length), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    rows, n = _cut_input(docs, id_col, text_col, length, Tables(docs.sparkSession, "repeats"))
+    return _own_ids(rows.mapInArrow(lambda it: cut_rows(it, length), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"), n)
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of cut_repeats; the bytes that stay are digested in the task that cuts."""
-    return _cut_input(docs, id_col, text_col, length).mapInArrow(lambda it: digest_rows(cut_rows(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    tables = Tables(docs.sparkSession, "repeats")
+    rows, n = _cut_input(docs, id_col, text_col, length, tables)
+    return tables.last(_own_ids(rows.mapInArrow(lambda it: digest_rows(cut_rows(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), n))
