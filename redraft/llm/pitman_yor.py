@@ -173,8 +173,9 @@ def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held_back).combine_chunks().to_batches()[0]
 
 
-def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: int, m: Model) -> Iterator[pa.RecordBatch]:
-    """Tokens to key ranges: documents with their number of tokens, the distinct words of the row, the FEW most frequent first and the others in order, and the three words of each token as places among them."""
+def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, keys: list[int], m: Model) -> Iterator[pa.RecordBatch]:
+    """Tokens to key ranges: documents with their number of tokens, the distinct words of the row, the FEW most frequent first and the others in order, and the three words of each token as places among them.  keys are the numbers of the key ranges."""
+    shards = len(keys)
     for batch in gathered(batches, PACK_BYTES):
         ids = batch["doc_id"].to_numpy()
         out = np.array([held(i, m) for i in ids.tolist()], bool)
@@ -206,7 +207,7 @@ def pack_tokens(batches: Iterable[pa.RecordBatch], heavy: np.ndarray, shards: in
                 few, rest = used[often[used]], used[~often[used]]
                 place[few], place[rest] = np.arange(len(few)), len(few) + np.arange(len(rest))
                 words = packed(known[few].astype(np.int64), steps(known[rest].astype(np.int64)))
-                rows.append((s, _zip.compress(ids[r[at]].tobytes()), out[r[at]].tobytes(), packed(np.diff(np.append(at, len(r)))), words, packed(*np.split(place[three], 3))))
+                rows.append((keys[s], _zip.compress(ids[r[at]].tobytes()), out[r[at]].tobytes(), packed(np.diff(np.append(at, len(r)))), words, packed(*np.split(place[three], 3))))
         yield _batch(rows, ["shard", "ids", "held", "counts", "words", "places"], [pa.int32(), *[pa.binary()] * 5])
 
 
@@ -244,13 +245,13 @@ class Seats:
         self.leaf = np.empty(len(key), np.int32)  # of each token
         self.leaf[order] = np.cumsum(new) - 1
         first = order[new]
-        self.c = np.bincount(self.leaf, weights=trained, minlength=len(first)).astype(np.int64)
-        leaf_u, leaf_v, leaf_w = (x[first].astype(np.int64) for x in (u, v, w))
-        del key, order, new, u, v, w
+        self.c = np.bincount(self.leaf, weights=trained, minlength=len(first)).astype(np.int32)
+        leaf_u, leaf_v, leaf_w = (x[first] for x in (u, v, w))
+        del key, order, new, u, v, w, trained
         new = (np.diff(leaf_u, prepend=-1) != 0) | (np.diff(leaf_w, prepend=-1) != 0)
-        self.mid = np.cumsum(new) - 1  # of each leaf
-        self.u, self.w = leaf_u[new], leaf_w[new]  # of each mid
-        _, self.pair = np.unique(leaf_u * n + leaf_v, return_inverse=True)  # restaurant of each leaf
+        self.mid = (np.cumsum(new) - 1).astype(np.int32)  # of each leaf
+        self.u, self.w = leaf_u[new].astype(np.int64), leaf_w[new].astype(np.int64)  # of each mid
+        self.pair = np.unique(leaf_u.astype(np.int64) * n + leaf_v, return_inverse=True)[1].astype(np.int32)  # restaurant of each leaf
         place = np.minimum(np.searchsorted(heavy, self.words), max(len(heavy) - 1, 0))
         self.dealt = (np.where(heavy[place] == self.words, place + 1, 0) if len(heavy) else np.zeros(n, np.int64))[self.u]  # 0, or the number of a word restaurant that owners keep, of each mid
         self.customers = self.per_mid(self.c)
@@ -260,7 +261,7 @@ class Seats:
         h = len(heavy) + 1
         keys = np.unique(np.concatenate((self.w * h, (self.w * h + self.dealt)[self.dealt > 0])))
         self.key_word, self.key_dealt = np.divmod(keys, h)
-        self.root_key, self.mid_key = np.searchsorted(keys, self.w * h), np.searchsorted(keys, self.w * h + self.dealt)
+        self.root_key, self.mid_key = (np.searchsorted(keys, self.w * h + x).astype(np.int32) for x in (0, self.dealt))
 
     def per_mid(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.mid, weights=x, minlength=len(self.u)).astype(np.int64)
@@ -446,7 +447,7 @@ class Sampler:
         return t_leaf, t_mid, add(self.root_key[light], t_mid, n) + add(self.mid_key[self.mid], np.where(self.dealt[self.mid] > 0, t_leaf, 0), n)
 
 
-def count_mail(table: pa.Table, heavy: np.ndarray, owners: int) -> pa.Table:
+def count_mail(table: pa.Table, heavy: np.ndarray, owners: list[int]) -> pa.Table:
     """A key range's sampler, to itself, and its words and dealt-out dishes, to their owners: token customers, tables that are given, those to begin with, and whether it will ask for them."""
     s, shard = Seats(table, heavy), table["shard"][0].as_py()
     data, asked = Sampler.pack(s)
@@ -455,9 +456,9 @@ def count_mail(table: pa.Table, heavy: np.ndarray, owners: int) -> pa.Table:
     fixed = s.per_key(s.root_key, light & (s.customers == 1)) + s.per_key(s.mid_key, np.where(light, 0, s.per_mid(s.c == 1)))
     start = s.per_key(s.root_key, light & (s.customers > 1)) + s.per_key(s.mid_key, np.where(light, 0, s.per_mid(s.c > 1)))
     word = s.words[s.key_word]
-    cuts = owner_cuts(word, owners)
+    cuts = owner_cuts(word, len(owners))
     rows = [(shard, FIXED, shard, data)]
-    for o, a, b in zip(range(owners), cuts[:-1], cuts[1:], strict=True):
+    for o, a, b in zip(owners, cuts[:-1], cuts[1:], strict=True):
         rows.append((o, ASK, shard, packed(steps(word[a:b]), *[x[a:b] for x in (s.key_dealt, customers, fixed, start, asked)])))
     return mail(rows)
 
@@ -498,7 +499,7 @@ def customers_of(given: np.ndarray, t: np.ndarray, dealt: np.ndarray, word: np.n
     return np.where(dealt == 0, given + more[word], given)
 
 
-def own_mail(table: pa.Table, n_heavy: int, shards: int) -> pa.Table:
+def own_mail(table: pa.Table, n_heavy: int) -> pa.Table:
     """An owner's first numbers: one table for each dish and word."""
     own, to = Owner(letters(table, ASK), n_heavy), table["to"][0].as_py()
     if not own.shards:
@@ -519,7 +520,7 @@ def told(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.sum([g[0] for g in got], axis=0), [np.concatenate(x) for x in zip(*[g[1:] for g in got], strict=True)]
 
 
-def sweep_mail(fixed: pa.Table, news: pa.Table, owners: int, m: Model, number: int) -> pa.Table:
+def sweep_mail(fixed: pa.Table, news: pa.Table, m: Model, number: int) -> pa.Table:
     """One sweep of a key range."""
     rows, mine = passed_on(news, HELD), letters(fixed, FIXED)
     if not mine:  # a key range without tokens
@@ -641,17 +642,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spark = docs.sparkSession
     tb.small_batches(spark)
     shards = tb.shards(spark, 32)
-    owners = min(shards, OWNERS)
     texts = tb.keyed(docs, id_col, text_col)
     heavy = heavy_words(texts, shards)
     n_heavy = len(heavy)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(lambda it: pack_tokens(it, heavy, shards, m), _TOKENS).repartition(ranges, "shard")
+    keys = tb.even_keys(spark, shards, ranges)
+    owners = sorted(keys[:OWNERS])  # in the order of their words
+    dealt = texts.mapInArrow(lambda it: pack_tokens(it, heavy, keys, m), _TOKENS).repartition(ranges, "shard")
     counted = dealt.groupBy("shard").applyInArrow(lambda t: count_mail(t, heavy, owners), _MAIL).repartition(ranges, "to")
-    first = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, n_heavy, shards), _MAIL).repartition(ranges, "to")
+    first = counted.groupBy("to").applyInArrow(lambda t: own_mail(t, n_heavy), _MAIL).repartition(ranges, "to")
 
     def swept(number: int):
-        return lambda a, b: sweep_mail(a, b, owners, m, number)
+        return lambda a, b: sweep_mail(a, b, m, number)
 
     def owned(number: int):
         return lambda a, b: owner_mail(a, b, m, number)

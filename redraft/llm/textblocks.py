@@ -162,6 +162,15 @@ def shards(spark: SparkSession, least: int = 64) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_keys(spark: SparkSession, count: int, partitions: int) -> list[int]:
+    """Numbers for `count` key ranges that Spark's hash partitioning deals evenly: the i-th goes to partition i modulo `partitions`."""
+    each = -(-count // partitions)
+    number = F.col("id").cast("int")
+    found = spark.range(0, 64 * partitions * each, 1, 4).groupBy(F.pmod(F.hash(number), F.lit(partitions)).alias("p")).agg(F.slice(F.sort_array(F.collect_list(number)), 1, each).alias("own"))
+    own = {r["p"]: r["own"] for r in found.collect()}
+    return [own[i % partitions][i // partitions] for i in range(count)]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -39,9 +39,32 @@ def test_exact_duplicates(request, name):
     assert sorted(tuple(r) for r in exact_dedup.exact_duplicates(df).collect()) == want
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_groups_come_from_the_chain(request, bits):
+    """Keys that nearly all texts share: the index alone tells them apart, whatever their digests."""
+    df = request.getfixturevalue("odd").unionByName(request.getfixturevalue("documents").select("doc_id", "text", F.lit(0).alias("shard"), F.lit("k").alias("keys"), "lang").limit(60))
+    groups = defaultdict(list)
+    for i, t in texts(df):
+        groups[t].append(i)
+    want = sorted((i, max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
+    key = lambda text: F.pmod(F.length(text), F.lit(1 << bits)) * F.lit(1 << 61)
+    assert sorted(tuple(r) for r in exact_dedup.exact_duplicates(df, key_of=key).collect()) == want
+
+
 def test_equal_keys_of_different_texts_stay_apart():
-    batch = pa.RecordBatch.from_pydict({"key": [1, 1, 1, 2], "sha": [b"a", b"b", b"c", b"d"], "text": ["x", "y", "x", "x"]})
-    assert [b["chain"].to_pylist() for b in exact_dedup.chain([batch])] == [[0, 1, 0, 0]]
+    batches = [pa.RecordBatch.from_pydict({"key": [1, 1, 1], "text": ["x", "y", "x"], "keep_id": [5, 6, 7], "n": [1, 2, 3]}), pa.RecordBatch.from_pydict({"key": [1, 2], "text": ["y", "x"], "keep_id": [1, 9], "n": [1, 4]})]
+    rows = [r for b in exact_dedup.chain(batches) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in rows] == [(1, 2, 7, 4, "x"), (1, 2, 6, 3, "y"), (2, 1, 9, 4, None)]
+
+
+def test_texts_are_folded_within_bounds():
+    import numpy as np
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "key": [-1, 1] * 50, "text": ["a" * 50, "b" * 50] * 50})
+    whole = [r for b in exact_dedup.fold_batches([batch], 1, np.array([7, 8], np.int32)) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in whole] == [(8, -1, "a" * 50, 98, 50), (7, 1, "b" * 50, 99, 50)]
+    parts = [r for b in exact_dedup.fold_batches([batch], 0, np.zeros(1, np.int32), most=100) for r in b.to_pylist()]
+    assert len(parts) == 100 and sum(r["n"] for r in parts) == 100
 
 
 def test_directory_splits_overfull_buckets_only(spark):
@@ -51,8 +74,8 @@ def test_directory_splits_overfull_buckets_only(spark):
     assert sum(2 ** (20 - d) for _, d in starts) == 2**20  # covers every prefix once
     assert all(b[0] == a[0] + 2 ** (20 - a[1]) for a, b in itertools.pairwise(starts))
     assert (1, 1) in found  # a bucket of one key is not split
-    numbers = counts.select(exact_dedup.bucket_of(F.col("prefix"), found).alias("b")).collect()
-    assert len({r["b"] for r in numbers}) > 2
+    depth, slots = exact_dedup.slots_of(found)
+    assert len(slots) == 2**depth and set(slots.tolist()) == set(range(len(found))) and len(found) > 2
 
 
 # operator 3
@@ -124,6 +147,31 @@ def test_repeated_passages(request, name, length):
     assert sorted(tuple(r) for r in repeats.repeat_digests(df, length=length).collect()) == brute_repeats(df, length)
 
 
+def test_runs_of_small_period_are_few_phrases():
+    import numpy as np
+
+    for unit in (b" ", b"ab", b"0123456789" * 3):
+        data = np.frombuffer(b"head" + unit * (200_000 // len(unit)) + b"tail", np.uint8)
+        _, begin, end, key, _ = repeats.parse(data, np.array([0, len(data)]), 50)
+        assert len(begin) < 200 + 30 * 50 and (end - begin).max() <= repeats.RUN + 49
+        covered = np.zeros(len(data) - 49, bool)
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            covered[a : b - 49] = True
+        assert covered.all()
+
+
+def test_repeats_of_runs_and_of_rows_that_share_an_id(spark):
+    rng = __import__("random").Random(7)
+    part = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = part(90)
+    data = [(1, " " * 9000), (2, "x" + " " * 5000 + "y"), (3, "ab" * 4500), (4, "q" + "ba" * 100), (5, part(70) + passage), (6, passage + part(40) + " " * 60), (7, part(300))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(tuple(r) for r in repeats.repeat_digests(df).collect()) == brute_repeats(df, 50)
+    again = data + [(5, passage + "other"), (8, passage + part(20)), (8, "z" + passage), (8, "z" + passage)]
+    got = sorted(tuple(r)[:4] for r in repeats.repeat_digests(spark.createDataFrame(again, "doc_id long, text string")).collect())
+    assert [r for r in got if r[0] == 5] == [(5, 95, 0, 0), (5, 160, 0, 0)] and [r for r in got if r[0] == 8] == [(8, 91, 90, 1), (8, 91, 90, 1), (8, 110, 90, 1)]
+
+
 def test_kept_bytes_and_spans(spark):
     passage = "".join(f"{i:03d}-" for i in range(30))
     df = spark.createDataFrame([(1, "head" + passage + "tail"), (2, "é" + passage + "!")], "doc_id long, text string")
@@ -186,7 +234,7 @@ def local_ranges(data, m, heavy=(), shards=3, owners=2):
 
     heavy = np.sort(np.array([int(pitman_yor.tokens(pa.RecordBatch.from_pydict({"text": [w]}))[1][0]) for w in heavy], np.int64))
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in data], pa.int64()), "text": [t for _, t in data]})
-    table = pa.Table.from_batches(list(pitman_yor.pack_tokens([batch], heavy, shards, m)))
+    table = pa.Table.from_batches(list(pitman_yor.pack_tokens([batch], heavy, list(range(shards)), m)))
     dealt = {s: table.filter(pa.compute.equal(table["shard"], s)) for s in set(table["shard"].to_pylist())}
     empty = pitman_yor.mail([])
 
@@ -194,11 +242,11 @@ def local_ranges(data, m, heavy=(), shards=3, owners=2):
         whole = pa.concat_tables(tables)
         return {s: whole.filter(pa.compute.equal(whole["to"], s)) for s in range(shards)}
 
-    counted = sent([pitman_yor.count_mail(t, heavy, owners) for t in dealt.values()])
-    first = sent([pitman_yor.own_mail(t, len(heavy), shards) for t in counted.values() if t.num_rows])
+    counted = sent([pitman_yor.count_mail(t, heavy, list(range(owners))) for t in dealt.values()])
+    first = sent([pitman_yor.own_mail(t, len(heavy)) for t in counted.values() if t.num_rows])
     news = first
     for number in range(m.burn_in + m.samples):
-        news = sent([pitman_yor.sweep_mail(counted.get(s, empty), news[s], owners, m, number) for s in range(shards)])
+        news = sent([pitman_yor.sweep_mail(counted.get(s, empty), news[s], m, number) for s in range(shards)])
         news = sent([pitman_yor.owner_mail(first[s], news[s], m, number) for s in range(shards)])
     totals = sent([pitman_yor.total_mail(counted[s], news[s], len(heavy), m) for s in range(shards)])
     return [(pitman_yor.Seats(t, heavy), totals[s]) for s, t in dealt.items()]
@@ -228,6 +276,14 @@ def test_predictive_probabilities_sum_to_one(heavy):
     assert len(whole) >= 40 and all(math.isclose(x, 1, rel_tol=1e-9) for x in whole)
 
 
+def test_key_ranges_are_dealt_evenly(spark):
+    from redraft.llm import textblocks as tb
+
+    keys = tb.even_keys(spark, 30, 7)
+    rows = spark.createDataFrame([(k,) for k in keys], "k int").repartition(7, "k").select("k", F.spark_partition_id().alias("p")).collect()
+    assert len(set(keys)) == 30 and max(Counter(r["p"] for r in rows).values()) == 5
+
+
 def test_every_context_has_a_restaurant_of_its_own():
     m = pitman_yor.Model(burn_in=0, samples=1)
     (s, _), *_ = local_ranges([(1, " ".join(f"w{i}" for i in range(20_000)))], m, shards=1, owners=1)

@@ -1,5 +1,6 @@
 """Decontamination, WARC, quality, personal data and the pipeline."""
 
+import gzip
 import re
 
 import duckdb
@@ -45,6 +46,45 @@ def test_leaks_tolerate_substitutions(spark, odd, none):
     assert clean.count() == odd.where("doc_id is not null").count() and clean.where("contaminated").count() == 0
 
 
+def test_every_placing_of_the_substitutions_that_are_allowed(spark):
+    """Items of 1 to 25 words, each with as many wrong words as the share allows, wherever they are: all are found; with one more none is."""
+    import itertools
+    import random
+
+    rng, docs, want = random.Random(3), [], {}
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 26)}
+    for n, item in items.items():
+        wrong = n // 5
+        placings = list(itertools.combinations(range(n), wrong))
+        for at in rng.sample(placings, min(len(placings), 60)):
+            docs.append((len(docs), "a b " + " ".join("zz" if k in at else w for k, w in enumerate(item)) + " c"))
+            want[docs[-1][0]] = [n]
+        docs.append((len(docs), " ".join("zz" if k <= wrong else w for k, w in enumerate(item))))
+        want[docs[-1][0]] = []
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got} == want
+
+
+def test_rows_that_share_an_id(spark):
+    item = [f"t{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, "some other words of the same item id"), (2, "none of these words stand in any document")], "item_id long, text string")
+    rows = [(1, " ".join(item)), (1, " ".join(item[:9])), (2, "x"), (2, "some other words of the same item id"), (3, " ".join(item[:9]))]
+    for order in (rows, rows[::-1]):
+        got = decontamination.decontaminate(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), bench).collect()
+        assert sorted((r["doc_id"], r["contaminated"], r["n_items"]) for r in got) == [(1, True, 1), (1, True, 1), (2, True, 1), (2, True, 1), (3, False, 0)]
+
+
+def test_scattered_pieces_of_an_item_are_no_leak():
+    import numpy as np
+
+    item = np.arange(1, 21, dtype=np.uint64)
+    apart = np.concatenate([np.concatenate((item[5 * k : 5 * k + 5], np.full(6, 99 + k, np.uint64))) for k in range(4)])
+    assert decontamination.found_words(apart, item, np.array([0, 6, 12, 18]))[0] == 5
+    close = np.concatenate((item[:10], np.full(2, 99, np.uint64), item[10:]))
+    assert decontamination.found_words(close, item, np.array([0, 2])) == (20, 0)
+
+
 def test_every_whole_item_is_found(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " " + " ".join(re.findall(r"[^\W_]+|[\u0080-￿]+", t.lower())) + " "
@@ -69,6 +109,36 @@ def test_warc_records_of_odd_responses(spark):
     assert warc.derivatives(df.limit(0)).count() == 0
 
 
+def test_written_records_are_read_back(spark, tmp_path):
+    rows = [(i, f"<r{i}>", f"http://a/{i}", "d", "h", f"<p>é {i}\r\n\r\n</p>" * (i % 5)) for i in range(50)]
+    made = warc.derivatives(spark.createDataFrame(rows, "row_id long, record_id string, target_uri string, date string, http_headers string, body string").repartition(3))
+    files = warc.write_records(made, f"file://{tmp_path}/out").collect()
+    assert sum(r["n_records"] for r in files) == 100 and sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(r["file"] for r in files)
+    want = {(r["derived_id"], r["warc_type"], r["refers_to"], r["target_uri"], r["block_digest"], r["content_length"], r["block"]) for r in made.collect()}
+    got = {(r["record_id"], r["warc_type"], r["refers_to"], r["target_uri"], r["block_digest"], r["content_length"], bytes(r["block"]).decode()) for r in warc.read_records(spark, f"file://{tmp_path}/out").collect()}
+    assert got == want
+    whole = b"".join((tmp_path / "out" / r["file"]).read_bytes() for r in files)
+    assert gzip.decompress(whole).count(b"WARC/1.1\r\n") == 100 and whole.count(b"\x1f\x8b\x08") >= 100
+
+
+def test_pages_of_unclosed_tags_take_linear_time(spark):
+    import time
+
+    n = 2_000_000
+    pages = ["<script>" * (n // 8), "<script" * (n // 7) + "</script>", "<" * n, "<!--" * (n // 4), "<style>" * (n // 7) + "</style>" + "<style>" * 1000, "<br" * (n // 3), "<head>" * (n // 6), "&#65;" * (n // 5), " \n" * (n // 2), "<p>" * (n // 3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(pages)], "page_id long, html string").repartition(len(pages))
+    began = time.time()
+    got = {r["page_id"]: r["p"] for r in df.select("page_id", F.substring(warc.plain_text(F.col("html")), 1, 40).alias("p")).collect()}
+    assert time.time() - began < 60
+    assert got[2] == "<" * 40 and got[4] == "" and got[7] == "A" * 40 and got[9] == ""
+
+
+def test_characters_of_pages(spark):
+    texts = ["A&#66;&#x43;&#x1F600; &amp;#67; &#0; &#xD800; &#1114112; &#99999999;", "<script>a<p>b</p>", "x<!--a<script>b-->c</script>d", "a<script >q</script\n>b</script>c", "\ufdd0script"]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.plain_text(F.col("t")).alias("p")).collect()]
+    assert got == ["ABC\U0001f600 &#67; &#0; &#xD800; &#1114112; &#99999999;", "a b", "x c d", "a c", "\ufdd0script"]
+
+
 # operator 6
 
 
@@ -171,6 +241,56 @@ def test_blocks_have_the_likelihood_of_their_stretch():
     assert len(own) > 1 and abs(sum(own) - total[-1]) < 1e-9
 
 
+@pytest.mark.parametrize("text", ["1" * 10**6, "0" * 10**6 + ".1.1.1", "0123456789abcdef" * 62_500, "11 " * 100_000, "a@b" * 100_000, "+1(" * 100_000, "1." * 100_000, "a" * 10**6 + "@b.c", "1" * 40 + "a"], ids=range(9))
+def test_long_texts_take_linear_time(text):
+    import time
+
+    import numpy as np
+
+    weights = np.random.default_rng(1).normal(size=(len(pii.KINDS), pii.N_FEATURES))
+    began = time.time()
+    base, _ = pii.find_spans(text, weights)
+    assert time.time() - began < 60
+    assert base == ([(0, 1, 10**6 + 6)] if text[0] == "0" and text[-1] == "1" else [(0, 0, len(text))] if text.endswith("@b.c") else base)
+
+
+def test_decoding_and_posteriors_against_enumeration():
+    """All cuts of a stretch into segments of a kind and tokens outside: the best one, and the chance of every segment under every kind."""
+    import numpy as np
+
+    part, rng = "+1 (415) 555-1234 10.0.0.1", np.random.default_rng(8)
+    weights = rng.normal(size=(len(pii.KINDS), pii.N_FEATURES)) / 2
+    at, segments = pii.candidates(part)
+    n, by_start = len(at) - 1, {}
+    for k, (i, j, f) in enumerate(segments):
+        by_start.setdefault(i, []).append((k, j, f))
+
+    def cuts(i, only):
+        if i >= n:
+            yield 0.0, ()
+            return
+        for score, rest in cuts(i + 1, only):
+            yield score, rest
+        for k, j, f in by_start.get(i, ()):
+            for kind in range(len(pii.KINDS)):
+                if not only or pii.REQUIRED[kind] in f:
+                    for score, rest in cuts(j, only):
+                        yield score + weights[kind, f].sum(), ((k, kind), *rest)
+
+    best = max(score for score, _ in cuts(0, True))
+    place = {b: i for i, b in enumerate(at)}
+    found = [(kind, next(f for i, j, f in segments if (i, j) == (place[a], place[b]))) for a, kind, b in pii.decode(part, weights)]
+    assert len(found) and all(pii.REQUIRED[kind] in f for kind, f in found) and abs(sum(weights[kind, f].sum() for kind, f in found) - best) < 1e-9
+    total, chance = 0.0, np.zeros((len(segments), len(pii.KINDS)))
+    for score, own in cuts(0, False):
+        total += np.exp(score)
+        for k, kind in own:
+            chance[k, kind] += np.exp(score)
+    rows = np.array([(i, j, sum(1 << x for x in f), -1) for i, j, f in segments], "<i4")
+    batch = pii._Batch([rows], [1]).index()
+    assert np.allclose(batch.expectations(weights), chance / total)
+
+
 def test_personal_data_rows(spark, odd, none):
     rows = pii.personal_data(odd).collect()
     assert len(rows) == odd.count() and pii.personal_data(none).count() == 0
