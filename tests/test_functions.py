@@ -86,7 +86,24 @@ def test_parts(spark, version, parts):
     [
         ("^5.0.0", "^5.1.0", True), ("^5.1.0", "^5.0.0", False), ("^5.0.0", "^6.0.0", False), (">=5.0.0", "^6.0.0", True), ("^5.0.0", ">=5.0.0", False), ("~1.2.0", "1.2.9", True), ("~1.2.0", "1.3.0", False),
         ("^0.2.1", "0.2.9", True), ("^0.2.1", "0.3.0", False), ("^0.0.3", "0.0.3", True), ("^0.0.3", "0.0.4", False), ("*", "^9.0.0", True), ("1.x", "~1.9.9", True), ("workspace:*", "1.0.0", False), ("^1.0.0", "latest", False), ("<2.0.0", "1.9.9", True), ("<=2.0.0", "2.0.0", True), (">1.0.0", "1.0.0", False),
+        ("^17 || ^18 || ^19", "^17.0.1", True), ("^17 || ^19", "^18.0.0", False), ("^17 || ^18", "^17 || ^18.1", True), ("^17", "^17 || ^18", False), ("1.0.0 - 2.0.0", "^1.2.0", True), ("1.0.0 - 1.5.0", "^1.2.0", False), (">=1.2.0 <2.0.0", "~1.3.0", True), (">= 1.2.0 < 1.3.0", "^1.2.0", False), ("^1 || x y", "2.0.0", False),
     ],
 )
 def test_ranges(spark, required, consumer, ok):
     assert one(spark, vs.range_allows(F.col("r"), F.col("c")), r=required, c=consumer) is ok
+
+
+@pytest.mark.parametrize(
+    ("line", "name", "without", "first"),
+    [
+        ('<A class="x" b>', "class", "<A b>", ' class="x"'), ("<A foo={ {a: '}'} } bar={1}>", "foo", "<A bar={1}>", " foo={ {a: '}'} }"), ("<A class>", "class", "<A>", " class"), ('<A classy="1">', "class", '<A classy="1">', None),
+        ("<A class='q' class=\"z\"/>", "class", "<A/>", " class='q'"), ('<A class="open', "class", '<A class="open', None), ("<A on={() => {", "on", "<A on={() => {", None), ("<A on=x>", "on", "<A on=x>", None), ("", "a", "", None), ("<A a.b>", "a.b", "<A>", " a.b"),
+    ],
+)
+def test_attributes(spark, line, name, without, first):
+    assert one(spark, tx.without_attribute(F.col("t"), name), t=line) == without and one(spark, tx.first_attribute(F.col("t"), F.lit(name)), t=line) == first
+
+
+@pytest.mark.parametrize(("line", "want"), [("import { a, b,a } from 'x'", "import { a, b } from 'x'"), ("  import type {a,a} from 'y'", "  import type { a } from 'y'"), ("import x, {a,a} from 'y'", "import x, {a,a} from 'y'"), ("f {a,a} from", "f {a,a} from"), ("import {a,a}", "import {a,a}")])
+def test_import_names(spark, line, want):
+    assert one(spark, tx.unique_specifiers(F.col("t")), t=line) == want
