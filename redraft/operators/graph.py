@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_ROUNDS = 1000
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Behind a checkpoint in the shared folder that the session names; where that is unset, as in tests, a local session gets one of its own."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; where that is unset, as in tests, a local session gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and context.master != "local" and not context.master.startswith("local["):
@@ -20,9 +23,28 @@ def saved(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Behind a checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def union_saved(parts: list[DataFrame]) -> DataFrame:
+    """The union of tables of the same columns behind a checkpoint.  Each is written to the shared folder first and planned on its own; those files go when the union is saved."""
+    spark = parts[0].sparkSession
+    folder = f"{checkpoint_folder(spark)}/union-{uuid.uuid4().hex}"
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{folder}/{number}")
+    schema = parts[0].schema
+    out = saved(reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{folder}/{n}").select(*schema.names) for n in range(len(parts))]))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def dependents(edges: DataFrame, target: str) -> DataFrame:
     """(node): those that depend on the target directly."""
     return edges.where((F.col("child") == target) & (F.col("parent") != target)).select(F.col("parent").alias("node")).distinct()

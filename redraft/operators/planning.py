@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redraft.functions import versions as vs
 from redraft.functions.text import attribute_start, bracket_depth, contains_any, first_attribute, replace_all, replace_words, without_annotation, without_attribute
+from redraft.operators.graph import saved
 
 #: Label values and the strategy they stand for when a rule has none (fixed values).
 INFERRED = {
@@ -157,6 +158,7 @@ def attribute_removals(incidents: DataFrame, lines: DataFrame) -> DataFrame:
     own = rows.join(lines.select("file", F.col("line").alias("at"), "text"), ["file", "at"], "left")
     depth, begins = bracket_depth(F.col("text")), F.ltrim("text").startswith(F.col("name"))
     own = own.withColumn("depth", depth).withColumn("begins", begins).withColumn("part", F.when(~begins, first_attribute(F.col("text"), F.col("name"))))
+    own = saved(own)  # a row for each incident
     wide = own.where("text is not null and begins and depth <> 0")
     runs = balanced_runs(wide.select("file", F.col("at").alias("start")), lines.join(wide.select("file").distinct(), "file", "left_semi"))
     closed = wide.join(runs.withColumnRenamed("start", "at"), ["file", "at"], "left")
@@ -246,9 +248,9 @@ def manifest_changes(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     without one gets an entry behind the last of devDependencies, else of dependencies, with that entry's indent; several of one
     manifest make one edit, by the first of them (reason merged for the others).  A manifest without blocks has none (package_json_not_found).
     """
-    entries = manifest_entries(lines.join(wanted.select("file").distinct(), "file", "left_semi"))
+    entries = saved(manifest_entries(lines.join(wanted.select("file").distinct(), "file", "left_semi")))
     first = entries.groupBy("file", "name").agg(F.min_by(F.struct("line", "text", F.col("version").alias("now")), "line").alias("r")).withColumnRenamed("name", "package")
-    rows = wanted.select("seq", "file", "package", "version").join(first, ["file", "package"], "left")
+    rows = saved(wanted.select("seq", "file", "package", "version").join(first, ["file", "package"], "left"))
     none = F.lit(None).cast("string")
     have = rows.where("r is not null")
     compatible = (F.col("r.now") == F.col("version")) | vs.range_allows(F.col("version"), F.col("r.now"))

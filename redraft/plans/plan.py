@@ -8,7 +8,6 @@ and line.  Only the kinds of strategy that occur reach the driver, so that plann
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,26 +141,27 @@ def dependency_rows(incidents: DataFrame, lines: DataFrame, registry: DataFrame
     near = readers.nearest_manifest(incidents.where(own.isNull()).select(F.col("file").alias("path")).distinct(), manifests)
     rows = incidents.join(near.withColumnRenamed("path", "file"), "file", "left").withColumn("manifest", F.coalesce(own, "manifest"))
     rows = rows.select("seq", "rule_id", "file", "line", "manifest", F.col("entry.package").alias("package"), F.col("entry.new_version").alias("version"), is_lock_file(F.col("file")).alias("lock"), variable("isDependentOf").alias("depends_on"), variable("dependencyName").alias("dependent"))
+    rows = graph.saved(rows)  # a row for each dependency incident; read by every branch below
     lost, rows = rows.where("manifest is null"), rows.where("manifest is not null")
     direct = rows.where("not lock and depends_on is null").select("seq", F.col("manifest").alias("file"), "package", "version")
     indirect = rows.where("lock or depends_on is not null").withColumn("needs", F.when(F.col("lock"), F.col("package")).otherwise(F.col("depends_on")))
     wanted, unresolved = direct, indirect.withColumn("reason", F.lit("no_compatible_version"))
     if registry is not None:
         entries = planning.manifest_entries(lines.join(indirect.select(F.col("manifest").alias("file")).distinct(), "file", "left_semi"))
-        now = entries.groupBy("file", "name").agg(F.min_by("version", "line").alias("now"))
+        now = graph.saved(entries.groupBy("file", "name").agg(F.min_by("version", "line").alias("now")))
         have = indirect.join(now.select(F.col("file").alias("manifest"), F.col("name").alias("needs"), "now"), ["manifest", "needs"], "left")
-        compatible = F.coalesce(vs.range_allows(F.col("version"), F.col("now")), F.lit(False))
-        done, open_rows = have.where(compatible), have.where(~compatible)
+        have = graph.saved(have.withColumn("compatible", F.coalesce(vs.range_allows(F.col("version"), F.col("now")), F.lit(False))))
+        done, open_rows = have.where("compatible"), have.where("not compatible")
         locks = open_rows.where("lock")
         above = graph.ancestors_of(lock_edges(lines.join(locks.select("file").distinct(), "file", "left_semi")), locks.select("file", F.col("package").alias("target")).distinct())
         parents = locks.join(above.select("file", F.col("target").alias("package"), F.col("node").alias("parent")), ["file", "package"]).join(now.select(F.col("file").alias("manifest"), F.col("name").alias("parent")), ["manifest", "parent"])
         asked = parents.select("seq", "manifest", "parent", "needs", "version").unionByName(open_rows.where("not lock").select("seq", "manifest", F.col("dependent").alias("parent"), "needs", "version"))
         asked = asked.select("seq", "manifest", F.col("parent").alias("package"), F.col("needs").alias("dependency"), vs.major(F.col("version")).cast("int").alias("major"))
         latest = latest_compatible(registry, asked.select("package", "dependency", "major").distinct())
-        resolved = asked.join(latest, ["package", "dependency", "major"]).select("seq", F.col("manifest").alias("file"), "package", F.col("latest").alias("version"))
+        resolved = graph.saved(asked.join(latest, ["package", "dependency", "major"]).select("seq", F.col("manifest").alias("file"), "package", F.col("latest").alias("version")))
         wanted = direct.unionByName(resolved)
         unresolved = done.withColumn("reason", F.lit("version_already_compatible")).select("seq", "rule_id", "file", "line", "reason").unionByName(open_rows.join(resolved.select("seq").distinct(), "seq", "left_anti").select("seq", "rule_id", "file", "line", F.lit("no_compatible_version").alias("reason")))
-    changes = planning.manifest_changes(wanted, lines)
+    changes = graph.saved(planning.manifest_changes(wanted, lines))
     # of the parents of one incident some may be as they should: it has a reason only if it has no edit
     asking = rows.select("seq", "rule_id", F.col("line").alias("at"))
     planned = changes.join(asking, "seq").withColumn("edits", F.max(F.col("reason").isNull() | (F.col("reason") == "merged")).over(Window.partitionBy("seq"))).where("reason is null or reason = 'merged' or not edits")
@@ -308,7 +308,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     outcomes.append(_rows(at_last(proactive_dependencies(known, incidents, lines)), "line", F.col("old_text"), F.col("new_text")))
     if java:
         outcomes.append(_rows(at_last(config_renames(known, lines)), "line", F.col("old_text"), F.col("new_text"), every=True))
-    outcomes = graph.saved(reduce(DataFrame.unionByName, outcomes))
+    outcomes = graph.union_saved(outcomes)  # each planner's rows are written on their own, so that no plan holds all planners
 
     edits = outcomes.where("reason is null or reason = 'merged'").drop("reason")
     kept = graph.saved(ed.settled(ed.without_repeats(edits.where("old_text is not null"))))
