@@ -500,7 +500,7 @@ def insert_merge(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT lang, count(*) AS changed_lines FROM lines JOIN documents ON doc_id = file WHERE contains(text, 'the') OR contains(text, 'tion') GROUP BY lang".replace("contains(text", "contains(lines.text"))
 def rename_run(spark, sf_dir):
-    """The whole way: lines, plan, settle, apply, count."""
+    """Lines, edits, settle, apply, count; the plan_ queries run plan() itself."""
     lines = _lines(spark, sf_dir)
     changed = ed.changed_lines(ed.settled(_edits(spark, sf_dir)), lines)
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "lang")
