@@ -7,6 +7,7 @@ report, a lock file or a manifest, Spark derives one from their rows.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from redraft.operators import edits as ed
 from redraft.operators import graph, planning, requests
 from redraft.plans import plan as pl
 from redraft.plans.context import Context, context_table, with_context
-from redraft.sources import readers
+from redraft.sources import readers, splits
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -834,3 +835,23 @@ def answer_log(spark, sf_dir):
     read = F.from_json("text", "struct<chunks:array<struct<chunk:long,characters:long>>,n_chunks:long,n_ok:long>")
     rows = requests.answer_log(_answered(spark, sf_dir)).select("file", read.alias("r"))
     return rows.select("file", "r.n_chunks", "r.n_ok", F.aggregate("r.chunks", F.lit(0).cast("long"), lambda a, c: a + c["characters"]).alias("characters"), F.col("r.chunks")[0]["chunk"].alias("first"))
+
+
+#: Documents whose texts stand one after another in a file of split_lines.
+DOCUMENTS_PER_FILE = 1000
+
+
+@query(
+    rf"""WITH files AS (SELECT doc_id // {DOCUMENTS_PER_FILE} AS file, string_agg(text || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+lines AS (SELECT file, generate_subscripts(ls, 1) AS line, unnest(ls) AS text FROM (SELECT file, string_split_regex(regexp_replace(body, '\r?\n$', ''), '\r?\n') AS ls FROM files))
+SELECT CAST(file AS BIGINT) AS file, CAST(line AS INT) AS line, md5(text) AS h FROM lines"""
+)
+def split_lines(spark, sf_dir):
+    """All documents as text files of many splits each, written to the shared folder and read back line by line."""
+    texts = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / DOCUMENTS_PER_FILE).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    folder = f"{graph.checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
+    texts.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(folder)
+    session = spark.newSession()  # whose splits are small, so that files of a small table have many too
+    session.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    lines = splits.split_lines(session, folder)
+    return lines.select(F.regexp_extract("file", r"file=(-?\d+)/", 1).cast("long").alias("file"), "line", F.md5(F.col("text").cast("binary")).alias("h"))
