@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from redraft.functions import versions as vs
 from redraft.functions.text import attribute_start, bracket_depth, contains_any, first_attribute, replace_all, replace_words, without_annotation, without_attribute
 from redraft.operators.graph import saved
+from redraft.operators.matching import mapping_hits
 
 #: Label values and the strategy they stand for when a rule has none (fixed values).
 INFERRED = {
@@ -82,6 +83,12 @@ def whole_file_edits(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     return rows.select("file", "line", F.explode(alone).alias("e")).select("file", "line", "e.old_text", "e.new_text")
 
 
+def many_file_edits(lines: DataFrame, mappings: DataFrame) -> DataFrame:
+    """whole_file_edits for any number of mappings: one pass over the lines by an automaton of all old texts, and only what it finds meets the mappings."""
+    real = mappings.select("old_text", "new_text").where("old_text <> new_text and old_text <> ''").distinct()
+    return mapping_hits(lines.select("file", "line", "text"), real, longest=True).select("file", "line", "old_text", "new_text")
+
+
 def near_edits(incidents: DataFrame, lines: DataFrame, mappings: DataFrame, before: int = 3, after: int = 4) -> DataFrame:
     """(file, incident_line, line, old_text, new_text): mappings of an incident's rule found on the lines around it.
 

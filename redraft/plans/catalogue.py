@@ -855,3 +855,18 @@ def split_lines(spark, sf_dir):
     session.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     lines = splits.split_lines(session, folder)
     return lines.select(F.regexp_extract("file", r"file=(-?\d+)/", 1).cast("long").alias("file"), "line", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query(
+    f"""WITH {LINES}, olds AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS old_text FROM conversations), renamed AS (SELECT old_text FROM olds WHERE upper(old_text) <> old_text),
+words AS (SELECT DISTINCT file, line, unnest(string_split(text, ' ')) AS w FROM lines), places AS (SELECT w, unnest(range(1, length(w) - 3)) AS i FROM (SELECT w FROM words UNION SELECT old_text FROM renamed)),
+pieces AS (SELECT w, i, unnest(range(5, least(length(w) - i + 1, (SELECT max(length(old_text)) FROM renamed)) + 1)) AS n FROM places),
+found AS (SELECT DISTINCT w, old_text FROM (SELECT w, substr(w, i, n) AS old_text FROM pieces) JOIN renamed USING (old_text)),
+hits AS (SELECT DISTINCT file, line, old_text FROM words JOIN found USING (w))
+SELECT file, CAST(line AS INT) AS line, old_text, upper(old_text) AS new_text FROM hits
+EXCEPT SELECT file, CAST(line AS INT), f.old_text, upper(f.old_text) FROM hits h JOIN found f ON f.w = h.old_text AND f.old_text <> h.old_text"""
+)
+def rename_many(spark, sf_dir):
+    """Every word of the conversations as a rename, all at once, over all lines of the documents."""
+    olds = _table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("old_text")).distinct()
+    return planning.many_file_edits(_lines(spark, sf_dir), olds.select("old_text", F.upper("old_text").alias("new_text")))
