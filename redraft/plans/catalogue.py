@@ -870,3 +870,16 @@ def rename_many(spark, sf_dir):
     """Every word of the conversations as a rename, all at once, over all lines of the documents."""
     olds = _table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("old_text")).distinct()
     return planning.many_file_edits(_lines(spark, sf_dir), olds.select("old_text", F.upper("old_text").alias("new_text")))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey + 1 AS parent FROM part UNION SELECT p_partkey, p_partkey + 4 FROM part WHERE p_size = 50),
+r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT parent, depth + 1 FROM r JOIN e ON child = node)
+SELECT CAST(node AS VARCHAR) AS node, CAST(min(depth) AS INT) AS depth FROM r WHERE node <> 1 GROUP BY node"""
+)
+def closure_chain(spark, sf_dir):
+    """All parts in one chain, each needed by the next, and by one further on where it is of the largest size."""
+    part = _table(spark, sf_dir, "part")
+    key = lambda ahead: (F.col("p_partkey") + ahead).cast("string")
+    edges = part.select(key(0).alias("child"), key(1).alias("parent")).unionByName(part.where("p_size = 50").select(key(0).alias("child"), key(4).alias("parent")))
+    return graph.ancestors(edges, "1")
