@@ -10,12 +10,14 @@ boundaries and kinds together, so it finds what a greedy pattern spoils: a card
 after another number, a phone number that runs into one.  Spans of the field
 that touch no base span are added; base spans stay.
 
-It is fitted by maximum likelihood on the stretches of all documents, whose
-labels are the base spans; stretches of more than LONGEST characters are left
-out of the fit.  A stretch falls into blocks where no segment crosses, and the
-likelihood into theirs; Spark counts equal blocks (places, features and label
-of each segment, no text), so that what is collected are the forms that
-occur and their counts.
+It is fitted on the stretches of all documents, whose labels are the base spans.
+A stretch falls into blocks where no segment crosses, and the likelihood into
+theirs; Spark counts equal blocks (places, features and label of each segment,
+no text) over the whole corpus, and the fit takes the TRAIN_BLOCKS most frequent
+ones, of at most MOST_SEGMENTS segments each, so that what is collected is bounded.
+Weights have a normal prior about PRIOR: decimals, dates, bare digit runs and numbers without a plus that are not grouped
+like a phone number are rare beside personal data in some corpora, so what they count against a
+phone number is said beforehand, and the documents may prove it wrong.
 
 Results for odd input: null and empty texts have no spans; rows with a null id
 and repeated rows are handled row by row; overlapping kinds are all reported; an
@@ -28,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -39,8 +42,8 @@ from redraft.llm import textblocks as tb
 from redraft.llm.bpe import documents
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of the longest stretch that the field is fitted on.
-LONGEST = 400
+#: Distinct blocks that the field is fitted on, the most frequent first, and segments of the largest of them.
+TRAIN_BLOCKS, MOST_SEGMENTS = 20_000, 400
 MOST_TOKENS = 14
 #: Characters before and after a digit or at sign that belong to its stretch, up to a blank.
 AROUND = 24
@@ -135,26 +138,48 @@ _PHONE_SHAPE = re.compile(r"\+?[0-9(][\x20().0-9-]+[0-9]\Z")
 _GROUPED_PHONE = re.compile(r"(\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}\Z")
 _EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+\Z")
 _IP_SHAPE = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}\Z")
-N_FEATURES = 24
+_DECIMAL = re.compile(r"[0-9]+\.[0-9]+\Z")
+_DATE = re.compile(r"([0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})(?![0-9])")
+_BARE = re.compile(r"[0-9]+\Z")
+N_FEATURES = 28
+#: Means of the weights before any text is seen: nothing is a span, and least so what the last features tell, for phone numbers.
+PRIOR = np.zeros((len(KINDS), N_FEATURES))
+PRIOR[:, 0] = -2
+PRIOR[3, 24:28] = -10
 #: What a segment must have to be of a kind at all: an address shape, four parts up to 255, a valid checksum, nine to 15 digits.
 REQUIRED = (3, 4, 7, 12)
 
 
+_SHAPE = str.maketrans("123456789", "000000000")
+
+
+def _kind_of(c: str) -> str:
+    """What counts about a character next to a segment."""
+    return "0" if c in "0123456789" else "a" if c.isalpha() else c
+
+
 def features(s: str, before: str, after: str, n_tokens: int) -> list[int]:
-    """Features of a whole segment and of the characters next to it, as the numbers of those that hold."""
+    """Features of a whole segment and of the characters next to it, as the numbers of those that hold.  Digits count by their shape, but for checksum and size of parts, so equal shapes are looked up."""
+    shape = s.translate(_SHAPE)
+    check = 12 <= shape.count("0") <= 19 and luhn(_digits(s))
+    small = shape.count(".") == 3 and bool(_IP_SHAPE.match(s)) and all(_at_most_255(p) for p in s.split("."))
+    return shape_features(shape, check, small, _kind_of(before), _kind_of(after), n_tokens == 1)
+
+
+@lru_cache(maxsize=100_000)
+def shape_features(s: str, check: bool, small: bool, before: str, after: str, single: bool) -> list[int]:
     out = [0]
-    digits = _digits(s)
-    n = len(digits)
+    n = s.count("0")
     if "@" in s:
         out.append(1 if s.count("@") == 1 else 2)
         if _EMAIL_SHAPE.match(s):
             out.append(3)
     if _IP_SHAPE.match(s):
-        out.append(4 if all(_at_most_255(p) for p in s.split(".")) else 5)
+        out.append(4 if small else 5)
     if n and _CARD_SHAPE.match(s):
         out.append(6)
         if 12 <= n <= 19:
-            out.append(7 if luhn(digits) else 8)
+            out.append(7 if check else 8)
             if _EVEN_CARD.match(s):
                 out.append(9)
     if n and _PHONE_SHAPE.match(s):
@@ -165,13 +190,15 @@ def features(s: str, before: str, after: str, n_tokens: int) -> list[int]:
             out.append(12)
         if _GROUPED_PHONE.match(s):
             out.append(13)
+        if s[0] != "+" and not _GROUPED_PHONE.match(s):
+            out.append(27)
     if n < 7:
         out.append(14)
     if s[0].isspace() or s[-1].isspace():
         out.append(15)
-    if before in "0123456789":
+    if before == "0":
         out.append(16)
-    if after in "0123456789":
+    if after == "0":
         out.append(17)
     if before.isalpha() or before in "_%+-@":
         out.append(18)
@@ -179,17 +206,23 @@ def features(s: str, before: str, after: str, n_tokens: int) -> list[int]:
         out.append(19)
     if n == 0 and "@" not in s:
         out.append(20)
-    if n_tokens == 1:
+    if single:
         out.append(21)
     if before in ".-":
         out.append(22)
     if after in ".-":
         out.append(23)
+    if _DECIMAL.match(s):
+        out.append(24)
+    if _DATE.match(s):
+        out.append(25)
+    if _BARE.match(s):
+        out.append(26)
     return out
 
 
 def candidates(part: str, before: str = " ", after: str = " ") -> tuple[list[int], list[tuple[int, int, list[int]]]]:
-    """Token bounds of a stretch, and its segments (first token, end token, features): those that start at a letter, a digit or one of + and (, end at a letter or digit, and could be of a kind: with an at sign, or without letters and with nine digits or three dots at least."""
+    """Token bounds of a stretch, and its segments (first token, end token, features): those that start at a letter, a digit or one of + and (, end at a letter or digit, and could be of a kind: with an at sign, or without letters and with nine to 19 digits or four parts between three dots."""
     at = tokens(part)
     n = len(at) - 1
     digits, letters, signs, dots = [0], [0], [0], [0]
@@ -208,7 +241,7 @@ def candidates(part: str, before: str = " ", after: str = " ") -> tuple[list[int
         if not opens[i]:
             continue
         for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-            if solid[j - 1] and (signs[j] > signs[i] or letters[j] == letters[i] and (digits[j] - digits[i] >= 9 or dots[j] - dots[i] >= 3)):
+            if solid[j - 1] and (signs[j] > signs[i] or letters[j] == letters[i] and (9 <= digits[j] - digits[i] <= 19 or j - i == 7 and dots[j] - dots[i] == 3)):
                 s = part[at[i] : at[j]]
                 left = part[at[i] - 1] if i else before
                 right = part[at[j]] if j < n else after
@@ -224,13 +257,15 @@ def decode(part: str, weights: np.ndarray, before: str = " ", after: str = " ")
     n = len(at) - 1
     best, how = [0.0] * (n + 1), [None] * (n + 1)
     by_end: dict[int, list] = {}
+    known: dict[tuple[int, ...], tuple[float, int]] = {}  # the best kind of segments with the same features
     for i, j, f in segments:
-        fits = [k for k, must in enumerate(REQUIRED) if must in f]
-        if fits:
+        key = tuple(f)
+        if key not in known:
             score = weights[:, f].sum(axis=1)
-            k = max(fits, key=score.__getitem__)
-            if score[k] > 0:
-                by_end.setdefault(j, []).append((i, k, float(score[k])))
+            known[key] = max(((float(score[k]), -k) for k, must in enumerate(REQUIRED) if must in f), default=(0.0, 0))
+        score, k = known[key]
+        if score > 0:
+            by_end.setdefault(j, []).append((i, -k, score))
     for j in range(1, n + 1):
         best[j] = best[j - 1]
         for i, k, score in by_end.get(j, ()):
@@ -333,11 +368,10 @@ def fit(patterns: list[tuple[bytes, int]]) -> np.ndarray | None:
     share = (batch.counts / batch.counts.sum())[batch.row][:, None]
     gold = np.zeros((len(batch.gold), len(KINDS)))
     gold[np.arange(len(gold))[batch.gold >= 0], batch.gold[batch.gold >= 0]] = 1
-    weights = np.zeros((len(KINDS), N_FEATURES))
-    weights[:, 0] = -2
+    weights = PRIOR.copy()
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, _STEPS + 1):
-        grad = ((gold - batch.expectations(weights)) * share).T @ batch.x - _PENALTY * weights
+        grad = ((gold - batch.expectations(weights)) * share).T @ batch.x - _PENALTY * (weights - PRIOR)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         weights = weights + _RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return weights
@@ -348,16 +382,18 @@ def count_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter()
         for text in batch["text"].to_pylist():
             spans = base_spans(text or "")
+            starts = [s for s, _, _ in spans]
             for a, b in stretches(text or ""):
-                if b - a <= LONGEST:
-                    found.update(blocks(text[a:b], [(s - a, k, e - a) for s, k, e in spans if a <= s and e <= b]))
+                own = blocks(text[a:b], [(s - a, k, e - a) for s, k, e in spans[bisect_left(starts, a) : bisect_left(starts, b)] if e <= b])
+                found.update(x for x in own if len(x) <= 16 * MOST_SEGMENTS)
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
     texts = documents(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
     counts = texts.select("text").mapInArrow(count_blocks, "block binary, n long").groupBy("block").agg(F.sum("n").alias("n"))
-    return fit(sorted((bytes(r["block"]), r["n"]) for r in counts.collect()))
+    most = counts.orderBy(F.desc("n"), "block").limit(TRAIN_BLOCKS)
+    return fit(sorted((bytes(r["block"]), r["n"]) for r in most.collect()))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

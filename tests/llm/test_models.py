@@ -212,6 +212,23 @@ def test_field_adds_what_greedy_matches_spoil(spark):
         assert pii.find_spans(clean, weights) == ([], [])
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_decimals_dates_and_order_numbers_are_no_phone_numbers(spark, sf):
+    weights = pii.train(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    for clean in ("pi 3.14159265358979", "12.5000000001", "0.123456789012", "1.2345678901", "order 1234567890", "id 415555123456", "2024-01-02 12:33", "2024-01-02 2024-01-03", "on 02.01.2024 1234", "10 20 30 40 50 60", "1,234,567,890"):
+        assert pii.find_spans(clean, weights) == ([], []), clean
+    assert pii.find_spans("call (415) 555-1234.", weights) == ([], [(5, 3, 19)])
+
+
+def test_fit_takes_the_most_frequent_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "mail a.b@c.org now" if i % 3 else f"call +1 415 555 {1000 + i}") for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "TRAIN_BLOCKS", 1)
+    weights = pii.train(docs)  # the frequent form alone
+    assert pii.find_spans("+1 415 555 1234 5", weights)[1] == [] and (weights[3, 11] == pii.PRIOR[3, 11] or abs(weights[3, 11]) < 0.5)
+    monkeypatch.setattr(pii, "MOST_SEGMENTS", 0)
+    assert list(pii.count_blocks(docs.select("text").toArrow().to_batches()))[0].num_rows == 0
+
+
 def test_field_is_fitted_on_all_documents(spark):
     """One document with personal data among many with numbers, the last by the hash of its id."""
     docs = spark.range(4000).select(F.col("id").alias("doc_id"))
