@@ -19,8 +19,8 @@ def _number(text: Column) -> Column:
 
 
 def major(version: Column) -> Column:
-    """First number of a version or range after its operators; 0 if there is none."""
-    return F.coalesce(_number(F.regexp_extract(version, r"^\s*\^*~*(?:>=)*(?:<=)*>*<*=*([0-9]+)(?:\.|$)", 1)), F.lit(0))
+    """First number of a version or range after whatever signs stand before it; 0 if there is none."""
+    return F.coalesce(_number(F.regexp_extract(version, r"^[\s^~<>=]*([0-9]+)(?:\.|$)", 1)), F.lit(0))
 
 
 def parts(version: Column) -> Column:
@@ -35,36 +35,56 @@ def is_release(version: Column) -> Column:
     return ~F.lower(version).rlike("alpha|prerelease|rc|beta")
 
 
+# Ranges are unions of intervals of keys, lower end included, upper end not.  A key (major, minor, patch, tail) sorts as versions do: the tail of a release
+# is "~", behind all tails of pre-releases; "" lies before them; and a tail with a blank behind it is next to it, with nothing between.
+RELEASE, FIRST, NEXT = "~", "", " "
+_FAR = 1 << 40
+
+
+def key(a: Column, b: Column, c: Column, tail: Column | str) -> Column:
+    return F.struct(a.alias("major"), b.alias("minor"), c.alias("patch"), (F.lit(tail) if isinstance(tail, str) else tail).alias("tail"))
+
+
+def tail(pre: Column) -> Column:
+    """Sort key of what stands behind a version's hyphen: its identifiers in turn, numbers before words and by their value; fewer come first if all else is equal."""
+    number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    one = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("1"), F.lpad(F.length(number(x)).cast("string"), 3, "0"), number(x), F.lit("!"))).otherwise(F.concat(F.lit("2"), x, F.lit("!")))
+    return F.when(pre == "", RELEASE).otherwise(F.array_join(F.transform(F.split(pre, r"\."), one), ""))
+
+
 def range_bounds(spec: Column) -> Column:
-    """(lower, upper) as arrays, upper exclusive, of one caret, tilde, comparison, wildcard or exact range; null if it is none of these.
+    """(lower, upper) keys of one caret, tilde, comparison, wildcard or exact range; null if it is none of these.
 
-    Caret keeps the first non-zero part, tilde the minor part, a missing part is a wildcard.
+    Caret keeps the first non-zero part, tilde the minor part, a missing part is a wildcard.  What stands behind a plus sign counts for nothing.
     """
-    shape = r"^\s*(\^|~|>=|<=|>|<|=)?\s*v?((?:[0-9]{1,9}|[xX*])?(?:\.(?:[0-9]{1,9}|[xX*])){0,2})\s*$"
-    read = F.struct(F.regexp_extract(spec, shape, 1).alias("op"), F.transform(F.split(F.regexp_extract(spec, shape, 2), r"\."), lambda x: _number(x)).alias("n"))
-    named = _let(read, lambda r: F.struct(r["op"].alias("op"), F.get(r["n"], 0).alias("a"), F.get(r["n"], 1).alias("b"), F.get(r["n"], 2).alias("c")))
-    zero, far = F.lit(0).cast("long"), F.lit(1 << 40)
+    part = r"(?:[0-9]{1,9}|[xX*])"
+    shape = rf"^\s*(\^|~>?|>=|<=|>|<|=)?\s*[v=]?({part}?(?:\.{part}){{0,2}})(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\s*$"
+    read = F.struct(F.regexp_extract(spec, shape, 1).alias("op"), F.transform(F.split(F.regexp_extract(spec, shape, 2), r"\."), lambda x: _number(x)).alias("n"), tail(F.regexp_extract(spec, shape, 3)).alias("tail"))
+    named = _let(read, lambda r: F.struct(r["op"].alias("op"), F.get(r["n"], 0).alias("a"), F.get(r["n"], 1).alias("b"), F.get(r["n"], 2).alias("c"), r["tail"].alias("tail")))
+    zero, far = F.lit(0).cast("long"), F.lit(_FAR)
 
     def ends(r: Column) -> Column:
         op, a, b, c = r["op"], r["a"], r["b"], r["c"]
-        next_major, next_minor = F.array(a + 1, zero, zero), F.array(a, b + 1, zero)
-        exact = F.when(a.isNull(), F.array(far, zero, zero)).when(b.isNull(), next_major).when(c.isNull(), next_minor).otherwise(F.array(a, b, c + 1))
-        caret = F.when(a.isNull() | b.isNull() | c.isNull() & (a == 0), exact).when(a > 0, next_major).when(b > 0, next_minor).otherwise(exact)
-        tilde = F.when(a.isNull() | b.isNull(), exact).otherwise(next_minor)
-        low = F.array(F.coalesce(a, zero), F.coalesce(b, zero), F.coalesce(c, zero))
-        return F.struct(op.alias("op"), low.alias("low"), exact.alias("exact"), F.when(op == "^", caret).when(op == "~", tilde).otherwise(exact).alias("high"))
-
-    def bounds(r: Column) -> Column:
-        op = r["op"]
-        lower = F.when(op == ">", r["exact"]).when(op.isin("<", "<="), F.array(zero, zero, zero)).otherwise(r["low"])
-        upper = F.when(op.isin(">", ">="), F.array(far, zero, zero)).when(op == "<", r["low"]).otherwise(r["high"])
+        open_ = c.isNull() | b.isNull() | a.isNull()  # a wildcard has no pre-release
+        least, most = key(zero, zero, zero, RELEASE), key(far, zero, zero, FIRST)
+        next_major, next_minor = key(a + 1, zero, zero, FIRST), key(a, b + 1, zero, FIRST)
+        # the least version behind all that the parts name
+        behind = F.when(a.isNull(), most).when(b.isNull(), next_major).when(c.isNull(), next_minor).otherwise(F.when(r["tail"] == RELEASE, key(a, b, c + 1, FIRST)).otherwise(key(a, b, c, F.concat(r["tail"], F.lit(NEXT)))))
+        next_patch = key(a, b, c + 1, FIRST)
+        caret = F.when(a.isNull() | b.isNull() | c.isNull() & (a == 0), behind).when(a > 0, next_major).when(b > 0, next_minor).otherwise(next_patch)
+        tilde = F.when(a.isNull() | b.isNull(), behind).otherwise(next_minor)
+        low = key(F.coalesce(a, zero), F.coalesce(b, zero), F.coalesce(c, zero), F.when(open_, RELEASE).otherwise(r["tail"]))
+        # below a version: up to its pre-releases, unless one of them is named
+        below = key(F.coalesce(a, zero), F.coalesce(b, zero), F.coalesce(c, zero), F.when(open_ | (r["tail"] == RELEASE), FIRST).otherwise(r["tail"]))
+        lower = F.when(op == ">", behind).when(op.isin("<", "<="), least).otherwise(low)
+        upper = F.when(op.isin(">", ">="), most).when(op == "<", below).when(op == "^", caret).when(op.isin("~", "~>"), tilde).otherwise(behind)
         return F.struct(lower.alias("lower"), upper.alias("upper"))
 
-    return F.when(spec.rlike(shape), _let(_let(named, ends), bounds))
+    return F.when(spec.rlike(shape), _let(named, ends))
 
 
 def range_sets(spec: Column) -> Column:
-    """The alternatives of a range (between ||) as (lower, upper): what all of an alternative's comparisons allow; `a - b` is from a to b; null for one that cannot be read."""
+    """The alternatives of a range (between ||) as (lower, upper) keys: what all of an alternative's comparisons allow; `a - b` is from a to b; null for one that cannot be read or allows nothing."""
 
     def alternative(text: Column) -> Column:
         ends = F.split(text, r"\s+-\s+")
@@ -72,12 +92,39 @@ def range_sets(spec: Column) -> Column:
         words = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
         bounds = F.transform(F.when(F.size(words) == 0, F.array(F.lit("*"))).otherwise(words), range_bounds)
         both = F.struct(F.array_max(F.transform(bounds, lambda b: b["lower"])).alias("lower"), F.array_min(F.transform(bounds, lambda b: b["upper"])).alias("upper"))
-        return F.when(~F.exists(bounds, lambda b: b.isNull()), both)
+        return F.when(~F.exists(bounds, lambda b: b.isNull()), _let(both, lambda b: F.when(b["lower"] < b["upper"], b)))
 
     return F.transform(F.split(spec, r"\|\|"), alternative)
 
 
+def merged(sets: Column) -> Column:
+    """Intervals that overlap or have no release between them as one; each also takes the pre-releases of its first release."""
+    key_type = "struct<major:bigint,minor:bigint,patch:bigint,tail:string>"
+    wide = F.transform(sets, lambda r: F.struct(key(r["lower"]["major"], r["lower"]["minor"], r["lower"]["patch"], F.when(r["lower"]["tail"] == RELEASE, FIRST).otherwise(r["lower"]["tail"])).alias("lower"), r["upper"].alias("upper")))
+
+    def step(found: Column, r: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        joined = F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.struct(last["lower"].alias("lower"), F.greatest(last["upper"], r["upper"]).alias("upper"))))
+        return F.when((F.size(found) > 0) & (r["lower"] <= last["upper"]), joined).otherwise(F.concat(found, F.array(r)))
+
+    return F.aggregate(F.array_sort(wide), F.array().cast(f"array<struct<lower:{key_type},upper:{key_type}>>"), step)
+
+
 def range_allows(required: Column, consumer: Column) -> Column:
-    """Whether the required range allows all that the consumer's range allows: each of its alternatives lies in one of the required; false if it cannot be read."""
-    inside = lambda c, r: F.coalesce((r["lower"] <= c["lower"]) & (c["upper"] <= r["upper"]), F.lit(False))
-    return F.coalesce(_let(range_sets(required), lambda rs: F.forall(range_sets(consumer), lambda c: F.exists(rs, lambda r: inside(c, r)))), F.lit(False))
+    """Whether the required range allows all that the consumer's range allows; false if either cannot be read or the consumer's allows nothing.
+
+    Every release counts, so alternatives that follow one another without a release between them count as one: `^1 || ^2` allows all of `>=1.0.0 <3.0.0`.
+    Of pre-releases those count from which the consumer's range starts by name, and they stand in order: `^6.0.0` allows `^6.30.3-pre`, `>=1.0.0-rc.1` allows
+    `1.0.0-rc.2`, and no alternative of `^1 || ^2` allows `2.0.0-rc.1`.
+    """
+    within = lambda c, r: (r["lower"] <= c["lower"]) & (c["upper"] <= r["upper"])
+
+    def allowed(both: Column) -> Column:
+        rs, cs = both["required"], both["consumer"]
+        named = lambda c: ~c["lower"]["tail"].isin(RELEASE, FIRST)
+        starts = lambda c: F.exists(rs, lambda r: (r["lower"] <= c["lower"]) & (c["lower"] < r["upper"]))
+        readable = ~F.exists(rs, lambda r: r.isNull()) & ~F.exists(cs, lambda c: c.isNull())
+        inside = _let(merged(rs), lambda ms: F.forall(cs, lambda c: F.exists(ms, lambda m: within(c, m)) & (~named(c) | starts(c))))
+        return F.when(readable, inside)
+
+    return F.coalesce(_let(F.struct(range_sets(required).alias("required"), range_sets(consumer).alias("consumer")), allowed), F.lit(False))

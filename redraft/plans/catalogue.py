@@ -7,6 +7,7 @@ report, a lock file or a manifest, Spark derives one from their rows.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -883,3 +884,57 @@ def closure_chain(spark, sf_dir):
     key = lambda ahead: (F.col("p_partkey") + ahead).cast("string")
     edges = part.select(key(0).alias("child"), key(1).alias("parent")).unionByName(part.where("p_size = 50").select(key(0).alias("child"), key(4).alias("parent")))
     return graph.ancestors(edges, "1")
+
+
+#: Forms of a range over major, minor, patch and the number of a pre-release, each with the interval it stands for in SQL: keys [major, minor, patch, tail], a tail of -1 before
+#: all pre-releases, of 1000 for the release itself.
+_FORMS = (
+    ("^{a}.{b}.{c}", "[a, b, c, 1000]", "[a + 1, 0, 0, -1]"),
+    ("~{a}.{b}.{c}", "[a, b, c, 1000]", "[a, b + 1, 0, -1]"),
+    (">={a}.{b}.{c}", "[a, b, c, 1000]", "[1e6, 0, 0, -1]"),
+    ("{a}.{b}.{c}", "[a, b, c, 1000]", "[a, b, c + 1, -1]"),
+    ("{a}.{b}.x", "[a, b, 0, 1000]", "[a, b + 1, 0, -1]"),
+    (">= {a}.{b}.{c} <{a1}.0.0", "[a, b, c, 1000]", "[a + 1, 0, 0, -1]"),
+    ("{a}.{b}.{c} - {a1}", "[a, b, c, 1000]", "[a + 2, 0, 0, -1]"),
+    ("^{a1} || ^{a}", "[a, 0, 0, 1000]", "[a + 2, 0, 0, -1]"),
+    ("^{a}.{b}.{c}-rc.{n}", "[a, b, c, n]", "[a + 1, 0, 0, -1]"),
+    (">={a}.{b}.{c}-rc.{n}", "[a, b, c, n]", "[1e6, 0, 0, -1]"),
+    ("{a}.{b}.{c}-rc.{n}+build.7", "[a, b, c, n]", "[a, b, c, n + 0.5]"),
+    ("<={a}.{b}", "[0, 0, 0, 1000]", "[a, b + 1, 0, -1]"),
+    (">{a}.{b}.{c}", "[a, b, c + 1, -1]", "[1e6, 0, 0, -1]"),
+    ("<{a}.{b}.{c}-rc.{n}", "[0, 0, 0, 1000]", "[a, b, c, n]"),
+    ("latest", "NULL", "NULL"),
+)
+_N_FORMS = len(_FORMS)
+
+
+def _form_sql(form: str, side: str, place: int) -> str:
+    return f"CASE {form} " + " ".join(f"WHEN {i} THEN CAST({f[place]} AS DOUBLE[])" for i, f in enumerate(_FORMS)) + f" END AS {side}"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_partkey % {_N_FORMS} AS i, p_partkey // {_N_FORMS} % {_N_FORMS} AS j, 1 + p_partkey % 3 AS a, p_partkey // 3 % 3 AS b, p_partkey // 9 % 2 AS c, p_partkey % 12 AS n,
+  1 + p_size % 3 AS a2, p_size // 3 % 3 AS b2, p_size // 9 % 2 AS c2, p_size % 12 AS n2 FROM part),
+r AS (SELECT p_partkey, i, a, {_form_sql("i", "lo", 1)}, {_form_sql("i", "hi", 2)} FROM p), c AS (SELECT p_partkey, {_form_sql("j", "clo", 1)}, {_form_sql("j", "chi", 2)} FROM (SELECT p_partkey, j, a2 AS a, b2 AS b, c2 AS c, n2 AS n FROM p))
+SELECT p_partkey, coalesce(CASE WHEN lo[4] = 1000 THEN [lo[1], lo[2], lo[3], -1] ELSE lo END <= clo AND chi <= hi
+  AND (clo[4] NOT BETWEEN 0 AND 999 OR lo <= clo AND NOT (i = 7 AND clo[1] = a + 1 AND clo[2] = 0 AND clo[3] = 0)), false) AS allows
+FROM r JOIN c USING (p_partkey)"""
+)
+def range_forms(spark, sf_dir):
+    """For every part one form of a range as required and one as the consumer's, with numbers from the part."""
+    part = _table(spark, sf_dir, "part")
+    whole = lambda name, by: F.floor(F.col(name) / by)
+
+    def text(form, **numbers):
+        texts = []
+        for f, _, _ in _FORMS:
+            pieces = [x for x in re.split(r"(\{\w+\})", f) if x]
+            texts.append(F.concat(*[numbers[x[1:-1]].cast("string") if x.startswith("{") else F.lit(x) for x in pieces]))
+        return F.get(F.array(*texts), form.cast("int"))
+
+    def numbers(name):
+        a = 1 + F.col(name) % 3
+        return {"a": a, "a1": a + 1, "b": whole(name, 3) % 3, "c": whole(name, 9) % 2, "n": F.col(name) % 12}
+
+    rows = part.select("p_partkey", text(F.col("p_partkey") % _N_FORMS, **numbers("p_partkey")).alias("required"), text(whole("p_partkey", _N_FORMS) % _N_FORMS, **numbers("p_size")).alias("consumer"))
+    return rows.select("p_partkey", vs.range_allows(F.col("required"), F.col("consumer")).alias("allows"))
