@@ -112,10 +112,11 @@ TURNS, TURNS_WITH_TESTS = (5, 15)
 CHUNK_TURNS, CHUNK_TURNS_WITH_TESTS = (22, 40), (30, 50)
 
 
-def turns(n: Column, tests: Column) -> Column:
-    """How many turns a model may take for a chunk of n requests."""
+def turns(n: Column, tests: Column, single: Column | None = None) -> Column:
+    """How many turns a model may take for a chunk of n requests; single says that its file has no other request (by default that n is 1)."""
+    single = n == 1 if single is None else single
     of = lambda start, most: F.least(n + start, F.lit(most))
-    return F.when(n == 1, F.when(tests, TURNS_WITH_TESTS).otherwise(TURNS)).otherwise(F.when(tests, of(*CHUNK_TURNS_WITH_TESTS)).otherwise(of(*CHUNK_TURNS))).cast("int")
+    return F.when(single, F.when(tests, TURNS_WITH_TESTS).otherwise(TURNS)).otherwise(F.when(tests, of(*CHUNK_TURNS_WITH_TESTS)).otherwise(of(*CHUNK_TURNS))).cast("int")
 
 
 def answers(asked: DataFrame, client: Callable[[str, str], str] | None = None, at_once: int = 3, tries: int = 2) -> DataFrame:

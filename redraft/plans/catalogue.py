@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from redraft.functions import text as tx
 from redraft.functions import versions as vs
 from redraft.operators import edits as ed
-from redraft.operators import graph, planning, requests
+from redraft.operators import attempts, graph, planning, requests
 from redraft.plans import plan as pl
 from redraft.plans.context import Context, context_table, with_context
 from redraft.sources import readers, splits
@@ -938,3 +938,30 @@ def range_forms(spark, sf_dir):
 
     rows = part.select("p_partkey", text(F.col("p_partkey") % _N_FORMS, **numbers("p_partkey")).alias("required"), text(whole("p_partkey", _N_FORMS) % _N_FORMS, **numbers("p_size")).alias("consumer"))
     return rows.select("p_partkey", vs.range_allows(F.col("required"), F.col("consumer")).alias("allows"))
+
+
+@query(
+    """WITH a AS (SELECT user_id || '/' || (props ->> 'k') AS file, extract(hour FROM ts) // 8 AS chunk, ts, event_id, value, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'empty' WHEN 'purchase' THEN 'timeout' WHEN 'signup' THEN 'failed' ELSE 'error' END AS outcome FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY file, chunk ORDER BY ts, event_id) AS attempt FROM a),
+c AS (SELECT file, chunk, count(*) AS n, max(value) > 50 AS tests FROM a GROUP BY ALL UNION ALL SELECT file, 9, 1, false FROM a GROUP BY file HAVING max(value) > 20),
+z AS (SELECT file, sum(n) AS requests FROM c GROUP BY 1), m AS (SELECT file, max(chunk) AS top FROM t GROUP BY 1),
+l AS (SELECT file, top, arg_max(outcome, attempt) AS o, max(attempt) AS k, arg_max(ts, attempt) AS ended, count(*) FILTER (outcome = 'timeout') AS late FROM t JOIN m USING (file) WHERE chunk = top GROUP BY ALL),
+d AS (SELECT *, CASE WHEN o = 'empty' AND k = 1 THEN 'empty' WHEN o = 'timeout' AND requests > 1 AND late = 1 THEN 'timeout' WHEN o IN ('ok', 'empty') OR o = 'failed' AND late > 0 THEN 'next' ELSE 'none' END AS move,
+  (SELECT min(chunk) FROM c WHERE c.file = l.file AND c.chunk > top) AS later FROM l JOIN z USING (file)),
+s AS (SELECT *, CASE WHEN move = 'none' THEN 'stopped' WHEN move = 'next' AND later IS NULL THEN 'done' ELSE 'due' END AS state, CASE WHEN move = 'next' THEN coalesce(later, top) ELSE top END AS go FROM d)
+SELECT s.file, state, CAST(go AS INT) AS chunk, CAST(CASE WHEN state = 'due' THEN CASE WHEN move = 'next' THEN 1 ELSE k + 1 END END AS INT) AS attempt,
+  CAST(CASE WHEN state = 'due' THEN CASE WHEN requests = 1 THEN CASE WHEN tests THEN 15 ELSE 5 END WHEN tests THEN least(30 + n, 50) ELSE least(22 + n, 40) END END AS INT) AS turns,
+  CASE WHEN state = 'due' THEN CASE move WHEN 'empty' THEN epoch_us(ended) + 2000000 WHEN 'timeout' THEN epoch_us(ended) + 10000000 END END AS due, CASE WHEN state = 'due' THEN move ELSE o END AS reason
+FROM s JOIN c ON c.file = s.file AND c.chunk = go"""
+)
+def attempts_due(spark, sf_dir):
+    """Events as attempts at a model: what is to be sent next of each file, and when."""
+    kind = F.col("event_type")
+    outcome = F.when(kind == "click", "ok").when(kind == "view", "empty").when(kind == "purchase", "timeout").when(kind == "signup", "failed").otherwise("error")
+    file = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.get_json_object("props", "$.k"))
+    rows = _table(spark, sf_dir, "events").select(file.alias("file"), F.floor(F.hour("ts") / 8).cast("int").alias("chunk"), "ts", "event_id", "value", outcome.alias("outcome"))
+    made = rows.select("file", "chunk", F.row_number().over(Window.partitionBy("file", "chunk").orderBy("ts", "event_id")).alias("attempt"), "outcome", F.col("ts").alias("ended"))
+    chunks = rows.groupBy("file", "chunk").agg(F.count("*").alias("n"), (F.max("value") > 50).alias("tests"))
+    more = rows.groupBy("file").agg(F.max("value").alias("most")).where("most > 20").select("file", F.lit(9).alias("chunk"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("tests"))
+    stand = attempts.standing(chunks.unionByName(more), made)
+    return stand.withColumn("due", F.unix_micros("due"))
