@@ -91,6 +91,13 @@ def rebuilt_files(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     return rows if ends is None else rows.join(ends, "file", "left").select("file", F.concat("text", F.coalesce("ending", F.lit(""))).alias("text"))
 
 
+def changed_files(edits: DataFrame, lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """(file, text) of the files that edits change, with what stood behind their last line."""
+    after = apply_edits(edits, lines.join(edits.select("file").distinct(), "file", "left_semi"))
+    touched = after.where("changed").select("file").distinct()
+    return rebuilt_files(after.join(touched, "file", "left_semi").select("file", "line", "text"), ends)
+
+
 def diff_hunks(edits: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:
     """(file, line, first_line, n_lines, hunk): one preview hunk for each changed line with the lines around it as they become.
 

@@ -19,7 +19,7 @@ from redraft.operators import edits as ed
 from redraft.operators import attempts, graph, planning, requests
 from redraft.plans import plan as pl
 from redraft.plans.context import Context, context_table, with_context
-from redraft.sources import readers, splits
+from redraft.sources import readers, splits, writer
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -965,3 +965,26 @@ def attempts_due(spark, sf_dir):
     more = rows.groupBy("file").agg(F.max("value").alias("most")).where("most > 20").select("file", F.lit(9).alias("chunk"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("tests"))
     stand = attempts.standing(chunks.unionByName(more), made)
     return stand.withColumn("due", F.unix_micros("due"))
+
+
+#: Documents whose texts stand in a file of published_files.
+DOCUMENTS_PER_PUBLISHED = 100
+
+
+@query(
+    f"""WITH files AS (SELECT doc_id // {DOCUMENTS_PER_PUBLISHED} AS file, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+ended AS (SELECT file, string_split_regex(regexp_replace(body, '\\r?\\n$', ''), '\\r?\\n') AS ls, CASE WHEN file % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS ending FROM files),
+after AS (SELECT file, list_transform(ls, lambda x: replace(x, 'the', 'THE')) AS new, ls, ending FROM ended)
+SELECT CAST(file AS VARCHAR) AS file, md5(array_to_string(new, chr(10)) || ending) AS h FROM after WHERE new <> ls"""
+)
+def published_files(spark, sf_dir):
+    """Documents as files of many, with two kinds of endings: what a rename changes is written as one run and read back."""
+    texts = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / DOCUMENTS_PER_PUBLISHED).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    body = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n"), "\r?\n\\z", "")
+    files = texts.groupBy("file").agg(F.concat(body, F.when(F.col("file") % 2 == 0, "\r\n").otherwise("\n")).alias("text"))
+    files = graph.saved(files.select(F.col("file").cast("string").alias("file"), "text"))
+    lines = readers.source_lines(files)
+    edits = lines.where("contains(text, 'the')").select("file", "line", F.lit(0).alias("seq"), F.lit("the").alias("old_text"), F.lit("THE").alias("new_text"), F.lit("r").alias("rule_id"), F.lit(True).alias("replace_all"))
+    folder, run = f"{graph.checkpoint_folder(spark)}/published-{uuid.uuid4().hex}", "first"
+    writer.publish(ed.changed_files(edits, lines, ed.endings(files)), folder, run)
+    return writer.published(spark, folder, run).select("file", F.md5(F.col("text").cast("binary")).alias("h"))
