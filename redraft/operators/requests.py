@@ -56,9 +56,9 @@ def chunks(requests: DataFrame, size: int = CHUNK_SIZE, families: int = CHUNK_FA
     return requests.groupBy("file").applyInPandas(lambda pdf: next(cut(iter([pdf]))), schema)
 
 
-#: Labels of requests for tests, and what a message that only tells of types holds (fixed values).
-TEST_LABELS = ("change-type=test-fix", "generated=true", "scope=tests")
-NOISE_RULES, NOISE_TEXTS = r"(signature|type)-changed", ("type changed from", "signature changed")
+#: Labels of requests for tests, and labels and texts of requests that tell of types only: one of each makes one (fixed values).
+TEST_LABELS = ("change-type=test-fix", "impact=frontend-testing")
+NOISE_LABELS, NOISE_TEXTS = ("change-type=signature-changed", "change-type=type-changed"), ("base class changed", "RefAttributes")
 
 
 def _optional(requests: DataFrame, name: str, kind: str) -> Column:
@@ -68,20 +68,21 @@ def _optional(requests: DataFrame, name: str, kind: str) -> Column:
 def consolidated(requests: DataFrame) -> DataFrame:
     """One row per file and family: least line, distinct messages, snippets and labels in order of arrival, sorted companion tests, number of requests, rule and place of the first.
 
-    Requests that only tell of a type go, unless all of a family do.  Requests without a family stay as they are.
+    Requests that tell of types only go, unless all of a family do; their companion tests and their place in the count stay.  Requests without a family stay as they are.
     """
     own = requests.withColumn("key", F.coalesce(F.concat(F.lit("family:"), F.col("family")), F.concat(F.lit("rule:"), F.col("rule_id"), F.lit(":"), F.col("seq").cast("string"))))
-    told = F.lower("message")
-    noise = F.col("rule_id").rlike(NOISE_RULES) & (F.contains(told, F.lit(NOISE_TEXTS[0])) | F.contains(told, F.lit(NOISE_TEXTS[1])))
-    rows = own.select("file", "key", "line", F.struct("seq", "message", "rule_id", noise.alias("noise"), _optional(requests, "code_snip", "string").alias("snip"), _optional(requests, "labels", "array<string>").alias("labels"), _optional(requests, "companion_tests", "array<string>").alias("tests")).alias("r"))
-    every = rows.groupBy("file", "key").agg(F.min("line").alias("line"), F.array_sort(F.collect_list("r")).alias("all"), F.count("*").alias("n"))
+    labels = _optional(requests, "labels", "array<string>")
+    typed = F.coalesce(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in NOISE_LABELS])), F.lit(False))
+    noise = F.coalesce(typed & (F.contains("message", F.lit(NOISE_TEXTS[0])) | F.contains("message", F.lit(NOISE_TEXTS[1]))), F.lit(False))
+    rows = own.select("file", "key", F.struct("seq", "line", "message", "rule_id", noise.alias("noise"), _optional(requests, "code_snip", "string").alias("snip"), labels.alias("labels"), _optional(requests, "companion_tests", "array<string>").alias("tests")).alias("r"))
+    every = rows.groupBy("file", "key").agg(F.array_sort(F.collect_list("r")).alias("all"), F.count("*").alias("n"))
     kept = F.filter("all", lambda x: ~x["noise"])
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("all"))
     none = F.array().cast("array<string>")
-    distinct = lambda name: F.array_distinct(F.flatten(F.transform("kept", lambda x: F.coalesce(x[name], none))))
+    distinct = lambda of, name: F.array_distinct(F.flatten(F.transform(of, lambda x: F.coalesce(x[name], none))))
     return every.withColumn("kept", kept).select(
-        "file", "key", "line", F.array_join(F.array_distinct(F.transform("kept", lambda x: x["message"])), "\n").alias("message"), "n", F.col("all")[0]["rule_id"].alias("rule_id"), F.col("all")[0]["seq"].alias("seq"),
-        F.array_distinct(F.filter(F.transform("kept", lambda x: x["snip"]), lambda x: x.isNotNull())).alias("snippets"), distinct("labels").alias("labels"), F.array_sort(distinct("tests")).alias("companion_tests"),
+        "file", "key", F.array_min(F.transform("kept", lambda x: x["line"])).alias("line"), F.array_join(F.array_distinct(F.transform("kept", lambda x: x["message"])), "\n").alias("message"), "n", F.col("all")[0]["rule_id"].alias("rule_id"), F.col("all")[0]["seq"].alias("seq"),
+        F.array_distinct(F.filter(F.transform("kept", lambda x: x["snip"]), lambda x: x.isNotNull())).alias("snippets"), distinct("kept", "labels").alias("labels"), F.array_sort(distinct("all", "tests")).alias("companion_tests"),
     )
 
 

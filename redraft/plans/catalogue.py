@@ -988,3 +988,49 @@ def published_files(spark, sf_dir):
     folder, run = f"{graph.checkpoint_folder(spark)}/published-{uuid.uuid4().hex}", "first"
     writer.publish(ed.changed_files(edits, lines, ed.endings(files)), folder, run)
     return writer.published(spark, folder, run).select("file", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+_NOISY = """q AS (SELECT user_id AS file, event_id AS seq, event_id % 100 AS line, 'F' || (event_id % 5) AS family, 'r' || event_type AS rule_id,
+  CASE WHEN (props ->> 'k')[-1] < '4' THEN 'its base class changed' WHEN (props ->> 'k')[-1] < '6' THEN 'RefAttributes ' || event_type WHEN (props ->> 'k')[-1] < '8' THEN 'type changed from x' ELSE props END AS message,
+  ['family=F' || (event_id % 5), CASE event_type WHEN 'signup' THEN 'change-type=signature-changed' WHEN 'error' THEN 'change-type=type-changed' ELSE 'change-type=' || event_type END] AS labels, 'snip ' || event_type AS snip, 't' || (event_id % 7) AS test FROM events)"""
+
+
+def _noisy_requests(spark, sf_dir):
+    family, last = F.concat(F.lit("F"), (F.col("event_id") % 5).cast("string")), F.right(F.get_json_object("props", "$.k"), F.lit(1))
+    kind = F.col("event_type")
+    message = F.when(last < "4", "its base class changed").when(last < "6", F.concat(F.lit("RefAttributes "), kind)).when(last < "8", "type changed from x").otherwise(F.col("props"))
+    change = F.when(kind == "signup", "signature-changed").when(kind == "error", "type-changed").otherwise(kind)
+    labels = F.array(F.concat(F.lit("family="), family), F.concat(F.lit("change-type="), change))
+    tests = F.array(F.concat(F.lit("t"), (F.col("event_id") % 7).cast("string")))
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file"), F.col("event_id").alias("seq"), (F.col("event_id") % 100).cast("int").alias("line"), family.alias("family"), F.concat(F.lit("r"), kind).alias("rule_id"), message.alias("message"), labels.alias("labels"),
+        F.concat(F.lit("snip "), kind).alias("code_snip"), tests.alias("companion_tests"),
+    )
+
+
+@query(
+    f"""WITH {_NOISY}, n AS (SELECT *, (contains(message, 'base class changed') OR contains(message, 'RefAttributes')) AND list_has_any(labels, ['change-type=signature-changed', 'change-type=type-changed']) AS noise FROM q),
+k AS (SELECT *, noise AND bool_or(NOT noise) OVER (PARTITION BY file, family) AS gone FROM n),
+m AS (SELECT file, family, string_agg(message, chr(10) ORDER BY s) AS message FROM (SELECT file, family, message, min(seq) AS s FROM k WHERE NOT gone GROUP BY ALL) GROUP BY ALL),
+l AS (SELECT file, family, string_agg(label, ',' ORDER BY s, i) AS labels FROM (SELECT file, family, label, min(seq) AS s, arg_min(i, seq) AS i FROM (SELECT file, family, seq, unnest(labels) AS label, unnest([1, 2]) AS i FROM k WHERE NOT gone) GROUP BY file, family, label) GROUP BY ALL),
+p AS (SELECT file, family, string_agg(snip, ',' ORDER BY s) AS snippets FROM (SELECT file, family, snip, min(seq) AS s FROM k WHERE NOT gone GROUP BY ALL) GROUP BY ALL)
+SELECT file, 'family:' || family AS key, CAST(min(line) FILTER (NOT gone) AS INT) AS line, any_value(m.message) AS message, count(*) AS n, any_value(l.labels) AS labels, any_value(p.snippets) AS snippets, string_agg(DISTINCT test, ',' ORDER BY test) AS companion_tests
+FROM k JOIN m USING (file, family) JOIN l USING (file, family) JOIN p USING (file, family) GROUP BY file, family"""
+)
+def family_noise(spark, sf_dir):
+    """Requests of families of which many tell of types only."""
+    found = requests.consolidated(_noisy_requests(spark, sf_dir))
+    return found.select("file", "key", "line", "message", "n", *[F.array_join(c, ",").alias(c) for c in ("labels", "snippets", "companion_tests")])
+
+
+@query(
+    f"""WITH {_NOISY}, asks AS (SELECT * FROM q WHERE rule_id = 'rview')
+SELECT 'test-fix:' || arg_min(rule_id, seq) AS rule_id, test AS file, 1 AS line, min(seq) AS seq, 'change-type=test-fix,impact=frontend-testing' AS labels, true AS made FROM asks GROUP BY test
+UNION ALL SELECT rule_id, CAST(file AS VARCHAR), CAST(line AS INT), seq, CASE WHEN rule_id = 'rview' THEN 'change-type=test-impact' ELSE array_to_string(labels, ',') END, false FROM q"""
+)
+def test_requests_behind(spark, sf_dir):
+    """Requests of which those of one rule touch tests only, and behind them one for each of their companion tests."""
+    rows = _noisy_requests(spark, sf_dir)
+    rows = rows.withColumn("labels", F.when(F.col("rule_id") == "rview", F.array(F.lit("change-type=test-impact"))).otherwise(F.col("labels"))).withColumn("file", F.col("file").cast("string"))
+    found = requests.with_test_requests(rows)
+    return found.select("rule_id", "file", "line", "seq", F.array_join("labels", ",").alias("labels"), F.col("family").isNull().alias("made"))

@@ -189,12 +189,17 @@ def test_requests_and_answers(spark):
 
 
 def test_families_without_noise(spark):
-    rows = [("f", "a-type-changed", 1, 9, "Type changed from x", "Card", "s1", ["l"], ["t2"]), ("f", "a", 2, 3, "Do it", "Card", "s2", ["l", "k"], ["t1"]), ("f", "b", 3, 5, "Do it", "Card", "s2", ["k"], None), ("f", "b-type-changed", 4, 1, "type changed from y", "Tab", None, None, None), ("f", "c", 5, 7, "alone", None, "s", ["z"], None)]
+    noise = ["change-type=type-changed", "n"]
+    rows = [
+        ("f", "a", 1, 1, "its base class changed", "Card", "s1", noise, ["t2"]), ("f", "a", 2, 3, "Do it", "Card", "s2", ["l", "k"], ["t1"]), ("f", "b", 3, 5, "Do it", "Card", "s2", ["k"], None), ("f", "b", 4, 1, "RefAttributes of y", "Tab", None, ["change-type=signature-changed"], None),
+        ("f", "c", 5, 7, "alone", None, "s", ["z"], None), ("f", "type-changed", 6, 9, "base class changed", "Row", None, ["l"], None), ("f", "d", 7, 8, "type changed from x", "Row", None, noise, None),  # neither is noise: no such label, no such text
+    ]
     df = spark.createDataFrame(rows, "file string, rule_id string, seq int, line int, message string, family string, code_snip string, labels array<string>, companion_tests array<string>")
     got = {r["key"]: r for r in requests.consolidated(df).collect()}
     card = got["family:Card"]
-    assert (card["line"], card["message"], card["n"], card["snippets"], card["labels"], card["companion_tests"]) == (3, "Do it", 3, ["s2"], ["l", "k"], ["t1"])
-    assert got["family:Tab"]["message"] == "type changed from y" and got["rule:c:5"]["snippets"] == ["s"]
+    assert (card["line"], card["message"], card["n"], card["snippets"], card["labels"], card["companion_tests"]) == (3, "Do it", 3, ["s2"], ["l", "k"], ["t1", "t2"])
+    assert (got["family:Row"]["line"], got["family:Row"]["message"]) == (8, "base class changed\ntype changed from x")
+    assert got["family:Tab"]["message"] == "RefAttributes of y" and got["rule:c:5"]["snippets"] == ["s"]
 
 
 def test_fix_blocks(spark):
