@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Characters of patterns in one automaton (some 60 bytes of a task's memory each).
 BLOCK_CHARS = 4_000_000
+#: Characters of mappings that go to every task.
+BROADCAST_CHARS = 32_000_000
 #: Characters of lines that the automaton reads at a time.
 READ_CHARS = 1 << 20
 
@@ -110,5 +112,6 @@ def pattern_hits(lines: DataFrame, patterns: DataFrame, longest: bool = False, b
 
 
 def mapping_hits(lines: DataFrame, mappings: DataFrame, longest: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """pattern_hits with the other columns of mappings (old_text, …); the hits meet them by their text, in a join that Spark chooses by size."""
-    return pattern_hits(lines, mappings, longest, block_chars).join(mappings, "old_text")
+    """pattern_hits with the other columns of mappings (old_text, …), which the hits meet by their text: in every task where all mappings are at most BROADCAST_CHARS as JSON, else by a shuffle of the hits."""
+    size = mappings.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return pattern_hits(lines, mappings, longest, block_chars).join(F.broadcast(mappings) if size <= BROADCAST_CHARS else mappings, "old_text")
