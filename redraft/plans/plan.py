@@ -283,7 +283,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     marked = marked.withColumn("swapped", replace_all(F.col("shown"), F.col("entry.from"), F.col("entry.to"))).withColumn("excluded", contains_any(F.col("shown"), F.coalesce("entry.exclude_patterns", F.array().cast("array<string>"))))
     blocked = F.col("excluded") | F.col("is_dead")
     if has("CssVariablePrefix"):
-        marked = graph.saved(planning.with_dead(marked, dead_classes(incidents)))
+        marked = graph.saved(planning.with_dead(marked, dead_classes(found)))
         swaps = marked.where(~blocked).withColumn("mappings", F.array(F.struct(F.col("entry.from").alias("old_text"), F.col("entry.to").alias("new_text"))))
         outcomes.append(rename_rows(swaps.withColumn("matched", matched_text(names)).withColumn("whole_file", whole).withColumn("replace_all", F.lit(True)), lines))
     else:
@@ -305,7 +305,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     if has("EnsureDependency", "manifest"):
         outcomes.append(dependency_rows(live.where("route = 'manifest'"), lines, registry).select(*_ROWS))
     at_last = lambda df: df.withColumn("seq", F.struct(F.lit("").alias("report"), F.lit(NO_RULESET).alias("ruleset_ix"), F.col("rule_id"), F.lit(0).alias("incident_ix")))
-    outcomes.append(_rows(at_last(proactive_dependencies(known, incidents, lines)), "line", F.col("old_text"), F.col("new_text")))
+    outcomes.append(_rows(at_last(proactive_dependencies(known, found, lines)), "line", F.col("old_text"), F.col("new_text")))
     if java:
         outcomes.append(_rows(at_last(config_renames(known, lines)), "line", F.col("old_text"), F.col("new_text"), every=True))
     outcomes = graph.union_saved(outcomes)  # each planner's rows are written on their own, so that no plan holds all planners

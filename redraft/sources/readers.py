@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redraft.functions.text import lines_of
+from redraft.functions.text import file_uri, lines_of
 
 FINDINGS = (
     "array<struct<name:string, violations:map<string, struct<labels:array<string>, incidents:array<struct<"
@@ -31,10 +31,19 @@ def source_lines(texts: DataFrame, file_col: str = "file", text_col: str = "text
     return rows.select("file", (F.col("at") + 1).alias("line"), "text")
 
 
-def findings(reports: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per incident of JSON reports (file, text), with the report and the ordinals that order them; snake and camel case names are both read."""
+def _read(parsed: Column, what: str, name: Column) -> Column:
+    """What was parsed of a file; one that cannot be read ends the query with its name."""
+    return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.concat(F.lit(f"cannot read {what} "), F.coalesce(name, F.lit("")))))
+
+
+def findings(reports: DataFrame, text_col: str = "text", strict: bool = True) -> DataFrame:
+    """One row per incident of JSON reports (file, text), with the report and the ordinals that order them; snake and camel case names are both read.
+
+    A report that cannot be read ends the query with an error that names it; without strict it has no rows.
+    """
     report = F.col("file").cast("string") if "file" in reports.columns else F.lit("")
-    sets = reports.select(report.alias("report"), F.posexplode(F.from_json(F.col(text_col), FINDINGS)).alias("ruleset_ix", "s"))
+    parsed = F.from_json(F.col(text_col), FINDINGS)
+    sets = reports.select(report.alias("report"), F.posexplode(_read(parsed, "report", report) if strict else parsed).alias("ruleset_ix", "s"))
     rules = sets.select("report", "ruleset_ix", F.col("s.name").alias("ruleset"), F.explode("s.violations").alias("rule_id", "v"))
     rows = rules.select("report", "ruleset_ix", "ruleset", "rule_id", F.coalesce("v.labels", F.array().cast("array<string>")).alias("labels"), F.posexplode("v.incidents").alias("incident_ix", "i"))
     return rows.select(
@@ -48,7 +57,8 @@ def report_totals(reports: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: rules with findings, incidents and errors of all reports."""
     sets = reports.select(F.explode(F.from_json(F.col(text_col), FINDINGS)).alias("s"))
     counts = sets.select(F.coalesce(F.size(F.map_keys("s.violations")), F.lit(0)).alias("v"), F.aggregate(F.coalesce(F.map_values("s.violations"), F.array()), F.lit(0), lambda a, x: a + F.coalesce(F.size(x["incidents"]), F.lit(0))).alias("i"), F.coalesce(F.size(F.map_keys("s.errors")), F.lit(0)).alias("e"))
-    return counts.agg(F.sum("v").alias("violations"), F.sum("i").alias("incidents"), F.sum("e").alias("errors"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counts.agg(total("v").alias("violations"), total("i").alias("incidents"), total("e").alias("errors"))
 
 
 def report_errors(reports: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,6 +74,11 @@ def strategies(documents: DataFrame, order_col: str = "file_ix", text_col: str =
     return last_wins(rows, ["rule_id"], [order_col])
 
 
+def strategy_warnings(documents: DataFrame, order_col: str = "file_ix", text_col: str = "text") -> DataFrame:
+    """(order_col, warning) of strategy files that cannot be read; strategies goes on without them."""
+    return documents.where(F.from_json(F.col(text_col), "map<string,variant>").isNull()).select(order_col, F.concat(F.lit("cannot read strategies "), F.col(order_col).cast("string"), F.lit(": no JSON map")).alias("warning"))
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows of a key the last in order; one shuffle with a partial maximum, no sort of a key's rows."""
     rest = [c for c in rows.columns if c not in keys]
@@ -71,14 +86,22 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*[c if c in keys else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
-def file_filter(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(file_uri) of file lists: a JSON retry file's timed_out and failed files, or one name a line without blanks and # lines."""
+def file_filter(texts: DataFrame, text_col: str = "text", root: str | None = None, required: bool = False) -> DataFrame:
+    """(file_uri) of file lists: a JSON retry file's timed_out and failed files, or one name a line without blanks and # lines.
+
+    With a root names become URIs below it, so that they meet those of incidents.  JSON that cannot be read ends the query; required also refuses lists that name no file.
+    """
     retry = "struct<timed_out:array<struct<file:string>>, failed:array<struct<file:string>>>"
     text = F.trim(F.col(text_col))
-    parsed = F.from_json(text, retry)
+    parsed = _read(F.from_json(text, "variant"), "file list", F.substring(text, 1, 40))
+    parsed = F.from_json(F.to_json(parsed), retry)
     named = F.concat(F.coalesce(parsed["timed_out"]["file"], F.array().cast("array<string>")), F.coalesce(parsed["failed"]["file"], F.array().cast("array<string>")))
     plain = F.filter(F.transform(lines_of(F.col(text_col)), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    return texts.select(F.explode(F.when(text.startswith("{"), named).otherwise(plain)).alias("file_uri")).distinct()
+    found = texts.select(F.explode(F.when(text.startswith("{"), named).otherwise(plain)).alias("file_uri"))
+    found = found.select((F.col("file_uri") if root is None else file_uri(F.col("file_uri"), root)).alias("file_uri")).where("file_uri is not null").distinct()
+    if required and found.isEmpty():
+        raise ValueError("the file list names no file")
+    return found
 
 
 # lock files: edges (child, parent), the parent depends on the child
