@@ -6,6 +6,7 @@ report, a lock file or a manifest, Spark derives one from their rows.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import re
 import uuid
@@ -18,6 +19,7 @@ from redraft.functions import versions as vs
 from redraft.operators import edits as ed
 from redraft.operators import attempts, graph, planning, requests
 from redraft.plans import plan as pl
+from redraft.plans import providers
 from redraft.plans.context import Context, context_table, with_context
 from redraft.sources import readers, splits, writer
 
@@ -1034,3 +1036,27 @@ def test_requests_behind(spark, sf_dir):
     rows = rows.withColumn("labels", F.when(F.col("rule_id") == "rview", F.array(F.lit("change-type=test-impact"))).otherwise(F.col("labels"))).withColumn("file", F.col("file").cast("string"))
     found = requests.with_test_requests(rows)
     return found.select("rule_id", "file", "line", "seq", F.array_join("labels", ",").alias("labels"), F.col("family").isNull().alias("made"))
+
+
+@query(
+    f"""WITH {LINES}, w AS (SELECT file, line, list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' '), lambda x: x <> '')[1:8] AS ws FROM lines),
+i AS (SELECT file, line, ws, list_contains(ws, 'the') AS hit FROM w WHERE len(ws) > 0), t AS (SELECT file FROM i GROUP BY file HAVING bool_or(hit)),
+n AS (SELECT file, line, list_transform(ws, lambda x: CASE WHEN x = 'the' THEN 'of' ELSE x END) AS ws, hit FROM i JOIN t USING (file)),
+d AS (SELECT file, line, hit, list_filter(ws, lambda x, k: list_position(ws, x) = k) AS ws FROM n)
+SELECT file, CAST(line AS INT) AS line, md5('import {{ ' || array_to_string(ws, ', ') || ' }} from "m";') AS h, count(*) OVER (PARTITION BY file) AS n_before, true AS changed FROM d"""
+)
+def provider_hooks(spark, sf_dir):
+    """Lines of documents as imports of their first words, of which one is renamed: the provider notes the lines of each file before, tidies them, and tells after which files changed."""
+    lines = _lines(spark, sf_dir)
+    words = F.slice(F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " "), lambda x: x != ""), 1, 8)
+    imports = lines.select("file", "line", words.alias("ws")).where("size(ws) > 0")
+    source = graph.saved(imports.select("file", "line", F.concat(F.lit("import { "), F.array_join("ws", ", "), F.lit(' } from "m";')).alias("text"), F.array_contains("ws", "the").alias("hit")))
+    edits = source.where("hit").select("file", "line", F.lit(0).alias("seq"), F.lit("the").alias("old_text"), F.lit("of").alias("new_text"), F.lit("r").alias("rule_id"), F.lit(True).alias("replace_all"))
+    noting = dataclasses.replace(
+        providers.JAVASCRIPT, name="noting", before=lambda own: own.groupBy("file").agg(F.count("*").alias("n_before")), after=lambda changed, noted: changed.join(noted, "file", "left").select("file", "n_before", F.lit(True).alias("changed"))
+    )
+    # whole names only: a name that holds the old one is put behind a mark while edits are applied
+    marked = source.select("file", "line", "hit", F.array_join(F.transform(F.split("text", r"(?<=[^A-Za-z])|(?=[^A-Za-z])"), lambda x: F.when((x != "the") & F.contains(x, F.lit("the")), F.replace(x, F.lit("the"), F.lit("t\u0001he"))).otherwise(x)), "").alias("text"))
+    done = providers.applied(edits, marked.select("file", "line", "text"), noting)
+    rows = done.lines.join(done.follow_up, "file")
+    return rows.select("file", "line", F.md5(F.replace("text", F.lit("\u0001"), F.lit("")).cast("binary")).alias("h"), "n_before", "changed")

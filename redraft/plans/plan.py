@@ -8,16 +8,20 @@ and line.  Only the kinds of strategy that occur reach the driver, so that plann
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.functions import versions as vs
-from redraft.functions.text import SKIPPED_JAVA, SKIPPED_JS, contains_any, is_lock_file, path_of_uri, replace_all, skips_path
+from redraft.functions.text import SKIPPED_JS, contains_any, is_lock_file, path_of_uri, replace_all, skips_path
 from redraft.operators import edits as ed
 from redraft.operators import graph, planning
 from redraft.sources import readers
 
+if TYPE_CHECKING:
+    from redraft.plans.providers import Provider
+
 #: Variables that name what an incident matched, in order of preference (fixed values), by language, and of style classes.
 MATCHED_JS = ("propName", "componentName", "importedName", "className", "variableName")
 MATCHED_JAVA = ("importedName", "typeName", "methodName", "constructorName", "annotationName", "matchingText")
@@ -258,15 +262,17 @@ def latest_compatible(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     return fits.groupBy("package", "dependency", "major").agg(F.concat(F.lit("^"), F.max_by("version", F.struct(vs.parts(F.col("version")).alias("p"), "version"))).alias("latest"))
 
 
-def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: str, java: bool = False, listing: DataFrame | None = None, registry: DataFrame | None = None, only: DataFrame | None = None) -> Plan:
+def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: str, provider: Provider | None = None, listing: DataFrame | None = None, registry: DataFrame | None = None, only: DataFrame | None = None) -> Plan:
     """The plan of a run: incidents as readers.findings gives them, strategies (rule_id, entry), source lines (file, line, text).
 
-    listing (path) are the files among which companion tests are sought, else those of the lines; registry is that of latest_compatible; only (file_uri) limits the run to some files.
+    provider is the language's (by default JavaScript's); listing (path) are the files among which companion tests are sought, else those of the lines; registry is that of latest_compatible; only (file_uri) limits the run to some files.
     """
-    names = MATCHED_JAVA if java else MATCHED_JS
+    if provider is None:
+        from redraft.plans.providers import JAVASCRIPT as provider
+    names = provider.matched
     known = strategies.select("rule_id", "entry", planning.strategy_kind().alias("kind"))
     found = incidents if only is None else incidents.join(only.select("file_uri").distinct(), "file_uri", "left_semi")
-    rows = planning.resolved(prepared(found, root, SKIPPED_JAVA if java else SKIPPED_JS), known).join(known.select("rule_id", "entry"), "rule_id", "left")
+    rows = planning.resolved(prepared(found, root, provider.skipped), known).join(known.select("rule_id", "entry"), "rule_id", "left")
     rows = graph.saved(rows.withColumn("route", F.when(F.col("never_edited"), "dropped").when(F.col("kind") == "EnsureDependency", dependency_route())))
     live = rows.where("route is null or route <> 'dropped'")
 
@@ -274,8 +280,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     has = lambda kind, route=None: (kind, route) in kinds
     outcomes = [_rows(live.where(F.lit(False)), "line")]
 
-    whole = F.map_contains_key("variables", F.lit("importedName"))
-    whole = whole | F.map_contains_key("variables", F.lit("module")) if java else whole
+    whole = provider.is_whole_file()
     if has("Rename"):
         renames = _flag(live, "Rename").withColumn("mappings", mappings_of()).withColumn("whole_file", whole)
         outcomes.append(rename_rows(renames.withColumn("matched", matched_for(F.col("mappings"), names)).withColumn("replace_all", F.col("whole_file")), lines))
@@ -290,8 +295,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
         marked = marked.withColumn("is_dead", F.lit(False))
     if has("RemoveAttribute"):
         removed = _flag(live, "RemoveAttribute")
-        named = removed.withColumn("name", annotation_name() if java else F.coalesce(variable("propName"), F.lit("")))
-        cut = (planning.annotation_removals if java else planning.attribute_removals)(named, lines).join(removed.select("seq", "rule_id"), "seq")
+        cut = provider.remove(removed, lines).join(removed.select("seq", "rule_id"), "seq")
         outcomes.append(_rows(cut, "line", F.col("old_text"), F.col("new_text"), reason=F.col("reason")))
     if has("ImportPathChange"):
         moved = _flag(live, "ImportPathChange").select("seq", "rule_id", "file", "line", F.col("entry.from").alias("old_text"), F.col("entry.to").alias("new_text"))
@@ -306,8 +310,9 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
         outcomes.append(dependency_rows(live.where("route = 'manifest'"), lines, registry).select(*_ROWS))
     at_last = lambda df: df.withColumn("seq", F.struct(F.lit("").alias("report"), F.lit(NO_RULESET).alias("ruleset_ix"), F.col("rule_id"), F.lit(0).alias("incident_ix")))
     outcomes.append(_rows(at_last(proactive_dependencies(known, found, lines)), "line", F.col("old_text"), F.col("new_text")))
-    if java:
-        outcomes.append(_rows(at_last(config_renames(known, lines)), "line", F.col("old_text"), F.col("new_text"), every=True))
+    own_edits = provider.edits_of_its_own(known, lines)
+    if own_edits is not None:
+        outcomes.append(_rows(at_last(own_edits), "line", F.col("old_text"), F.col("new_text"), every=True))
     outcomes = graph.union_saved(outcomes)  # each planner's rows are written on their own, so that no plan holds all planners
 
     edits = outcomes.where("reason is null or reason = 'merged'").drop("reason")
@@ -316,7 +321,7 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
 
     talks = _flag(live, "Llm")
     files = lines.select(F.col("file").alias("path")).distinct() if listing is None else listing
-    asked = (java_companion_tests if java else companion_tests)(talks.unionByName(live.where("route = 'pending'")), files)
+    asked = provider.tests_of(talks.unionByName(live.where("route = 'pending'")), files)
     lonely = (F.col("kind") == "Llm") & planning.test_impact_only(F.col("labels")) & (F.size("companion_tests") == 0)
     from_module = F.concat(F.lit("Import "), variable("importedName"), F.lit(" from "), F.col("entry.package"), F.lit(" "), F.col("entry.new_version"), F.lit(" instead of "), variable("module"))
     message = F.when(F.col("kind") == "EnsureDependency", F.concat_ws("\n\n", from_module, "message")).otherwise(F.concat_ws("\n\n", "message", F.concat(F.lit("Incident:\n"), F.nullif(incident_context(), F.lit(""))), F.concat(F.lit("Strategy:\n"), F.when(F.col("entry").isNotNull(), strategy_context()))))
