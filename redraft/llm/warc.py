@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -238,6 +239,21 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block[: int(fields["content-length"])]
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of a gzip file's members, each fed in slices that grow with it, so that time is in proportion to the file."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts, size = zlib.decompressobj(wbits=31), [], 4096
+        while not member.eof:
+            piece = view[at : at + size]
+            if not piece:
+                raise ValueError("the last member of a gzip file has no end")
+            parts.append(member.decompress(piece))
+            at, size = at + len(piece), min(2 * size, 1 << 20)
+        at -= len(member.unused_data)
+        yield b"".join(parts)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, warc_type, record_id, refers_to, target_uri, block_digest, content_length, block) of the files of write_records, read member by member."""
 
@@ -245,17 +261,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-block-digest", "content-length")
         for batch in batches:
             for file, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                rows = []
-                while data:
-                    member = zlib.decompressobj(wbits=31)
-                    fields, block = parse_record(member.decompress(data))
-                    data = member.unused_data
-                    rows.append((file, *[fields.get(n) for n in names[:-1]], int(fields["content-length"]), block))
-                    if len(rows) == 1000 or not data:
-                        kinds = [*[pa.string()] * 6, pa.int64(), pa.binary()]
-                        columns = ["file", "warc_type", "record_id", "refers_to", "target_uri", "block_digest", "content_length", "block"]
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], columns)
-                        rows = []
+                records = map(parse_record, members(data))
+                while some := list(islice(records, 1000)):
+                    rows = [(file, *[fields.get(n) for n in names[:-1]], int(fields["content-length"]), block) for fields, block in some]
+                    kinds = [*[pa.string()] * 6, pa.int64(), pa.binary()]
+                    columns = ["file", "warc_type", "record_id", "refers_to", "target_uri", "block_digest", "content_length", "block"]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
     return files.mapInArrow(read, "file string, warc_type string, record_id string, refers_to string, target_uri string, block_digest string, content_length long, block binary")

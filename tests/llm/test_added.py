@@ -249,3 +249,22 @@ def test_decompressed_vectors_are_near(spark):
     for r in df.collect():
         ints = [math.floor(256 * x) for x in r["embedding"]]
         assert sum((a - round(b * 256)) ** 2 for a, b in zip(ints, back[r["vec_id"]], strict=True)) == errors[r["vec_id"]]
+
+
+# operator 5's reader
+
+
+def test_members_are_read_in_linear_time():
+    import gzip
+    import time
+
+    from redraft.llm import warc
+
+    texts = [b"x" * (n % 5000) + str(n).encode() for n in range(12_000)]
+    data = b"".join(gzip.compress(t, 1) for t in texts)
+    began = time.time()
+    assert list(warc.members(data)) == texts and time.time() - began < 20
+    big = gzip.compress(bytes(range(256)) * 40_000) + gzip.compress(b"")
+    assert [len(m) for m in warc.members(big)] == [256 * 40_000, 0] and list(warc.members(b"")) == []
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.members(data[:-3]))
