@@ -193,6 +193,30 @@ def fix_blocks(lines: DataFrame) -> DataFrame:
     return cut.select("file", F.expr("cast((fences + 1) / 2 as int)").alias("block"), number.alias("at_line"), "old_text", "new_text").where("at_line is not null and old_text is not null and new_text is not null")
 
 
+#: Source and confidence of edits that a model's answer makes (fixed values).
+MODEL_SOURCE, MODEL_CONFIDENCE = "llm", "medium"
+
+
+def line_digests(lines: DataFrame) -> DataFrame:
+    """(file, line, digest): what a request remembers of the lines (file, line, text) that it shows to a model."""
+    return lines.select("file", "line", F.xxhash64("text").alias("digest"))
+
+
+def answer_edits(blocks: DataFrame, seen: DataFrame, lines: DataFrame) -> DataFrame:
+    """Edits of a model's fix blocks (of fix_blocks, with rule_id), each checked against the line as the model saw it, seen (file, line, digest), and as it is now.
+
+    (file, line, seq, old_text, new_text, rule_id, replace_all, source, confidence, outcome): outcome is planned; stale if the line has changed since; line_out_of_bounds if there is none or the model
+    was shown none; text_not_found_on_line if it does not hold the old text.  Of edits that say the same of a line the first is planned, the others are repeated.
+    """
+    order = Window.partitionBy("file").orderBy("block", "at_line", "old_text", "new_text")
+    rows = blocks.select("file", "block", F.col("at_line").alias("line"), "old_text", "new_text", "rule_id", F.row_number().over(order).alias("seq"))
+    now = line_digests(lines).select("file", "line", F.col("digest").alias("now"))
+    met = rows.join(seen.select("file", "line", "digest"), ["file", "line"], "left").join(now, ["file", "line"], "left").join(lines.select("file", "line", "text"), ["file", "line"], "left")
+    again = F.row_number().over(Window.partitionBy("file", "line", "old_text", "new_text").orderBy("seq")) > 1
+    outcome = F.when(F.col("now").isNull() | F.col("digest").isNull(), "line_out_of_bounds").when(F.col("now") != F.col("digest"), "stale").when((F.col("old_text") == "") | ~F.contains("text", "old_text"), "text_not_found_on_line").when(again, "repeated").otherwise("planned")
+    return met.select("file", "line", "seq", "old_text", "new_text", "rule_id", F.lit(False).alias("replace_all"), F.lit(MODEL_SOURCE).alias("source"), F.lit(MODEL_CONFIDENCE).alias("confidence"), outcome.alias("outcome"))
+
+
 #: How a package manager words that a peer is missing (fixed values): code, what stands between who lacks it and the peer, and before who asks for it.
 PEER_CODE, PEER_LACKS, PEER_ASKED = "YN0002:", " doesn't provide ", "requested by "
 

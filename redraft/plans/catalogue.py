@@ -1060,3 +1060,22 @@ def provider_hooks(spark, sf_dir):
     done = providers.applied(edits, marked.select("file", "line", "text"), noting)
     rows = done.lines.join(done.follow_up, "file")
     return rows.select("file", "line", F.md5(F.replace("text", F.lit("\u0001"), F.lit("")).cast("binary")).alias("h"), "n_before", "changed")
+
+
+@query(
+    f"""WITH {LINES}, seen AS (SELECT file, line, text FROM lines), now AS (SELECT file, line, CASE WHEN length(text) % 7 = 0 THEN text || ' new' ELSE text END AS text FROM lines),
+d AS (SELECT DISTINCT doc_id AS file, doc_id % 5 + 1 AS line FROM documents WHERE text IS NOT NULL),
+b AS (SELECT file, line, 'the' AS old_text, 'THE' AS new_text, unnest([1, 2]) AS block FROM d UNION ALL SELECT file, line, 'nowhere to be found', 'x', 3 FROM d UNION ALL SELECT file, 900000, 'the', 'THE', 4 FROM d),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.file ORDER BY block) AS seq, s.text AS before, n.text AS after FROM b LEFT JOIN seen s ON s.file = b.file AND s.line = b.line LEFT JOIN now n ON n.file = b.file AND n.line = b.line)
+SELECT file, CAST(line AS INT) AS line, CAST(seq AS INT) AS seq, old_text, 'llm' AS source, 'medium' AS confidence,
+  CASE WHEN before IS NULL THEN 'line_out_of_bounds' WHEN before <> after THEN 'stale' WHEN NOT contains(after, old_text) THEN 'text_not_found_on_line' WHEN block = 2 THEN 'repeated' ELSE 'planned' END AS outcome FROM o"""
+)
+def answer_edits(spark, sf_dir):
+    """For every document an answer with fix blocks that repeat, that miss, and that name no line, after some lines have changed."""
+    docs, lines = _table(spark, sf_dir, "documents").where("text is not null"), _lines(spark, sf_dir)
+    block = lambda line, old, new: F.concat(F.lit("```fix\nLINE: "), line.cast("string"), F.lit(f"\nOLD:{old}\nNEW:{new}\n```\n"))
+    at = F.col("doc_id") % 5 + 1
+    said = docs.select("doc_id", F.concat(block(at, "the", "THE"), F.lit("words\n"), block(at, "the", "THE"), block(at, "nowhere to be found", "x"), block(F.lit(900000), "the", "THE")).alias("text"))
+    blocks = requests.fix_blocks(readers.source_lines(said, "doc_id", "text")).withColumn("rule_id", F.lit("r"))
+    now = lines.withColumn("text", F.when(F.length("text") % 7 == 0, F.concat("text", F.lit(" new"))).otherwise(F.col("text")))
+    return requests.answer_edits(blocks, requests.line_digests(lines), now).select("file", "line", "seq", "old_text", "source", "confidence", "outcome")

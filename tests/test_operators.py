@@ -224,3 +224,14 @@ def test_balanced_runs(spark):
 def test_missing_peers(spark):
     log = "\x1b[93mYN0002\x1b[0m: │ app@workspace:. doesn't provide react (p1a2), requested by @s/lib.\nYN0002: @s/x@npm:1.0.0 doesn't provide vue (pb)\nYN0002: y@npm:1 doesn't provide react (pc), requested by z.\nYN0000: ok"
     assert sorted(tuple(r) for r in requests.missing_peers(lines(spark, log)).collect()) == [("react", "@s/lib"), ("vue", "@s/x")]
+
+
+def test_answers_become_edits_of_lines_as_they_were_seen(spark):
+    seen = lines(spark, "the one\nthe two\nthree")
+    now = lines(spark, "the one\nchanged the two")
+    blocks = spark.createDataFrame([("f", 1, 1, "the", "THE", "r"), ("f", 2, 1, "the", "THE", "r"), ("f", 2, 1, "none", "x", "r"), ("f", 3, 2, "the", "x", "r"), ("f", 3, 3, "three", "x", "r"), ("f", 4, 9, "x", "y", "r"), ("f", 5, 1, "", "y", "r")], "file string, block int, at_line int, old_text string, new_text string, rule_id string")
+    got = requests.answer_edits(blocks, requests.line_digests(seen), now)
+    assert sorted((r["line"], r["old_text"], r["outcome"]) for r in got.collect()) == [
+        (1, "", "text_not_found_on_line"), (1, "none", "text_not_found_on_line"), (1, "the", "planned"), (1, "the", "repeated"), (2, "the", "stale"), (3, "three", "line_out_of_bounds"), (9, "x", "line_out_of_bounds")
+    ]
+    assert {(r["source"], r["confidence"], r["replace_all"]) for r in got.collect()} == {("llm", "medium", False)}
