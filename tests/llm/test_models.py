@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.01"
 
 def oracle(name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     r = c.sql(queries.ORACLE_SQL[name])
     return sorted(map(str, (tuple(dict(zip(r.columns, x, strict=True))[k] for k in sorted(r.columns)) for x in r.fetchall())))
