@@ -1079,3 +1079,78 @@ def answer_edits(spark, sf_dir):
     blocks = requests.fix_blocks(readers.source_lines(said, "doc_id", "text")).withColumn("rule_id", F.lit("r"))
     now = lines.withColumn("text", F.when(F.length("text") % 7 == 0, F.concat("text", F.lit(" new"))).otherwise(F.col("text")))
     return requests.answer_edits(blocks, requests.line_digests(lines), now).select("file", "line", "seq", "old_text", "source", "confidence", "outcome")
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS k, '/p/src/main/j/C' || p_partkey || '.java' AS file, p_size AS z FROM part),
+l AS (SELECT k, '/p/src/test/j/C' || k || CASE z % 3 WHEN 0 THEN 'Test.java' ELSE 'Tests.java' END AS test FROM t WHERE z % 3 < 2 UNION ALL SELECT k, '/p/src/main/j/C' || k || 'IT.java' FROM t WHERE z > 40 UNION ALL SELECT k, '/p/src/test/j/C' || k || 'Spec.java' FROM t)
+SELECT t.file, coalesce(string_agg(l.test, ',' ORDER BY l.test) FILTER (NOT ends_with(l.test, 'Spec.java')), '') AS tests FROM t JOIN l USING (k) GROUP BY t.file"""
+)
+def java_companions(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    path = lambda tree, end: F.concat(F.lit(f"/p/src/{tree}/j/C"), F.col("p_partkey").cast("string"), F.lit(end))
+    test, size = path("test", "Test.java"), F.col("p_size")
+    listing = part.where(size % 3 == 0).select(test.alias("path")).unionByName(part.where(size % 3 == 1).select(path("test", "Tests.java").alias("path"))).unionByName(part.where(size > 40).select(path("main", "IT.java").alias("path"))).unionByName(part.select(path("test", "Spec.java").alias("path")))
+    found = pl.java_companion_tests(part.select(path("main", ".java").alias("file")), listing)
+    return found.select("file", F.array_join("companion_tests", ",").alias("tests"))
+
+
+@query(
+    f"""WITH {LINES}, m(old_text, new_text) AS (VALUES ('the', 'THE'), ('tion', 'TION')),
+i AS (SELECT doc_id AS file, CASE WHEN doc_id % 11 > 0 THEN doc_id % 5 + 1 END AS place, doc_id % 3 = 0 AS whole, CASE doc_id % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'none' ELSE 'the' END AS matched FROM documents),
+j AS (SELECT *, CASE WHEN place IS NULL THEN 'no_line_number' WHEN NOT whole AND matched = 'same' THEN 'no_op_rename' END AS lost FROM i),
+e AS (SELECT j.file, line, old_text, whole FROM j JOIN lines l ON l.file = j.file JOIN m ON contains(text, old_text) WHERE lost IS NULL AND whole
+  UNION ALL SELECT file, place, 'the', false FROM j WHERE lost IS NULL AND NOT whole AND matched = 'the'
+  UNION ALL SELECT j.file, line, old_text, false FROM j JOIN lines l ON l.file = j.file AND line BETWEEN place - CASE matched WHEN 'the' THEN 3 ELSE 1 END AND place + 4 JOIN m ON contains(text, old_text) WHERE lost IS NULL AND NOT whole AND NOT (matched = 'the' AND line = place AND old_text = 'the'))
+SELECT file, CAST(line AS INT) AS line, old_text, whole AS replace_all, CAST(NULL AS VARCHAR) AS reason FROM e
+UNION ALL SELECT file, CAST(place AS INT), NULL, false, lost FROM j WHERE lost IS NOT NULL
+UNION ALL SELECT file, CAST(place AS INT), NULL, false, 'text_not_found' FROM j WHERE lost IS NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.file = j.file)"""
+)
+def rename_incidents(spark, sf_dir):
+    """A rename's incident in every document: all over the file, about a mapping that it matched, near its line, with nothing to rename, or without a line."""
+    docs = _table(spark, sf_dir, "documents")
+    mapping = lambda old, new: F.struct(F.lit(old).alias("old_text"), F.lit(new).alias("new_text"))
+    key = F.col("doc_id")
+    matched = F.when(key % 4 == 0, "same").when(key % 4 == 1, "none").otherwise("the")
+    incidents = docs.select(
+        key.alias("seq"), F.lit("r").alias("rule_id"), key.alias("file"), F.when(key % 11 > 0, key % 5 + 1).cast("int").alias("line"), F.array(mapping("the", "THE"), mapping("same", "same"), mapping("tion", "TION")).alias("mappings"), matched.alias("matched"), (key % 3 == 0).alias("whole_file"), (key % 3 == 0).alias("replace_all")
+    )
+    return pl.rename_rows(incidents, _lines(spark, sf_dir)).select("file", "line", "old_text", "replace_all", "reason")
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type AS t, props ->> 'k' AS k FROM events)
+SELECT event_id, CASE t WHEN 'click' THEN 'old' WHEN 'view' THEN 'old' WHEN 'purchase' THEN CASE WHEN k = '7' THEN '7' ELSE 'old' END WHEN 'error' THEN 'p' || k ELSE 'C' || k END AS matched_js,
+  CASE t WHEN 'signup' THEN 'i' || k WHEN 'error' THEN 'org.x.A' || k ELSE '' END AS matched_java, CASE t WHEN 'signup' THEN 'N' || k WHEN 'error' THEN 'A' || k ELSE '' END AS annotation FROM e"""
+)
+def matched_names(spark, sf_dir):
+    """What an incident matched, by language and for renames whose old names it may have as a value, and the annotation it is about."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    text = lambda c: F.parse_json(F.to_json(F.struct(c.alias("v"))))
+    value = lambda c: F.variant_get(text(c), "$.v", "variant")
+    lit = lambda s: F.lit(s)
+    entries = (
+        F.when(kind == "click", F.map_from_arrays(F.array(lit("propName")), F.array(value(lit("old")))))
+        .when(kind == "view", F.map_from_arrays(F.array(lit("propName"), lit("propValue")), F.array(value(lit("zz")), value(lit("old")))))
+        .when(kind == "purchase", F.map_from_arrays(F.array(lit("componentName"), lit("propObjectValues")), F.array(value(lit("zz")), value(F.array(k, lit("old"))))))
+        .when(kind == "error", F.map_from_arrays(F.array(lit("propName"), lit("propObjectValues"), lit("matchingText")), F.array(value(F.concat(lit("p"), k)), value(F.array(lit("none"))), value(F.concat(lit("org.x.A"), k)))))
+        .otherwise(F.map_from_arrays(F.array(lit("componentName"), lit("importedName"), lit("annotationName")), F.array(value(F.concat(lit("C"), k)), value(F.concat(lit("i"), k)), value(F.concat(lit("@org.y.N"), k)))))
+    )
+    rows = _table(spark, sf_dir, "events").select("event_id", entries.alias("variables"))
+    mappings = F.array(*[F.struct(F.lit(o).alias("old_text"), F.lit("n").alias("new_text")) for o in ("old", "7")])
+    return rows.select("event_id", pl.matched_for(mappings, pl.MATCHED_JS).alias("matched_js"), pl.matched_text(pl.MATCHED_JAVA).alias("matched_java"), pl.annotation_name().alias("annotation"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS file, p_size % 4 AS m, p_size % 5 = 0 AS open FROM part), n AS (SELECT file, m, unnest(range(2, m + 4)) AS line FROM p WHERE NOT open)
+SELECT file, CAST(line AS INT) AS line, CASE WHEN line = 2 THEN '  onX={() => {' WHEN line = m + 3 THEN '  }}' ELSE '    go(' || line || ');' END AS old_text, '' AS new_text, CAST(NULL AS VARCHAR) AS reason FROM n
+UNION ALL SELECT file, 2, NULL, NULL, 'unbalanced_brackets' FROM p WHERE open"""
+)
+def attribute_runs(spark, sf_dir):
+    """For every part a tag with an attribute over several lines, which goes as a whole, or which is never closed."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), (F.col("p_size") % 4).cast("int").alias("m"), (F.col("p_size") % 5 == 0).alias("open"))
+    inner = F.transform(F.sequence(F.lit(3), F.col("m") + 3), lambda i: F.concat(F.lit("    go("), i.cast("string"), F.lit(");")))
+    body = F.concat(F.array(F.lit("<A"), F.lit("  onX={() => {")), F.slice(inner, 1, F.col("m")), F.when(F.col("open"), F.array(F.lit("  {"))).otherwise(F.array(F.lit("  }}"))), F.array(F.lit("  y={1}/>")))
+    lines = part.select("file", F.posexplode(body).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
+    incidents = part.select(F.col("file").alias("seq"), "file", F.lit(2).alias("line"), F.lit("onX").alias("name"))
+    return planning.attribute_removals(incidents, lines).select("file", "line", "old_text", "new_text", "reason")
