@@ -95,9 +95,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     shares = F.lit([(i + 1) / count for i in range(count - 1)])
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100 * count).alias("b")).first()["b"] or []))
     at = range_of(F.col("doc_id"), bounds)
-    firsts = sorted(tuple(r) for r in docs.groupBy(at.alias("bucket")).agg(F.min("doc_id")).collect())  # a row for each range
-    before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    guests = spark.createDataFrame(before, "first long, before int")
+    firsts = docs.groupBy(at.alias("bucket")).agg(F.min("doc_id").alias("first"))  # a row for each range, so windows over all of them are small
+    guests = firsts.select("first", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("before"))
     seat = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
     seats = F.when(F.col("before").isNull(), F.array(seat(at, False))).otherwise(F.array(seat(at, False), seat(F.col("before"), True)))
     rows = docs.join(F.broadcast(guests), F.col("doc_id") == F.col("first"), "left").select("doc_id", "text", F.explode(seats).alias("seat"))
