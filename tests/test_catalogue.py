@@ -54,4 +54,5 @@ def test_works_without_the_llm_folder(tmp_path):
             os.symlink(f"{here}/redraft/{name}", tmp_path / "redraft" / name)
     os.symlink(f"{here}/__spark_entry__.py", tmp_path / "__spark_entry__.py")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'rename_run' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    code += f"; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert q['rename_many'](s, '{SF}').count() > 1000"  # one that starts Python workers
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
