@@ -350,21 +350,27 @@ def digest_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_rows(texts: DataFrame) -> tuple[DataFrame, int]:
-    """Rows told apart: where ids repeat with other texts, ids times the most texts of an id, plus the text's number; and that most."""
-    most = texts.groupBy("doc_id").agg(F.count_distinct(F.xxhash64("text")).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+def _with_rows(texts: DataFrame, tables: Tables) -> tuple[DataFrame, int, DataFrame | None]:
+    """Rows told apart: where ids repeat with other texts, ids times the most texts of an id, plus the text's number; and that most.  Ids too large to be multiplied are first replaced by their places in order, (doc_id, place)."""
+    sizes = texts.groupBy("doc_id").agg(F.count_distinct(F.xxhash64("text")).alias("n")).agg(F.max("n").alias("n"), F.max("doc_id").alias("high"), F.min("doc_id").alias("low")).first()
+    most, ids = sizes["n"] or 1, None
     if most > 1:
+        if max(sizes["high"], -sizes["low"]) >= (1 << 62) // most:
+            # numbered along ranges of ids, so places stand in the order of ids; saved, as numbers are only the same while partitions are
+            ordered = texts.select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+            ids = tables.saved(ordered.select("doc_id", F.monotonically_increasing_id().alias("place")))
+            texts = texts.join(ids, "doc_id").select(F.col("place").alias("doc_id"), "text")
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
         texts = texts.withColumn("number", F.dense_rank().over(order) - 1).select((F.col("doc_id") * most + F.col("number")).alias("doc_id"), "text")
-    return texts, most
+    return texts, most, ids
 
 
-def _cut_input(docs: DataFrame, id_col: str, text_col: str, length: int, tables: Tables) -> tuple[DataFrame, int]:
-    """Documents with the marks of their phrases and the spans that the sorted suffixes give; and the most texts of an id."""
+def _cut_input(docs: DataFrame, id_col: str, text_col: str, length: int, tables: Tables) -> tuple[DataFrame, int, DataFrame | None]:
+    """Documents with the marks of their phrases and the spans that the sorted suffixes give; the most texts of an id, and what places of ids stand for."""
     spark = docs.sparkSession
     tb.small_batches(spark, 1000)
     shards = tb.shards(spark, 32)
-    texts, n = _with_rows(tb.keyed(docs, id_col, text_col))
+    texts, n, ids = _with_rows(tb.keyed(docs, id_col, text_col), tables)
     packed = texts.mapInArrow(lambda it: pack_parse(it, length, shards, n), _PARSE)
     marks = packed.groupBy("shard").applyInArrow(lambda t: mark_phrases(t, shards, n), _MARKS)
     marks = tables.saved(marks.groupBy("bucket").applyInArrow(marks_of_documents, "doc_id long, places binary, marks binary"))
@@ -372,21 +378,23 @@ def _cut_input(docs: DataFrame, id_col: str, text_col: str, length: int, tables:
     phrases = marked.where("marks is not null").mapInArrow(lambda it: pack_texts(it, length, shards), _TEXTS)
     spans = phrases.groupBy("shard").applyInArrow(lambda t: sort_suffixes(t, length, shards, n), _SPANS)
     spans = spans.groupBy("bucket").applyInArrow(spans_of_documents, "doc_id long, starts binary, ends binary")
-    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "places", "marks", "starts", "ends"), n
+    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "places", "marks", "starts", "ends"), n, ids
 
 
-def _own_ids(df: DataFrame, rows_of_id: int) -> DataFrame:
-    return df if rows_of_id == 1 else df.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {rows_of_id})) div {rows_of_id}"))
+def _own_ids(df: DataFrame, rows_of_id: int, ids: DataFrame | None) -> DataFrame:
+    if rows_of_id > 1:
+        df = df.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {rows_of_id})) div {rows_of_id}"))
+    return df if ids is None else df.withColumnRenamed("doc_id", "place").join(ids, "place").select(*df.columns)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): the maximal removed runs of bytes and the bytes that stay, joined."""
-    rows, n = _cut_input(docs, id_col, text_col, length, Tables(docs.sparkSession, "repeats"))
-    return _own_ids(rows.mapInArrow(lambda it: cut_rows(it, length), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"), n)
+    rows, n, ids = _cut_input(docs, id_col, text_col, length, Tables(docs.sparkSession, "repeats"))
+    return _own_ids(rows.mapInArrow(lambda it: cut_rows(it, length), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"), n, ids)
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of cut_repeats; the bytes that stay are digested in the task that cuts."""
     tables = Tables(docs.sparkSession, "repeats")
-    rows, n = _cut_input(docs, id_col, text_col, length, tables)
-    return tables.last(_own_ids(rows.mapInArrow(lambda it: digest_rows(cut_rows(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), n))
+    rows, n, ids = _cut_input(docs, id_col, text_col, length, tables)
+    return tables.last(_own_ids(rows.mapInArrow(lambda it: digest_rows(cut_rows(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), n, ids))

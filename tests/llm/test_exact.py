@@ -170,6 +170,9 @@ def test_repeats_of_runs_and_of_rows_that_share_an_id(spark):
     again = data + [(5, passage + "other"), (8, passage + part(20)), (8, "z" + passage), (8, "z" + passage)]
     got = sorted(tuple(r)[:4] for r in repeats.repeat_digests(spark.createDataFrame(again, "doc_id long, text string")).collect())
     assert [r for r in got if r[0] == 5] == [(5, 95, 0, 0), (5, 160, 0, 0)] and [r for r in got if r[0] == 8] == [(8, 91, 90, 1), (8, 91, 90, 1), (8, 110, 90, 1)]
+    wide = lambda i: (i - 4) << 60
+    far = repeats.repeat_digests(spark.createDataFrame([(wide(i), t) for i, t in again], "doc_id long, text string"))
+    assert sorted(tuple(r)[:4] for r in far.collect()) == [(wide(i), *rest) for i, *rest in got]
 
 
 def test_kept_bytes_and_spans(spark):
