@@ -68,7 +68,7 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = F.lit(bounds).cast("array<long>")
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # one literal, however many bounds
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= value), at + step).otherwise(at))
 
 
