@@ -50,3 +50,12 @@ def test_tables_go(spark):
     assert graph.ancestors_of(e, t).count() == 2
     folder = graph.checkpoint_folder(spark).removeprefix("file:")
     assert not [x for x in os.listdir(folder) if x.startswith("run-")]
+
+
+def test_a_long_chain_of_many_ways_takes_few_rounds(spark, monkeypatch):
+    """Edges ahead give a node many ends of walks in a row; several files, a cycle and two targets of one file."""
+    chain = [(f, f"n{i}", f"n{i + 1}") for f in "fg" for i in range(1500)] + [(f, f"n{i}", f"n{i + 4}") for f in "fg" for i in range(0, 1500, 5)] + [("f", "n1500", "n0"), ("h", "a", "b")]
+    asked = [("f", "n0"), ("f", "n700"), ("g", "n3"), ("h", "a")]
+    e, t = frames(spark, chain, asked)
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 35)
+    assert sorted(tuple(r) for r in graph.ancestors_of(e, t).collect()) == brute(chain, asked)
