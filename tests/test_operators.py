@@ -235,3 +235,15 @@ def test_answers_become_edits_of_lines_as_they_were_seen(spark):
         (1, "", "text_not_found_on_line"), (1, "none", "text_not_found_on_line"), (1, "the", "planned"), (1, "the", "repeated"), (2, "the", "stale"), (3, "three", "line_out_of_bounds"), (9, "x", "line_out_of_bounds")
     ]
     assert {(r["source"], r["confidence"], r["replace_all"]) for r in got.collect()} == {("llm", "medium", False)}
+
+
+def test_lock_edges_as_by_lines(spark):
+    """Odd indents, CR LF, lines before the first entry and entries without a name; neither plan sorts lines by a window."""
+    yarn = '\n    "z": 1\n"a@npm:1":\r\n  version: 1\r\n\r\n  dependencies:\r\n    "@s/x": "npm:^2"\r\n      deep: 1\n odd: 1\n    y: 2\n    none\n  bin:\n    t: u\n# c:\n  dependencies:\n    n: 1\n'
+    pnpm = "  k:\n    dependencies:\n      no: 1\nsnapshots:\n\n  '@p/a@1(x)':\r\n    dependencies:\r\n      '@s/b': 1\r\n        deep: 1\n odd:\n      lost: 1\n dependencies:\n      lost: 2\n    peerDependencies:\n      c: 2\nother:\n  k:\n    dependencies:\n      no: 1\n"
+    frame = lambda t: spark.createDataFrame([("f", t)], "file string, text string")
+    for text, whole, by_lines, want in ((yarn, readers.yarn_text_edges, readers.yarn_edges, {("@s/x", "a"), ("y", "a")}), (pnpm, readers.pnpm_text_edges, readers.pnpm_edges, {("@s/b", "@p/a"), ("c", "@p/a")})):
+        assert {(r["child"], r["parent"]) for r in whole(frame(text)).collect()} == want
+        got = by_lines(readers.source_lines(frame(text)))
+        assert {(r["child"], r["parent"]) for r in got.collect()} == want
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
