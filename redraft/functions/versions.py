@@ -39,6 +39,7 @@ def is_release(version: Column) -> Column:
 # is "~", behind all tails of pre-releases; "" lies before them; and a tail with a blank behind it is next to it, with nothing between.
 RELEASE, FIRST, NEXT = "~", "", " "
 _FAR = 1 << 40
+MARK = "\x01"
 
 
 def key(a: Column, b: Column, c: Column, tail: Column | str) -> Column:
@@ -58,9 +59,12 @@ def range_bounds(spec: Column) -> Column:
     Caret keeps the first non-zero part, tilde the minor part, a missing part is a wildcard.  What stands behind a plus sign counts for nothing.
     """
     part = r"(?:[0-9]{1,9}|[xX*])"
-    shape = rf"^\s*(\^|~>?|>=|<=|>|<|=)?\s*[v=]?({part}?(?:\.{part}){{0,2}})(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\s*$"
-    read = F.struct(F.regexp_extract(spec, shape, 1).alias("op"), F.transform(F.split(F.regexp_extract(spec, shape, 2), r"\."), lambda x: _number(x)).alias("n"), tail(F.regexp_extract(spec, shape, 3)).alias("tail"))
-    named = _let(read, lambda r: F.struct(r["op"].alias("op"), F.get(r["n"], 0).alias("a"), F.get(r["n"], 1).alias("b"), F.get(r["n"], 2).alias("c"), r["tail"].alias("tail")))
+    shape = rf"^\s*(\^|~>?|>=|<=|>|<|=)?\s*[v=]?({part}?(?:\.{part}){{0,2}})(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\s*$(?s:.*)"
+    # one match gives sign, numbers and pre-release; what does not match has no mark and stays in one piece
+    read = F.split(F.when(~F.contains(spec, F.lit(MARK)), F.regexp_replace(spec, shape, f"$1{MARK}$2{MARK}$3")), MARK)
+    numbers = lambda r: F.split(r[1], r"\.")
+    number = lambda n, i: F.get(n, i).try_cast("long")
+    fields = lambda r: _let(numbers(r), lambda n: F.struct(r[0].alias("op"), number(n, 0).alias("a"), number(n, 1).alias("b"), number(n, 2).alias("c"), tail(r[2]).alias("tail")))
     zero, far = F.lit(0).cast("long"), F.lit(_FAR)
 
     def ends(r: Column) -> Column:
@@ -80,19 +84,22 @@ def range_bounds(spec: Column) -> Column:
         upper = F.when(op.isin(">", ">="), most).when(op == "<", below).when(op == "^", caret).when(op.isin("~", "~>"), tilde).otherwise(behind)
         return F.struct(lower.alias("lower"), upper.alias("upper"))
 
-    return F.when(spec.rlike(shape), _let(named, ends))
+    return _let(read, lambda r: F.when(F.size(r) == 3, _let(fields(r), ends)))
 
 
 def range_sets(spec: Column) -> Column:
     """The alternatives of a range (between ||) as (lower, upper) keys: what all of an alternative's comparisons allow; `a - b` is from a to b; null for one that cannot be read or allows nothing."""
 
     def alternative(text: Column) -> Column:
-        ends = F.split(text, r"\s+-\s+")
-        plain = F.regexp_replace(F.when(F.size(ends) == 2, F.concat(F.lit(">="), F.trim(ends[0]), F.lit(" <="), F.trim(ends[1]))).otherwise(text), r"([\^~<>=])\s+", "$1")
-        words = F.filter(F.split(plain, r"\s+"), lambda x: x != "")
-        bounds = F.transform(F.when(F.size(words) == 0, F.array(F.lit("*"))).otherwise(words), range_bounds)
-        both = F.struct(F.array_max(F.transform(bounds, lambda b: b["lower"])).alias("lower"), F.array_min(F.transform(bounds, lambda b: b["upper"])).alias("upper"))
-        return F.when(~F.exists(bounds, lambda b: b.isNull()), _let(both, lambda b: F.when(b["lower"] < b["upper"], b)))
+        plain = lambda e: F.regexp_replace(F.when(F.size(e) == 2, F.concat(F.lit(">="), F.trim(e[0]), F.lit(" <="), F.trim(e[1]))).otherwise(text), r"([\^~<>=])\s+", "$1")
+        words = lambda e: F.filter(F.split(plain(e), r"\s+"), lambda x: x != "")
+        bounds = lambda ws: F.transform(F.when(F.size(ws) == 0, F.array(F.lit("*"))).otherwise(ws), range_bounds)
+
+        def both(bs: Column) -> Column:
+            least = F.struct(F.array_max(F.transform(bs, lambda b: b["lower"])).alias("lower"), F.array_min(F.transform(bs, lambda b: b["upper"])).alias("upper"))
+            return F.when(~F.exists(bs, lambda b: b.isNull()), _let(least, lambda b: F.when(b["lower"] < b["upper"], b)))
+
+        return _let(F.split(text, r"\s+-\s+"), lambda e: _let(words(e), lambda ws: _let(bounds(ws), both)))
 
     return F.transform(F.split(spec, r"\|\|"), alternative)
 

@@ -115,3 +115,11 @@ def test_attributes(spark, line, name, without, first):
 @pytest.mark.parametrize(("line", "want"), [("import { a, b,a } from 'x'", "import { a, b } from 'x'"), ("  import type {a,a} from 'y'", "  import type { a } from 'y'"), ("import x, {a,a} from 'y'", "import x, {a,a} from 'y'"), ("f {a,a} from", "f {a,a} from"), ("import {a,a}", "import {a,a}")])
 def test_import_names(spark, line, want):
     assert one(spark, tx.unique_specifiers(F.col("t")), t=line) == want
+
+
+def test_ranges_are_read_once(spark):
+    """The plan of a check of two ranges has each pattern a few times at most, and odd specs are read as before."""
+    frame = spark.createDataFrame([(">=1.0.0 ", "^1.2.3"), ("1\x011\x011", "1"), ("", "^1"), (None, "1"), ("^1 || ^2", ">=1.0.0 <3.0.0"), ("1.2.3-rc.1+b", "1.2.3-rc.1")], "a string, b string")
+    out = frame.select(vs.range_allows(F.col("a"), F.col("b")).alias("x"))
+    assert [r["x"] for r in out.collect()] == [True, False, True, False, True, True]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("~>") <= 8
