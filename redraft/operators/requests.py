@@ -228,13 +228,14 @@ def _package(word: Column) -> Column:
 
 def missing_peers(log: DataFrame) -> DataFrame:
     """(peer, requested_by) of a package manager's log given as (file, line, text): first mention of each peer; without a requester it is who lacks the peer."""
-    text = without_escapes(F.col("text"))
-    told = F.substring(text, F.locate(PEER_CODE, text) + len(PEER_CODE), 1 << 20)
-    sides = F.split(told, PEER_LACKS, 2)
+    # a step for each text that is used more than once, and no filter before rows meet: it would be moved before all steps, with every use made anew
+    said = log.select("file", "line", without_escapes(F.col("text")).alias("text"))
+    told = F.when(F.contains("text", F.lit(PEER_CODE)) & F.contains("text", F.lit(PEER_LACKS)), F.expr(f"substring(text, locate('{PEER_CODE}', text) + {len(PEER_CODE)}, {1 << 20})"))
     first_word = lambda c: F.substring_index(F.ltrim(c), " ", 1)
-    lacks = _package(first_word(F.translate(sides[0], "│", " ")))
-    peer = F.substring_index(first_word(sides[1]), "(", 1)
-    asked = F.when(F.contains(sides[1], F.lit(PEER_ASKED)), _package(F.regexp_replace(first_word(F.substring(sides[1], F.locate(PEER_ASKED, sides[1]) + len(PEER_ASKED), 1 << 20)), r"\.$", "")))
-    own = log.where(F.contains(text, F.lit(PEER_CODE)) & F.contains(text, F.lit(PEER_LACKS)))
-    found = own.select("file", "line", peer.alias("peer"), F.coalesce(F.nullif(asked, F.lit("")), F.nullif(lacks, F.lit(""))).alias("requested_by")).where("peer <> '' and requested_by is not null")
-    return found.groupBy("peer").agg(F.min_by("requested_by", F.struct("file", "line")).alias("requested_by"))
+    sides = said.select("file", "line", F.split(told, PEER_LACKS, 2).alias("sides"))
+    words = sides.select("file", "line", first_word(F.translate(F.col("sides")[0], "│", " ")).alias("who"), F.get("sides", 1).alias("rest"))
+    named = words.select("file", "line", "who", F.substring_index(first_word(F.col("rest")), "(", 1).alias("peer"), F.when(F.contains("rest", F.lit(PEER_ASKED)), F.regexp_replace(first_word(F.substring("rest", F.locate(PEER_ASKED, F.col("rest")) + len(PEER_ASKED), 1 << 20)), r"\.$", "")).alias("by"))
+    asked, lacks = _package(F.col("by")), _package(F.col("who"))
+    found = named.select("file", "line", "peer", F.coalesce(F.nullif(asked, F.lit("")), F.nullif(lacks, F.lit(""))).alias("requested_by"))
+    counts = (F.col("peer") != "") & F.col("requested_by").isNotNull()
+    return found.groupBy("peer").agg(F.min_by("requested_by", F.when(counts, F.struct("file", "line"))).alias("requested_by")).where("requested_by is not null")

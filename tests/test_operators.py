@@ -247,3 +247,10 @@ def test_lock_edges_as_by_lines(spark):
         got = by_lines(readers.source_lines(frame(text)))
         assert {(r["child"], r["parent"]) for r in got.collect()} == want
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_peers_in_odd_lines(spark):
+    """A line with what lacks before the code names no peer and ends nothing; escapes may stand within words."""
+    log = "x doesn't provide y\n[1] a doesn't provide b YN0002: c\n\x1b[1mYN00\x1b[0m02: │ w@1 doesn't provide p (p1), requested by @s/q@2."
+    got = requests.missing_peers(lines(spark, log))
+    assert [tuple(r) for r in got.collect()] == [("p", "@s/q")]
