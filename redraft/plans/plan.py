@@ -126,8 +126,9 @@ def rename_rows(incidents: DataFrame, lines: DataFrame) -> DataFrame:
     close = met.withColumn("m", F.explode(others))
     edit = lambda df: _rows(df, "at", F.col("m.old_text"), F.col("m.new_text"), F.col("replace_all"))
     first = near.where("primary is not null").withColumn("at", F.col("line")).withColumn("m", F.col("primary"))
-    made = edit(over).unionByName(edit(close)).unionByName(edit(first))
-    found = over.select("seq").unionByName(close.select("seq")).distinct()
+    on_lines = graph.saved(edit(over).unionByName(edit(close)))  # used twice; the lines are read once for each of the two
+    made = on_lines.unionByName(edit(first))
+    found = on_lines.select("seq").distinct()
     none = wide.unionByName(near.where("primary is null")).join(found, "seq", "left_anti")
     no_op = F.when(F.size("real") == 0, "no_op_rename").otherwise("text_not_found")
     return made.unionByName(_rows(lost, "line", reason="no_line_number")).unionByName(_rows(unchanged, "line", reason="no_op_rename")).unionByName(_rows(none, "line", reason=no_op))
@@ -272,6 +273,8 @@ def plan(incidents: DataFrame, strategies: DataFrame, lines: DataFrame, root: st
     names = provider.matched
     known = strategies.select("rule_id", "entry", planning.strategy_kind().alias("kind"))
     found = incidents if only is None else incidents.join(only.select("file_uri").distinct(), "file_uri", "left_semi")
+    # a few reports hold all incidents: they are dealt out, as all that follows is made for each
+    found = found.repartition(max(4 * found.sparkSession.sparkContext.defaultParallelism, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = planning.resolved(prepared(found, root, provider.skipped), known).join(known.select("rule_id", "entry"), "rule_id", "left")
     rows = graph.saved(rows.withColumn("route", F.when(F.col("never_edited"), "dropped").when(F.col("kind") == "EnsureDependency", dependency_route())))
     live = rows.where("route is null or route <> 'dropped'")

@@ -123,3 +123,12 @@ def test_ranges_are_read_once(spark):
     out = frame.select(vs.range_allows(F.col("a"), F.col("b")).alias("x"))
     assert [r["x"] for r in out.collect()] == [True, False, True, False, True, True]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("~>") <= 8
+
+
+def test_lines_are_cut_without_patterns(spark):
+    texts = ["", "\n", "\r\n", "a", "a\n", "a\r\n\r\n", "\r\r\nb\r", "a\n\n b\r\nc\r\n", "ä\n \n", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = frame.select("i", tx.lines_of(F.col("t")).alias("ls"))
+    want = [[], [""], [""], ["a"], ["a"], ["a", ""], ["\r", "b\r"], ["a", "", " b", "c"], ["ä", " "], None]
+    assert [r["ls"] for r in out.orderBy("i").collect()] == want
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
