@@ -254,3 +254,11 @@ def test_missing_peers_in_odd_lines(spark):
     log = "x doesn't provide y\n[1] a doesn't provide b YN0002: c\n\x1b[1mYN00\x1b[0m02: │ w@1 doesn't provide p (p1), requested by @s/q@2."
     got = requests.missing_peers(lines(spark, log))
     assert [tuple(r) for r in got.collect()] == [("p", "@s/q")]
+
+
+def test_runs_make_depths_once(spark):
+    """Lines are read character by character once, before what is asked of their depths."""
+    text = lines(spark, "<a b={{\n x: 1,\n}}\n>")
+    runs = planning.balanced_runs(spark.createDataFrame([("f", 1)], "file string, start int"), text)
+    assert [tuple(r) for r in runs.collect()] == [("f", 1, 3)]
+    assert "aggregate(" not in runs._jdf.queryExecution().optimizedPlan().toString()
