@@ -60,3 +60,22 @@ def test_no_nested_loop(spark, lines):
     mappings = spark.createDataFrame([("ab", "X"), ("abc", "Y")], "old_text string, new_text string")
     plan = planning.many_file_edits(lines, mappings)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and F is not None
+
+
+def test_hits_are_never_shuffled(spark, lines):
+    """Neither where patterns make several blocks nor to meet the other columns of their mappings."""
+    rows = spark.createDataFrame([tuple(r) for r in lines.collect()], lines.schema)
+    mappings = spark.createDataFrame([(p, f"{p}{n}") for p in sorted(set(PATTERNS) - {None}) for n in range(2)], "old_text string, new_text string")
+    found = matching.mapping_hits(rows, mappings, True, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(map(tuple, found.select("file", "line", "old", "old_text", "new_text").collect())) == sorted((*r, f"{r[3]}{n}") for r in brute(lines, True) for n in range(2))
+
+
+def test_patterns_of_one_hash(lines, monkeypatch):
+    monkeypatch.setattr(matching.Hashed, "hashes", lambda self, at, n: np.full(len(at), n, np.uint64))
+    patterns = sorted({p for p in PATTERNS if p and "\n" not in p})
+    rows = lines.toArrow()
+    for longest in (False, True):
+        got = [r for b in matching.match_batches(rows.to_batches(), patterns, longest, ["file", "line", "old"]) for r in b.to_pylist()]
+        assert sorted(tuple(r.values()) for r in got) == brute(lines, longest)
