@@ -30,6 +30,8 @@ MATCHED_CLASS = ("matchingText", "className")
 DEAD_CLASS = "change-type=css-dead-class"
 #: Endings of files whose dependency findings a model handles.
 SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx")
+#: Characters of renames that go to every task.
+BROADCAST_CHARS = 16_000_000
 #: Place in the order of a run of edits that no incident asks for: behind all.
 NO_RULESET = (1 << 31) - 1
 
@@ -247,12 +249,19 @@ def proactive_dependencies(strategies: DataFrame, incidents: DataFrame, lines: D
 
 
 def config_renames(strategies: DataFrame, lines: DataFrame) -> DataFrame:
-    """Edits of files other than Java sources that hold the old full name (two dots at least) of a Java rename; candidates meet on the dotted words of a line."""
+    """Edits of files other than Java sources that hold the old full name (two dots at least) of a Java rename; candidates meet on the dotted words of a line.
+
+    The renames of a run go to every task where they are few, as they are in all but odd runs: a name that is on very many lines would meet in one task, and lines without a rename would be shuffled.
+    """
     old = strategies.where("kind = 'JavaImportRename' and entry.`from` rlike '[.].*[.]'").select("rule_id", F.col("entry.from").alias("old_text"), F.col("entry.to").alias("new_text"))
-    words = lines.where(~F.col("file").endswith(".java")).select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*){2,}"), 0))).alias("word"))
-    pieces = F.split("word", r"\.")
-    upto = F.transform(F.sequence(F.lit(3), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), "."))
-    return words.select("file", "line", F.explode(upto).alias("old_text")).distinct().join(old, "old_text").select("file", "line", "rule_id", "old_text", "new_text")
+    few = old.agg(F.coalesce(F.sum(F.length("rule_id") + F.length("old_text") + F.length("new_text")), F.lit(0))).first()[0] <= BROADCAST_CHARS
+    known = F.broadcast(old) if few else old
+    dotted = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*){2,}"), 0)
+    words = lines.where(~F.col("file").endswith(".java")).select("file", "line", F.explode(F.array_distinct(dotted)).alias("word"))
+    upto = lambda pieces: F.transform(F.sequence(F.lit(3), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), "."))
+    names = words.select("file", "line", F.explode(upto(F.split("word", r"\."))).alias("old_text"))
+    named = names.join(F.broadcast(old.select("old_text")) if few else old.select("old_text"), "old_text", "left_semi").select("file", "line", "old_text").distinct()
+    return named.join(known, "old_text").select("file", "line", "rule_id", "old_text", "new_text")
 
 
 def latest_compatible(registry: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -109,6 +109,23 @@ def test_dependencies_without_incidents(spark):
     assert pl.latest_compatible(registry, spark.createDataFrame([("p", "d", 5)], "package string, dependency string, major int")).collect() == [("p", "d", 5, "^3.0.0")]
 
 
+def test_config_renames_meet_lines_where_they_are(spark, monkeypatch):
+    """A name on every line is no key that all lines go to; repeated lines count once, repeated renames each, and many renames meet by a shuffle to the same end."""
+    entry = "struct<`from`:string,`to`:string>"
+    known = spark.createDataFrame([("r", "JavaImportRename", ("org.a.B", "org.c.D")), ("s", "JavaImportRename", ("org.a.B", "x.y.Z")), ("s", "JavaImportRename", ("org.a.B", "x.y.Z")), ("t", "Rename", ("org.a.B", "no"))], f"rule_id string, kind string, entry {entry}")
+    lines = spark.createDataFrame([(f"/{i}.xml", 1, "<b class='org.a.B.C' x='org.a.B'/> org.a") for i in (1, 2, 2)] + [("/X.java", 1, "org.a.B")], "file string, line int, text string")
+    want = sorted((f, 1, r, "org.a.B", to) for f in ("/1.xml", "/2.xml") for r, to in (("r", "org.c.D"), ("s", "x.y.Z"), ("s", "x.y.Z")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pl.config_renames(known, lines)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, found.collect())) == want
+        monkeypatch.setattr(pl, "BROADCAST_CHARS", 1)
+        assert sorted(map(tuple, pl.config_renames(known, lines).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_retry_list_round_trip(spark):
     results = spark.createDataFrame([("f", "r1", False, True, None), ("f", "r0", False, True, None), ("g", "r1", False, False, "boom"), ("h", "r1", True, False, None)], "file string, rule_id string, ok boolean, timed_out boolean, error string")
     text = pl.retry_list(results)
