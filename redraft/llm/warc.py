@@ -104,7 +104,7 @@ def plain_text(html: Column) -> Column:
     x = F.replace(_let(x, _characters), F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
+    return F.trim(x, F.lit(" \n"))
 
 
 def digest(x: Column) -> Column:
@@ -131,7 +131,7 @@ def responses_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str =
     )
 
 
-def _record(kind: str, block: Column, content_type: str, record_id: Column) -> Column:
+def _record(kind: str, block: Column, block_digest: Column, content_type: str, record_id: Column) -> Column:
     """The fields of one derived record and its serialised form."""
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "),
@@ -143,7 +143,7 @@ def _record(kind: str, block: Column, content_type: str, record_id: Column) -> C
         F.lit(f"{CRLF}WARC-Date: "),
         F.col("date"),
         F.lit(f"{CRLF}WARC-Block-Digest: "),
-        digest(block),
+        block_digest,
         F.lit(f"{CRLF}Content-Type: {content_type}{CRLF}Content-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(CRLF + CRLF),
@@ -152,7 +152,7 @@ def _record(kind: str, block: Column, content_type: str, record_id: Column) -> C
         F.lit(kind).alias("warc_type"),
         record_id.alias("derived_id"),
         F.lit(content_type).alias("content_type"),
-        digest(block).alias("block_digest"),
+        block_digest.alias("block_digest"),
         F.octet_length(block).cast("long").alias("content_length"),
         block.alias("block"),
         F.concat(header, block, F.lit(CRLF + CRLF)).alias("record"),
@@ -166,7 +166,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
         "row_id", "record_id", *[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("target_uri", "date", "http_headers", "body")]
     )
     rows = rows.select("*", digest(F.col("body")).alias("source_digest"), plain_text(F.col("body")).alias("plain"))
-    rows = rows.select("*", urn("metadata", F.col("record_id")).alias("metadata_id"), urn("conversion", F.col("record_id")).alias("conversion_id"))
+    # what the records use more than once is a column, as an explode computes each mention anew
+    rows = rows.select("*", digest(F.col("plain")).alias("plain_digest"), urn("metadata", F.col("record_id")).alias("metadata_id"), urn("conversion", F.col("record_id")).alias("conversion_id"))
     fields = F.concat(
         F.lit("source-payload-digest: "),
         F.col("source_digest"),
@@ -175,17 +176,21 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.lit(CRLF + "conversion: "),
         F.col("conversion_id"),
         F.lit(CRLF + "conversion-digest: "),
-        digest(F.col("plain")),
+        F.col("plain_digest"),
         F.lit(CRLF + "source-http-headers:" + CRLF),
         F.col("http_headers"),
     )
+    rows = rows.select("*", fields.alias("fields"))
+    rows = rows.select("*", digest(F.col("fields")).alias("fields_digest"))
+    metadata = _record("metadata", F.col("fields"), F.col("fields_digest"), "application/warc-fields", F.col("metadata_id"))
+    conversion = _record("conversion", F.col("plain"), F.col("plain_digest"), "text/plain; charset=utf-8", F.col("conversion_id"))
     both = rows.select(
         "row_id",
         F.col("record_id").alias("refers_to"),
         "target_uri",
         "date",
         "source_digest",
-        F.explode(F.array(_record("metadata", fields, "application/warc-fields", F.col("metadata_id")), _record("conversion", F.col("plain"), "text/plain; charset=utf-8", F.col("conversion_id")))).alias("r"),
+        F.explode(F.array(metadata, conversion)).alias("r"),
     )
     return both.select("row_id", "refers_to", "target_uri", "date", "source_digest", "r.*")
 

@@ -268,3 +268,20 @@ def test_members_are_read_in_linear_time():
     assert [len(m) for m in warc.members(big)] == [256 * 40_000, 0] and list(warc.members(b"")) == []
     with pytest.raises(ValueError, match="no end"):
         list(warc.members(data[:-3]))
+
+
+def test_plain_text_ends_where_sql_ends(spark):
+    """Blanks before a last line separator are no blanks at the end, as in the SQL, whose $ is the end only."""
+    from redraft.llm import warc
+
+    texts = ["<p> ab \u2028", " \n <p>x</p> y &nbsp;\n", "\u0085 a \u0085", "<p> </p>", ""]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.plain_text(F.col("t")).alias("p")).collect()]
+    assert got == ["ab \u2028", "x\ny", "\u0085 a \u0085", "", ""]
+
+
+def test_digests_of_records_are_made_once(spark):
+    from redraft.llm import warc
+
+    made = warc.derivatives(spark.createDataFrame([(1, "<r>", "u", "d", "h", "<p>x")], "row_id long, record_id string, target_uri string, date string, http_headers string, body string"))
+    generate = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line]
+    assert len(generate) == 1 and "sha2(" not in generate[0]
