@@ -59,3 +59,39 @@ def test_a_long_chain_of_many_ways_takes_few_rounds(spark, monkeypatch):
     e, t = frames(spark, chain, asked)
     monkeypatch.setattr(graph, "MOST_ROUNDS", 35)
     assert sorted(tuple(r) for r in graph.ancestors_of(e, t).collect()) == brute(chain, asked)
+
+
+def blocks_of(monkeypatch, least, most, entries):
+    for name, value in {"BLOCKS_FROM": 1, "LEAST_BLOCK": least, "MOST_BLOCK": most, "MOST_ENTRIES": entries}.items():
+        monkeypatch.setattr(graph, name, value, raising=False)
+
+
+def test_a_long_row_of_dense_parts_takes_few_rounds(spark, monkeypatch):
+    """Every node has too many edges to leave the graph; parts of two files, dead ends, and a target within."""
+    rng = np.random.default_rng(7)
+    edges = []
+    for f, parts in ("f", 40), ("g", 25):
+        for k in range(parts):
+            for i in range(12):
+                edges += [(f, f"p{12 * k + i}", f"s{k}-{j}") for j in rng.choice(12, 6, replace=False)]
+                edges += [(f, f"s{k}-{j}", f"p{12 * k + i}") for j in rng.choice(12, 6, replace=False)]
+            edges += [(f, f"s{k}-{j}", f"p{12 * k + 12}") for j in rng.choice(12, 2, replace=False)] + [(f, f"s{k}-0", f"end{k}-{j}") for j in range(20)]
+    asked = [("f", "p0"), ("g", "p0"), ("g", "p100")]
+    blocks_of(monkeypatch, 80, 400, 8)
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 20)
+    e, t = frames(spark, edges, asked)
+    want = brute(edges, asked)
+    assert max(r[3] for r in want) > 60
+    assert sorted(tuple(r) for r in graph.ancestors_of(e, t).collect()) == want
+
+
+@pytest.mark.parametrize("seed, nodes, degree, least, most, entries", [(1, 60, 3.0, 4, 60, 3), (2, 90, 1.5, 2, 20, 64)])
+def test_random_graphs_in_blocks(spark, monkeypatch, seed, nodes, degree, least, most, entries):
+    """Any cut into blocks gives the same depths, also where edges have lengths."""
+    rng = np.random.default_rng(seed)
+    edges = [(f"f{rng.integers(2)}", f"n{rng.integers(nodes)}", f"n{rng.integers(nodes)}") for _ in range(int(2 * nodes * degree))] + [("f0", f"n{i}", f"m{i}") for i in range(9)]
+    targets = [("f0", "n1"), ("f0", "n2"), ("f1", "n3"), ("f9", "n1"), ("f1", "unknown")]
+    blocks_of(monkeypatch, least, most, entries)
+    monkeypatch.setattr(graph, "NEAR_ROUNDS", 1)
+    e, t = frames(spark, edges, targets)
+    assert sorted(tuple(r) for r in graph.ancestors_of(e, t).collect()) == brute(edges, targets)
