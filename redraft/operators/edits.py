@@ -66,18 +66,27 @@ def failures(edits: DataFrame, lines: DataFrame) -> DataFrame:
     return outcomes(edits, lines).where("outcome <> 'applied'")
 
 
+def _of_lines(edits: DataFrame) -> DataFrame:
+    """(file, line, edits): the edits of a line, longest old text first."""
+    return edits.groupBy(*_LINE).agg(F.array_sort(F.collect_list(F.struct((-F.octet_length("old_text")).alias("o"), "old_text", "seq", "new_text", "replace_all"))).alias("edits"))
+
+
+def _after() -> Column:
+    """A line's text after its edits, each on what the one before left."""
+    apply = lambda t, e: F.when(e["replace_all"], replace_all(t, e["old_text"], e["new_text"])).otherwise(replace_first(t, e["old_text"], e["new_text"]))
+    return F.aggregate("edits", F.col("text"), apply)
+
+
 def changed_lines(edits: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, line, before, after) of lines that edits change: longest old text first, each on what the one before left."""
-    own = edits.groupBy(*_LINE).agg(F.array_sort(F.collect_list(F.struct((-F.octet_length("old_text")).alias("o"), "old_text", "seq", "new_text", "replace_all"))).alias("edits"))
-    apply = lambda t, e: F.when(e["replace_all"], replace_all(t, e["old_text"], e["new_text"])).otherwise(replace_first(t, e["old_text"], e["new_text"]))
-    rows = lines.join(own, _LINE).select("file", "line", F.col("text").alias("before"), F.aggregate("edits", F.col("text"), apply).alias("after"))
+    rows = lines.join(_of_lines(edits), _LINE).select("file", "line", F.col("text").alias("before"), _after().alias("after"))
     return rows.where("before <> after")
 
 
 def apply_edits(edits: DataFrame, lines: DataFrame) -> DataFrame:
-    """All lines, with what edits make of them."""
-    changed = changed_lines(edits, lines).select("file", "line", "after")
-    return lines.join(changed, _LINE, "left").select("file", "line", F.coalesce("after", "text").alias("text"), F.col("after").isNotNull().alias("changed"))
+    """All lines, with what edits make of them; lines meet edits once."""
+    rows = lines.join(_of_lines(edits), _LINE, "left").select("file", "line", "text", F.when(F.col("edits").isNotNull(), _after()).alias("after"))
+    return rows.select("file", "line", F.coalesce("after", "text").alias("text"), F.coalesce(F.col("after") != F.col("text"), F.lit(False)).alias("changed"))
 
 
 def endings(texts: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
@@ -85,17 +94,24 @@ def endings(texts: DataFrame, file_col: str = "file", text_col: str = "text") ->
     return texts.select(F.col(file_col).alias("file"), F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"(\r?\n)?\z", 0).alias("ending"))
 
 
+def _joined() -> Column:
+    """The text of a group's lines."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+
+
 def rebuilt_files(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(file, text) from lines; ends gives (file, ending), which goes after the last line."""
-    rows = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return _ended(lines.groupBy("file").agg(_joined().alias("text")), ends)
+
+
+def _ended(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
     return rows if ends is None else rows.join(ends, "file", "left").select("file", F.concat("text", F.coalesce("ending", F.lit(""))).alias("text"))
 
 
 def changed_files(edits: DataFrame, lines: DataFrame, ends: DataFrame) -> DataFrame:
     """(file, text) of the files that edits change, with what stood behind their last line."""
     after = apply_edits(edits, lines.join(edits.select("file").distinct(), "file", "left_semi"))
-    touched = after.where("changed").select("file").distinct()
-    return rebuilt_files(after.join(touched, "file", "left_semi").select("file", "line", "text"), ends)
+    return _ended(after.groupBy("file").agg(_joined().alias("text"), F.bool_or("changed").alias("changed")).where("changed").select("file", "text"), ends)
 
 
 def diff_hunks(edits: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:

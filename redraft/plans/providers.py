@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from redraft.functions.text import SKIPPED_JAVA, SKIPPED_JS, unique_specifiers
 from redraft.operators import edits as ed
-from redraft.operators import planning
+from redraft.operators import graph, planning
 from redraft.plans import plan as pl
 
 #: Columns that a provider's functions must give, with their types.
@@ -106,7 +106,7 @@ def applied(edits: DataFrame, lines: DataFrame, provider: Provider = JAVASCRIPT)
     """Edits applied to their files, whose lines the provider then tidies; its hooks see the files as they were and those that changed."""
     own = lines.join(edits.select("file").distinct(), "file", "left_semi")
     noted = None if provider.before is None else provider.before(own)
-    after = ed.apply_edits(edits, own)
+    after = graph.saved(ed.apply_edits(edits, own))  # read for what changed and for the lines
     changed = after.where("changed").select("file").distinct()
     kinds = {c: dict(lines.dtypes)[c] for c in ("file", "line", "text")}
     made = checked(provider.tidied(after.join(changed, "file", "left_semi").select("file", "line", "text")), kinds, f"tidied lines of {provider.name}")

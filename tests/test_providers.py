@@ -62,3 +62,12 @@ def test_a_plan_takes_its_language_from_the_provider(spark):
     found = {(r["file"], r["line"], r["old_text"], r["new_text"]) for r in p.edits.collect()}
     assert ("/r/A.java", 2, "@Gone(1) class X {}", "class X {}") in found and ("/r/app.xml", 1, "org.a.Old", "org.b.New") in found and ("/r/A.java", 1, "import org.a.Old;", "import org.b.New;") in found
     assert [(r["rule_id"], r["reason"]) for r in p.ignored.collect()] == [("built", "path")]
+
+
+def test_lines_meet_edits_once(spark):
+    """What edits make of lines is made once, for the lines and for the files that changed."""
+    noting = dataclasses.replace(providers.JAVASCRIPT, name="once", after=lambda changed, noted: changed)
+    done = providers.applied(one_edit(spark, "a.ts", 1, "A", "B"), rows(spark, [("a.ts", "A\nA"), ("b.ts", "A")]), noting)
+    assert done.lines._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+    assert "Join" not in done.follow_up._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["file"], r["line"], r["text"]) for r in done.lines.collect()) == [("a.ts", 1, "B"), ("a.ts", 2, "A")]
