@@ -91,7 +91,8 @@ def apply_edits(edits: DataFrame, lines: DataFrame) -> DataFrame:
 
 def endings(texts: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """(file, ending): what stands behind the last line of each text: CR LF, LF or nothing."""
-    return texts.select(F.col(file_col).alias("file"), F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"(\r?\n)?\z", 0).alias("ending"))
+    text = F.col(text_col)
+    return texts.select(F.col(file_col).alias("file"), F.when(text.endswith("\r\n"), "\r\n").when(text.endswith("\n"), "\n").otherwise("").alias("ending"))
 
 
 def _joined() -> Column:

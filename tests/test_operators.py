@@ -262,3 +262,15 @@ def test_runs_make_depths_once(spark):
     runs = planning.balanced_runs(spark.createDataFrame([("f", 1)], "file string, start int"), text)
     assert [tuple(r) for r in runs.collect()] == [("f", 1, 3)]
     assert "aggregate(" not in runs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changed_files_take_one_pass_over_lines(spark):
+    """Lines meet edits once, and ends are found without a pattern."""
+    texts = spark.createDataFrame([("a", "x\r\ny\r\n"), ("b", "y"), ("c", "x\n\n"), ("d", "x\r"), ("e", None)], "file string, text string")
+    assert {r["file"]: r["ending"] for r in ed.endings(texts).collect()} == {"a": "\r\n", "b": "", "c": "\n", "d": "", "e": ""}
+    lines = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "y"), ("c", 1, "x"), ("c", 2, "")], "file string, line int, text string")
+    edits = spark.createDataFrame([("a", 1, 0, "x", "z", "r", True), ("b", 1, 0, "x", "z", "r", True), ("c", 1, 0, "x", "z", "r", False)], "file string, line int, seq int, old_text string, new_text string, rule_id string, replace_all boolean")
+    found = ed.changed_files(edits, lines, ed.endings(texts))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 3 and "regexp" not in plan.lower()
+    assert sorted((r["file"], r["text"]) for r in found.collect()) == [("a", "z\ny\r\n"), ("c", "z\n\n")]
